@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from .chat import OP10_SQL, op10_reply_trees
+from .language import op3_language_filters
 from .media import op7_wav_fingerprints
+from .pieces import op9_streaming_viterbi
 from .quality import op4_repetition_coverage
+from .tokens import op2_token_files
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op3_language_filters": op3_language_filters,
     "op4_repetition_coverage": op4_repetition_coverage,
     "op7_wav_fingerprints": op7_wav_fingerprints,
+    "op9_streaming_viterbi": op9_streaming_viterbi,
     "op10_reply_trees": op10_reply_trees,
 }
 ORACLE_SQL = {"op10_reply_trees": OP10_SQL}
