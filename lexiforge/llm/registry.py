@@ -5,11 +5,13 @@ from __future__ import annotations
 from .chat import OP10_SQL, op10_reply_trees
 from .language import op3_language_filters
 from .media import op7_wav_fingerprints
+from .near import op1_bagminhash
 from .pieces import op9_streaming_viterbi
 from .quality import op4_repetition_coverage
 from .tokens import op2_token_files
 
 QUERIES = {
+    "op1_bagminhash": op1_bagminhash,
     "op2_token_files": op2_token_files,
     "op3_language_filters": op3_language_filters,
     "op4_repetition_coverage": op4_repetition_coverage,
