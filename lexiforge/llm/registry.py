@@ -5,18 +5,22 @@ from __future__ import annotations
 from .chat import OP10_SQL, op10_reply_trees
 from .language import op3_language_filters
 from .media import op7_wav_fingerprints
+from .mixing import OP6_SQL, op6_pfair_mixing
 from .near import op1_bagminhash
 from .pieces import op9_streaming_viterbi
 from .quality import op4_repetition_coverage
 from .tokens import op2_token_files
+from .toxicity import op5_multiple_instance
 
 QUERIES = {
     "op1_bagminhash": op1_bagminhash,
     "op2_token_files": op2_token_files,
     "op3_language_filters": op3_language_filters,
     "op4_repetition_coverage": op4_repetition_coverage,
+    "op5_multiple_instance": op5_multiple_instance,
+    "op6_pfair_mixing": op6_pfair_mixing,
     "op7_wav_fingerprints": op7_wav_fingerprints,
     "op9_streaming_viterbi": op9_streaming_viterbi,
     "op10_reply_trees": op10_reply_trees,
 }
-ORACLE_SQL = {"op10_reply_trees": OP10_SQL}
+ORACLE_SQL = {"op6_pfair_mixing": OP6_SQL, "op10_reply_trees": OP10_SQL}
