@@ -8,6 +8,7 @@ from .media import op7_wav_fingerprints
 from .mixing import OP6_SQL, op6_pfair_mixing
 from .near import op1_bagminhash
 from .pieces import op9_streaming_viterbi
+from .pii import op8_contextual_pii
 from .quality import op4_repetition_coverage
 from .tokens import op2_token_files
 from .toxicity import op5_multiple_instance
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_multiple_instance": op5_multiple_instance,
     "op6_pfair_mixing": op6_pfair_mixing,
     "op7_wav_fingerprints": op7_wav_fingerprints,
+    "op8_contextual_pii": op8_contextual_pii,
     "op9_streaming_viterbi": op9_streaming_viterbi,
     "op10_reply_trees": op10_reply_trees,
 }
