@@ -56,12 +56,13 @@ def schedule(spark: SparkSession, quotas: list[tuple[str, int, int]], block_docs
         .withColumn("l", F.expr("aggregate(k, 0L, (a, x) -> a + x)"))
         .withColumn("clock", F.expr("transform(s, i -> transform(sequence(0L, k[i]), j -> aggregate(s, 0L, (a, m) -> a + least(q[m] * j, k[m] * q[i]))))"))
     )
-    release = "clock[i][CAST(acc.done[i] AS int)] div q[i]"
-    due = f"struct((clock[i][CAST(acc.done[i] AS int) + 1] + q[i] - 1) div q[i] AS due, i AS i, acc.done[i] AS j, {release} AS release)"
-    ready = f"transform(filter(s, i -> acc.done[i] < k[i] AND {release} <= t), i -> {due})"
+    # v binds the frame's tables once: the fold below reads them at every slot
+    release = "v.clock[i][CAST(acc.done[i] AS int)] div v.q[i]"
+    due = f"struct((v.clock[i][CAST(acc.done[i] AS int) + 1] + v.q[i] - 1) div v.q[i] AS due, i AS i, acc.done[i] AS j, {release} AS release)"
+    ready = f"transform(filter(v.s, i -> acc.done[i] < v.k[i] AND {release} <= t), i -> {due})"
     pick = f"transform(array(array_min({ready})), p -> struct(transform(acc.done, (x, i) -> IF(i = p.i, x + 1, x)) AS done, concat(acc.placed, array(p)) AS placed))[0]"
-    start = "struct(transform(s, i -> 0L) AS done, CAST(array() AS array<struct<due: bigint, i: int, j: bigint, release: bigint>>) AS placed)"
-    placed = table.withColumn("placed", F.expr(f"aggregate(sequence(0L, l - 1), {start}, (acc, t) -> {pick}).placed"))
+    start = "struct(transform(v.s, i -> 0L) AS done, CAST(array() AS array<struct<due: bigint, i: int, j: bigint, release: bigint>>) AS placed)"
+    placed = table.withColumn("placed", F.expr(f"transform(array(struct(s, q, k, clock)), v -> aggregate(sequence(0L, l - 1), {start}, (acc, t) -> {pick}).placed)[0]"))
     names = F.array(*[F.lit(s) for s, _, _ in quotas])
     return placed.select("f", "q", "start", names.alias("names"), F.posexplode("placed").alias("slot", "p")).select(
         F.expr("names[p.i]").alias("mix_source"),
