@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries",)
+MODULES = ("text_queries", "retrieval_queries")
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _name in MODULES:
