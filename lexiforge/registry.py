@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import importlib
+from .plans import retrieval_queries, table_queries, text_queries
+from .streaming import jobs
 
-MODULES = ("text_queries", "retrieval_queries")
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _name in MODULES:
-    _module = importlib.import_module(f".plans.{_name}", __package__)
+for _module in (text_queries, retrieval_queries, table_queries, jobs):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.SQL
