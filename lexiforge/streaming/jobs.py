@@ -18,7 +18,7 @@ TTL_DAYS = 6
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = read_table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def finished(stream: DataFrame, mode: str, name: str) -> DataFrame:
