@@ -10,8 +10,9 @@ instead of m for each shingle.
 
 Signatures are banded. Within a bucket no pairs are listed: members are matched with a few bucket leaders, the best of
 them are verified by exact multiset overlap of the texts, and components are taken. Then the pairs of a bucket whose
-ends are still in different components, and whose one-bit sketches don't rule out the similarity, are verified too.
-So every candidate link is either verified or inside a component already; nothing is capped.
+ends are still in different components are verified too, unless the similarity is out of reach: shingles that no other
+such text has bound what a pair can share, and one-bit sketches estimate it. So every candidate link is either verified,
+ruled out or inside a component already; nothing is capped.
 
 Defined results: null and empty texts have no words and are copies of each other. Texts equal in their words are copies
 whatever the white space. A null doc_id is replaced by a negative hash of the text inside, and stays null in results. A
@@ -42,7 +43,7 @@ LEADERS_TRIED = 3
 #: Masks that give each of a bucket's leaders another order of ids.
 ORDERS = (0, 0x2AAAAAAA, 0x5CC33A5C, 0x71E9D64B)
 SLACK = 3.0
-SKETCH_SCHEMA = "row_id long, text_key binary, bands array<long>, bit0 long, bit1 long, bit2 long, bit3 long"
+SKETCH_SCHEMA = "row_id long, text_key binary, size long, bands array<long>, bit0 long, bit1 long, bit2 long, bit3 long"
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +110,9 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         column = batch.column("text")
         keys = [hashlib.blake2b(b" ".join((x or b"").split()), digest_size=16).digest() for x in column.cast(pa.large_binary()).to_pylist()]
-        times = signatures(*shingles(column), n).astype(np.float32)
+        found = shingles(column)
+        times = signatures(*found, n).astype(np.float32)
+        size = np.bincount(found[0], weights=found[2], minlength=n).astype(np.int64)
         value = mix64(times.view(np.uint32).astype(np.uint64))
         bands = np.full((n, BANDS), 0, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
         for i in range(ROWS):
@@ -118,7 +121,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits[:, :POSITIONS] = value & np.uint64(1)
         packed = np.packbits(bits, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_id"), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).reshape(-1)))] + [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(4)],
+            [batch.column("row_id"), pa.array(keys, pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).reshape(-1)))] + [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(4)],
             names=[c.split()[0] for c in SKETCH_SCHEMA.split(", ")],
         )
 
@@ -138,6 +141,19 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.where(union > 0, both / np.maximum(union, 1), 1.0))], names=["a", "b", "similarity"])
 
 
+def listed_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        rows, keys, counts = shingles(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(rows)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["rep", "shingle", "n"])
+
+
+def shareable(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """rep, own: how much of each of these texts lies in shingles that none of the other texts has."""
+    listed = texts.join(ids.select(F.col("rep").alias("row_id")), "row_id", "left_semi").mapInArrow(listed_shingles, "rep long, shingle long, n long")
+    alone = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("rep").alias("rep"), F.sum("n").alias("n")).filter("texts = 1")
+    return alone.groupBy("rep").agg(F.sum("n").alias("own"))
+
+
 def with_row_id(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = F.coalesce(F.col("doc_id").cast("long"), -1 - F.xxhash64(text).bitwiseAND(F.lit(2**62 - 1)))
@@ -155,7 +171,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """doc_id and text -> row_id, doc_id, class_id: the smallest id of each class of near copies."""
     given = with_row_id(docs.select("doc_id", "text")).select(F.col("__row_id").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = stored(given.select("row_id", "text").mapInArrow(sketch, SKETCH_SCHEMA), "sketches")
-    first = [F.first(c).alias(c) for c in ("bands", "bit0", "bit1", "bit2", "bit3")]
+    first = [F.first(c).alias(c) for c in ("bands", "size", "bit0", "bit1", "bit2", "bit3")]
     unique = stored(made.groupBy("text_key").agg(F.min("row_id").alias("rep"), *first), "texts")
 
     held = unique.select("rep", F.explode("bands").alias("bucket"))
@@ -174,12 +190,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     component = connected_components(links.select("a", "b"), "first")
 
     labelled = shared.select("bucket", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = stored(labelled.join(unique.select("rep", "bit0", "bit1", "bit2", "bit3"), "rep"), "labelled")
+    labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    left = labelled.join(mixed, "bucket", "left_semi")
+    left = stored(labelled.join(mixed, "bucket", "left_semi"), "mixed")
+    ids = left.select("rep").distinct()
+    facts = unique.select("rep", "size", "bands", "bit0", "bit1", "bit2", "bit3").join(ids, "rep", "left_semi").join(shareable(texts, ids), "rep", "left")
+    left = stored(left.join(facts.withColumn("most", F.col("size") - F.coalesce("own", F.lit(0))).drop("own"), "rep"), "left")
     differ = sum((F.bit_count(F.col(f"x.bit{i}").bitwiseXOR(F.col(f"y.bit{i}"))) for i in range(4)), F.lit(0))
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & (differ <= MAX_BITS)
-    rest = left.alias("x").join(left.alias("y"), apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    common = F.least("x.most", "y.most")
+    reachable = common * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-6
+    # a pair is taken in the first bucket it shares
+    once = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.bucket")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & reachable & (differ <= MAX_BITS) & once
+    rest = left.alias("x").join(left.alias("y"), apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     links = links.unionByName(verified(rest, texts, similarity, "rest"))
     component = connected_components(links.select("a", "b"), "classes")
 
