@@ -43,11 +43,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_spans(offsets: np.ndarray, data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row) of maximal runs of bytes that are no separator; runs never cross rows."""
+def word_spans(offsets: np.ndarray, data: np.ndarray, separator: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of maximal runs of bytes that are no separator; runs never cross rows nor begin before a cut."""
     inside = ~separator[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
+    if cuts is not None:
+        edge[:-1] |= cuts
     before, after = np.ones(len(data), dtype=bool), np.ones(len(data), dtype=bool)
     if len(data):
         before[1:] = ~inside[:-1] | edge[1:-1]

@@ -7,8 +7,9 @@ range alone. Each row also holds its shard (write task) and its start within the
 document needs only one sum per shard.
 
 Encoding works on the distinct white-space words of a batch: the tokenizer's normaliser and splitter never join
-characters across ASCII white space, so the ids of a text are those of its words in order. Words of small Latin letters
-skip normaliser and splitter, which leave them unchanged.
+characters across ASCII white space, and always part a letter from a full stop, comma, exclamation or question mark
+after it, so the ids of a text are those of its words in order. ASCII letters are made small beforehand, as the
+normaliser does. Words of small Latin letters skip normaliser and splitter, which leave them unchanged.
 
 Defined results: a null or empty text is the end id alone. Rows with null doc_id come first; rows with equal doc_id are
 ordered by text. An empty table writes empty files. Other columns are not read.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,7 @@ from .arrow import WHITE, chunks, flat_bytes, word_codes, word_spans
 
 END_ID = 1
 CACHE_WORDS = 400_000
+BATCH_BYTES = 2 << 20
 WRITE_OPTIONS = {
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "true",
@@ -39,11 +42,35 @@ WRITE_OPTIONS = {
     "parquet.page.row.count.limit": "2000",
 }
 FILE_SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens long, ids array<int>"
-PLAIN = re.compile(r"([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)([.,!?]*)\Z")
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+\Z")
+PUNCTUATION = np.isin(np.arange(256), list(b".,!?"))
+
+
+class Recent:
+    """A bounded memory of two generations: what was not asked for while one filled is forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit // 2, {}, {}
+
+    def fill(self, keys: list, out: list) -> list[int]:
+        """Puts known values into out; the places of the others."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old, missing = self.young, self.old, []
+        for i, key in enumerate(keys):
+            value = young.get(key)
+            if value is None:
+                value = old.get(key)
+                if value is None:
+                    missing.append(i)
+                    continue
+                young[key] = value
+            out[i] = value
+        return missing
 
 
 class WordEncoder:
-    """Words to ids (16-bit little-endian bytes), remembering a bounded number of words."""
+    """Words to ids (16-bit bytes of the machine), remembering a bounded number of words."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -53,26 +80,19 @@ class WordEncoder:
             raise ValueError("ids need more than 16 bits")
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}
-
-    def parts(self, word: bytes) -> tuple[str, str]:
-        text = word.decode("utf-8", "replace")
-        found = PLAIN.match(text)
-        return (found[1].lower(), found[2]) if found else ("", text)
-
-    def learn(self, tokenizer, words: list[str]) -> None:
-        for word, found in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, dtype="<u2").tobytes()
+        self.memory = Recent(CACHE_WORDS)
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        parts = [self.parts(w) for w in words]
-        self.known[""] = b""
-        self.learn(self.bare, list({a for a, _ in parts if a not in self.known}))
-        self.learn(self.full, list({b for _, b in parts if b not in self.known}))
-        known = self.known
-        return [known[a] + known[b] for a, b in parts]
+        out: list = [None] * len(words)
+        missing = self.memory.fill(words, out)
+        plain, other = [], []
+        for i in missing:
+            text = words[i].decode("utf-8", "replace")
+            (plain if PLAIN.match(text) else other).append((i, text))
+        for tokenizer, found in ((self.bare, plain), (self.full, other)):
+            for (i, _), made in zip(found, tokenizer.encode_batch_fast([t for _, t in found], add_special_tokens=False), strict=True):
+                out[i] = self.memory.young[words[i]] = array("H", made.ids).tobytes()
+        return out
 
 
 ENCODERS: dict[str, WordEncoder] = {}
@@ -84,29 +104,35 @@ def encoder(vocabulary: str) -> WordEncoder:
     return ENCODERS[vocabulary]
 
 
+def letter_then_mark(data: np.ndarray) -> np.ndarray:
+    """Where a plain punctuation mark follows a letter: the splitter always parts the two."""
+    cut = np.zeros(len(data), dtype=bool)
+    if len(data) > 2:
+        small = ((data | 32) >= 97) & ((data | 32) <= 122)
+        latin = np.zeros(len(data), dtype=bool)
+        latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut[1:] = PUNCTUATION[data[1:]] & (small | latin)[:-1]
+    return cut
+
+
 def encode_batch(column: pa.Array, vocabulary: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids) of a batch of texts, the end id after each."""
     offsets, data = flat_bytes(column)
-    starts, ends, row = word_spans(offsets, data, WHITE)
+    if b"<|" not in data.tobytes():  # a special token is found before letters are made small
+        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    starts, ends, row = word_spans(offsets, data, WHITE, letter_then_mark(data))
     codes, words = word_codes(data, starts, ends)
-    found = encoder(vocabulary)(words.to_pylist())
-    sizes = np.array([len(x) // 2 for x in found], dtype=np.int64)
-    flat = np.frombuffer(b"".join(found), dtype="<u2")
-    first = np.cumsum(sizes) - sizes
-    count = sizes[codes] if len(codes) else np.zeros(0, dtype=np.int64)
-    total = int(count.sum())
-    take = np.arange(total, dtype=np.int64) + np.repeat((first[codes] if len(codes) else count) - (np.cumsum(count) - count), count)
-    tokens = np.bincount(row, weights=count, minlength=len(column)).astype(np.int64) + 1
-    stops = np.cumsum(tokens)
-    ids = np.full(int(stops[-1]) if len(stops) else 0, end_id, dtype=np.int32)
-    if total:
-        ids[np.arange(total, dtype=np.int64) + np.repeat(row, count)] = flat[take]
-    return np.concatenate([[0], stops]), ids
+    found = pa.array([*encoder(vocabulary)(words.to_pylist()), np.uint16(end_id).tobytes()], pa.large_binary())
+    last = np.cumsum(np.bincount(row, minlength=len(column)))
+    taken = found.take(pa.array(np.insert(codes, last, len(words))))  # the end id is one more word of each text
+    stops = np.frombuffer(taken.buffers()[1], dtype=np.int64, count=len(taken) + 1) // 2
+    ids = np.frombuffer(taken.buffers()[2], dtype=np.uint16, count=int(stops[-1])) if len(taken) else np.zeros(0, np.uint16)
+    return np.concatenate([[0], stops[last + np.arange(1, len(column) + 1)]]), ids.astype(np.int32)
 
 
 def write_ids(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
     shard, start = TaskContext.get().partitionId(), 0
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=BATCH_BYTES):
         offsets, ids = encode_batch(batch.column("text"), vocabulary, end_id)
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays(
