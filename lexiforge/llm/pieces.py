@@ -3,7 +3,8 @@
 The best segmentation of a text under the vocabulary's stored piece scores is found from left to right. Scores are kept
 for a window no longer than the longest piece; when the backpointers of all surviving boundaries lead through one
 boundary, the ids up to it are committed and forgotten, so a text of any length needs only the window and what is still
-undecided. Where no piece can cross a boundary (before a word mark, around a newline) all paths meet for certain;
+undecided. Where no piece can cross a boundary (before a word mark, around a newline, between a
+letter and the punctuation after it) all paths meet for certain;
 segments between such boundaries are remembered, a bounded number of them.
 
 The given vocabulary is a merge vocabulary, whose own encoder applies merges in rank order; this operator returns the
@@ -24,12 +25,15 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import read_table
+from ..sources.tables import read_table, stored
 
 MARK = "▁"
 CHECK_EVERY = 64
-CACHE_SEGMENTS = 300_000
-SEGMENT = re.compile(r" *[^ \n]+| +|\n")
+CACHE_SEGMENTS = 700_000
+#: Code points that are no characters, of which one stands in for a literal word mark.
+NO_CHARACTERS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
+SEGMENT = re.compile(r" *[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!? \n]|\Z)| *[^ \n]+| +|\n")
+CROSSING = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][.,!?]")
 
 
 class Pieces:
@@ -49,69 +53,83 @@ class Pieces:
                 self.scores[piece] = (sp.get_score(i), i)
                 self.text.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.scores))
+        #: a tree of pieces: character -> (children, score, id), id -1 where no piece ends
+        self.tree: dict = {}
+        for piece, (score, i) in self.scores.items():
+            node = self.tree
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, 0.0, -1))[0]
+            node[piece[-1]] = (node[piece[-1]][0] if piece[-1] in node else {}, score, i)
         self.byte_score = min(s for s, _ in self.scores.values()) - 10
-        #: whether a boundary before a word mark that follows another character, and around a newline, is certain
-        self.certain = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.scores)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def byte_ids(self, char: str) -> tuple[int, ...]:
-        return tuple(self.bytes[b] for b in (MARK if char == "\0mark" else char).encode("utf-8", "replace"))
-
-    def viterbi(self, units: list[str]) -> Iterator[int]:
-        """Ids of a sequence of units: characters, with word marks as MARK and literal ones as "\\0mark"."""
-        scores, longest = self.scores, self.longest
-        done = 0  # the last committed boundary
-        best: dict[int, float] = {0: 0.0}
-        back: dict[int, tuple[int, tuple[int, ...]]] = {}
-        size = len(units)
-        for end in range(1, size + 1):
-            top, step = -np.inf, (end - 1, ())
-            for start in range(max(done, end - longest), end):
-                found = scores.get("".join(units[start:end]))
-                if found is not None and best[start] + found[0] > top:
-                    top, step = best[start] + found[0], (start, (found[1],))
-            if not step[1]:
-                ids = self.byte_ids(units[end - 1])
-                top, step = best[end - 1] + self.byte_score * len(ids), (end - 1, ids)
-            best[end], back[end] = top, step
-            if end - longest in best and end - longest < end:
-                del best[end - longest]
-            if end % CHECK_EVERY == 0 or end == size:
-                alive = {end} if end == size else set(range(max(done, end - longest + 1), end + 1))
+        #: whether boundaries before a word mark that follows another character, around a newline, and between a letter
+        #: and the punctuation after it are certain
+        self.certain = not any(MARK in p.lstrip(MARK) or "\n" in p or CROSSING.search(p) for p in self.scores)
+        self.width = np.uint16 if len(self.text) <= 1 << 16 else np.int32
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def byte_ids(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in char.encode("utf-8", "replace")]
+
+    def viterbi(self, text: str) -> Iterator[int]:
+        """Ids of a text in which spaces are word marks; a mark in it is text."""
+        stand_in = next(c for c in NO_CHARACTERS if c not in text) if MARK in text else ""
+        units = (text.replace(MARK, stand_in) if stand_in else text).replace(" ", MARK)
+        tree, longest, size, done = self.tree, self.longest, len(units), 0
+        best: dict[int, float] = {0: 0.0}  # boundaries not yet left, one piece ahead at most
+        back: dict[int, tuple[int, int]] = {}  # previous boundary and piece, -1 for bytes; since the last commit
+        for start in range(size):
+            here = best.pop(start)
+            node, end = tree, start
+            for c in units[start : start + longest]:
+                step = node.get(c)
+                if step is None:
+                    break
+                node, score, piece = step
+                end += 1
+                if piece >= 0 and (end not in best or here + score > best[end]):
+                    best[end], back[end] = here + score, (start, piece)
+            if start + 1 not in best:
+                char = MARK if units[start] == stand_in else units[start]
+                best[start + 1], back[start + 1] = here + self.byte_score * len(self.byte_ids(char)), (start, -1)
+            last = start + 1 == size
+            if last or (start + 1) % CHECK_EVERY == 0:
+                alive = set(best)
                 while len(alive) > 1 and max(alive) > done:
-                    last = max(alive)
-                    alive.discard(last)
-                    alive.add(back[last][0])
+                    top = max(alive)
+                    alive.discard(top)
+                    alive.add(back[top][0])
                 meet = max(alive)
-                if meet > done:
-                    path, at = [], meet
-                    while at > done:
-                        at, ids = back[at]
-                        path.append(ids)
-                    for ids in reversed(path):
-                        yield from ids
-                    for at in range(done + 1, meet + 1):
-                        back.pop(at, None)
-                    done = meet
-
-    def segment(self, text: str) -> tuple[int, ...]:
-        found = self.known.get(text)
+                path, at = [], meet
+                while at > done:
+                    path.append((at, *back.pop(at)))
+                    at = path[-1][1]
+                for end, begin, piece in reversed(path):
+                    if piece >= 0:
+                        yield piece
+                    else:
+                        yield from self.byte_ids(MARK if units[begin:end] == stand_in else units[begin:end])
+                for at in [x for x in back if x <= meet]:
+                    del back[at]
+                done = meet
+
+    def segment(self, text: str) -> bytes:
+        """Ids as 16- or 32-bit integers; remembered in two generations of bounded size."""
+        found = self.old.get(text)
         if found is None:
-            if len(self.known) >= CACHE_SEGMENTS:
-                self.known.clear()
-            units = ["\0mark" if c == MARK else MARK if c == " " else c for c in text]
-            found = tuple(self.viterbi(units))
-            if len(text) <= CHECK_EVERY:
-                self.known[text] = found
+            found = np.fromiter(self.viterbi(text), dtype=self.width).tobytes()
+        if len(text) <= CHECK_EVERY:
+            if len(self.young) >= CACHE_SEGMENTS // 2:
+                self.old, self.young = self.young, {}
+            self.young[text] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return []
-        ids: list[int] = []
-        for part in SEGMENT.findall(" " + text) if self.certain else [" " + text]:
-            ids.extend(self.segment(part))
-        return ids
+            return np.zeros(0, dtype=np.int32)
+        parts = SEGMENT.findall(" " + text) if self.certain else [" " + text]
+        segment = self.segment
+        return np.frombuffer(b"".join([self.young.get(p) or segment(p) for p in parts]), dtype=self.width).astype(np.int32)
 
     def decode(self, ids: list[int]) -> str:
         pieces = self.text
@@ -133,7 +151,7 @@ def piece_encoder(model: str):
     @F.arrow_udf("array<int>")
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            made = [np.array(pieces(model).encode(t or ""), dtype=np.int32) for t in column.to_pylist()]
+            made = [pieces(model).encode(t.as_py() or "") for t in column]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made) if made else np.zeros(0, np.int32)))
 
@@ -146,7 +164,8 @@ def piece_decoder(model: str):
     @F.arrow_udf("string")
     def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            yield pa.array([pieces(model).decode(ids or []) for ids in column.to_pylist()], pa.string())
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            yield pa.array([pieces(model).decode(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
 
     return lambda ids: decode(F.col(ids))
 
@@ -155,13 +174,14 @@ def op9_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = docs.withColumn("ids", piece_encoder(model)("text"))
-    back = made.withColumn("decoded", piece_decoder(model)("ids"))
+    docs = read_table(spark, sf_dir, "documents")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    made = stored(given.withColumn("ids", piece_encoder(model)("text")).drop("text"), "pieces")
+    back = made.withColumn("decoded", F.sha2(piece_decoder(model)("ids"), 256))
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        F.col("decoded").alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text_sha256")).alias("round_trip"),
     )
