@@ -176,5 +176,7 @@ SQL = {
     "a12_g7_concepts": f"""WITH p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents) GROUP BY 1, 2),
  h AS (SELECT doc_id, concept, count(*) FILTER (WHERE kind = 'alias') AS a, count(*) FILTER (WHERE kind = 'keyword') AS k, CAST(sum(tf) AS BIGINT) AS hits, max((kind = 'exclusion')::INT) AS x FROM p JOIN {LEXICON} USING (token) GROUP BY 1, 2)
  SELECT doc_id, concept, hits, round(least(0.94, 0.5 + 0.2 * a + 0.1 * k), 6)::DOUBLE AS score FROM h WHERE x = 0""",
+    "b21_synonyms": f"""WITH t AS (SELECT item_id, list_distinct_in_order AS w FROM (SELECT item_id, list_filter(x, lambda e, i: list_position(x, e) = i) AS list_distinct_in_order FROM
+ (SELECT item_id, list_concat(list_concat(['oceans', 'sea', 'mix'], {sql_tokens('text', True)}), ['seas', 'barrier']) AS x FROM benchmark))) SELECT item_id, array_to_string(w, ' ') AS expanded FROM t""",
     "d14_baseline_comparison": f"SELECT b.query_id, b.score AS base, n.score AS now FROM {_coverage('true')} b LEFT JOIN {_coverage('doc_id % 3 <> 0')} n USING (query_id) WHERE n.score IS NULL OR n.score < b.score",
 }
