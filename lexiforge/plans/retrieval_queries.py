@@ -6,6 +6,10 @@ for tokens that some query asks for, with counts summed on the map side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,28 +133,42 @@ def vectors(spark, d):
     return read_table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+ROW_BLOCK, QUERY_BLOCK = 1024, 256
+
+
+def block_search(rows: DataFrame, asked: DataFrame, k: int, metric: str) -> DataFrame:
+    """rows(vec_id, v) and asked(vec_id, v) -> exact top k rows of each query. Blocks of rows meet blocks of queries;
+    each pair is one matrix product that yields at most k rows a query, so the pair is all that a task holds."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids, vs, qids, qs = (batch.column(c)[at].as_py() for c in ("ids", "vs", "qids", "qs"))
+                a, b, ids = np.array(qs, dtype=np.float64), np.array(vs, dtype=np.float64), np.array(ids)
+                if metric == "inner":
+                    score = a @ b.T / np.linalg.norm(a, axis=1)[:, None]
+                else:
+                    score = 1 / (1 + np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)) / 2)
+                score = np.round(score, 6)
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, order.shape[1])), pa.array(ids[order].reshape(-1)), pa.array(np.take_along_axis(score, order, axis=1).reshape(-1))], names=["query_id", "doc_id", "score"])
 
+    def blocks(df: DataFrame, size: int, a: str, b: str) -> DataFrame:
+        packed = df.groupBy(F.pmod(F.xxhash64("vec_id"), F.ceil(F.lit(df.count()) / size))).agg(F.collect_list(F.struct("vec_id", "v")).alias("x"))
+        return packed.select(F.col("x.vec_id").alias(a), F.col("x.v").alias(b))
 
-def vector_pairs(spark, d):
-    """Queries are the rows whose id is divisible by 100, against all rows."""
-    all_rows = vectors(spark, d)
-    asked = all_rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    return all_rows.select(F.col("vec_id").alias("doc_id"), "v").crossJoin(asked)
+    pairs = blocks(rows, ROW_BLOCK, "ids", "vs").crossJoin(blocks(asked, QUERY_BLOCK, "qids", "qs"))
+    return top_k(pairs.mapInArrow(best, "query_id long, doc_id long, score double"), k, F.desc("score"))
 
 
 def vector_topk(spark, d):
-    """Exact inner product over unit vectors, in one pass with the query vectors on every task."""
-    scored = vector_pairs(spark, d).select("query_id", "doc_id", F.round(dot("v", "qv") / F.sqrt(dot("qv", "qv")), 6).alias("score"))
-    return top_k(scored, 10, F.desc("score"))
+    """Exact inner product over unit vectors; queries are the rows whose id is divisible by 100, against all rows."""
+    return block_search(vectors(spark, d), vectors(spark, d).filter("vec_id % 100 = 0"), 10, "inner")
 
 
 def fingerprint_search(spark, d):
     """Distance of pooled fingerprints is half the Euclidean distance; similarity 1 / (1 + distance)."""
-    gap = F.sqrt(F.aggregate(F.zip_with("v", "qv", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    scored = vector_pairs(spark, d).select("query_id", "doc_id", F.round(1 / (1 + gap / 2), 6).alias("score"))
-    return top_k(scored, 5, F.desc("score"))
+    return block_search(vectors(spark, d), vectors(spark, d).filter("vec_id % 100 = 0"), 5, "distance")
 
 
 def vector_meta(spark, d):

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from ..functions import text as T
 from ..sources.tables import read_table, stored
 from .retrieval_queries import BASE_SQL, HEAD_SQL, UNKNOWN_WEIGHT, coverage_search, passages, postings, query_tokens, top_k
-from .text_queries import ENGLISH_SQL, arabic, q, sql_tokens
+from .text_queries import NORM, SPELL_FROM, SPELL_TO, arabic, q, sql_normalize_arabic
 
 #: Fixed values: (needle in a query, stem in a document), each worth a boost.
 HINTS = (("that", "with"), ("this", "from"), ("qui", "que"), ("der", "die"))
@@ -229,6 +229,8 @@ SQL = {
     + f""", h AS (SELECT r.query_id, r.doc_id, {' + '.join(f"(contains(lower({HEAD_SQL.replace('text', 'b.text')}), '{a}') AND contains(lower(d.text), '{b}'))::BIGINT" for a, b in HINTS)} AS met
  FROM ranked r JOIN benchmark b ON r.query_id = b.item_id JOIN documents d ON r.doc_id = d.doc_id WHERE rank <= 20) SELECT query_id, doc_id, met, round(least({HINT_CAP}, {HINT} * met + CASE WHEN met >= 3 THEN {HINT_MANY} ELSE 0.0 END), 6)::DOUBLE AS boost FROM h""",
     "d8_f16_first_relevant": BASE_SQL + TOP_SQL + " SELECT item_id AS query_id, min(rank) FILTER (WHERE contains(d.text, b.text)) AS rank FROM benchmark b LEFT JOIN ranked r ON r.query_id = item_id AND rank <= 10 LEFT JOIN documents d ON d.doc_id = r.doc_id GROUP BY 1",
+    "g3_script_exact": f"""WITH d AS (SELECT doc_id, {NORM} AS norm FROM documents), x AS (SELECT item_id AS query_id, {sql_normalize_arabic(f"translate(lower({HEAD_SQL}), '{SPELL_FROM}', '{SPELL_TO}')")} AS qn FROM benchmark)
+ SELECT query_id, doc_id, 0.98::DOUBLE AS score, length(norm) AS chars, row_number() OVER (PARTITION BY query_id ORDER BY length(norm), doc_id) AS rank FROM d JOIN x ON contains(norm, qn) QUALIFY rank <= 10""",
     "g15_trace": BASE_SQL
     + f"SELECT item_id AS query_id, {sql_search_type(HEAD_SQL)} AS kind, (SELECT count(*) FROM asked a WHERE a.query_id = item_id) AS tokens, (SELECT count(DISTINCT doc_id) FROM asked a JOIN posted USING (token) WHERE a.query_id = item_id) AS candidates FROM benchmark",
     "d11_f15_anchors": "SELECT doc_id, round(least(0.97, 0.93 + (5 - i) * 0.015), 6)::DOUBLE AS score FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) WHERE i <= 5",
