@@ -29,7 +29,7 @@ from ..sources.tables import read_table, stored
 
 MARK = "▁"
 CHECK_EVERY = 64
-CACHE_SEGMENTS = 700_000
+CACHE_SEGMENTS = 450_000
 #: Code points that are no characters, of which one stands in for a literal word mark.
 NO_CHARACTERS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 SEGMENT = re.compile(r" *[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!? \n]|\Z)| *[^ \n]+| +|\n")
