@@ -4,9 +4,8 @@ Base entities (email, ip, card, phone) are found by patterns and serve as seeds.
 lie in no base span are candidate instances. A lexical pattern is what stands around an instance: the two words before
 it, or the word before and the word after. Spark builds the pattern-instance graph and scores both sides in turn: a
 pattern's precision is the confident instances' share of everything that stands in its slot anywhere in the corpus, and
-it counts once enough different confident instances support it (five, and one in a thousand of
-all different seeds, so that the demand is alike at every size); an instance's confidence is the noisy-or of its
-patterns. Instances over the threshold join the seeds for the next round; at the end they become spans of kind
+it counts once five different confident instances support it, in a table of any size; an instance's confidence is the
+noisy-or of its patterns. Instances over the threshold join the seeds for the next round; at the end they become spans of kind
 `context`, beside the base spans.
 
 Positions come from pairing the pieces between matches with the matches. Patterns are possessive and anchored so that
@@ -19,8 +18,6 @@ names start with `__pii_` are replaced.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +36,7 @@ CONTEXT = "context"
 WHITE = r"\x20\x09-\x0D"
 CANDIDATE = rf"(?<![^{WHITE}])[^{WHITE}0-9@]*+[0-9@][^{WHITE}]*+"
 OCTET = "^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-ROUNDS, MIN_SUPPORT, MIN_SHARE, MIN_PRECISION, MIN_CONFIDENCE, MIN_LENGTH = 3, 5, 1e-3, 0.5, 0.8, 5
+ROUNDS, MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE, MIN_LENGTH = 3, 5, 0.5, 0.8, 5
 #: A pattern table of at most so many rows (16 bytes each) is broadcast to the scan that counts slots.
 BROADCAST_ROWS = 1_000_000
 
@@ -160,9 +157,7 @@ def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS) -> DataF
     words = stored(words.filter(f"state = 2 OR (state = 0 AND length(instance) >= {MIN_LENGTH})"), "occurrences")
     edges = words.select(F.explode("keys").alias("key"), "instance", "state").groupBy("key", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("state").alias("state"))
     edges = stored(edges, "graph")
-    seeds = edges.filter("state = 2").agg(F.count_distinct("instance").alias("n")).first()["n"]
-    need = max(MIN_SUPPORT, math.ceil(MIN_SHARE * seeds))
-    wide = edges.groupBy("key").agg(F.count(F.lit(1)).alias("instances"), F.max("state").alias("state")).filter(f"instances >= {need} AND state = 2")
+    wide = edges.groupBy("key").agg(F.count(F.lit(1)).alias("instances"), F.max("state").alias("state")).filter(f"instances >= {MIN_SUPPORT} AND state = 2")
     patterns = stored(wide.select("key"), "patterns")
     edges = stored(edges.join(patterns, "key", "left_semi"), "edges")
     totals = stored(slot_totals(docs, patterns), "totals")
@@ -170,7 +165,7 @@ def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS) -> DataF
     sure = None
     for _ in range(rounds):
         held = edges.join(known, "instance").groupBy("key").agg(F.sum(F.col("n") * F.col("confidence")).alias("good"), F.count(F.lit(1)).alias("support"))
-        sure = held.join(totals, "key").withColumn("precision", F.col("good") / F.col("total")).filter((F.col("support") >= need) & (F.col("precision") >= MIN_PRECISION))
+        sure = held.join(totals, "key").withColumn("precision", F.col("good") / F.col("total")).filter((F.col("support") >= MIN_SUPPORT) & (F.col("precision") >= MIN_PRECISION))
         miss = F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-6))))
         scored = edges.filter("state = 0").join(sure.select("key", "precision"), "key").groupBy("instance").agg((1 - F.exp(miss)).alias("confidence"))
         scored = scored.filter(F.col("confidence") >= MIN_CONFIDENCE)

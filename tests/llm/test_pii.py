@@ -73,6 +73,13 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[200] == [] and got[201] == []
 
 
+def test_five_instances_count_among_many_seeds(spark):
+    rows = [(i, f"w{'abcdefghij'[i % 10]} {'x' * (i % 97)} u{i}@mail.example.com") for i in range(6000)]
+    rows += [(10_000 + i, f"please write to v{i}@mail.example.com for details") for i in range(5)] + [(20_000, "please write to desk077 for details")]
+    got = with_spans(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 20000").first()["__pii_spans"]
+    assert [(s.kind, s.start, s.end) for s in got] == [("context", 16, 23)]
+
+
 def test_redaction(spark):
     docs = edge_docs(spark)
     made = redact(docs)
