@@ -151,25 +151,37 @@ def slot_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return slots.join(patterns, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("total"))
 
 
+def bootstrap(edges: DataFrame, seeds: DataFrame, totals: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The confident instances (instance, confidence) and patterns (key, precision) after so many rounds. Every round takes
+    its patterns anew from all confident instances, so what one round discovers can make patterns of the next."""
+    known = seeds
+    for _ in range(rounds):
+        held = edges.join(known, "instance").groupBy("key").agg(F.sum(F.col("n") * F.col("confidence")).alias("good"), F.count(F.lit(1)).alias("support")).filter(F.col("support") >= MIN_SUPPORT)
+        sure = stored(held.join(totals, "key").select("key", (F.col("good") / F.col("total")).alias("precision")).filter(F.col("precision") >= MIN_PRECISION), "sure")
+        miss = F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-6))))
+        scored = edges.filter("state = 0").join(sure, "key").groupBy("instance").agg((1 - F.exp(miss)).alias("confidence"))
+        scored = scored.filter(F.col("confidence") >= MIN_CONFIDENCE)
+        known = stored(seeds.unionByName(scored).groupBy("instance").agg(F.max("confidence").alias("confidence")), "known")
+    return known, sure
+
+
 def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """__pii_row, start, end of candidates that confident patterns discover."""
+    """__pii_row, start, end of candidates that confident patterns discover.
+
+    The words counted for a slot include its candidates, and confidence only grows with precision. So rounds on the graph
+    alone, with the candidates as the total, reach every pattern that rounds with the true totals can: only those are
+    counted over the corpus, in one scan."""
     words = scanned.select("__pii_row", F.explode("__pii_words").alias("x")).select("__pii_row", "x.start", "x.end", "x.instance", "x.keys", "x.state")
     words = stored(words.filter(f"state = 2 OR (state = 0 AND length(instance) >= {MIN_LENGTH})"), "occurrences")
     edges = words.select(F.explode("keys").alias("key"), "instance", "state").groupBy("key", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("state").alias("state"))
     edges = stored(edges, "graph")
-    wide = edges.groupBy("key").agg(F.count(F.lit(1)).alias("instances"), F.max("state").alias("state")).filter(f"instances >= {MIN_SUPPORT} AND state = 2")
-    patterns = stored(wide.select("key"), "patterns")
-    edges = stored(edges.join(patterns, "key", "left_semi"), "edges")
-    totals = stored(slot_totals(docs, patterns), "totals")
-    known = edges.filter("state = 2").select("instance", F.lit(1.0).alias("confidence")).distinct()
-    sure = None
-    for _ in range(rounds):
-        held = edges.join(known, "instance").groupBy("key").agg(F.sum(F.col("n") * F.col("confidence")).alias("good"), F.count(F.lit(1)).alias("support"))
-        sure = held.join(totals, "key").withColumn("precision", F.col("good") / F.col("total")).filter((F.col("support") >= MIN_SUPPORT) & (F.col("precision") >= MIN_PRECISION))
-        miss = F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-6))))
-        scored = edges.filter("state = 0").join(sure.select("key", "precision"), "key").groupBy("instance").agg((1 - F.exp(miss)).alias("confidence"))
-        scored = scored.filter(F.col("confidence") >= MIN_CONFIDENCE)
-        known = stored(edges.filter("state = 2").select("instance", F.lit(1.0).alias("confidence")).unionByName(scored).groupBy("instance").agg(F.max("confidence").alias("confidence")), "known")
+    seeds = stored(words.filter("state = 2").select("instance", F.lit(1.0).alias("confidence")).distinct(), "seeds")
+    wide = edges.groupBy("key").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("total")).filter(f"instances >= {MIN_SUPPORT}")
+    most = stored(wide.select("key", "total"), "candidates")
+    edges = stored(edges.join(most.select("key"), "key", "left_semi"), "edges")
+    _, possible = bootstrap(edges, seeds, most, rounds)
+    totals = stored(slot_totals(docs, possible.select("key")), "totals")
+    known, sure = bootstrap(edges, seeds, totals, rounds)
     hits = words.filter("state = 0").join(known, "instance").select("__pii_row", "start", "end", F.explode("keys").alias("key"))
     return hits.join(sure.select("key"), "key", "left_semi").select("__pii_row", "start", "end").distinct()
 

@@ -80,6 +80,16 @@ def test_five_instances_count_among_many_seeds(spark):
     assert [(s.kind, s.start, s.end) for s in got] == [("context", 16, 23)]
 
 
+def test_discovered_instances_make_patterns_of_their_own(spark):
+    rows = [(i, f"please write to u{i}@mail.example.com for details") for i in range(30)]
+    rows += [(100 + i, f"please write to desk{i}77 for details") for i in range(6)]
+    rows += [(200 + i, f"your member number desk{i}77 was renewed") for i in range(6)] + [(300, "your member number desk9977 was renewed")]
+    rows += [(400, "the room desk9988 stood empty")]
+    got = {r.doc_id: r["__pii_spans"] for r in with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i: [t[s.start : s.end] for s in got[i] if s.kind == "context"] for i, t in rows}
+    assert found[105] == found[205] == ["desk577"] and found[300] == ["desk9977"] and found[400] == []
+
+
 def test_redaction(spark):
     docs = edge_docs(spark)
     made = redact(docs)
