@@ -1,8 +1,8 @@
 """Media columns: WAV files, short-time spectra and spectral-peak pair fingerprints.
 
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the 8-bit samples of a mono WAV file
-written by the wave module and stored in a binary column. Reading such files back yields samples; a windowed
-short-time Fourier transform gives magnitudes, the loudest bin of each band and frame that is no quieter than its
+written by the wave module and stored in a binary column. Reading such files back yields samples, padded with
+silence until the last of them lies in a frame; a windowed short-time Fourier transform gives magnitudes, the loudest bin of each band and frame that is no quieter than its
 neighbours in time is a peak, and each peak is paired with the next peaks. A fingerprint is one long:
 frame << 32 | first bin << 16 | second bin << 4 | frame distance, so arrays are ordered by time.
 
@@ -55,8 +55,8 @@ def from_wav(media: bytes) -> bytes:
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frame, bin) of spectral peaks, by frame and then bin."""
-    if len(samples) < FRAME:
-        samples = np.concatenate([samples, np.full(FRAME - len(samples), 128, dtype=np.uint8)])
+    short = FRAME - len(samples) if len(samples) < FRAME else (FRAME - len(samples)) % HOP
+    samples = np.concatenate([samples, np.full(short, 128, dtype=np.uint8)])
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
     loud, where = [], []
