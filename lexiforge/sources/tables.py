@@ -4,27 +4,59 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN: list[list[str]] = []
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a fresh local one where none is set (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. Where none is set, a fresh local one if Spark runs on this
+    machine alone (tests); on a cluster that is an error, as executors could not see each other's files."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: lineage ends there and lost executors cost
-    no recomputation of what came before."""
+def _write(df: DataFrame, name: str, options: dict[str, str], level: int) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiforge/{name}-{uuid.uuid4().hex}"
+    if len(_OPEN) >= level:
+        _OPEN[-level].append(path)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as Parquet under the shared folder and read it back: lineage ends there and lost executors cost
+    no recomputation of what came before."""
+    return _write(df, name, options, 1)
+
+
+def kept(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """As `stored`, for the result of a `scratch` block, which outlives the block."""
+    return _write(df, name, options, 2)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block are deleted at its end, but for those `kept`."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
