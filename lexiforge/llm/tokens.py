@@ -6,20 +6,20 @@ controlled size, page indexes for doc_id. Readers can thus fetch metadata column
 range alone. Each row also holds its shard (write task) and its start within the shard, so the global start of a
 document needs only one sum per shard.
 
-Encoding works on the distinct white-space words of a batch: the tokenizer's normaliser and splitter never join
-characters across ASCII white space, and always part a letter from a full stop, comma, exclamation or question mark
-after it, so the ids of a text are those of its words in order. ASCII letters are made small beforehand, as the
-normaliser does. Words of small Latin letters skip normaliser and splitter, which leave them unchanged.
+Encoding works on white-space words: the tokenizer's normaliser and splitter never join characters across ASCII white
+space, and always part a letter from a full stop, comma, exclamation or question mark after it, so the ids of a text are
+those of its words in order. ASCII letters are made small beforehand, as the normaliser does. Words of small Latin
+letters go to the tokenizer's model alone, as normaliser and splitter leave them unchanged; others go through all of it.
 
 Defined results: a null or empty text is the end id alone. Rows with null doc_id come first; rows with equal doc_id are
-ordered by text. An empty table writes empty files. Other columns are not read.
+ordered by text; repeated rows are written each. Texts are taken whole: a task holds a batch of about two megabytes, or
+one longer text. An empty table writes empty files. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table, stored
-from .arrow import WHITE, chunks, flat_bytes, word_codes, word_spans
+from .arrow import chunks
 
 END_ID = 1
 CACHE_WORDS = 400_000
@@ -43,91 +43,109 @@ WRITE_OPTIONS = {
 }
 FILE_SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens long, ids array<int>"
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+\Z")
+#: No text holds this byte.
+END_MARK = b"\xff"
 PUNCTUATION = np.isin(np.arange(256), list(b".,!?"))
 
 
-class Recent:
-    """A bounded memory of two generations: what was not asked for while one filled is forgotten."""
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself where it prints, else one from 256 on."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit // 2, {}, {}
 
-    def fill(self, keys: list, out: list) -> list[int]:
-        """Puts known values into out; the places of the others."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old, missing = self.young, self.old, []
-        for i, key in enumerate(keys):
-            value = young.get(key)
-            if value is None:
-                value = old.get(key)
-                if value is None:
-                    missing.append(i)
-                    continue
-                young[key] = value
-            out[i] = value
-        return missing
+class WordTable(dict):
+    """Words to places in one growing table of 16-bit ids. A word not met before gets the next place at once and is encoded
+    with the other new ones of its batch; past CACHE_WORDS words the table starts anew, so memory is bounded. Place 0 is
+    the end mark of a text."""
 
+    def __init__(self, vocabulary: str, end_id: int):
+        from tokenizers import Tokenizer
 
-class WordEncoder:
-    """Words to ids (16-bit bytes of the machine), remembering a bounded number of words."""
-
-    def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.full, self.bare = Tokenizer.from_file(vocabulary), Tokenizer.from_file(vocabulary)
+        super().__init__()
+        self.full = Tokenizer.from_file(vocabulary)
         if self.full.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.memory = Recent(CACHE_WORDS)
-
-    def __call__(self, words: list[bytes]) -> list[bytes]:
-        out: list = [None] * len(words)
-        missing = self.memory.fill(words, out)
-        plain, other = [], []
-        for i in missing:
-            text = words[i].decode("utf-8", "replace")
-            (plain if PLAIN.match(text) else other).append((i, text))
-        for tokenizer, found in ((self.bare, plain), (self.full, other)):
-            for (i, _), made in zip(found, tokenizer.encode_batch_fast([t for _, t in found], add_special_tokens=False), strict=True):
-                out[i] = self.memory.young[words[i]] = array("H", made.ids).tobytes()
-        return out
-
-
-ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(vocabulary: str) -> WordEncoder:
-    if vocabulary not in ENCODERS:
-        ENCODERS[vocabulary] = WordEncoder(vocabulary)
-    return ENCODERS[vocabulary]
-
-
-def letter_then_mark(data: np.ndarray) -> np.ndarray:
-    """Where a plain punctuation mark follows a letter: the splitter always parts the two."""
+        self.full.model._resize_cache(0)  # every word comes once
+        self.pieces, self.letters, self.end_id = self.full.model.tokenize, byte_letters(), end_id
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.start, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.ids, self.used = np.full(1 << 20, self.end_id, dtype=np.uint16), 1
+        self[END_MARK], self.size[0] = 0, 1
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word, all of them encoded."""
+        if len(self) > CACHE_WORDS:
+            self.forget()
+        found = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        new, self.new = self.new, []
+        first = len(self) - len(new)
+        ids, sizes = [], []
+        for w in new:
+            text = w.decode("utf-8", "replace")
+            if PLAIN.match(text):  # normaliser and splitter would leave it as it is
+                made = [x.id for x in self.pieces(text if len(text) == len(w) else w.decode("latin-1").translate(self.letters))]
+            else:
+                made = self.full.encode(text, add_special_tokens=False).ids
+            ids += made
+            sizes.append(len(made))
+        while len(self) > len(self.start):
+            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        sizes = np.array(sizes, dtype=np.int64)
+        self.size[first : len(self)] = sizes
+        self.start[first : len(self)] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return found
+
+
+TABLES: dict[tuple[str, int], WordTable] = {}
+
+
+def word_table(vocabulary: str, end_id: int) -> WordTable:
+    if (vocabulary, end_id) not in TABLES:
+        TABLES[vocabulary, end_id] = WordTable(vocabulary, end_id)
+    return TABLES[vocabulary, end_id]
+
+
+def parted(raw: bytes) -> bytes:
+    """raw with a space between a letter and a plain punctuation mark after it: the splitter always parts the two."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    if len(data) < 3:
+        return raw
+    small = ((data | 32) >= 97) & ((data | 32) <= 122)
+    latin = np.zeros(len(data), dtype=bool)
+    latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
     cut = np.zeros(len(data), dtype=bool)
-    if len(data) > 2:
-        small = ((data | 32) >= 97) & ((data | 32) <= 122)
-        latin = np.zeros(len(data), dtype=bool)
-        latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-        cut[1:] = PUNCTUATION[data[1:]] & (small | latin)[:-1]
-    return cut
+    cut[1:] = PUNCTUATION[data[1:]] & (small | latin)[:-1]
+    out = np.full(len(data) + int(cut.sum()), 32, dtype=np.uint8)
+    out[np.arange(len(data)) + np.cumsum(cut)] = data
+    return out.tobytes()
 
 
 def encode_batch(column: pa.Array, vocabulary: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids) of a batch of texts, the end id after each."""
-    offsets, data = flat_bytes(column)
-    if b"<|" not in data.tobytes():  # a special token is found before letters are made small
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    starts, ends, row = word_spans(offsets, data, WHITE, letter_then_mark(data))
-    codes, words = word_codes(data, starts, ends)
-    found = pa.array([*encoder(vocabulary)(words.to_pylist()), np.uint16(end_id).tobytes()], pa.large_binary())
-    last = np.cumsum(np.bincount(row, minlength=len(column)))
-    taken = found.take(pa.array(np.insert(codes, last, len(words))))  # the end id is one more word of each text
-    stops = np.frombuffer(taken.buffers()[1], dtype=np.int64, count=len(taken) + 1) // 2
-    ids = np.frombuffer(taken.buffers()[2], dtype=np.uint16, count=int(stops[-1])) if len(taken) else np.zeros(0, np.uint16)
-    return np.concatenate([[0], stops[last + np.arange(1, len(column) + 1)]]), ids.astype(np.int32)
+    raw = (b" " + END_MARK + b" ").join([x or b"" for x in column.cast(pa.large_binary()).to_pylist()] + [b""])
+    if b"<|" not in raw:  # a special token is found before letters are made small
+        raw = raw.lower()
+    table = word_table(vocabulary, end_id)
+    place = table.places(parted(raw).split())
+    size = table.size[place]
+    stops = np.cumsum(size)
+    ids = table.ids[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(table.start[place] - (stops - size), size)]
+    return np.concatenate([[0], stops[place == 0]]), ids.astype(np.int32)
 
 
 def write_ids(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
