@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
+from ..sources.tables import kept, scratch, stored
 from .joins import join_hot
 
 
@@ -16,23 +16,24 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     path. A node with very many neighbours is dealt out over tasks. Every step ends in a stored table, so lineage stays short and a lost executor costs one step. Null ends and
     loops are dropped; an empty table gives an empty result.
     """
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    mark = _mark(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
-        large = join_hot(both.filter("b > a"), least.select("a", F.least("a", "least").alias("least")), "a", least.select("a", "n"))
-        large = stored(large.select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct(), name)
-        first = large.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
-        small = join_hot(large, first.select("a", "least"), "a", first.select("a", "n"))
-        small = small.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(first.select("a", F.col("least").alias("b")))
-        now = stored(small.filter("a <> b").distinct(), name)
-        after = _mark(now)
-        if after == mark:
-            break
-        mark = after
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    with scratch(edges.sparkSession):
+        now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        mark = _mark(now)
+        while mark[0]:
+            both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
+            large = join_hot(both.filter("b > a"), least.select("a", F.least("a", "least").alias("least")), "a", least.select("a", "n"))
+            large = stored(large.select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct(), name)
+            first = large.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
+            small = join_hot(large, first.select("a", "least"), "a", first.select("a", "n"))
+            small = small.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(first.select("a", F.col("least").alias("b")))
+            now = stored(small.filter("a <> b").distinct(), name)
+            after = _mark(now)
+            if after == mark:
+                break
+            mark = after
+        roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+        return kept(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), name)
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
