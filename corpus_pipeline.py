@@ -1,12 +1,14 @@
 """A training corpus from documents: language, near copies, personal data, source mix, piece ids.
 
 Each stage works on all that the one before it kept; `run` writes every stage but the last as Parquet to the shared
-folder and rereads it. Language rejects documents without a letter and those in which hardly any n-gram belongs to the
+folder, rereads it, and deletes what no later stage reads. Language rejects documents without a letter and those in which hardly any n-gram belongs to the
 language found; near-duplicate removal keeps the document with the smallest id of each class; personal data is replaced
 by its kind; mixing drops nothing and writes the documents in the order of the mix, file by file; encoding gives each
 document's piece ids and its place in the mix.
 
-Defined results: null and empty texts have no letter and go in the first stage. An empty table gives an empty result.
+Defined results: null and empty texts have no letter and go in the first stage. Repeated rows are copies of each other.
+Ties go as each operator says. Texts are taken whole. Stages keep the columns of documents and extra ones, whatever their
+names; the last returns its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ from lexiforge.llm.mixing import in_mix_order, mix_sources
 from lexiforge.llm.near import deduplicate
 from lexiforge.llm.pieces import piece_encoder
 from lexiforge.llm.pii import redact
-from lexiforge.sources.tables import read_table, stored
+from lexiforge.sources.tables import kept, read_table, scratch
 
 MIN_COVERAGE = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = docs.withColumn("__found", predictor(spark, fit(docs))("text"))
-    return found.filter((F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.coverage") >= MIN_COVERAGE)).drop("__found")
+    found = docs.select(F.struct("*").alias("row"), predictor(spark, fit(docs))("text").alias("found"))
+    sure = found.filter((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.coverage") >= MIN_COVERAGE))
+    return sure.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    *early, (name, mixed), (_, last) = STAGES
+    with scratch(spark):
+        for early_name, stage in early:
+            with scratch(spark):
+                docs = kept(stage(spark, docs, sf_dir), f"pipeline-{early_name}")
+        docs = kept(mixed(spark, docs, sf_dir), f"pipeline-{name}")
+    return last(spark, docs, sf_dir)
