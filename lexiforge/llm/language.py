@@ -5,12 +5,16 @@ languages that contain it. A text's per-language popcounts over all its n-grams
 false-positive rate, and the largest share decides.
 
 Fitting reads at most about `sample` labelled documents of each language (a documented bound, chosen by a hash of
-doc_id) and counts n-grams with a shuffle; a language contains the n-grams that enough of its sampled documents hold and
-that are not far commoner elsewhere, `per_language` of them at most. Filter size is fixed, whatever the corpus.
+doc_id) and counts n-grams with a shuffle; a language contains all n-grams that enough of its sampled documents hold and
+that are not far commoner elsewhere. Spark sets the bits too, so what reaches the driver is one mask for each slot in
+use: at most `SLOTS` of them, whatever the corpus and the number of n-grams.
 
 Defined results: null text, or text without a letter, is `und` with score 0. A text with letters but no known n-gram
-gets the commonest learned language with score 0. Null or empty lang is never learned; a null doc_id hashes as empty
-text. Up to 64 languages. Without any labelled row every text is `und`. Other columns are kept and not read.
+gets the commonest learned language with score 0. Languages with equal shares: the first by name. Null or empty lang is
+never learned; a null doc_id hashes as empty text. Up to 64 languages, the bits of a mask. Repeated rows get equal
+results and count as often as they occur. Texts are taken whole: a task holds one batch of about a million characters,
+or one longer text. Without any labelled row every text is `und`; an empty table gives an empty result. Other columns
+are kept and not read.
 """
 
 from __future__ import annotations
@@ -22,14 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from ..sources.tables import read_table
 from .arrow import mix64
 
 SIZES = (3, 4)
 SLOTS, HASHES = 1 << 21, 3
-SAMPLE, PER_LANGUAGE = 2000, 40_000
+SAMPLE = 2000
 MIN_SHARE, MIN_RATIO = 0.01, 0.2
 CHUNK_CHARS = 1 << 20
 UNKNOWN = "und"
@@ -81,12 +85,7 @@ class LanguageFilters:
     fallback: str
 
     @staticmethod
-    def build(found: dict[str, np.ndarray], fallback: str) -> LanguageFilters:
-        languages = sorted(found)
-        table = np.zeros(SLOTS, dtype=np.uint64)
-        for bit, language in enumerate(languages):
-            for at in slots(found[language]):
-                table[at] |= np.uint64(1) << np.uint64(bit)
+    def build(languages: list[str], table: np.ndarray, fallback: str) -> LanguageFilters:
         fill = np.array([((table >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(languages))])
         return LanguageFilters(languages, table, fill**HASHES, fallback)
 
@@ -118,26 +117,31 @@ def document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(gram)), pa.array(gram.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> LanguageFilters:
+def masks(kept: DataFrame, languages: list[str]) -> DataFrame:
+    """slot, mask: the languages whose n-grams use each slot."""
+    bit = F.create_map(*[F.lit(x) for b, name in enumerate(languages) for x in (name, np.uint64(1 << b).view(np.int64).item())])
+    used = F.array(*[F.shiftrightunsigned("gram", 21 * i).bitwiseAND(F.lit(SLOTS - 1)) for i in range(HASHES)])
+    return kept.select(F.explode(used).alias("slot"), bit[F.col("lang")].cast("long").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("mask"))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilters:
     """Labelled documents (doc_id, text, lang) -> filters."""
     docs = docs.filter("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(65).collect()}
     if len(sizes) > 64:
         raise ValueError("more than 64 languages")
+    table, languages = np.zeros(SLOTS, dtype=np.uint64), sorted(sizes)
     if not sizes:
-        return LanguageFilters([], np.zeros(SLOTS, dtype=np.uint64), np.zeros(0), UNKNOWN)
+        return LanguageFilters([], table, np.zeros(0), UNKNOWN)
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
     chosen = docs.filter(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("language")), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
-    counts = chosen.select("lang", "text").mapInArrow(document_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.select("lang", "text").mapInArrow(document_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     read = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(min(n, sample)))])
     share = counts.filter("n >= 2").select("lang", "gram", (F.col("n") / read[F.col("lang")]).alias("p")).filter(F.col("p") >= MIN_SHARE)
-    commonest = share.groupBy("gram").agg(F.max("p").alias("most"))
-    kept = share.join(commonest, "gram").filter(F.col("p") >= MIN_RATIO * F.col("most"))
-    found: dict[str, np.ndarray] = {}
-    for language in sizes:
-        top = kept.filter(F.col("lang") == language).orderBy(F.desc("p"), "gram").limit(per_language).select("gram").toPandas()
-        found[language] = top["gram"].to_numpy(dtype=np.int64).view(np.uint64)
-    return LanguageFilters.build(found, next(iter(sizes)))
+    kept = share.withColumn("most", F.max("p").over(Window.partitionBy("gram"))).filter(F.col("p") >= MIN_RATIO * F.col("most"))
+    found = masks(kept, languages).toArrow()
+    table[found.column("slot").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    return LanguageFilters.build(languages, table, next(iter(sizes)))
 
 
 PREDICTED = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("coverage", pa.float64())])
