@@ -1,13 +1,16 @@
 """Media columns: WAV files, short-time spectra and spectral-peak pair fingerprints.
 
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the 8-bit samples of a mono WAV file
-written by the wave module and stored in a binary column. Reading such files back yields samples, padded with
-silence until the last of them lies in a frame; a windowed short-time Fourier transform gives magnitudes, the loudest bin of each band and frame that is no quieter than its
-neighbours in time is a peak, and each peak is paired with the next peaks. A fingerprint is one long:
-frame << 32 | first bin << 16 | second bin << 4 | frame distance, so arrays are ordered by time.
-
-Defined results: a null text counts as empty and becomes 64 zero samples with no fingerprint. Equal texts give equal
-files and fingerprints. Other columns are not read.
+written by the wave module and stored in a binary column. Reading such files back yields samples, padded with silence
+until the last of them lies in a frame; a windowed short-time Fourier transform gives magnitudes, the loudest bin of
+each band and frame that is no quieter than its neighbours in time is a peak, and each peak is paired with the next
+peaks. A fingerprint is one long: frame << 32 | first bin << 16 | second bin << 4 | frame distance, so arrays are ordered
+by time. They are stored as a list column beside doc_id; `op7_wav_fingerprints` derives its digest from the stored ones.
+
+Defined results: a null text counts as empty and becomes 64 zero samples with no fingerprint. Equal texts, repeated rows
+too, give equal files and fingerprints; of equally loud bins the lowest is the peak. Texts are taken whole: a task holds
+one batch of about four megabytes, or one longer text, and transforms 4,096 frames at once. An empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table, stored
+from ..sources.tables import kept, read_table, scratch, stored
 from .arrow import chunks
 
 BLOCK, RATE = 64, 8000
@@ -118,7 +121,8 @@ def fingerprints(media: DataFrame) -> DataFrame:
 
 
 def op7_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = stored(to_media(read_table(spark, sf_dir, "documents")), "media")
-    found = fingerprints(media)
+    with scratch(spark):
+        media = stored(to_media(read_table(spark, sf_dir, "documents")), "media")
+        found = kept(fingerprints(media), "fingerprints")
     feature = F.concat_ws(":", F.size("fingerprint").cast("string"), F.sha2(F.concat_ws(",", F.col("fingerprint").cast("array<string>")), 256))
     return found.withColumn("feature", feature).drop("fingerprint")
