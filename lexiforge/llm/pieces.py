@@ -11,8 +11,11 @@ The given vocabulary is a merge vocabulary, whose own encoder applies merges in
 highest-scoring path instead, as the method is named. Decoding is exact: it gives back the text.
 
 Unknown characters become byte pieces, as does the word mark itself where a text contains it, so decoding stays
-lossless. Ties between paths prefer the longer last piece. Defined results: a null or empty text has no ids and decodes
-to an empty text. Other columns are kept and not read.
+lossless. Ties between paths prefer the longer last piece.
+
+Defined results: a null or empty text has no ids and decodes to an empty text. Repeated rows get equal ids. Texts are
+taken whole, whatever their length. An empty table gives an empty result. Other columns, whatever their names, are kept
+and not read.
 """
 
 from __future__ import annotations
@@ -30,8 +33,6 @@ from ..sources.tables import read_table, stored
 MARK = "▁"
 CHECK_EVERY = 64
 CACHE_SEGMENTS = 450_000
-#: Code points that are no characters, of which one stands in for a literal word mark.
-NO_CHARACTERS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 SEGMENT = re.compile(r" *[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!? \n]|\Z)| *[^ \n]+| +|\n")
 CROSSING = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][.,!?]")
 
@@ -73,8 +74,8 @@ class Pieces:
 
     def viterbi(self, text: str) -> Iterator[int]:
         """Ids of a text in which spaces are word marks; a mark in it is text."""
-        stand_in = next(c for c in NO_CHARACTERS if c not in text) if MARK in text else ""
-        units = (text.replace(MARK, stand_in) if stand_in else text).replace(" ", MARK)
+        # a mark of the text itself is None, which no piece begins or goes on with
+        units = [None if c == MARK else MARK if c == " " else c for c in text] if MARK in text else text.replace(" ", MARK)
         tree, longest, size, done = self.tree, self.longest, len(units), 0
         best: dict[int, float] = {0: 0.0}  # boundaries not yet left, one piece ahead at most
         back: dict[int, tuple[int, int]] = {}  # previous boundary and piece, -1 for bytes; since the last commit
@@ -90,8 +91,7 @@ class Pieces:
                 if piece >= 0 and (end not in best or here + score > best[end]):
                     best[end], back[end] = here + score, (start, piece)
             if start + 1 not in best:
-                char = MARK if units[start] == stand_in else units[start]
-                best[start + 1], back[start + 1] = here + self.byte_score * len(self.byte_ids(char)), (start, -1)
+                best[start + 1], back[start + 1] = here + self.byte_score * len(self.byte_ids(units[start] or MARK)), (start, -1)
             last = start + 1 == size
             if last or (start + 1) % CHECK_EVERY == 0:
                 alive = set(best)
@@ -108,7 +108,7 @@ class Pieces:
                     if piece >= 0:
                         yield piece
                     else:
-                        yield from self.byte_ids(MARK if units[begin:end] == stand_in else units[begin:end])
+                        yield from self.byte_ids(units[begin] or MARK)
                 for at in [x for x in back if x <= meet]:
                     del back[at]
                 done = meet
