@@ -5,12 +5,14 @@ one minus the chance that no sentence is toxic. Word weights and intercept are t
 gradient of the noisy-or likelihood, so blame falls on the sentences that carry it, and scoring can name them.
 
 Training reads at most about `sample` labelled documents of each class (a documented bound; classes are reweighted to
-their true sizes) and keeps words that at least `MIN_DOCS` of them hold. The sampled ids are broadcast: their number is
-bounded. Scoring is a map over all documents.
-
-Defined results: a null or empty text has no sentence and scores 0. Labels other than 0 and 1 are not learned; without
-both classes every score is 0. A null doc_id hashes as empty text. Repeated rows get equal scores. Other columns are
-kept and not read.
+their true sizes) and keeps all words that at least `MIN_DOCS` of them hold. Spark counts and numbers the words, so the
+driver gets the number of each kept word in each sentence of the sample, four bytes each, not the texts. The sampled ids
+and the kept words are broadcast: their number is bounded by the sample. Scoring is a map over all documents.
+
+Defined results: a null or empty text has no sentence and scores 0. Labels other than 0 and 1 are not learned; a document
+with both labels counts as one of each; without both classes every score is 0. A null doc_id hashes as empty text.
+Repeated rows get equal scores. Texts are taken whole: a task holds a batch of about four megabytes, or one longer text.
+An empty table gives an empty result. Other columns are kept and not read.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table
+from ..sources.tables import read_table, scratch, stored
 from .arrow import WHITE, chunks, flat_bytes, word_codes, word_spans
 
-SAMPLE, MIN_DOCS, MAX_WORDS = 4000, 4, 100_000
+SAMPLE, MIN_DOCS = 4000, 4
 STEPS, RATE, SHRINK, TRUST, START = 150, 0.1, 1e-5, 30, -6.0
 THRESHOLD, OFFENDING = 0.3, 0.5
 #: The bytes that end a sentence.
@@ -64,7 +66,21 @@ def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[list[list[str]]] = [[] for _ in range(batch.num_rows)]
         for o, p in zip(owner, parts, strict=True):
             made[o].append(sorted({w for w in p if w}))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(made, pa.list_(pa.list_(pa.string())))], names=["toxic", "sentences"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(made, pa.list_(pa.list_(pa.string())))], names=["key", "toxic", "sentences"])
+
+
+def feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """feature, n0, n1: documents of a batch with it, by label."""
+    for batch in batches:
+        found: dict[str, list[int]] = {}
+        for y, sentences in zip(batch.column("toxic").to_pylist(), batch.column("sentences").to_pylist(), strict=True):
+            for f in {f for s in sentences for w in s for f in features(w)}:
+                found.setdefault(f, [0, 0])[y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([n[y] for n in found.values()], pa.int64()) for y in (0, 1))], names=["feature", "n0", "n1"])
+
+
+def numbered(sentences: list[list[str]], index: dict[str, int]) -> list[list[int]]:
+    return [[index[f] for w in s for f in features(w) if f in index] for s in sentences]
 
 
 @dataclass
@@ -90,28 +106,31 @@ class ToxicWords:
 
 
 def train(rows: list[tuple[int, list[list[str]]]], class_weight: dict[int, float]) -> ToxicWords:
-    """Noisy-or maximum likelihood with a shrunk weight for each word, by Adam over all rows of the bounded sample."""
-    labels = np.array([y for y, _ in rows], dtype=np.float64)
-    if len(set(labels)) < 2:
-        return ToxicWords({}, -50.0)
+    """Rows of (label, words sentence by sentence) -> weights."""
     found: dict[str, list[int]] = {}
     for y, sentences in rows:
         for w in {f for s in sentences for w in s for f in features(w)}:
             found.setdefault(w, [0, 0])[y] += 1
-    sizes = [float((labels == c).sum()) for c in (0, 1)]
-    kept = sorted((w for w, n in found.items() if sum(n) >= MIN_DOCS), key=lambda w: (-sum(found[w]), w))[:MAX_WORDS]
+    kept = sorted(w for w, n in found.items() if sum(n) >= MIN_DOCS)
     index = {w: i for i, w in enumerate(kept)}
-    feature, of, owner = [], [], []
-    for d, (_, sentences) in enumerate(rows):
-        for s in sentences:
-            own = [index[f] for w in s for f in features(w) if f in index]
-            feature += own
-            of += [len(owner)] * len(own)
-            owner.append(d)
-    feature, of, owner = np.array(feature, dtype=np.int64), np.array(of, dtype=np.int64), np.array(owner, dtype=np.int64)
-    odds = np.array([np.log((found[w][1] + 0.5) / (sizes[1] + 1)) - np.log((found[w][0] + 0.5) / (sizes[0] + 1)) for w in kept])
+    return learn(kept, np.array([found[w] for w in kept]).reshape(-1, 2), [(y, numbered(s, index)) for y, s in rows], class_weight)
+
+
+def learn(kept: list[str], counts: np.ndarray, rows: list[tuple[int, list[list[int]]]], class_weight: dict[int, float]) -> ToxicWords:
+    """Noisy-or maximum likelihood with a shrunk weight for each word, by Adam over all rows of the bounded sample. counts
+    has the documents of each label with each kept word; rows hold word numbers sentence by sentence."""
+    labels = np.array([y for y, _ in rows], dtype=np.float64)
+    if len(set(labels)) < 2 or not kept:
+        return ToxicWords({}, -50.0)
+    sizes = [float((labels == c).sum()) for c in (0, 1)]
+    sentences = [s for _, doc in rows for s in doc]
+    owner = np.repeat(np.arange(len(rows)), [len(doc) for _, doc in rows])
+    of = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    feature = np.fromiter((f for s in sentences for f in s), dtype=np.int64, count=len(of))
+    odds = np.log((counts[:, 1] + 0.5) / (sizes[1] + 1)) - np.log((counts[:, 0] + 0.5) / (sizes[0] + 1))
     # a weight is its trust times a free value that is shrunk: rare words need more evidence
-    trust = np.array([sum(found[w]) / (sum(found[w]) + TRUST) for w in kept])
+    held = counts.sum(axis=1)
+    trust = held / (held + TRUST)
     w, b = np.where(odds > 1, odds, 0.0), START
     weight = np.array([class_weight[int(y)] for y in labels])
     weight /= weight.mean()
@@ -141,10 +160,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicWords:
         return ToxicWords({}, -50.0)
     rate = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < rate * 1_000_000)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = [(r["toxic"], r["sentences"]) for r in texts.mapInArrow(bags, "toxic int, sentences array<array<string>>").toLocalIterator()]
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return train(rows, {y: max(1.0, n / sample) for y, n in sizes.items()})
+    with scratch(docs.sparkSession):
+        text = F.col("text").cast("string")
+        texts = docs.select("doc_id", text.alias("text"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("key")).join(F.broadcast(chosen), "doc_id").select("key", "toxic", "text")
+        held = stored(texts.mapInArrow(bags, "key string, toxic int, sentences array<array<string>>"), "toxic-bags")
+        counted = held.mapInArrow(feature_counts, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        kept = counted.filter(F.col("n0") + F.col("n1") >= MIN_DOCS).orderBy("feature").toArrow()
+        words = kept.column("feature").to_pylist()
+        shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [numbered(s, shared.value) for s in batch.column("sentences").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(made, pa.list_(pa.list_(pa.int32())))], names=["key", "toxic", "sentences"])
+
+        rows = held.mapInArrow(number, "key string, toxic int, sentences array<array<int>>").orderBy("key", "toxic").toArrow()
+        counts = np.stack([kept.column(c).to_numpy() for c in ("n0", "n1")], axis=1).reshape(-1, 2)
+        pairs = list(zip(rows.column("toxic").to_pylist(), rows.column("sentences").to_pylist(), strict=True))
+        return learn(words, counts, pairs, {y: max(1.0, n / sample) for y, n in sizes.items()})
 
 
 def scorer(spark: SparkSession, model: ToxicWords, offending: float = OFFENDING):
@@ -174,4 +207,5 @@ def op5_multiple_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     score = scorer(spark, fit(docs, read_table(spark, sf_dir, "labels")))
     found = docs.select("doc_id", (bucket() == 2).alias("held_out"), score("text").alias("found"))
-    return found.select("doc_id", "held_out", "found.score", (F.col("found.score") >= THRESHOLD).cast("int").alias("predicted"), F.size("found.sentences").cast("long").alias("n_offending"))
+    spans = F.array_join(F.transform("found.sentences", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "held_out", "found.score", (F.col("found.score") >= THRESHOLD).cast("int").alias("predicted"), F.size("found.sentences").cast("long").alias("n_offending"), spans.alias("offending"))

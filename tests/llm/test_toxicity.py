@@ -1,9 +1,11 @@
+import math
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 
-from lexiforge.llm.toxicity import fit, op5_multiple_instance, scorer, train
+from lexiforge.llm.toxicity import EDGES, features, fit, op5_multiple_instance, scorer, train
 from tests.conftest import SMALL
 
 from .data import edge_docs, empty_docs
@@ -25,6 +27,39 @@ def test_training_finds_the_sentence_and_words():
     assert whole[0] > 0.3 > whole[1] and list(whole[2:]) == [0, 0]
 
 
+def plain_score(model, text):
+    """Noisy-or over sentences of distinct words and their prefixes, in loops; spans of offending sentences."""
+    none, spans = 1.0, []
+    for m in re.finditer(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", text or ""):
+        words = list(re.finditer(r"[^\x20\x09-\x0D]+", m[0]))
+        if not words:
+            continue
+        distinct = {w[0].rstrip() for w in words}
+        total = sum(model.weights.get(f, 0.0) for w in distinct for f in features(w.lower().strip(EDGES)))
+        p = 1 / (1 + math.exp(-(total + model.intercept)))
+        none *= 1 - p
+        if p >= 0.5:
+            spans.append((m.start() + words[0].start(), m.start() + words[-1].end()))
+    return 1 - none, spans
+
+
+def test_query_equals_plain_noisy_or(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    plain_texts = {i: t for i, t in texts.items() if not re.search(r"[^ \n][.!?][^ \n.!?]", t or "")}  # words that sentence ends do not cut
+    assert len(plain_texts) > 300
+    got = {r.doc_id: r for r in op5_multiple_instance(spark, folder).collect()}
+    flagged = 0
+    for i, text in plain_texts.items():
+        score, spans = plain_score(model, text)
+        assert abs(got[i].score - score) < 1e-9 and got[i].predicted == int(score >= 0.3)
+        assert got[i].offending == ",".join(f"{a}:{b}" for a, b in spans)
+        flagged += len(spans) > 0
+    assert flagged > 0
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
