@@ -8,42 +8,77 @@ texts agree in a position with probability equal to their weighted Jaccard simil
 time by which all positions are almost surely filled, and further where they are not: about m ln m points a text
 instead of m for each shingle.
 
-Signatures are banded. Within a bucket no pairs are listed: members are matched with a few bucket leaders, the best of
-them are verified by exact multiset overlap of the texts, and components are taken. Then the pairs of a bucket whose
-ends are still in different components are verified too, unless the similarity is out of reach: shingles that no other
-such text has bound what a pair can share, and one-bit sketches estimate it. So every candidate link is either verified,
-ruled out or inside a component already; nothing is capped.
+Signatures are banded; rows and bands follow from the similarity, so that a pair just at it shares a band but for a
+chance of about 2 in 10,000. Within a bucket no pairs are listed: members are matched with a few bucket leaders, the
+best of them are verified by exact multiset overlap of the texts, and components are taken. Then the pairs of a bucket
+whose ends are still in different components are verified too, unless the similarity is out of reach: shingles that no
+other such text has bound what a pair can share, exactly; and one-bit sketches estimate it, with a margin of `sigmas`
+deviations (six: a chance of 1 in 10^9 to lose a pair just at the similarity; None verifies every such pair instead). So
+every candidate link is either verified, ruled out or inside a component already; nothing is capped. Leaders and buckets
+with very many members are dealt out over tasks.
 
 Defined results: null and empty texts have no words and are copies of each other. Texts equal in their words are copies
 whatever the white space. A null doc_id is replaced by a negative hash of the text inside, and stays null in results. A
-doc_id shared by different texts joins their classes. Repeated rows are copies. An empty table gives an empty result.
-Other columns are kept by `deduplicate` and not read.
+doc_id shared by different texts joins their classes in `near_duplicates`; `deduplicate` keeps both such texts, as neither
+copies the other. Repeated rows are copies. Texts are taken whole: a task holds a batch of about two megabytes or one
+longer text, and the two texts of a pair. An empty table gives an empty result. Other columns, whatever their names, are
+kept by `deduplicate` and not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..sources.tables import read_table, stored
+from ..operators.joins import join_hot
+from ..sources.tables import kept, read_table, scratch, stored
 from .arrow import WHITE, chunks, flat_bytes, mix64, word_codes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 36, 7
-POSITIONS = BANDS * ROWS
-#: Differing sketch bits at which a pair of similarity 0.8 (mean 25, deviation 4.8) is ruled out.
-MAX_BITS = 43
+#: Most positions of a signature; chance to miss a pair just at the similarity; margin of the sketches.
+MOST_POSITIONS, MISS, SIGMAS = 256, 2.2e-4, 6.0
 LEADERS_TRIED = 3
-#: Masks that give each of a bucket's leaders another order of ids.
-ORDERS = (0, 0x2AAAAAAA, 0x5CC33A5C, 0x71E9D64B)
+#: Masks that give each of a bucket's leaders another order of texts.
+ORDERS = (0, 0x2AAAAAAAAAAAAAAA, 0x5CC33A5C5CC33A5C, 0x71E9D64B71E9D64B)
+#: Members of a bucket that one task compares with each other or with as many others.
+MEMBERS_AT_ONCE, HOT_BUCKETS = 512, 2000
 SLACK = 3.0
-SKETCH_SCHEMA = "row_id long, text_key binary, size long, bands array<long>, bit0 long, bit1 long, bit2 long, bit3 long"
+SKETCH_SCHEMA = "row_id long, raw long, text_key binary, size long, bands array<long>, bit0 long, bit1 long, bit2 long, bit3 long"
+
+
+class Layout(NamedTuple):
+    """How a signature is cut into bands, and how many differing sketch bits rule a pair out (None: no rule)."""
+
+    bands: int
+    rows: int
+    most_bits: int | None
+
+    @property
+    def positions(self) -> int:
+        return self.bands * self.rows
+
+
+def layout(similarity: float, sigmas: float | None = SIGMAS) -> Layout:
+    """The longest bands of which enough fit."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be over 0 and at most 1")
+    found = (1, MOST_POSITIONS)
+    for rows in range(1, MOST_POSITIONS + 1):
+        same = similarity**rows
+        bands = 1 if same > 1 - MISS else math.ceil(math.log(MISS) / math.log1p(-same))
+        if bands * rows <= MOST_POSITIONS:
+            found = (rows, bands) if rows > 1 else (1, min(bands, MOST_POSITIONS))
+    rows, bands = found
+    n, p = rows * bands, (1 - similarity) / 2
+    return Layout(bands, rows, None if sigmas is None else math.ceil(n * p + sigmas * math.sqrt(n * p * (1 - p))))
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,11 +106,11 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[where], key[where], np.diff(np.concatenate([where, [len(key)]]))
 
 
-def signatures(rows: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """n x POSITIONS earliest times; infinite for a text without shingles."""
-    out = np.full(n * POSITIONS, np.inf)
+def signatures(rows: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int, positions: int) -> np.ndarray:
+    """n x positions earliest times; infinite for a text without shingles."""
+    out = np.full(n * positions, np.inf)
     total = np.bincount(rows, weights=weights, minlength=n)
-    until = POSITIONS * (np.log(POSITIONS) + SLACK) / np.maximum(total, 1)
+    until = positions * (np.log(positions) + SLACK) / np.maximum(total, 1)
     open_rows = total > 0
     while open_rows.any():
         use = open_rows[rows]
@@ -94,34 +129,34 @@ def signatures(rows: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int)
                 alive = time <= until[row]
                 row, weight, state, time = row[alive], weight[alive], state[alive], time[alive]
                 other = mix64(state ^ np.uint64(0xD1B54A32D192ED03))
-                position = (other % np.uint64(POSITIONS)).astype(np.int64)
+                position = (other % np.uint64(positions)).astype(np.int64)
                 level = low + 1 + ((other >> np.uint64(32)) & np.uint64(length - 1)).astype(np.int64)
                 counts = level <= weight
-                np.minimum.at(out, row[counts] * POSITIONS + position[counts], time[counts])
+                np.minimum.at(out, row[counts] * positions + position[counts], time[counts])
             low = max(1, low * 2)
-        filled = np.isfinite(out.reshape(n, POSITIONS)).all(axis=1)
+        filled = np.isfinite(out.reshape(n, positions)).all(axis=1)
         open_rows &= ~filled
         until *= 2
-    return out.reshape(n, POSITIONS)
+    return out.reshape(n, positions)
 
 
-def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch(batches: Iterator[pa.RecordBatch], plan: Layout) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, limit=2 << 20):
         n = batch.num_rows
         column = batch.column("text")
         keys = [hashlib.blake2b(b" ".join((x or b"").split()), digest_size=16).digest() for x in column.cast(pa.large_binary()).to_pylist()]
         found = shingles(column)
-        times = signatures(*found, n).astype(np.float32)
+        times = signatures(*found, n, plan.positions).astype(np.float32)
         size = np.bincount(found[0], weights=found[2], minlength=n).astype(np.int64)
         value = mix64(times.view(np.uint32).astype(np.uint64))
-        bands = np.full((n, BANDS), 0, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-        for i in range(ROWS):
-            bands = mix64(bands + value[:, i::ROWS][:, :BANDS])
+        bands = np.zeros((n, plan.bands), dtype=np.uint64) + np.arange(1, plan.bands + 1, dtype=np.uint64)
+        for i in range(plan.rows):
+            bands = mix64(bands + value[:, i :: plan.rows])
         bits = np.zeros((n, 256), dtype=np.uint8)
-        bits[:, :POSITIONS] = value & np.uint64(1)
+        bits[:, : plan.positions] = value & np.uint64(1)
         packed = np.packbits(bits, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_id"), pa.array(keys, pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).reshape(-1)))] + [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(4)],
+            [batch.column("row_id"), batch.column("raw"), pa.array(keys, pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * plan.bands), pa.array(bands.view(np.int64).reshape(-1)))] + [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(4)],
             names=[c.split()[0] for c in SKETCH_SCHEMA.split(", ")],
         )
 
@@ -148,73 +183,109 @@ def listed_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def shareable(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, own: how much of each of these texts lies in shingles that none of the other texts has."""
-    listed = texts.join(ids.select(F.col("rep").alias("row_id")), "row_id", "left_semi").mapInArrow(listed_shingles, "rep long, shingle long, n long")
-    alone = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("rep").alias("rep"), F.sum("n").alias("n")).filter("texts = 1")
-    return alone.groupBy("rep").agg(F.sum("n").alias("own"))
+    """node, own: how much of each of these texts lies in shingles that none of the other texts has."""
+    listed = texts.join(ids.select(F.col("node").alias("row_id")), "row_id", "left_semi").mapInArrow(listed_shingles, "rep long, shingle long, n long")
+    alone = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("rep").alias("node"), F.sum("n").alias("n")).filter("texts = 1")
+    return alone.groupBy("node").agg(F.sum("n").alias("own"))
 
 
-def with_row_id(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = F.coalesce(F.col("doc_id").cast("long"), -1 - F.xxhash64(text).bitwiseAND(F.lit(2**62 - 1)))
-    return docs.withColumn("__row_id", own)
+def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """(row_id, raw): the id, or a negative hash of the text without one, and a hash that tells texts of one id apart."""
+    raw = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    return F.coalesce(doc_id.cast("long"), -1 - raw.bitwiseAND(F.lit(2**62 - 1))), raw
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
-    """pairs(a, b) whose texts reach the similarity."""
-    both = pairs.join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("row_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    """pairs(a, b) of nodes whose texts(row_id, text) reach the similarity."""
+    for side in ("a", "b"):
+        pairs = join_hot(pairs, texts.select(F.col("row_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+    both = pairs.select("a", "b", "text_a", "text_b")
     return stored(both.mapInArrow(overlaps, "a long, b long, similarity double").filter(F.col("similarity") >= similarity), name)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and text -> row_id, doc_id, class_id: the smallest id of each class of near copies."""
-    given = with_row_id(docs.select("doc_id", "text")).select(F.col("__row_id").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = stored(given.select("row_id", "text").mapInArrow(sketch, SKETCH_SCHEMA), "sketches")
-    first = [F.first(c).alias(c) for c in ("bands", "size", "bit0", "bit1", "bit2", "bit3")]
-    unique = stored(made.groupBy("text_key").agg(F.min("row_id").alias("rep"), *first), "texts")
+def apart(left: DataFrame, similarity: float, plan: Layout) -> DataFrame:
+    """a, b: pairs of members of a bucket in different components that may reach the similarity, each in the first bucket
+    it shares. A large bucket is cut into parts, and each two parts meet in a task of their own."""
+    sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MEMBERS_AT_ONCE).orderBy(F.desc("n"), "bucket").limit(HOT_BUCKETS)
+    sizes = F.broadcast(sizes.select("bucket", F.ceil(F.col("n") / MEMBERS_AT_ONCE).cast("int").alias("parts")))
+    dealt = left.join(sizes, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts").cast("long")).cast("int"))
+    x = dealt.withColumn("u", F.col("part")).withColumn("v", F.explode(F.expr("sequence(part, parts - 1)"))).alias("x")
+    y = dealt.withColumn("v", F.col("part")).withColumn("u", F.explode(F.expr("sequence(0, part)"))).alias("y")
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.u") == F.col("y.u")) & (F.col("x.v") == F.col("y.v"))
+    other = ((F.col("x.u") < F.col("x.v")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.component") != F.col("y.component"))
+    common = F.least("x.most", "y.most")
+    reachable = common * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-6
+    met = same & other & reachable
+    if plan.most_bits is not None:
+        differ = sum((F.bit_count(F.col(f"x.bit{i}").bitwiseXOR(F.col(f"y.bit{i}"))) for i in range(4)), F.lit(0))
+        met = met & (differ <= plan.most_bits)
+    once = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.bucket")
+    return x.join(y, met & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
 
-    held = unique.select("rep", F.explode("bands").alias("bucket"))
-    orders = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"l{i}") for i, m in enumerate(ORDERS)]
+def text_classes(docs: DataFrame, similarity: float, sigmas: float | None, join_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """(row_id, raw, text_key of each row; text_key, class_id, first: each different text, its class and its first row)."""
+    plan = layout(similarity, sigmas)
+    row_id, raw = row_keys(F.col("doc_id"), F.col("text"))
+    given = docs.select(row_id.alias("row_id"), raw.alias("raw"), F.col("text").cast("string").alias("text"))
+    made = stored(given.mapInArrow(lambda batches: sketch(batches, plan), SKETCH_SCHEMA), "sketches")
+    facts = [F.first(c).alias(c) for c in ("bands", "size", "bit0", "bit1", "bit2", "bit3")]
+    unique = made.groupBy("text_key").agg(F.min(F.struct("row_id", "raw")).alias("first"), *facts)
+    unique = stored(unique.withColumn("node", F.monotonically_increasing_id()), "texts")
+
+    held = unique.select("node", F.explode("bands").alias("bucket"))
+    orders = [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"l{i}") for i, m in enumerate(ORDERS)]
     buckets = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *orders).filter("n > 1")
     shared = stored(held.join(buckets.drop("n"), "bucket"), "shared")
 
-    leaders = shared.select("rep", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(len(ORDERS))]))).alias("leader")).filter("rep <> leader")
-    met = leaders.groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("met"))
-    best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("met"), "leader"))
-    stars = met.withColumn("at", best).filter(F.col("at") <= LEADERS_TRIED).select(F.col("rep").alias("b"), F.col("leader").alias("a"))
+    leaders = shared.select("node", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(len(ORDERS))]))).alias("leader")).filter("node <> leader")
+    met = leaders.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("met"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("met"), "leader"))
+    stars = met.withColumn("at", best).filter(F.col("at") <= LEADERS_TRIED).select(F.col("node").alias("b"), F.col("leader").alias("a"))
 
-    involved = shared.select(F.col("rep").alias("row_id")).distinct()
-    texts = stored(given.select("row_id", "text").join(involved, "row_id", "left_semi").dropDuplicates(["row_id"]), "involved")
-    links = verified(stars, texts, similarity, "stars")
-    component = connected_components(links.select("a", "b"), "first")
+    involved = shared.select("node").distinct().join(unique.select("node", "first.row_id", "first.raw"), "node")
+    texts = given.join(involved, ["row_id", "raw"]).select(F.col("node").alias("row_id"), "text").dropDuplicates(["row_id"])
+    texts = stored(texts, "involved")
+    links = verified(stars, texts, similarity, "stars").select("a", "b")
+    component = connected_components(links, "first")
 
-    labelled = shared.select("bucket", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = shared.select("bucket", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     left = stored(labelled.join(mixed, "bucket", "left_semi"), "mixed")
-    ids = left.select("rep").distinct()
-    facts = unique.select("rep", "size", "bands", "bit0", "bit1", "bit2", "bit3").join(ids, "rep", "left_semi").join(shareable(texts, ids), "rep", "left")
-    left = stored(left.join(facts.withColumn("most", F.col("size") - F.coalesce("own", F.lit(0))).drop("own"), "rep"), "left")
-    differ = sum((F.bit_count(F.col(f"x.bit{i}").bitwiseXOR(F.col(f"y.bit{i}"))) for i in range(4)), F.lit(0))
-    common = F.least("x.most", "y.most")
-    reachable = common * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-6
-    # a pair is taken in the first bucket it shares
-    once = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.bucket")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & reachable & (differ <= MAX_BITS) & once
-    rest = left.alias("x").join(left.alias("y"), apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    links = links.unionByName(verified(rest, texts, similarity, "rest"))
-    component = connected_components(links.select("a", "b"), "classes")
-
-    classes = unique.select("text_key", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("text_key", F.coalesce("component", "rep").alias("class_id"))
-    ids = made.select("row_id", "text_key")
-    return ids.join(classes, "text_key").select("row_id", F.when(F.col("row_id") >= 0, F.col("row_id")).alias("doc_id"), "class_id")
+    ids = left.select("node").distinct()
+    facts = unique.select("node", "size", "bands", "bit0", "bit1", "bit2", "bit3").join(ids, "node", "left_semi").join(shareable(texts, ids), "node", "left")
+    left = stored(left.join(facts.withColumn("most", F.col("size") - F.coalesce("own", F.lit(0))).drop("own"), "node"), "left")
+    links = links.unionByName(verified(apart(left, similarity, plan), texts, similarity, "rest").select("a", "b"))
+    if join_ids:
+        several = made.groupBy("row_id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).filter("low <> high").select("row_id")
+        nodes = made.join(several, "row_id", "left_semi").select("row_id", "text_key").join(unique.select("text_key", "node"), "text_key")
+        links = links.unionByName(nodes.select(F.min("node").over(Window.partitionBy("row_id")).alias("a"), F.col("node").alias("b")).filter("a <> b"))
+    component = connected_components(links, "classes")
+
+    named = unique.select("text_key", "first", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = named.groupBy("component").agg(F.min("first").alias("class"))
+    return made.select("row_id", "raw", "text_key"), named.join(lowest, "component").select("text_key", "first", "class")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sigmas: float | None = SIGMAS) -> DataFrame:
+    """doc_id and text -> row_id, doc_id, class_id: the smallest id of each class of near copies."""
+    with scratch(docs.sparkSession):
+        rows, classes = text_classes(docs, similarity, sigmas, join_ids=True)
+        found = join_hot(rows.select("row_id", "text_key"), classes.select("text_key", F.col("class.row_id").alias("class_id")), "text_key")
+        return kept(found.select("row_id", F.when(F.col("row_id") >= 0, F.col("row_id")).alias("doc_id"), "class_id"), "near-classes")
 
 
-def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, sigmas: float | None = SIGMAS) -> DataFrame:
     """One document of each class, the one with the smallest id; all columns of docs."""
-    kept = near_duplicates(docs, similarity).filter("row_id = class_id").select(F.col("row_id").alias("__row_id")).distinct()
-    return with_row_id(docs).join(kept, "__row_id", "left_semi").dropDuplicates(["__row_id"]).drop("__row_id")
+    with scratch(docs.sparkSession):
+        _, classes = text_classes(docs, similarity, sigmas, join_ids=False)
+        first = kept(classes.filter("first = class").select("first.row_id", "first.raw"), "near-firsts")
+    row_id, raw = row_keys(F.col("doc_id"), F.col("text"))
+    # the given row travels as one column, so no name inside it can clash
+    rows = docs.select(F.struct("*").alias("row"), row_id.alias("row_id"), raw.alias("raw")).join(first, ["row_id", "raw"], "left_semi")
+    return rows.dropDuplicates(["row_id", "raw"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
