@@ -1,19 +1,20 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame expressions only.
 
 Base entities (email, ip, card, phone) are found by patterns and serve as seeds. Words with a digit or an at sign that
-lie in no base span are candidate instances. A lexical pattern is what stands around an instance: the two words before
-it, or the word before and the word after. Spark builds the pattern-instance graph and scores both sides in turn: a
-pattern's precision is the confident instances' share of everything that stands in its slot anywhere in the corpus, and
-it counts once five different confident instances support it, in a table of any size; an instance's confidence is the
-noisy-or of its patterns. Instances over the threshold join the seeds for the next round; at the end they become spans of kind
-`context`, beside the base spans.
+lie in no base span are candidate instances; those with the shape of a key (long, letters and digits mixed) are seeds of
+lower confidence, which count for a pattern but become spans only where a confident pattern holds them. A lexical pattern
+is what stands around an instance: the two words before it, or the word before and the word after. Spark builds the
+pattern-instance graph and scores both sides in turn: a pattern's precision is the confident instances' share of
+everything that stands in its slot anywhere in the corpus, and it counts once five different confident instances support
+it, in a table of any size; an instance's confidence is the noisy-or of its patterns. Instances over the threshold join
+the seeds for the next round; at the end they become spans of kind `context`, beside the base spans.
 
 Positions come from pairing the pieces between matches with the matches. Patterns are possessive and anchored so that
-their cost stays linear in the text.
+their cost stays linear in the text; matches are put together in runs, so many of them in one text stay cheap.
 
 Defined results: a null text counts as empty and has no span. Repeated rows are found alike; a row's spans are keyed by
-row, not by doc_id. An empty table gives an empty result. Extra columns are kept by `redact` and not read; columns whose
-names start with `__pii_` are replaced.
+row, not by doc_id. Spans that start together go by kind as listed, context last. Texts are taken whole. An empty table
+gives an empty result. Extra columns are kept by `redact`, whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table, stored
+from ..operators.joins import join_hot
+from ..sources.tables import kept, read_table, scratch, stored
+from .native import let
 
 #: Base kinds in their order, their patterns (possessive forms of the plain ones) and a cheap guard each.
 KINDS = ("email", "ip", "card", "phone")
@@ -36,14 +39,14 @@ CONTEXT = "context"
 WHITE = r"\x20\x09-\x0D"
 CANDIDATE = rf"(?<![^{WHITE}])[^{WHITE}0-9@]*+[0-9@][^{WHITE}]*+"
 OCTET = "^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+#: Shape of a key, of which an instance is a seed of this confidence.
+KEY_SHAPE = "^(?=[^0-9]*+[0-9])(?=[^a-z]*+[a-z])[a-z0-9_+/=-]{20,}$"
+KEY_CONFIDENCE = 0.9
 ROUNDS, MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE, MIN_LENGTH = 3, 5, 0.5, 0.8, 5
 #: A pattern table of at most so many rows (16 bytes each) is broadcast to the scan that counts slots.
 BROADCAST_ROWS = 1_000_000
-
-
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Matches of one text put together at once.
+RUN = 256
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -53,14 +56,21 @@ def found(text: Column, pattern: str) -> Column:
         lambda v: F.zip_with(F.slice(v["pieces"], 1, F.size(v["hits"])), v["hits"], lambda piece, m: F.struct(F.length(piece).alias("gap"), F.length(m).alias("size"), m.alias("m"))),
     )
     kind = "array<struct<start:int,end:int,m:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         first = acc["at"] + p["gap"]
         one = F.struct(first.alias("start"), (first + p["size"]).alias("end"), p["m"].alias("m"))
         return F.struct((first + p["size"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def run(acc: Column, part: Column) -> Column:
+        made = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), step)
+        return let(made, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def whole(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / RUN).cast("int")), lambda c: F.slice(v, c * RUN + 1, F.lit(RUN)))
+        return F.flatten(F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), run)["out"])
+
+    return let(pairs, whole)
 
 
 def digits(m: Column) -> Column:
@@ -123,20 +133,17 @@ def candidate_words(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), made).otherwise(F.array().cast(kind))
 
 
-def scan(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """One stored row for each document: __pii_row, its columns, base spans and candidates (whether in a base span)."""
-    own = [c for c in docs.columns if not c.startswith("__pii_")]
-    text = F.col("__pii_text")
-    made = docs.select(*own).withColumn("__pii_row", F.monotonically_increasing_id()).withColumn("__pii_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    made = made.withColumn("__pii_base", base_spans(text)).withColumn("__pii_words", candidate_words(text))
+def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """One stored row for each document: id, row (the columns to keep), base spans and candidates (whether in a base span)."""
+    made = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("whole"))
+    made = made.select("row", F.monotonically_increasing_id().alias("id"), base_spans(F.col("whole")).alias("base"), candidate_words(F.col("whole")).alias("words"))
 
     def seed(x: Column) -> Column:
-        covers = F.exists("__pii_base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-        starts = F.exists("__pii_base", lambda b: (b["start"] < x["end"]) & (b["start"] >= x["start"]))
+        covers = F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+        starts = F.exists("base", lambda b: (b["start"] < x["end"]) & (b["start"] >= x["start"]))
         return x.withField("state", F.when(starts, 2).when(covers, 1).otherwise(0))
 
-    made = made.withColumn("__pii_words", F.transform("__pii_words", seed)).drop("__pii_text")
-    return stored(made if keep_text else made.drop("text"), "pii")
+    return stored(made.withColumn("words", F.transform("words", seed)), "pii")
 
 
 def slot_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -166,32 +173,37 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, totals: DataFrame, rounds: int
 
 
 def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """__pii_row, start, end of candidates that confident patterns discover.
+    """id, start, end of candidates that confident patterns discover.
 
     The words counted for a slot include its candidates, and confidence only grows with precision. So rounds on the graph
     alone, with the candidates as the total, reach every pattern that rounds with the true totals can: only those are
     counted over the corpus, in one scan."""
-    words = scanned.select("__pii_row", F.explode("__pii_words").alias("x")).select("__pii_row", "x.start", "x.end", "x.instance", "x.keys", "x.state")
-    words = stored(words.filter(f"state = 2 OR (state = 0 AND length(instance) >= {MIN_LENGTH})"), "occurrences")
-    edges = words.select(F.explode("keys").alias("key"), "instance", "state").groupBy("key", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("state").alias("state"))
-    edges = stored(edges, "graph")
-    seeds = stored(words.filter("state = 2").select("instance", F.lit(1.0).alias("confidence")).distinct(), "seeds")
-    wide = edges.groupBy("key").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("total")).filter(f"instances >= {MIN_SUPPORT}")
-    most = stored(wide.select("key", "total"), "candidates")
-    edges = stored(edges.join(most.select("key"), "key", "left_semi"), "edges")
-    _, possible = bootstrap(edges, seeds, most, rounds)
-    totals = stored(slot_totals(docs, possible.select("key")), "totals")
-    known, sure = bootstrap(edges, seeds, totals, rounds)
-    hits = words.filter("state = 0").join(known, "instance").select("__pii_row", "start", "end", F.explode("keys").alias("key"))
-    return hits.join(sure.select("key"), "key", "left_semi").select("__pii_row", "start", "end").distinct()
-
-
-def with_spans(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """docs with `__pii_spans`: array<struct<start, rank, end, kind>> of base and discovered spans, by start and kind."""
-    scanned = scan(docs, keep_text)
-    extra = discover(docs, scanned).groupBy("__pii_row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(CONTEXT).alias("kind"))).alias("__pii_extra"))
-    joined = scanned.join(extra, "__pii_row", "left")
-    return joined.withColumn("__pii_spans", F.array_sort(F.concat("__pii_base", F.coalesce("__pii_extra", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))))
+    with scratch(docs.sparkSession):
+        words = scanned.select("id", F.explode("words").alias("x")).select("id", "x.start", "x.end", "x.instance", "x.keys", "x.state")
+        words = stored(words.filter(f"state = 2 OR (state = 0 AND length(instance) >= {MIN_LENGTH})"), "occurrences")
+        edges = words.select(F.explode("keys").alias("key"), "instance", "state").groupBy("key", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("state").alias("state"))
+        edges = stored(edges, "graph")
+        sure = F.when(F.col("state") == 2, 1.0).when(F.col("instance").rlike(KEY_SHAPE), KEY_CONFIDENCE)
+        seeds = words.select("instance", sure.alias("confidence")).filter("confidence IS NOT NULL")
+        seeds = stored(seeds.groupBy("instance").agg(F.max("confidence").alias("confidence")), "seeds")
+        wide = edges.groupBy("key").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("total")).filter(f"instances >= {MIN_SUPPORT}")
+        most = stored(wide.select("key", "total"), "candidates")
+        edges = stored(edges.join(most.select("key"), "key", "left_semi"), "edges")
+        _, possible = bootstrap(edges, seeds, most, rounds)
+        totals = stored(slot_totals(docs, possible.select("key")), "totals")
+        known, sure = bootstrap(edges, seeds, totals, rounds)
+        hits = join_hot(words.filter("state = 0").select("instance", "id", "start", "end", "keys"), known.select("instance"), "instance")
+        hits = hits.select("id", "start", "end", F.explode("keys").alias("key"))
+        return kept(hits.join(sure.select("key"), "key", "left_semi").select("id", "start", "end").distinct(), "discovered")
+
+
+def with_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """row (the columns of docs to keep, all by default), base and spans: array<struct<start, rank, end, kind>> of base spans, and of those and the
+    discovered ones, by start and kind."""
+    scanned = scan(docs, docs.columns if keep is None else keep)
+    extra = discover(docs, scanned).groupBy("id").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(CONTEXT).alias("kind"))).alias("extra"))
+    spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))))
+    return scanned.join(extra, "id", "left").select("row", "base", spans.alias("spans"))
 
 
 def span_string(spans: Column) -> Column:
@@ -201,28 +213,28 @@ def span_string(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind, as <EMAIL>; n_chars follows where there is one. Overlapping spans
     merge under the first one's kind. Null texts stay null."""
-    text = F.col("text").cast("string")
+    text = F.col("row.text").cast("string")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__pii_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    made = with_spans(docs).withColumn("text", F.when(F.size("__pii_spans") > 0, clean).otherwise(text))
-    if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(F.size("__pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return made.select(*[c for c in docs.columns if not c.startswith("__pii_")])
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    touched = F.size("spans") > 0
+    made = with_spans(docs).select("row", F.when(touched, clean).otherwise(text).alias("clean"), touched.alias("touched"))
+    fresh = {"text": F.col("clean"), "n_chars": F.when(F.col("touched"), F.length("clean").cast("long")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None}
+    return made.select(*[(fresh[c] if c in fresh else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = with_spans(docs, keep_text=False)
-    count = lambda kind: F.size(F.filter("__pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    made = with_spans(docs, ["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return made.select(
-        "doc_id",
+        "row.doc_id",
         *map(count, KINDS),
-        F.sha2(span_string(F.col("__pii_base")), 256).alias("base_sha256"),
-        span_string(F.col("__pii_spans")).alias("spans"),
-        F.size(F.filter("__pii_spans", lambda s: s["kind"] == CONTEXT)).cast("long").alias("n_context"),
+        F.sha2(span_string(F.col("base")), 256).alias("base_sha256"),
+        span_string(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == CONTEXT)).cast("long").alias("n_context"),
     )

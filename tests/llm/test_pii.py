@@ -1,6 +1,11 @@
+import collections
 import hashlib
 import re
 
+import regex
+from pyspark.sql import functions as F
+
+from lexiforge.llm import pii
 from lexiforge.llm.pii import op8_contextual_pii, redact, with_spans
 from tests.conftest import SMALL
 
@@ -32,6 +37,60 @@ def plain(text):
     return [(kind, a, b) for a, _, b, kind in sorted(spans)]
 
 
+def slots(text):
+    """(start, end, instance, the two patterns around, whether a candidate) of each word."""
+    words = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+    bare = [regex.sub(r"^[^\p{L}\p{N}=:#]+|[^\p{L}\p{N}=:#]+$", "", w[0]).lower() for w in words]
+    near = lambda i: bare[i] if 0 <= i < len(bare) else ""
+    out = []
+    for i, w in enumerate(words):
+        instance = regex.sub(r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "", w[0]).lower()
+        out.append((w.start(), w.end(), instance, (("two", near(i - 2), near(i - 1)), ("around", near(i - 1), near(i + 1))), bool(re.search("[0-9@]", w[0]))))
+    return out
+
+
+def plain_context(texts):
+    """Spans (start, end) of each text that bootstrapping finds, by dictionaries in loops."""
+    total, words = collections.Counter(), []
+    for t, text in enumerate(texts):
+        base = plain(text)
+        for start, end, instance, keys, candidate in slots(text):
+            total.update(keys)
+            if candidate:
+                state = 2 if any(start <= a < end for _, a, _ in base) else 1 if any(a < end and b > start for _, a, b in base) else 0
+                if state == 2 or state == 0 and len(instance) >= 5:
+                    words.append((t, start, end, instance, keys, state))
+    edges, seeds = {}, {}
+    for _, _, _, instance, keys, state in words:
+        for k in keys:
+            n, most = edges.setdefault(k, {}).get(instance, (0, 0))
+            edges[k][instance] = (n + 1, max(most, state))
+        sure = 1.0 if state == 2 else 0.9 if len(instance) >= 20 and re.fullmatch("[a-z0-9_+/=-]+", instance) and re.search("[0-9]", instance) and re.search("[a-z]", instance) else None
+        if sure:
+            seeds[instance] = max(sure, seeds.get(instance, 0))
+    known = dict(seeds)
+    for _ in range(3):
+        precision = {}
+        for k, held in edges.items():
+            met = [n * known[i] for i, (n, _) in held.items() if i in known]
+            if len(met) >= 5 and sum(met) / total[k] >= 0.5:
+                precision[k] = sum(met) / total[k]
+        miss = {}
+        for k, p in precision.items():
+            for i, (_, state) in edges[k].items():
+                if state == 0:
+                    miss[i] = miss.get(i, 1.0) * max(1 - p, 1e-6)
+        known = dict(seeds)
+        for i, m in miss.items():
+            if 1 - m >= 0.8:
+                known[i] = max(1 - m, known.get(i, 0))
+    found = collections.defaultdict(set)
+    for t, start, end, instance, keys, state in words:
+        if state == 0 and instance in known and any(k in precision for k in keys):
+            found[t].add((start, end))
+    return [sorted(found[t]) for t in range(len(texts))]
+
+
 ODD = [
     "a@b.c_d@e.f x@y.z@q.w a.@b.c. @x.y",
     "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.255 91.2.3.4x5 1.1.1",
@@ -45,7 +104,7 @@ ODD = [
 
 def rows_equal(made, texts):
     for r in made.collect():
-        assert [(s.kind, s.start, s.end) for s in r["__pii_base"]] == plain(texts[r.doc_id])
+        assert [(s.kind, s.start, s.end) for s in r.base] == plain(texts[r.row.doc_id])
 
 
 def test_base_spans_equal_plain_patterns(spark):
@@ -63,21 +122,54 @@ def test_query_on_documents(spark):
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
 
 
+def spans_of(spark, rows):
+    return {r.row.doc_id: r.spans for r in with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def contexts(found, rows):
+    return {i: [t[s.start : s.end] for s in found[i] if s.kind == "context"] for i, t in rows}
+
+
+def test_context_spans_equal_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    rows += [(10_000 + i, f"please write to u{i}@mail.example.com for details") for i in range(30)]
+    rows += [(11_000 + i, f"please write to desk{i}77 for details or card 4111 1111 1111 1111") for i in range(6)]
+    rows += [(12_000 + i, f"your member number desk{i}77 was renewed") for i in range(8)]
+    rows += [(13_000 + i, f'TOKEN = "{hashlib.sha1(str(i).encode()).hexdigest().upper()}"') for i in range(9)] + [(13_100, "token = abc123x now")]
+    got = spans_of(spark, rows)
+    expected = dict(zip([i for i, _ in rows], plain_context([t for _, t in rows]), strict=True))
+    assert {i: [(s.start, s.end) for s in spans if s.kind == "context"] for i, spans in got.items()} == expected
+    assert sum(map(len, expected.values())) > 20
+
+
+def test_context_spans_on_the_given_tables(spark):
+    folder = "/root/testdata/sf0.1"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    found = [texts[r.doc_id][int(a) : int(b)] for r in op8_contextual_pii(spark, folder).filter("n_context > 0").collect() for k, a, b in (x.split(":") for x in r.spans.split(",")) if k == "context"]
+    assert len(found) > 20 and all(re.search("[0-9A-Fa-f]{40}", x) for x in found)
+
+
 def test_patterns_discover_unseen_identifiers(spark):
     rows = [(i, f"some text here, please write to u{i}@mail.example.com for details, thanks") for i in range(12)]
     rows += [(100 + i, f"some other words, please write to desk{i}77 for details, thanks") for i in range(3)]
     rows += [(200, "we saw room12345 and nothing else"), (201, "in 20240 words we wrote about it")]
-    got = {r.doc_id: r.__getitem__("__pii_spans") for r in with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    texts = dict(rows)
-    assert [[texts[i][s.start : s.end] for s in got[i]] for i in (100, 101, 102)] == [["desk077"], ["desk177"], ["desk277"]]
-    assert got[200] == [] and got[201] == []
+    found = contexts(spans_of(spark, rows), rows)
+    assert [found[i] for i in (100, 101, 102)] == [["desk077"], ["desk177"], ["desk277"]] and found[200] == found[201] == []
+
+
+def test_keys_need_a_confident_pattern(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'w{i} said token = "{key(i)}" and more') for i in range(6)] + [(50, 'then TOKEN = "short123" stood there')]
+    rows += [(100, f"the build {key(100)} went out")]
+    found = contexts(spans_of(spark, rows), rows)
+    assert all(found[i] == [f'"{key(i)}"'] for i in range(6)) and found[50] == ['"short123"'] and found[100] == []
 
 
 def test_five_instances_count_among_many_seeds(spark):
     rows = [(i, f"w{'abcdefghij'[i % 10]} {'x' * (i % 97)} u{i}@mail.example.com") for i in range(6000)]
     rows += [(10_000 + i, f"please write to v{i}@mail.example.com for details") for i in range(5)] + [(20_000, "please write to desk077 for details")]
-    got = with_spans(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 20000").first()["__pii_spans"]
-    assert [(s.kind, s.start, s.end) for s in got] == [("context", 16, 23)]
+    assert [(s.kind, s.start, s.end) for s in spans_of(spark, rows)[20_000]] == [("context", 16, 23)]
 
 
 def test_discovered_instances_make_patterns_of_their_own(spark):
@@ -85,11 +177,28 @@ def test_discovered_instances_make_patterns_of_their_own(spark):
     rows += [(100 + i, f"please write to desk{i}77 for details") for i in range(6)]
     rows += [(200 + i, f"your member number desk{i}77 was renewed") for i in range(6)] + [(300, "your member number desk9977 was renewed")]
     rows += [(400, "the room desk9988 stood empty")]
-    got = {r.doc_id: r["__pii_spans"] for r in with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    found = {i: [t[s.start : s.end] for s in got[i] if s.kind == "context"] for i, t in rows}
+    found = contexts(spans_of(spark, rows), rows)
     assert found[105] == found[205] == ["desk577"] and found[300] == ["desk9977"] and found[400] == []
 
 
+def test_large_pattern_tables_are_joined_by_shuffle(spark, monkeypatch):
+    rows = [(i, f"please write to u{i}@mail.example.com for details") for i in range(9)] + [(100, "please write to desk077 for details")]
+    expected = spans_of(spark, rows)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    assert spans_of(spark, rows) == expected and [s.kind for s in expected[100]] == ["context"]
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"a{i}@b{i}.com 10.0.{i % 256}.1 x{i}" for i in range(1500))
+    rows_equal(with_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")), {1: text})
+
+
+def test_columns_with_clashing_names_survive(spark):
+    names = ["row", "base", "words", "id", "spans", "whole", "__pii_row", "clean", "touched"]
+    made = redact(edge_docs(spark).select("*", *[F.lit(c).alias(c) for c in names]))
+    assert made.columns[-len(names) :] == names and all(r[c] == c for r in made.collect() for c in names)
+
+
 def test_redaction(spark):
     docs = edge_docs(spark)
     made = redact(docs)

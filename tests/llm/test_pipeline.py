@@ -10,7 +10,7 @@ from tests.conftest import SMALL
 
 from .data import edge_docs, empty_docs, saved
 from .test_near import plain_classes
-from .test_pii import plain
+from .test_pii import plain, plain_context
 
 
 def test_run_equals_brute_force(spark):
@@ -21,10 +21,13 @@ def test_run_equals_brute_force(spark):
     kept = {i: t for i, t in kept.items() if classes[i] == i}
     got = {r.doc_id: r for r in P.run(spark, SMALL).collect()}
     assert set(got) == set(kept)
+    context = dict(zip(kept, plain_context(list(kept.values())), strict=True))
     model = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     for i, text in kept.items():
         back, at, out = model.decode(got[i].ids), 0, []
-        for kind, a, b in plain(text):
+        spans = [(a, kind, b) for kind, a, b in plain(text)] + [(a, "~context", b) for a, b in context[i]]
+        for a, kind, b in sorted(spans, key=lambda x: x[0]):
+            kind = kind.strip("~")
             if a >= at:
                 out += [text[at:a], f"<{kind.upper()}>"]
             at = max(at, b)
