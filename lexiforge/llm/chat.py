@@ -10,7 +10,9 @@ after their first character (any backslashes already there stay and one is added
 
 Defined results: null text or role counts as empty. Repeated rows and rows with equal turn are messages of their own,
 ordered by turn, role, text. A null tree id is a tree of its own. A parent that is not in its tree makes its child a
-root. An empty table gives an empty result. Other columns are not read.
+root. Branches with equal scores go by leaf. Texts are taken whole: what one task renders is a batch of conversations.
+`linear_tree` orders a conversation's rows in one task, which then also writes them as its one output row. An empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table, stored
+from ..sources.tables import kept, read_table, scratch, stored
 
 #: Control strings of the template and of the instruction template it can be turned into.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -71,20 +73,21 @@ def same(a: str, b: str, *pairs: tuple[str, str]) -> Column:
 
 def root_paths(messages: DataFrame) -> DataFrame:
     """tree_id, leaf, node_id, up: every node of every root-to-leaf path, `up` steps above its leaf."""
-    nodes = stored(messages.select("tree_id", "node_id", "parent_id").distinct(), "nodes")
-    there = nodes.select("tree_id", F.col("node_id").alias("to"))
-    jumps = nodes.alias("n").join(there.alias("p"), same("n", "p", ("parent_id", "to"))).select("n.tree_id", "n.node_id", "p.to")
-    jumps = stored(jumps, "jumps")
-    inner = jumps.select("tree_id", F.col("to").alias("node_id")).distinct()
-    leaves = nodes.alias("n").join(inner.alias("i"), same("n", "i", ("node_id", "node_id")), "left_anti")
-    paths = leaves.select("tree_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up"))
-    reach = 1
-    while not jumps.isEmpty():
-        above = paths.alias("p").join(jumps.alias("j"), same("p", "j", ("node_id", "node_id"))).select("p.tree_id", "p.leaf", F.col("j.to").alias("node_id"), (F.col("p.up") + reach).alias("up"))
-        paths = stored(paths.unionByName(above), "paths")
-        jumps = stored(jumps.alias("a").join(jumps.alias("b"), same("a", "b", ("to", "node_id"))).select("a.tree_id", "a.node_id", "b.to"), "jumps")
-        reach *= 2
-    return paths
+    with scratch(messages.sparkSession):
+        nodes = stored(messages.select("tree_id", "node_id", "parent_id").distinct(), "nodes")
+        there = nodes.select("tree_id", F.col("node_id").alias("to"))
+        jumps = nodes.alias("n").join(there.alias("p"), same("n", "p", ("parent_id", "to"))).select("n.tree_id", "n.node_id", "p.to")
+        jumps = stored(jumps, "jumps")
+        inner = jumps.select("tree_id", F.col("to").alias("node_id")).distinct()
+        leaves = nodes.alias("n").join(inner.alias("i"), same("n", "i", ("node_id", "node_id")), "left_anti")
+        paths = leaves.select("tree_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up"))
+        reach = 1
+        while not jumps.isEmpty():
+            above = paths.alias("p").join(jumps.alias("j"), same("p", "j", ("node_id", "node_id"))).select("p.tree_id", "p.leaf", F.col("j.to").alias("node_id"), (F.col("p.up") + reach).alias("up"))
+            paths = stored(paths.unionByName(above), "paths")
+            jumps = stored(jumps.alias("a").join(jumps.alias("b"), same("a", "b", ("to", "node_id"))).select("a.tree_id", "a.node_id", "b.to"), "jumps")
+            reach *= 2
+        return kept(paths, "root-paths")
 
 
 def default_score() -> Column:

@@ -32,7 +32,7 @@ from math import lcm
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table, stored
+from ..sources.tables import kept, read_table, scratch, stored
 from .native import let
 
 BLOCK_DOCS, MAX_SOURCES, RANGE_ROWS = 16, 1000, 2048
@@ -184,7 +184,8 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, block_
     ranges = keyed.groupBy("mix_source", "range").agg(F.count(F.lit(1)).alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("mix_source").orderBy("range")) - F.col("rows")
     ranges = ranges.withColumn("before", before).withColumn("first", F.expr(f"before div {block_docs}")).withColumn("last", F.expr(f"(before + rows - 1) div {block_docs}"))
-    blocks = stored(schedule(spark, weights, block_docs, frame_slots), "mix-schedule")
+    with scratch(spark):
+        blocks = kept(schedule(spark, weights, block_docs, frame_slots), "mix-schedule")
     needed = ranges.select("mix_source", "range", "before", "first", F.explode(F.expr("sequence(first, last)")).alias("mix_block")).join(blocks, ["mix_source", "mix_block"])
     held = needed.groupBy("mix_source", "range").agg(F.first("before").alias("before"), F.first("first").alias("first"), F.sort_array(F.collect_list(F.struct("mix_block", "mix_release", "mix_deadline", "mix_position"))).alias("held"))
 

@@ -3,8 +3,9 @@
 Rolling hashes of several word n-gram lengths are computed with numpy over whole batches; characters inside repeated
 n-grams and repeated lines, as shares of all word characters, decide. The operator is a map over documents: no shuffle.
 
-Defined results: a null or empty text has no words and fails the base rules. Repeated rows get equal values. Other
-columns are not read.
+Defined results: a null or empty text has no words and fails the base rules. Repeated rows get equal values. A share just
+at its limit passes. Texts are taken whole: a task holds a batch of about four megabytes, or one longer text. An empty
+table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

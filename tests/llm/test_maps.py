@@ -10,11 +10,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexiforge.llm.language import fit, held_out, op3_language_filters, predictor
-from lexiforge.llm.media import fingerprints, op7_wav_fingerprints, to_media
-from lexiforge.llm.pieces import Pieces, op9_streaming_viterbi
+from lexiforge.llm.arrow import mix64
+from lexiforge.llm.language import MIN_RATIO, MIN_SHARE, SIZES, SLOTS, WEIGHTS, fit, held_out, op3_language_filters, predictor
+from lexiforge.llm.media import BANDS, fingerprint, fingerprints, from_wav, op7_wav_fingerprints, to_media
+from lexiforge.llm.pieces import Pieces, op9_streaming_viterbi, piece_encoder
 from lexiforge.llm.quality import MAX_DUPLICATE_SHARE, op4_repetition_coverage, quality
 from lexiforge.llm.tokens import op2_token_files, token_files
 from tests.conftest import SMALL
@@ -125,6 +127,107 @@ def test_media_round_trip(spark, docs):
     assert fingerprints(to_media(empty_docs(spark))).count() == 0
 
 
+def plain_peaks(samples):
+    """(frame, bin): a plain discrete Fourier transform of every frame."""
+    size, hop = 256, 128
+    x = [float(v) - 128 for v in samples]
+    while len(x) < size or (len(x) - size) % hop:
+        x.append(0.0)
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(size), np.arange(size // 2 + 1)) / size)
+    level = []
+    for at in range(0, len(x) - size + 1, hop):
+        frame = np.array(x[at : at + size]) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1)))
+        level.append(np.abs(frame @ turn))
+    best = [[(max(range(a, b), key=lambda k: (row[k], -k))) for a, b in BANDS] for row in level]
+    loud = [[round(float(row[k]), 3) for k in ks] for row, ks in zip(level, best, strict=True)]
+    quiet = [0.0] * len(BANDS)
+    found = []
+    for i, row in enumerate(loud):
+        before, after = loud[i - 1] if i else quiet, loud[i + 1] if i + 1 < len(loud) else quiet
+        found += [(i, best[i][b]) for b in range(len(BANDS)) if row[b] > 1 and row[b] >= before[b] and row[b] >= after[b]]
+    return found
+
+
+def plain_fingerprint(samples):
+    at, out = plain_peaks(samples), []
+    for i, (frame, first) in enumerate(at):
+        for other, second in at[i + 1 : i + 4]:
+            if 1 <= other - frame <= 15:
+                out.append((frame << 32) | (first << 16) | (second << 4) | (other - frame))
+    return sorted(out)
+
+
+def test_fingerprints_equal_a_plain_transform(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("length(text) < 4000").unionByName(edge_docs(spark).select("doc_id", "text", "lang", "source", "n_chars"))
+    media = to_media(docs)
+    rows = {bytes(r.media) for r in media.limit(60).collect()}
+    assert len(rows) > 40
+    for m in rows:
+        samples = np.frombuffer(from_wav(m), dtype=np.uint8)
+        assert fingerprint(samples).tolist() == plain_fingerprint(samples)
+
+
+def test_media_query_digests_the_stored_arrays(spark):
+    got = {r.doc_id: r.feature for r in op7_wav_fingerprints(spark, SMALL).collect()}
+    for r in fingerprints(to_media(spark.read.parquet(f"{SMALL}/documents.parquet"))).limit(30).collect():
+        assert got[r.doc_id] == f"{len(r.fingerprint)}:{hashlib.sha256(','.join(map(str, r.fingerprint)).encode()).hexdigest()}"
+
+
+def plain_grams(text):
+    """Distinct 3- and 4-grams of letters in small form, with one space for anything else."""
+    t = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+    t = re.sub(" +", " ", t)
+    return [(n, t[i : i + n]) for n in SIZES for i in range(len(t) - n + 1)]
+
+
+def plain_hash(n, gram):
+    total = sum(ord(c) * int(w) for c, w in zip(gram, WEIGHTS, strict=False)) % 2**64
+    return int(mix64(np.array([(total + n) % 2**64], dtype=np.uint64))[0])
+
+
+def plain_filter(rows):
+    """Slot -> mask, and languages, by sets in one loop."""
+    languages, held, size = sorted({r.lang for r in rows}), {}, {}
+    for r in rows:
+        size[r.lang] = size.get(r.lang, 0) + 1
+        for g in set(plain_grams(r.text)):
+            held.setdefault(g, {}).setdefault(r.lang, 0)
+            held[g][r.lang] += 1
+    mask = {}
+    for (n, g), count in held.items():
+        share = {k: c / size[k] for k, c in count.items() if c >= 2 and c / size[k] >= MIN_SHARE}
+        for k, p in share.items():
+            if p >= MIN_RATIO * max(share.values()):
+                for i in range(3):
+                    slot = plain_hash(n, g) >> (21 * i) & (SLOTS - 1)
+                    mask[slot] = mask.get(slot, 0) | 1 << languages.index(k)
+    return languages, mask
+
+
+def plain_prediction(languages, mask, text):
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    grams, shares = plain_grams(text), []
+    for b in range(len(languages)):
+        rate = (sum(m >> b & 1 for m in mask.values()) / SLOTS) ** 3
+        hits = sum(all(mask.get(plain_hash(n, g) >> (21 * i) & (SLOTS - 1), 0) >> b & 1 for i in range(3)) for n, g in grams) / len(grams)
+        shares.append(min(1.0, max(0.0, (hits - rate) / (1 - rate))))
+    best = max(range(len(languages)), key=lambda b: (shares[b], -b))
+    return (languages[best], shares[best] / sum(shares)) if shares[best] > 0 else (None, 0.0)
+
+
+def test_language_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("length(text) < 3000")
+    learned = docs.filter(~held_out()).filter("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL")
+    languages, mask = plain_filter(learned.collect())
+    filters = fit(learned)
+    assert filters.languages == languages
+    assert {int(i): int(filters.table[i]) for i in np.flatnonzero(filters.table)} == mask
+    for r in docs.withColumn("found", predictor(spark, filters)("text")).limit(40).collect():
+        said, score = plain_prediction(languages, mask, r.text)
+        assert said in (None, r.found.lang_pred) and abs(score - r.found.score) < 1e-9
+
+
 def test_language_accuracy_held_out(spark):
     folder = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
@@ -169,8 +272,9 @@ def plain_viterbi(model, text):
 def test_streaming_viterbi_equals_whole_lattice(spark, docs):
     model = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     texts = [t for _, t in docs[:40]] + [r.text for r in edge_docs(spark).collect()] + ["ab" * 700 + "é漢字😀" * 30]
+    texts.append("".join(map(chr, range(0xFDD0, 0xFDF0))) + "▁▁ ▁a▁ b" + "▁" * 200)
     for text in texts:
-        text = (text or "")[:6000]
+        text = text or ""
         expected = plain_viterbi(model, text)
         assert model.encode(text).tolist() == expected
         assert list(model.viterbi(" " + text if text else "")) == expected
@@ -181,3 +285,10 @@ def test_pieces_round_trip(spark, tmp_path):
     assert op9_streaming_viterbi(spark, SMALL).filter("NOT round_trip").count() == 0
     edge = op9_streaming_viterbi(spark, saved(edge_docs(spark), tmp_path))
     assert edge.filter("NOT round_trip").count() == 0 and edge.filter("n_pieces = 0").count() == 2
+    assert op9_streaming_viterbi(spark, saved(empty_docs(spark), tmp_path / "none")).count() == 0
+
+
+def test_pieces_keep_clashing_columns(spark):
+    docs = edge_docs(spark).withColumn("ids", F.lit("mine")).withColumn("decoded", F.lit("too"))
+    made = docs.withColumn("found", piece_encoder(public_tokenizers.path("piece_bpe_32k.model"))("text"))
+    assert made.columns == [*docs.columns, "found"] and made.filter("ids <> 'mine' OR decoded <> 'too'").count() == 0
