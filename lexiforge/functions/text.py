@@ -10,7 +10,20 @@ from pyspark.sql import functions as F
 #: Words that carry no meaning of their own in corpus text.
 STOP_WORDS = (
     "a", "an", "the", "and", "or", "of", "in", "to", "for", "is", "it", "that", "with", "on", "at", "by", "as", "be",
-    "are", "was", "were",
+    "are", "was", "were", "been", "has", "have", "had", "do", "does", "did", "will", "would", "could", "should", "may",
+    "might", "must", "shall", "can", "not", "no", "so", "if", "but", "than", "then", "there", "this", "he", "she", "we",
+    "they", "them", "his", "her", "its", "whom", "which", "what", "when", "where", "why", "how",
+)
+#: Words that say little in transliterated text, English ones and particles.
+TRANSLIT_STOP_WORDS = (
+    "a", "an", "the", "and", "or", "of", "in", "to", "for", "is", "it", "that", "with", "on", "at", "by", "from", "as",
+    "be", "are", "was", "were", "been", "has", "have", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "must", "shall", "can", "not", "no", "yes", "so", "if", "but", "than", "then", "there", "their",
+    "they", "them", "this", "these", "those", "he", "she", "we", "you", "your", "our", "his", "her", "its", "who",
+    "whom", "which", "what", "when", "where", "why", "how", "all", "any", "each", "few", "more", "most", "other",
+    "some", "such", "only", "own", "same", "too", "very", "just", "also", "now", "here", "wa", "fa", "la", "li", "bi",
+    "fi", "min", "ila", "inna", "anna", "alla", "allahu", "allah", "huwa", "hiya", "hum", "hunna", "antum", "antunna",
+    "ana", "nahnu",
 )
 #: Words that only wrap a question.
 QUERY_WORDS = (
@@ -37,18 +50,18 @@ PARAPHRASES = (
     ("task a soul", "burden a soul"),
     ("charge a soul", "burden a soul"),
 )
-#: Question wrappers, in order of trial at the start of a query.
-WRAPPERS = (
-    r"^(?i)(?:(?:the\s+)?(?:verse|ayah|ayat|surah|sura|chapter)s?\s+(?:about|regarding|concerning|where|that|which|on|mentioning)\s+)",
-    r"^(?i)(?:where\s+(?:allah|god|quran)\s+(?:says?|mentions?|describes?|tells?|talks?\s+about)\s+(?:about\s+)?)",
-    r"^(?i)(?:(?:quran|quranic)\s+(?:verse|ayah|ayat)s?\s+(?:about|on|regarding|concerning)\s+)",
+#: Fixed value: question wrappers at the start of a query.
+WRAPPER = (
+    r"(?i)^(?:(?:the\s+)?(?:verse|ayah|ayat|surah|sura|chapter)s?\s+(?:about|regarding|concerning|where|that|which|on|mentioning)\s+)"
+    r"|^(?:where\s+(?:allah|god|quran)\s+(?:says?|mentions?|describes?|tells?|talks?\s+about)\s+(?:about\s+)?)"
+    r"|^(?:(?:quran|quranic)\s+(?:verse|ayah|ayat)s?\s+(?:about|on|regarding|concerning)\s+)"
 )
-#: Ordered replacements for transliterated words, then article prefixes dropped at the start.
-LATIN_DIGRAPHS = (
+#: Ordered replacements of transliterated text, the last seven at its start.
+LATIN_RULES = (
     ("ph", "f"), ("kh", "h"), ("gh", "g"), ("sh", "s"), ("th", "t"), ("dh", "d"), ("aa", "a"), ("ee", "i"), ("oo", "u"),
-    ("ou", "u"), ("ei", "i"), ("ai", "a"),
+    ("ou", "u"), ("ei", "i"), ("ai", "a"), ("al-", "al "), ("^al ", ""), ("^an ", ""), ("^ar ", ""), ("^as ", ""),
+    ("^at ", ""), ("^ad ", ""), ("^az ", ""),
 )
-ARTICLES = ("al", "an", "ar", "as", "at", "ad", "az")
 #: Ordered replacements of the Latin sound key.
 SOUND_DIGRAPHS = (
     ("ph", "f"), ("kh", "x"), ("gh", "g"), ("sh", "s"), ("th", "t"), ("dh", "d"), ("aa", "a"), ("ee", "i"), ("oo", "u"),
@@ -59,6 +72,8 @@ MARKS = "[ؐ-ًؚ-ٰٟۖ-ۭ]"
 ARABIC_PUNCTUATION = "[،؛؟٪-٭۔.,;:!?\"'()\\[\\]{}«»_/\\\\|-]+"
 FOLD_FROM, FOLD_TO, FOLD_DROP = "آأإٱؤئةىیکھ", "ااااويهييكه", "ءـ"
 FORMULA = "بسم الله الرحمن الرحيم"
+#: The formula's letters with any marks after each, alefs optional and in any form.
+FORMULA_IN_MARKS = "^" + "\\s*".join("".join(("[ٱا]?" if x == "ا" else x) + ("" if x == "ا" else "[\u064b-\u0652\u0670]*") for x in w) for w in FORMULA.split()) + "\\s*"
 SOUNDS_FROM, SOUNDS_TO = "ءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىي", "oaa'w'ibpthjhkhdrzss'dt'g'fqklmnhwyy"
 LATIN_PAIRS = (("ث", "th"), ("خ", "kh"), ("ذ", "dh"), ("ش", "sh"), ("غ", "gh"))
 LATIN_FROM, LATIN_TO = "آأؤإئابةتجحدرزسصضطظعفقكلمنهوىيٱ", "aauaaabhtjhdrzssdtzafqklmnhwaya"
@@ -79,7 +94,7 @@ ACCENTS_FROM, ACCENTS_TO = accents()
 
 def presentation_forms() -> tuple[str, str]:
     """Single-letter Arabic presentation forms and the letters they stand for, by the compatibility rule."""
-    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in (*range(0xFB50, 0xFBFF), *range(0xFE80, 0xFEFD))]
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in (*range(0xFB50, 0xFE00), *range(0xFE70, 0xFEFD))]
     pairs = [(a, d) for a, d in pairs if len(d) == 1 and a != d]
     return "".join(a for a, _ in pairs), "".join(d for _, d in pairs)
 
@@ -87,6 +102,15 @@ def presentation_forms() -> tuple[str, str]:
 FORMS_FROM, FORMS_TO = presentation_forms()
 
 
+def joined_forms() -> dict[str, str]:
+    """Arabic presentation forms that stand for several letters, as lam-alef, by the compatibility rule."""
+    pairs = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in (*range(0xFB50, 0xFE00), *range(0xFE70, 0xFEFD)))
+    return {a: d for a, d in pairs if len(d) > 1}
+
+
+JOINED_FORMS = joined_forms()
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "[ \\t\\n\\r]+", " "))
 
@@ -107,9 +131,7 @@ def paraphrase(c: Column) -> Column:
 
 def strip_intent_wrapper(c: Column) -> Column:
     trimmed = F.trim(c)
-    out = trimmed
-    for p in reversed(WRAPPERS):
-        out = F.when(trimmed.rlike(p), F.trim(F.regexp_replace(trimmed, p, ""))).otherwise(out)
+    out = F.trim(F.regexp_replace(trimmed, WRAPPER, ""))
     return F.when(out == "", trimmed).otherwise(out)
 
 
@@ -124,11 +146,16 @@ def fold_accents(c: Column) -> Column:
 
 
 def normalize_translit(c: Column) -> Column:
-    c = F.regexp_replace(fold_accents(c), "[^a-z0-9]+", " ")
-    c = F.trim(replaced(c, LATIN_DIGRAPHS))
-    for a in ARTICLES:
-        c = F.regexp_replace(c, f"^{a} ", "")
-    return F.trim(c)
+    c = F.regexp_replace(fold_accents(F.trim(c)), "[^a-z0-9 \\t\\n\\r]", " ")
+    for pattern, put in LATIN_RULES:
+        c = F.regexp_replace(c, pattern, put) if pattern.startswith("^") else F.replace(c, F.lit(pattern), F.lit(put))
+    return squeeze(c)
+
+
+def translit_tokens(c: Column) -> Column:
+    """Words of over two letters of a normalised transliteration that are no stop words."""
+    stop = F.array(*[F.lit(w) for w in TRANSLIT_STOP_WORDS])
+    return F.filter(F.split(c, " "), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
 
 
 def phonetic_latin(c: Column) -> Column:
@@ -140,7 +167,15 @@ def strip_marks(c: Column) -> Column:
     return F.regexp_replace(c, MARKS, "")
 
 
+def parted_forms(c: Column) -> Column:
+    """Presentation forms of several letters written out; most texts have none."""
+    table = F.create_map(*[F.lit(x) for pair in JOINED_FORMS.items() for x in pair])
+    whole = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(table[x], x)), "")
+    return F.when(c.rlike("[\ufb50-\ufdff\ufe70-\ufefc]"), whole).otherwise(c)
+
+
 def normalize_arabic(c: Column) -> Column:
+    c = parted_forms(c)
     c = strip_marks(F.translate(F.translate(c, FORMS_FROM, FORMS_TO), "ـ", ""))
     c = F.translate(c, FOLD_FROM + FOLD_DROP, FOLD_TO)
     c = F.regexp_replace(F.regexp_replace(c, ARABIC_PUNCTUATION, " "), "[^؀-ۿ \\t\\n\\r]", "")
@@ -160,12 +195,36 @@ def strip_formula_for_search(c: Column, group: Column, ordinal: Column) -> Colum
     return F.when(group.isin(1, 9) | (ordinal != 1), c).otherwise(cut)
 
 
+def strip_formula_for_display(c: Column, group: Column, ordinal: Column) -> Column:
+    """As shown to readers: only the first passage of groups other than 1 and 9 loses the opening formula, in any marks."""
+    rest = F.trim(F.regexp_replace(c, FORMULA_IN_MARKS, ""))
+    return F.when(group.isin(1, 9) | (ordinal != 1) | (rest == ""), c).otherwise(rest)
+
+
+def prepare_translit(arabic: Column, given: Column) -> tuple[Column, Column]:
+    """(transliteration, its normal form): the given one unless blank, else one made from the script."""
+    made = F.when(F.trim(F.coalesce(given, F.lit(""))) != "", F.trim(given)).otherwise(to_latin(arabic))
+    return made, normalize_translit(made)
+
+
+def phonetic_keys(c: Column) -> Column:
+    """struct(primary, latin): both sound keys of a query; Latin text has one for both."""
+    latin = phonetic_latin(c)
+    arabic = detect_script(c) == "arabic"
+    spelled = F.translate(c, SOUNDS_FROM, SOUNDS_TO)
+    return F.struct(F.when(arabic, phonetic_primary(c)).otherwise(latin).alias("primary"), F.when(arabic, phonetic_latin(spelled)).otherwise(latin).alias("latin"))
+
+
 def has_formula_prefix(c: Column, group: Column, ordinal: Column) -> Column:
     return ~group.isin(1, 9) & (ordinal == 1) & c.startswith(normalize_arabic(F.lit(FORMULA)))
 
 
 def phonetic_primary(c: Column) -> Column:
-    key = F.translate(normalize_arabic(c), SOUNDS_FROM, SOUNDS_TO)
+    return phonetic_of_normalized(normalize_arabic(c))
+
+
+def phonetic_of_normalized(c: Column) -> Column:
+    key = F.translate(c, SOUNDS_FROM, SOUNDS_TO)
     return F.lower(squeeze(F.regexp_replace(key, "[aeiou]", "")))
 
 

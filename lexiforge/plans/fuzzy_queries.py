@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..sources.tables import read_table
-from .retrieval_queries import HEAD_SQL, passages, postings
-from .text_queries import sql_tokens
-
-#: One-way synonyms appended to query tokens.
-SYNONYMS = {
-    "oceans": ("seas", "sea"),
-    "trumpet": ("horn",),
-    "snake": ("serpent",),
-    "cast": ("throw", "threw", "thrown"),
-    "judgement": ("judgment",),
-    "charity": ("charitable",),
-    "secretly": ("conceal", "concealed", "secret"),
-    "mix": ("barrier",),
-    "becomes": ("became",),
-}
-#: A small lexicon over words of the given tables: (concept, aliases, keywords, exclusions).
+from ..sources.tables import read_table, shared_dir, stored
+from .lexical_queries import SYNONYMS, query_classes, synonyms
+from .retrieval_queries import passages
+from .search_queries import sql_search_type
+from .text_queries import ARABIC_TEXT, arabic, q, sql_tokens
+
+#: A small lexicon over words of the given tables, as a file of concepts would hold it.
 CONCEPTS = (
-    ("being", ("was", "are"), ("the", "and"), ("with",)),
-    ("place", ("from", "with"), ("that", "this"), ("when",)),
-    ("cause", ("pour", "est"), ("que", "des"), ("dans",)),
+    {"id": "around", "label": "Around", "aliases": ["pour", "dans", "pour"], "keywords": ["pour", "dans", "avec", "les"], "exclusions": ["und"]},
+    {"id": "being", "label": "Being", "aliases": ["est", "ist"], "keywords": ["est", "ist", "que", "being"], "exclusions": ["los"]},
+    {"id": "there", "label": "There", "aliases": ["these"], "keywords": ["thing", "there", "ther", "ente"], "exclusions": ["der"]},
 )
 
 
@@ -74,89 +67,147 @@ def g8_correct_typos(spark, d):
     return fixed.select("p_partkey", "query", F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("corrected")).filter("query <> corrected")
 
 
+def distinct_names(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Distinct damaged names as queries, distinct part names."""
+    return damaged(spark, d).select("query").distinct(), read_table(spark, d, "part").select(F.lower("p_name").alias("name")).distinct()
+
+
+def sharing(queries: DataFrame, names: DataFrame, key=lambda c: c) -> DataFrame:
+    """query, name pairs whose keys share a trigram."""
+    grams = lambda df, c: df.select(c, F.explode(T.char_ngrams(key(F.col(c)))).alias("g"))
+    return grams(queries, "query").join(grams(names, "name"), "g").select("query", "name").distinct()
+
+
 def c5_ngram_overlap(spark, d):
-    """Share of a damaged name's trigrams in each part name that holds one of them and shares its brand."""
-    parts = read_table(spark, d, "part").select("p_partkey", "p_brand", T.char_ngrams(F.lower("p_name")).alias("g"))
-    asked = damaged(spark, d).filter("p_partkey % 20 = 0").join(read_table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey").select(F.col("p_partkey").alias("query_id"), "p_brand", T.char_ngrams(F.col("query")).alias("q"))
-    pairs = asked.join(parts, "p_brand").filter(F.arrays_overlap("q", "g"))
-    return pairs.select("query_id", "p_partkey", F.round(F.size(F.array_intersect("q", "g")) / F.size("q"), 6).alias("overlap"))
+    """Share of a damaged name's trigrams in each part name that holds one of them."""
+    q, g = T.char_ngrams(F.col("query")), T.char_ngrams(F.col("name"))
+    return sharing(*distinct_names(spark, d)).select("query", "name", F.round(F.size(F.array_intersect(q, g)) / F.size(q), 6).alias("overlap"))
 
 
 def c1_ratios(spark, d):
-    """All ratios of damaged names with the part names of the same brand and type."""
-    parts = read_table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.lower("p_name").alias("name"))
-    asked = damaged(spark, d).join(parts.drop("name"), "p_partkey").select(F.col("p_partkey").alias("query_id"), "p_brand", "p_type", "query")
-    pairs = asked.join(parts, ["p_brand", "p_type"])
+    """All ratios of damaged names with the part names that share a trigram with them."""
     made = [F.round(f("query", "name"), 6).alias(n) for n, f in (("ratio", S.ratio), ("partial", S.partial_ratio), ("token_sort", S.token_sort_ratio), ("token_set", S.token_set_ratio), ("wratio", S.wratio))]
-    return pairs.select("query_id", "p_partkey", *made)
+    return sharing(*distinct_names(spark, d)).select("query", "name", *made)
 
 
 def c11_g5_phonetic_search(spark, d):
-    """Sound keys blocked by shared trigrams within a brand, then the better of two ratios with a length guard."""
-    key = lambda c: T.phonetic_latin(c)
-    parts = read_table(spark, d, "part").select("p_partkey", "p_brand", key(F.col("p_name")).alias("k"))
-    asked = damaged(spark, d).filter("p_partkey % 10 = 0").join(parts.select("p_partkey", "p_brand"), "p_partkey").select(F.col("p_partkey").alias("query_id"), "p_brand", key(F.col("query")).alias("q"))
-    blocked = asked.select("query_id", "p_brand", "q", F.explode(T.char_ngrams(F.col("q"))).alias("g")).join(parts.select("p_partkey", "p_brand", "k", F.explode(T.char_ngrams(F.col("k"))).alias("g")), ["p_brand", "g"])
-    pairs = blocked.select("query_id", "p_partkey", "q", "k").distinct()
+    """Five names for each damaged one: sound keys that share a trigram, then the better of two ratios with a length
+    guard; keys of under three letters are one gram each."""
+    pairs = sharing(*distinct_names(spark, d), key=T.phonetic_latin).select("query", "name", T.phonetic_latin(F.col("query")).alias("q"), T.phonetic_latin(F.col("name")).alias("k"))
     best = F.greatest(S.partial_ratio("q", "k"), S.wratio("q", "k"))
     share = F.least(F.lit(1.0), F.length("q") / F.length("k"), F.length("k") / F.length("q"))
     scored = pairs.withColumn("best", best).withColumn("score", F.round(F.when(F.col("best") >= 0.7, F.col("best") * (0.9 + 0.1 * share)).otherwise(F.col("best")), 6)).filter("score >= 0.25")
-    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "p_partkey"))
-    return scored.withColumn("rank", at).filter("rank <= 5").select("query_id", "p_partkey", "score", "rank")
+    at = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name"))
+    return scored.withColumn("rank", at).filter("rank <= 5").select("query", "name", "score", "rank")
 
 
 def b21_synonyms(spark, d):
-    """Query tokens, then synonyms not among them, in order."""
-    table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    words = F.concat(F.array(F.lit("oceans"), F.lit("sea"), F.lit("mix")), T.content_tokens(F.col("text"), True))
-    more = F.flatten(F.transform("w", lambda t: F.coalesce(F.get(F.array(table[t]), F.lit(0)), F.array().cast("array<string>"))))
+    """Query tokens, then synonyms not among them, in order; each passage is given one word that has synonyms."""
+    given = F.element_at(F.array(*map(F.lit, SYNONYMS)), (F.col("item_id") % len(SYNONYMS) + 1).cast("int"))
+    words = F.array_distinct(F.concat(F.array(given), T.content_tokens(F.col("text"), True)))
+    more = F.flatten(F.transform("w", synonyms))
     return read_table(spark, d, "benchmark").select("item_id", words.alias("w")).select("item_id", F.array_join(F.array_union("w", more), " ").alias("expanded"))
 
 
+#: Queries of words that no document has, or of few words, planted among the passages.
+PLANTED = ("wzq kful huzm", "mercy", "and it was so")
+
+
 def b24_classify_queries(spark, d):
-    """Four query types by script, length and share of known words, with their signal weights."""
-    queries = passages(spark, d).withColumn("query", F.when(F.col("query_id") % 4 == 0, F.substring_index("query", " ", 3)).otherwise(F.col("query")))
-    tokens = queries.select("query_id", F.explode(F.filter(F.split(T.normalize_english(F.col("query")), " "), lambda w: w != "")).alias("token"))
-    known = read_table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.explode(T.content_tokens(F.col("text"))).alias("token")).distinct().withColumn("known", F.lit(1.0))
-    share = tokens.join(known, "token", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("known", F.lit(0.0))).alias("share"))
-    kind = F.when(F.col("n").between(2, 4) & (F.col("share") < 0.5), "transliteration").when(F.col("n") > 4, "descriptive").otherwise("keyword")
-    made = queries.join(share, "query_id").select("query_id", "n", F.round("share", 6).alias("share"), kind.alias("kind"))
-    weight = lambda a, b, c: F.when(F.col("kind") == "transliteration", a).when(F.col("kind") == "descriptive", b).otherwise(c)
-    return made.select("*", weight(0.50, 0.10, 0.40).alias("phonetic"), weight(0.30, 0.75, 0.35).alias("semantic"), weight(0.20, 0.15, 0.15).alias("lexical"))
+    """Four query types by script, length and share of known words, with their signal weights; of each five passages one is
+    spelled in script and three are planted."""
+    at = F.col("item_id") % 5
+    query = F.when(at == 3, arabic(F.col("text"))).when(at < 3, F.element_at(F.array(*map(F.lit, PLANTED)), (at + 1).cast("int"))).otherwise(F.col("text"))
+    queries = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query"))
+    return query_classes(queries, read_table(spark, d, "documents").select("text")).drop("query")
+
+
+def read_lexicon(spark, path: str) -> DataFrame:
+    """concept, label, kind, word of a JSON lexicon: one row for each distinct alias, keyword and exclusion, in lower case.
+    An alias of several concepts belongs to the last of them by id."""
+    raw = spark.read.schema("id string, label string, aliases array<string>, keywords array<string>, exclusions array<string>").json(path)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("words")) for k, c in (("alias", "aliases"), ("keyword", "keywords"), ("exclusion", "exclusions"))])
+    words = raw.select("id", "label", F.explode(kinds).alias("x")).select(F.col("id").alias("concept"), "label", "x.kind", F.explode("x.words").alias("word"))
+    words = words.select("concept", "label", "kind", F.lower("word").alias("word")).distinct()
+    last = F.when(F.col("kind") == "alias", F.max("concept").over(Window.partitionBy("kind", "word"))).otherwise(F.col("concept"))
+    return words.withColumn("last", last).filter("last = concept").drop("last")
+
+
+def concept_anchors(spark, d) -> DataFrame:
+    """concept, doc_id, i: four documents with the smallest ids of the source that each concept is given."""
+    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    docs = read_table(spark, d, "documents").select("source", "doc_id").filter(F.col("source").isin(*[f"src{i}" for i in range(len(CONCEPTS))])).withColumn("i", at).filter("i <= 4")
+    names = F.array(*[F.lit(c["id"]) for c in CONCEPTS])
+    return docs.select(F.element_at(names, (F.regexp_extract("source", "([0-9]+)", 1).cast("int") + 1)).alias("concept"), "doc_id", (F.col("i") - 1).alias("i"))
+
+
+def concept_scores(docs: DataFrame, lexicon: DataFrame, anchors: DataFrame) -> DataFrame:
+    """concept, doc_id, hits, score, anchor: documents with a concept's keywords, whole or by their first four letters,
+    scored by density; anchors by their place. A document with an exclusion word stays only if it is an anchor."""
+    size = lexicon.filter("kind = 'keyword'").groupBy("concept").agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)))).alias("w"))
+    asked = lexicon.filter("length(word) >= 3").withColumn("stem", F.left("word", F.lit(4)))
+    keys = asked.select(F.col("stem").alias("key")).distinct()
+    near = words.withColumn("key", F.left("w", F.lit(4))).join(F.broadcast(keys), "key")
+    hit = near.join(F.broadcast(asked), near.key == asked.stem)
+    stemmed = (F.length("word") >= 4) & (F.col("kind") == "keyword")
+    hit = hit.filter((F.col("w") == F.col("word")) | stemmed).groupBy("concept", "doc_id").agg(F.countDistinct(F.when(F.col("kind") == "keyword", F.col("word"))).alias("hits"), F.max((F.col("kind") == "exclusion").cast("int")).alias("excluded"))
+    place = F.col("i")
+    many = anchors.groupBy("concept").agg(F.count(F.lit(1)).alias("anchors"))
+    ranked = anchors.join(many, "concept").select("concept", "doc_id", F.least(F.lit(0.97), 0.93 + (F.col("anchors") - place) * 0.015).alias("anchor_score"))
+    both = hit.join(ranked, ["concept", "doc_id"], "full").join(size, "concept").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    dense = F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(3), F.least(F.lit(8), F.floor(F.col("n") / 4))))
+    keyword = F.least(F.lit(0.94), 0.42 + dense * 0.38 + F.least(F.lit(0.12), F.col("hits") * 0.03))
+    anchor = F.col("anchor_score").isNotNull()
+    kept = both.filter(anchor | ((F.coalesce("excluded", F.lit(0)) == 0) & (F.col("hits") > 0)))
+    return kept.select("concept", "doc_id", F.col("hits").cast("long").alias("hits"), F.round(F.coalesce("anchor_score", keyword), 6).alias("score"), anchor.alias("anchor"))
 
 
 def a12_g7_concepts(spark, d):
-    """Documents by concept: keyword density over distinct keywords, excluded where an exclusion word stands."""
-    lexicon = spark.createDataFrame([(c, w, kind) for c, a, k, e in CONCEPTS for kind, words in (("alias", a), ("keyword", k), ("exclusion", e)) for w in words], "concept string, token string, kind string")
-    posted = postings(read_table(spark, d, "documents").select("doc_id", "text"), lexicon)
-    hit = posted.join(F.broadcast(lexicon), "token").groupBy("doc_id", "concept").agg(F.count_if(F.col("kind") == "alias").alias("aliases"), F.count_if(F.col("kind") == "keyword").alias("keywords"), F.sum("tf").alias("hits"), F.max((F.col("kind") == "exclusion").cast("int")).alias("excluded"))
-    score = F.least(F.lit(0.94), 0.5 + 0.2 * F.col("aliases") + 0.1 * F.col("keywords"))
-    return hit.filter("excluded = 0").select("doc_id", "concept", "hits", F.round(score, 6).alias("score"))
+    """A lexicon file read back, and every document's score for each of its concepts."""
+    path = f"{shared_dir(spark)}/lexiforge/lexicon-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(c),) for c in CONCEPTS], "value string").write.text(path)
+    return concept_scores(read_table(spark, d, "documents").select("doc_id", "text"), read_lexicon(spark, path), concept_anchors(spark, d))
+
+
+def f15_theme_rank(spark, d):
+    """The fifty best documents of each concept: those with a thankful word of the last concept before others, then
+    anchors, then by score."""
+    docs = read_table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    scored = a12_g7_concepts(spark, d).join(docs, "doc_id")
+    lifted = ~F.col("anchor") & (F.col("concept") == CONCEPTS[-1]["id"]) & F.col("text").rlike("(^|[^a-z])(there|thing)([^a-z]|$)")
+    order = [F.desc(lifted), F.desc("anchor"), F.desc("score"), F.col("doc_id")]
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy(*order)))
+    return ranked.filter("rank <= 50").select("concept", "doc_id", "score", "rank")
 
 
 def d14_baseline_comparison(spark, d):
-    """Cases whose current best rank is missing or worse than in the baseline (a smaller k)."""
-    from .retrieval_queries import coverage_search
+    """Cases whose relevant document the current search (coverage) ranks worse than the baseline (BM25), or not at all."""
+    from .retrieval_queries import bm25, coverage_search
+    from .search_queries import targets
 
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
-    now = coverage_search(passages(spark, d), docs.filter("doc_id % 3 <> 0"), 5).filter("rank = 1").select("query_id", F.col("score").alias("now"))
-    base = coverage_search(passages(spark, d), docs, 5).filter("rank = 1").select("query_id", F.col("score").alias("base"))
-    return base.join(now, "query_id", "left").filter(F.col("now").isNull() | (F.col("now") < F.col("base")))
+    relevant = stored(targets(spark, d), "targets")
+    first = lambda found, c: found.join(relevant, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias(c))
+    now = first(coverage_search(passages(spark, d), read_table(spark, d, "documents").select("doc_id", "text"), 20), "now")
+    return first(bm25(spark, d), "base").join(now, "query_id", "left").filter(F.col("now").isNull() | (F.col("now") > F.col("base")))
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "abcdg" and name[1].isdigit()}
+QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "abcdfg" and name[1].isdigit()}
 
 BROKEN = "CASE p_partkey % 3 WHEN 0 THEN substr(lower(p_name), 2, 1) || substr(lower(p_name), 1, 1) || substr(lower(p_name), 3) WHEN 1 THEN substr(lower(p_name), 1, 2) || substr(lower(p_name), 4) ELSE lower(p_name) END"
 NEAR = f"""asked AS (SELECT DISTINCT unnest(string_split({BROKEN}, ' ')) AS token FROM part), words AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part),
  near AS (SELECT token, word, CAST(damerau_levenshtein(token, word) AS INT) AS distance FROM asked, words WHERE length(token) > 2 AND damerau_levenshtein(token, word) <= CASE WHEN length(token) <= 4 THEN 1 ELSE 2 END)"""
 GRAMS = "list_distinct(list_filter(list_transform(range(1, greatest(length(replace({0}, ' ', '')) - 2, 1) + 1), lambda i: substr(replace({0}, ' ', ''), i, 3)), lambda g: g <> ''))"
-LEXICON = "(VALUES " + ", ".join(f"('{c}', '{w}', '{kind}')" for c, a, k, e in CONCEPTS for kind, words in (("alias", a), ("keyword", k), ("exclusion", e)) for w in words) + ") AS l(concept, token, kind)"
-
-
-def _coverage(where: str) -> str:
-    from .retrieval_queries import SQL as RETRIEVAL
-
-    return "(SELECT query_id, score FROM (" + RETRIEVAL["g2_d9_f3_coverage_top10"].replace("FROM documents", f"FROM (SELECT * FROM documents WHERE {where}) AS documents") + ") WHERE rank = 1)"
+LEXICON = "(VALUES " + ", ".join(f"('{c}', '{kind}', '{w}')" for c, kind, w in sorted({(c["id"], kind, w) for c in CONCEPTS for kind, k in (("keyword", "keywords"), ("exclusion", "exclusions")) for w in c[k]})) + ") AS l(concept, kind, word)"
+CONCEPTS_SQL = f"""WITH l AS (SELECT * FROM {LEXICON}), s AS (SELECT concept, count(*) AS n FROM l WHERE kind = 'keyword' GROUP BY 1),
+ w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS w FROM documents),
+ h AS (SELECT concept, doc_id, count(DISTINCT word) FILTER (WHERE kind = 'keyword') AS hits, max((kind = 'exclusion')::INT) AS x FROM w JOIN l ON w = word OR (kind = 'keyword' AND length(word) >= 4 AND left(w, 4) = left(word, 4)) GROUP BY 1, 2),
+ a AS (SELECT [{', '.join(q(c['id']) for c in CONCEPTS)}][CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) + 1] AS concept, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i
+   FROM documents WHERE source IN ({', '.join(f"'src{i}'" for i in range(len(CONCEPTS)))}) QUALIFY i < 4),
+ r AS (SELECT concept, doc_id, least(0.97, 0.93 + (count(*) OVER (PARTITION BY concept) - i) * 0.015) AS anchor FROM a),
+ b AS (SELECT coalesce(h.concept, r.concept) AS concept, coalesce(h.doc_id, r.doc_id) AS doc_id, coalesce(hits, 0) AS hits, coalesce(x, 0) AS x, anchor FROM h FULL JOIN r ON h.concept = r.concept AND h.doc_id = r.doc_id),
+ scored AS (SELECT concept, doc_id, hits, round(coalesce(anchor, least(0.94, 0.42 + least(1.0, hits / greatest(3, least(8, n // 4))) * 0.38 + least(0.12, hits * 0.03))), 6)::DOUBLE AS score, anchor IS NOT NULL AS anchor
+   FROM b JOIN s USING (concept) WHERE anchor IS NOT NULL OR (x = 0 AND hits > 0))"""
 
 
 SQL = {
@@ -164,19 +215,34 @@ SQL = {
     "g8_correct_typos": f"""WITH {NEAR}, best AS (SELECT token, word FROM near WHERE token NOT IN (SELECT word FROM words) QUALIFY row_number() OVER (PARTITION BY token ORDER BY distance, length(word) DESC, word) = 1),
  q AS (SELECT p_partkey, {BROKEN} AS query, unnest(string_split({BROKEN}, ' ')) AS token, generate_subscripts(string_split({BROKEN}, ' '), 1) AS pos FROM part),
  f AS (SELECT p_partkey, query, string_agg(coalesce(word, token), ' ' ORDER BY pos) AS corrected FROM q LEFT JOIN best USING (token) GROUP BY 1, 2) SELECT * FROM f WHERE query <> corrected""",
-    "c5_ngram_overlap": f"""WITH q AS (SELECT p_partkey AS query_id, p_brand, {GRAMS.format(BROKEN)} AS q FROM part WHERE p_partkey % 20 = 0), t AS (SELECT p_partkey, p_brand, {GRAMS.format('lower(p_name)')} AS g FROM part)
- SELECT query_id, p_partkey, round(len(list_intersect(q, g)) / len(q), 6) AS overlap FROM q JOIN t USING (p_brand) WHERE len(list_intersect(q, g)) > 0""",
-    "b24_classify_queries": f"""WITH q AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN array_to_string(list_slice(string_split({HEAD_SQL}, ' '), 1, 3), ' ') ELSE {HEAD_SQL} END AS query FROM benchmark),
- t AS (SELECT query_id, unnest(list_filter(string_split(trim(regexp_replace(lower(query), '[^a-z0-9'']+', ' ', 'g')), ' '), lambda w: w <> '')) AS token FROM q),
- k AS (SELECT DISTINCT unnest({sql_tokens('text')}) AS token FROM documents WHERE doc_id % 2 = 0),
- s AS (SELECT query_id, count(*) AS n, avg(CASE WHEN k.token IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM t LEFT JOIN k USING (token) GROUP BY 1),
- c AS (SELECT query_id, n, round(share, 6) AS share, CASE WHEN n BETWEEN 2 AND 4 AND share < 0.5 THEN 'transliteration' WHEN n > 4 THEN 'descriptive' ELSE 'keyword' END AS kind FROM s)
- SELECT *, CASE kind WHEN 'transliteration' THEN 0.50 WHEN 'descriptive' THEN 0.10 ELSE 0.40 END::DOUBLE AS phonetic, CASE kind WHEN 'transliteration' THEN 0.30 WHEN 'descriptive' THEN 0.75 ELSE 0.35 END::DOUBLE AS semantic,
-  CASE kind WHEN 'transliteration' THEN 0.20 ELSE 0.15 END::DOUBLE AS lexical FROM c""",
-    "a12_g7_concepts": f"""WITH p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents) GROUP BY 1, 2),
- h AS (SELECT doc_id, concept, count(*) FILTER (WHERE kind = 'alias') AS a, count(*) FILTER (WHERE kind = 'keyword') AS k, CAST(sum(tf) AS BIGINT) AS hits, max((kind = 'exclusion')::INT) AS x FROM p JOIN {LEXICON} USING (token) GROUP BY 1, 2)
- SELECT doc_id, concept, hits, round(least(0.94, 0.5 + 0.2 * a + 0.1 * k), 6)::DOUBLE AS score FROM h WHERE x = 0""",
-    "b21_synonyms": f"""WITH t AS (SELECT item_id, list_distinct_in_order AS w FROM (SELECT item_id, list_filter(x, lambda e, i: list_position(x, e) = i) AS list_distinct_in_order FROM
- (SELECT item_id, list_concat(list_concat(['oceans', 'sea', 'mix'], {sql_tokens('text', True)}), ['seas', 'barrier']) AS x FROM benchmark))) SELECT item_id, array_to_string(w, ' ') AS expanded FROM t""",
-    "d14_baseline_comparison": f"SELECT b.query_id, b.score AS base, n.score AS now FROM {_coverage('true')} b LEFT JOIN {_coverage('doc_id % 3 <> 0')} n USING (query_id) WHERE n.score IS NULL OR n.score < b.score",
+    "c5_ngram_overlap": f"""WITH q AS (SELECT query, {GRAMS.format('query')} AS q FROM (SELECT DISTINCT {BROKEN} AS query FROM part)), t AS (SELECT name, {GRAMS.format('name')} AS g FROM (SELECT DISTINCT lower(p_name) AS name FROM part))
+ SELECT query, name, round(len(list_intersect(q, g)) / len(q), 6) AS overlap FROM q, t WHERE len(list_intersect(q, g)) > 0""",
+    "b24_classify_queries": f"""WITH q AS (SELECT item_id AS query_id, CASE WHEN item_id % 5 = 3 THEN {ARABIC_TEXT} WHEN item_id % 5 < 3 THEN [{', '.join(map(q, PLANTED))}][item_id % 5 + 1] ELSE text END AS query FROM benchmark),
+ k AS (SELECT DISTINCT unnest({sql_tokens('text')}) AS token FROM documents),
+ t AS (SELECT query_id, unnest(list_filter(regexp_extract_all(lower(query), '[a-z'']+'), lambda w: length(w) > 2)) AS token FROM q),
+ s AS (SELECT query_id, avg(CASE WHEN k.token IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM t LEFT JOIN k USING (token) GROUP BY 1),
+ n AS (SELECT query_id, query, len(list_filter(regexp_split_to_array(trim(query), '[ \\t\\n\\r]+'), lambda w: w <> '')) AS n, coalesce(share, 0) AS share, regexp_replace(query, '[ \\t\\n\\r]', '', 'g') AS l FROM q LEFT JOIN s USING (query_id)),
+ c AS (SELECT query_id, n, round(share, 6) AS share, CASE WHEN len(regexp_extract_all(l, '[؀-ۿ]')) > 0.40 * length(l) THEN 'arabic' WHEN n BETWEEN 2 AND 4 AND {sql_search_type('query')} = 'transliteration' AND share < 0.5 THEN 'transliteration' WHEN n > 4 THEN 'descriptive' ELSE 'keyword' END AS kind FROM n)
+ SELECT *, CASE kind WHEN 'arabic' THEN 0.55 WHEN 'transliteration' THEN 0.50 WHEN 'descriptive' THEN 0.10 ELSE 0.40 END::DOUBLE AS w_phonetic, CASE kind WHEN 'arabic' THEN 0.30 WHEN 'transliteration' THEN 0.30 WHEN 'descriptive' THEN 0.75 ELSE 0.35 END::DOUBLE AS w_semantic,
+  CASE kind WHEN 'transliteration' THEN 0.20 ELSE 0.15 END::DOUBLE AS w_lexical FROM c""",
+    "a12_g7_concepts": CONCEPTS_SQL + " SELECT concept, doc_id, hits, score, anchor FROM scored",
+    "f15_theme_rank": CONCEPTS_SQL
+    + f""" SELECT concept, doc_id, score, row_number() OVER (PARTITION BY concept ORDER BY (NOT anchor AND concept = '{CONCEPTS[-1]['id']}' AND regexp_matches(lower(text), '(^|[^a-z])(there|thing)([^a-z]|$)')) DESC, anchor DESC, score DESC, doc_id) AS rank
+ FROM scored JOIN documents USING (doc_id) QUALIFY rank <= 50""",
+    "b21_synonyms": f"""WITH s AS (SELECT * FROM (VALUES {', '.join(f"({q(k)}, [{', '.join(map(q, v))}])" for k, v in SYNONYMS.items())}) AS s(k, v)),
+ t AS (SELECT item_id, list_concat([[{', '.join(map(q, SYNONYMS))}][item_id % {len(SYNONYMS)} + 1]], {sql_tokens('text', True)}) AS x FROM benchmark),
+ u AS (SELECT item_id, i AS a, 0 AS b, x[i] AS w FROM t, range(1, 100000) r(i) WHERE i <= len(x) UNION ALL SELECT item_id, 100000 + i, j, v[j] FROM t, range(1, 100000) r(i), s, range(1, 4) z(j) WHERE i <= len(x) AND x[i] = k AND j <= len(v)),
+ f AS (SELECT item_id, w, min((a, b)) AS o FROM u GROUP BY 1, 2) SELECT item_id, string_agg(w, ' ' ORDER BY o) AS expanded FROM f GROUP BY 1""",
 }
+
+
+def _baseline_sql() -> str:
+    from .retrieval_queries import SQL as RETRIEVAL
+    from .search_queries import BASE_SQL, TOP_SQL
+
+    first = "SELECT query_id, min(rank) AS {1} FROM ({0}) x JOIN benchmark b ON query_id = item_id JOIN documents d USING (doc_id) WHERE contains(d.text, b.text) GROUP BY 1"
+    now = first.format(BASE_SQL + TOP_SQL + " SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 20", "now")
+    return f"SELECT query_id, base, now FROM ({first.format(RETRIEVAL['g4_bm25'], 'base')}) LEFT JOIN ({now}) USING (query_id) WHERE now IS NULL OR now > base"
+
+
+SQL["d14_baseline_comparison"] = _baseline_sql()

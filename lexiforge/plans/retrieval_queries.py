@@ -14,18 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import read_table
-from .text_queries import sql_tokens
+from ..sources.tables import read_table, stored
+from .text_queries import SOUND_KEY_SQL, sql_tokens
 
-QUERY_WORDS = 12
 UNKNOWN_WEIGHT = 2.0
 K1, B = 1.2, 0.75
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
-    """Queries: the first words of each benchmark passage."""
-    head = F.array_join(F.slice(F.split("text", "[ \\n]+"), 1, QUERY_WORDS), " ")
-    return read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), head.alias("query"))
+    """Queries: the benchmark passages, whole."""
+    return read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -84,21 +82,31 @@ def term_frequency(spark, d):
 
 
 def bm25(spark, d):
-    """Real document frequencies and average length; best of text (1) and source (2) fields, divided by the query's best."""
-    docs = read_table(spark, d, "documents").select("doc_id", "text", "source")
-    asked = query_tokens(passages(spark, d))
-    lengths = docs.select("doc_id", F.size(T.content_tokens(F.col("text"))).cast("double").alias("dl"))
-    mean = lengths.agg(F.avg("dl").alias("avg_dl"))
-    posted = postings(docs, asked)
-    weights = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size_of(docs))).select("token", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("w"))
-    hit = asked.join(weights, "token").join(posted, "token").join(lengths, "doc_id").crossJoin(F.broadcast(mean))
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    text = hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"))
+    """Best of two fields, text (boost 2) and its sound (boost 1), each with its own document frequencies and average
+    length; divided by the query's best."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    fields = ((2.0, docs, passages(spark, d)), (1.0, docs.withColumn("text", T.phonetic_latin(F.col("text"))), passages(spark, d).withColumn("query", T.phonetic_latin(F.col("query")))))
+    rows = [bm25_field(queries, texts).withColumn("raw", F.col("raw") * boost) for boost, texts, queries in fields]
+    text = rows[0].unionByName(rows[1]).groupBy("query_id", "doc_id").agg(F.max("raw").alias("raw"))
     best = F.max("raw").over(Window.partitionBy("query_id"))
     scored = text.withColumn("score", F.round(F.col("raw") / best, 6))
     return top_k(scored, 20, F.desc("score")).select("query_id", "doc_id", "score", "rank")
 
 
+def bm25_field(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, doc_id, raw: one tokenising scan of the documents serves lengths, frequencies and postings."""
+    asked = query_tokens(queries)
+    held = stored(docs.select("doc_id", T.content_tokens(F.col("text")).alias("tokens"), (F.coalesce("text", F.lit("")) != "").alias("filled")), "bm25")
+    lengths = held.select("doc_id", F.size("tokens").cast("double").alias("dl"))
+    mean = held.agg(F.avg(F.size("tokens")).alias("avg_dl"), F.count_if("filled").alias("n_docs"))
+    words = held.select("doc_id", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    posted = stored(words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf")).join(lengths, "doc_id"), "postings")
+    weights = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(mean)).select("token", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("w"))
+    hit = asked.join(weights, "token").join(posted, "token")
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"))
+
+
 def set_similarities(spark, d):
     """Token Jaccard, overlap and cheap overlap of every query with every document that shares a token."""
     queries = passages(spark, d)
@@ -143,8 +151,9 @@ def block_search(rows: DataFrame, asked: DataFrame, k: int, metric: str) -> Data
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                ids, vs, qids, qs = (batch.column(c)[at].as_py() for c in ("ids", "vs", "qids", "qs"))
-                a, b, ids = np.array(qs, dtype=np.float64), np.array(vs, dtype=np.float64), np.array(ids)
+                ids, vs, qids, qs = (batch.column(c)[at].values for c in ("ids", "vs", "qids", "qs"))
+                ids, qids = ids.to_numpy(), qids.to_numpy()
+                a, b = (x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(n), -1) for x, n in ((qs, qids), (vs, ids)))
                 if metric == "inner":
                     score = a @ b.T / np.linalg.norm(a, axis=1)[:, None]
                 else:
@@ -216,20 +225,25 @@ DOMINANT_GAP, DOMINANT_RATIO = 0.08, 1.28
 MIN_STRENGTH, CLUSTER_RATIO, CLUSTER_GAP = 0.42, 0.72, 0.14
 
 
-def ranked_signals(spark: SparkSession, d: str) -> DataFrame:
-    rows = top_k(fused(spark, d), 20, F.desc("raw"))
+def with_tops(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.select("*", *[F.first(c).over(w).alias(f"top_{c}") for c in ("strength", "lexical", "raw", "phonetic", "semantic")])
 
 
 def calibrate(spark, d):
-    """Repeated prefix, else a dominant first row, else a cluster; each row's confidence. One shuffle by query."""
+    made = calibrated(top_k(fused(spark, d), 20, F.desc("raw")))
+    return made.select("query_id", "doc_id", "rank", "mode", F.round("confidence", 5).alias("confidence"))
+
+
+def calibrated(ranked: DataFrame) -> DataFrame:
+    """Ranked rows with raw, strength and signals -> those presented, with mode and confidence: a repeated prefix, else a
+    dominant first row, else a cluster. One shuffle by query."""
     gap = F.col("top_strength") - F.col("strength")
     tie = ((F.col("lexical") >= REPEATED) & (gap <= REPEATED_GAP)) | ((F.col("top_strength") >= EXACT) & (F.col("strength") >= 0.88) & (gap <= 0.04))
     can = (F.col("top_lexical") >= REPEATED) | (F.col("top_strength") >= EXACT)
     whole = Window.partitionBy("query_id")
     running = whole.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranked_signals(spark, d).withColumn("broken", F.max(F.when((F.col("rank") > 1) & ~tie, 1).otherwise(0)).over(running))
+    rows = with_tops(ranked).withColumn("broken", F.max(F.when((F.col("rank") > 1) & ~tie, 1).otherwise(0)).over(running))
     rows = rows.withColumn("in_prefix", can & (F.col("broken") == 0)).withColumn("prefix", F.sum(F.col("in_prefix").cast("int")).over(whole))
     second = lambda c: F.max(F.when(F.col("rank") == 2, F.col(c))).over(whole)
     s2, l2, p2, r2 = (second(c) for c in ("strength", "lexical", "phonetic", "raw"))
@@ -246,12 +260,12 @@ def calibrate(spark, d):
     near = F.when(F.col("top_raw") > 1e-9, F.col("raw") / F.col("top_raw")).otherwise(1.0)
     base = (0.52 + 0.36 * s) * (0.78 + 0.22 * near) * F.pow(F.lit(0.93), F.col("at"))
     lifted = F.when((F.col("at") == 0) & (F.col("strength") >= STRONG), F.greatest(base, high - 0.06)).otherwise(base)
-    confidence = F.when(F.col("mode") == "dominant", high).otherwise(F.least(F.lit(0.94), F.greatest(F.lit(0.38), lifted)))
-    return rows.select("query_id", "doc_id", "rank", "mode", F.round(confidence, 5).alias("confidence"))
+    held = F.least(F.lit(0.94), F.greatest(F.lit(0.38), lifted))
+    held = F.when((F.col("mode") == "repeated") & (F.col("strength") >= EXACT), F.greatest(held, high - 0.03 * F.col("at"))).otherwise(held)
+    return rows.select("query_id", "doc_id", "rank", "mode", F.when(F.col("mode") == "dominant", high).otherwise(held).alias("confidence"))
 
 
-HEAD_SQL = f"array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, {QUERY_WORDS}), ' ')"
-BASE_SQL = f"""WITH asked AS (SELECT DISTINCT item_id AS query_id, unnest({sql_tokens(HEAD_SQL, True)}) AS token FROM benchmark),
+BASE_SQL = f"""WITH asked AS (SELECT DISTINCT item_id AS query_id, unnest({sql_tokens('text', True)}) AS token FROM benchmark),
  words AS (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents), posted AS (SELECT doc_id, token, count(*) AS tf FROM words GROUP BY 1, 2),
  size AS (SELECT count(*) AS n FROM documents WHERE text <> ''), dfs AS (SELECT token, count(*) AS df FROM posted GROUP BY 1),
  lens AS (SELECT doc_id, len({sql_tokens('text')})::DOUBLE AS dl, len(list_distinct({sql_tokens('text')})) AS nd FROM documents),
@@ -297,9 +311,16 @@ SQL = {
     "e1_document_frequency": BASE_SQL + "SELECT token, df, round(ln((n + 1) / (1.0 + df)) + 1, 6) AS idf FROM dfs, size",
     "e2_vocabulary": BASE_SQL + "SELECT DISTINCT token AS word FROM words",
     "e8_term_frequency": BASE_SQL + "SELECT * FROM posted",
-    "g4_bm25": BASE_SQL
-    + f""", s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl / (SELECT avg(dl) FROM lens)))) AS raw
-   FROM asked JOIN posted USING (token) JOIN dfs USING (token) JOIN lens USING (doc_id), size GROUP BY 1, 2), x AS (SELECT query_id, doc_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM s)
+    "g4_bm25": "WITH "
+    + ", ".join(
+        f"""a{i} AS (SELECT DISTINCT item_id AS query_id, unnest({sql_tokens(c, True)}) AS token FROM benchmark),
+ t{i} AS (SELECT doc_id, {sql_tokens(c)} AS ts FROM documents), p{i} AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS token FROM t{i}) GROUP BY 1, 2),
+ d{i} AS (SELECT token, count(*) AS df FROM p{i} GROUP BY 1), n{i} AS (SELECT avg(len(ts)) AS mean, (SELECT count(*) FROM documents WHERE {c} <> '') AS n FROM t{i}),
+ s{i} AS (SELECT query_id, doc_id, {boost} * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * len(ts) / mean))) AS raw
+   FROM a{i} JOIN p{i} USING (token) JOIN d{i} USING (token) JOIN t{i} USING (doc_id), n{i} GROUP BY 1, 2)"""
+        for i, (boost, c) in enumerate(((2.0, "text"), (1.0, SOUND_KEY_SQL)))
+    )
+    + """, u AS (SELECT query_id, doc_id, max(raw) AS raw FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1) GROUP BY 1, 2), x AS (SELECT query_id, doc_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM u)
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 20""",
     "c2_c3_c9_set_similarities": BASE_SQL + "SELECT * FROM sims",
     "c6_bm25_token_score": BASE_SQL
@@ -322,5 +343,6 @@ SQL = {
  c AS (SELECT *, least(1.0, greatest(0.0, strength)) AS s, CASE WHEN tr > 1e-9 THEN raw / tr ELSE 1.0 END AS near FROM k),
  h AS (SELECT *, CASE WHEN s >= 0.96 THEN 0.98 WHEN s >= 0.90 THEN 0.90 + 0.08 * (s - 0.90) / 0.06 WHEN s >= 0.82 THEN 0.88 + 0.02 * (s - 0.82) / 0.08 ELSE 0.82 + 0.06 * s / 0.82 END AS high,
    (0.52 + 0.36 * s) * (0.78 + 0.22 * near) * pow(0.93, pos) AS base FROM c)
- SELECT query_id, doc_id, rank, mode, round(CASE WHEN mode = 'dominant' THEN high ELSE least(0.94, greatest(0.38, CASE WHEN pos = 0 AND strength >= {STRONG} THEN greatest(base, high - 0.06) ELSE base END)) END, 5) AS confidence FROM h""",
+ SELECT query_id, doc_id, rank, mode, round(CASE WHEN mode = 'dominant' THEN high ELSE greatest(least(0.94, greatest(0.38, CASE WHEN pos = 0 AND strength >= {STRONG} THEN greatest(base, high - 0.06) ELSE base END)),
+   CASE WHEN mode = 'repeated' AND strength >= {EXACT} THEN high - 0.03 * pos ELSE 0 END) END, 5) AS confidence FROM h""",
 }

@@ -11,24 +11,45 @@ from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..sources.tables import read_table, stored
-from .retrieval_queries import BASE_SQL, HEAD_SQL, UNKNOWN_WEIGHT, coverage_search, passages, postings, query_tokens, top_k
+from .retrieval_queries import BASE_SQL, UNKNOWN_WEIGHT, coverage_search, passages, postings, query_tokens, top_k
 from .text_queries import NORM, SPELL_FROM, SPELL_TO, arabic, q, sql_normalize_arabic
 
-#: Fixed values: (needle in a query, stem in a document), each worth a boost.
-HINTS = (("that", "with"), ("this", "from"), ("qui", "que"), ("der", "die"))
+#: Fixed values: (needle in a query, stem in a document) of transliterations, each worth a boost.
+HINTS = (
+    ("zina", "zny"), ("taqrab", "tqrb"), ("rabbana", "rbna"), ("hasanah", "hsnh"), ("yukallif", "yklf"), ("wusaha", "wsah"),
+    ("insan", "nsn"), ("suda", "sd"), ("iyyaka", "ayak"), ("nastain", "nstyn"), ("huwallahu", "allh"), ("ahad", "ahd"),
+    ("huwa", "hw"), ("qul", "ql"),
+)
 HINT, HINT_MANY, HINT_CAP = 0.16, 0.1, 0.38
 #: Words that mark English, particle pairs and names that mark transliteration, softer marks.
-ENGLISH_MARKS = ("the", "not", "where", "who", "what", "which", "when", "how", "why", "about", "god", "say", "people", "mercy", "heart")
-PARTICLES = r"(^|[^a-z])(wa|fa) +(la|ma|bi|li|fi) "
-NAMES = ("huwa", "qul", "ahad", "allahu", "allah", "rabbana")
-SOFT = ("al", "an", "ar", "as", "at", "ad", "az", "wa", "fa", "la")
+ENGLISH_MARKS = (
+    "the", "not", "don't", "dont", "do", "does", "did", "like", "where", "who", "what", "which", "when", "how", "why",
+    "about", "approach", "burden", "soul", "souls", "meaning", "verse", "ayah", "god", "lord", "say", "said", "people",
+    "man", "woman", "forbidden", "sin", "mercy", "pray", "prayer", "worship", "help", "world", "hereafter", "paradise",
+    "hell", "book", "chapter", "surah", "angel", "angels", "prophet", "messenger", "messengers", "mountain", "mountains",
+    "cloud", "clouds", "star", "stars", "earth", "heaven", "heavens", "sky", "sea", "river", "rivers", "fire", "light",
+    "darkness", "water", "wind", "tree", "trees", "sun", "moon", "day", "night", "land", "stone", "stones", "sand",
+    "rain", "thunder", "lightning", "moving", "move", "passing", "pass", "running", "flowing", "see", "look", "swear",
+    "swears", "swore", "believe", "trust", "fear", "love", "hope", "forgive", "forgave", "righteous", "faithful",
+    "grateful", "patient", "merciful", "just", "truth", "wrong", "good", "evil", "heart", "hearts", "eye", "eyes",
+    "hand", "hands", "face", "tongue", "unto", "upon", "those", "indeed", "surely", "truly", "verily",
+)
+PARTICLES = r"(^|[^\p{L}\p{N}_])(wa|fa)[ \t\n\r]+(la|ma|bi|li|fi)[ \t\n\r]+"
+NAMES = (
+    "taqrabu", "yukallifu", "iyyaka", "huwallahu", "huwa", "qul", "ahad", "allahu", "allah", "ayahsabu", "insanu",
+    "rabbana",
+)
+SOFT = (
+    "al", "an", "ar", "as", "at", "ad", "az", "wa", "fa", "la", "huwa", "huwallahu", "iyyaka", "yukallifu", "taqrabu",
+    "ayahsabu", "insanu", "rabbana", "qul", "ahad", "allahu",
+)
 #: Tags that stay, and tags whose content goes too.
 ALLOWED_TAGS = ("p", "br", "strong", "em", "b", "i", "ul", "ol", "li", "blockquote")
 DROPPED_TAGS = ("script", "style")
 
 
 def words_pattern(words) -> str:
-    return f"(^|[^a-z])({'|'.join(words)})([^a-z]|$)"
+    return rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(words)})([^\p{{L}}\p{{N}}_]|$)"
 
 
 def search_type(c: Column) -> Column:
@@ -36,7 +57,7 @@ def search_type(c: Column) -> Column:
     low = F.lower(F.trim(c))
     letters = F.regexp_count(low, F.lit("[a-z]"))
     words = F.filter(F.split(F.trim(F.regexp_replace(low, "[^a-z]+", " ")), " "), lambda w: w != "")
-    stop = F.size(F.filter(words, lambda w: w.isin(*T.STOP_WORDS)))
+    stop = F.size(F.filter(words, lambda w: w.isin(*T.TRANSLIT_STOP_WORDS)))
     return (
         F.when(T.detect_script(c) == "arabic", "arabic")
         .when(letters < 3, "english")
@@ -88,8 +109,13 @@ def sanitize_html(html: pd.Series) -> pd.Series:
     return html.map(clean_html)
 
 
+#: Short queries of every kind, planted among the turns.
+SHORT = ("qul huwa allahu ahad", "wa la taqrabu zina", "alhamdu lillahi rabbil alameen", "mercy", "zz", "he told them of it", "the soul")
+
+
 def b23_search_type(spark, d):
-    rows = read_table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, F.substring_index("text", " ", 4)).otherwise(F.col("text")).alias("t"))
+    short = F.element_at(F.array(*map(F.lit, SHORT)), (F.col("conv_id") % len(SHORT) + 1).cast("int"))
+    rows = read_table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, short).otherwise(F.col("text")).alias("t"))
     return rows.select("conv_id", "turn", search_type(F.when(F.col("conv_id") % 5 == 0, arabic(F.col("t"))).otherwise(F.col("t"))).alias("kind"))
 
 
@@ -97,12 +123,23 @@ def b26_sanitize_html(spark, d):
     return read_table(spark, d, "pages").select("page_id", sanitize_html("html").alias("clean"))
 
 
+def offsets(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `offset`, their place by key from 0. Keys are cut into ranges so wide that their number stays about the
+    square root of the rows; a running sum over the ranges and a window inside each give the place."""
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if not facts["n"]:
+        return rows.withColumn("offset", F.lit(0).cast("long"))
+    width = max(1, -(-(facts["high"] - facts["low"] + 1) // max(1, round(facts["n"] ** 0.5))))
+    cut = rows.withColumn("__part", F.expr(f"({key} - {facts['low']}) div {width}"))
+    before = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = before.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(*[c for c in (key, *rows.columns) if c in rows.columns]))
+    return cut.withColumn("__at", at).join(before, "__part").select(*rows.columns, (F.col("__before") + F.col("__at") - 1).alias("offset"))
+
+
 def a7_fingerprint_offsets(spark, d):
-    """Row position of each vector, found without one window over all, written back to the rows it belongs to."""
-    v = read_table(spark, d, "embeddings").select("vec_id", F.expr("vec_id div 500").alias("part"))
-    before = v.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    at = v.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("vec_id"))).join(before, "part").select("vec_id", (F.col("before") + F.col("at") - 1).alias("offset"))
+    """Row position of each vector, written back to the rows it belongs to."""
+    at = offsets(read_table(spark, d, "embeddings").select("vec_id"), "vec_id")
     docs = read_table(spark, d, "documents").select("doc_id")
     return docs.join(at, F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "offset")
 
@@ -123,14 +160,27 @@ def a13_boundaries(spark, d):
     return per.withColumn("at", at).join(before, "year").select("day", (F.col("before") + F.col("at")).alias("division"))
 
 
+def hint_boost(query: Column, text: Column) -> tuple[Column, Column]:
+    """(hints met, boost) of needles in the query whose stems stand in the text."""
+    met = sum((F.when(F.contains(query, F.lit(a)) & F.contains(text, F.lit(b)), 1).otherwise(0) for a, b in HINTS), F.lit(0))
+    return met, F.least(F.lit(HINT_CAP), HINT * met + F.when(met >= 3, HINT_MANY).otherwise(0.0))
+
+
+def planted(c: Column, key: str, side: int) -> Column:
+    """Text followed by the hint words that its id picks, so that hints are met."""
+    words = F.array(*[F.lit(h[side]) for h in HINTS])
+    return F.concat_ws(" ", F.lower(c), *[F.element_at(words, (F.pmod(F.col(key) * k, F.lit(len(HINTS))) + 1).cast("int")) for k in (1, 3, 5)])
+
+
 def c15_hint_boost(spark, d):
-    """Pairs of a needle in the query and a stem in the document, over pairs that share a token."""
+    """Hints met by every pair of a passage and a document that share a token."""
     queries = passages(spark, d)
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    pairs = coverage_search(queries, docs, 20).select("query_id", "doc_id").join(queries, "query_id").join(docs, "doc_id")
-    met = sum((F.when(F.lower("query").contains(a) & F.lower("text").contains(b), 1).otherwise(0) for a, b in HINTS), F.lit(0))
-    made = pairs.select("query_id", "doc_id", met.cast("long").alias("met"))
-    return made.withColumn("boost", F.round(F.least(F.lit(HINT_CAP), HINT * F.col("met") + F.when(F.col("met") >= 3, HINT_MANY).otherwise(0.0)), 6))
+    asked = query_tokens(queries)
+    pairs = asked.join(postings(docs, asked), "token").select("query_id", "doc_id").distinct()
+    pairs = pairs.join(queries.select("query_id", planted(F.col("query"), "query_id", 0).alias("q")), "query_id").join(docs.select("doc_id", planted(F.col("text"), "doc_id", 1).alias("t")), "doc_id")
+    met, boost = hint_boost(F.col("q"), F.col("t"))
+    return pairs.select("query_id", "doc_id", met.cast("long").alias("met"), F.round(boost, 6).alias("boost"))
 
 
 def targets(spark, d) -> DataFrame:
@@ -208,30 +258,32 @@ def sql_search_type(c: str) -> str:
     low = f"lower(trim({c}))"
     letters = f"len(regexp_extract_all({low}, '[a-z]'))"
     words = f"list_filter(string_split(trim(regexp_replace({low}, '[^a-z]+', ' ', 'g')), ' '), lambda w: w <> '')"
-    stop = f"len(list_filter({words}, lambda w: w IN ({', '.join(map(q, T.STOP_WORDS))})))"
-    return f"""CASE WHEN len(regexp_extract_all({c}, '[؀-ۿ]')) > length({c}) * 0.3 THEN 'arabic' WHEN {letters} < 3 THEN 'english' WHEN regexp_matches({low}, '{words_pattern(ENGLISH_MARKS)}') THEN 'english'
+    stop = f"len(list_filter({words}, lambda w: w IN ({', '.join(map(q, T.TRANSLIT_STOP_WORDS))})))"
+    return f"""CASE WHEN len(regexp_extract_all({c}, '[؀-ۿ]')) > length({c}) * 0.3 THEN 'arabic' WHEN {letters} < 3 THEN 'english' WHEN regexp_matches({low}, {q(words_pattern(ENGLISH_MARKS))}) THEN 'english'
  WHEN regexp_matches({low}, '{PARTICLES}') OR regexp_matches({low}, '{words_pattern(NAMES)}') OR regexp_matches({low}, '{words_pattern(SOFT)}') THEN 'transliteration'
  WHEN {stop} >= 2 OR (len({words}) >= 3 AND {stop} / len({words}) >= 0.34) THEN 'english' WHEN len({words}) <= 8 AND {letters} / greatest(length({low}), 1) > 0.75 THEN 'transliteration' ELSE 'english' END"""
 
 
-HEAD4 = "array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')"
+NEEDLES, STEMS = (f"[{', '.join(q(h[side]) for h in HINTS)}]" for side in (0, 1))
+SHORT_SQL = f"[{', '.join(map(q, SHORT))}][conv_id % {len(SHORT)} + 1]"
 TOP_SQL = f""", w AS (SELECT query_id, token, coalesce(ln((n + 1) / (1.0 + df)) + 1, {UNKNOWN_WEIGHT}) AS w FROM asked LEFT JOIN dfs USING (token), size),
  s AS (SELECT query_id, doc_id, round(sum(w) / (SELECT sum(w) FROM w x WHERE x.query_id = w.query_id), 6) AS score FROM w JOIN posted USING (token) GROUP BY 1, 2),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
 
 SQL = {
-    "b23_search_type": f"SELECT conv_id, turn, {sql_search_type('t')} AS kind FROM (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN translate(lower(t), 'abcdefghijklmnopqrstuvwxyz', 'ابكدةفجهيحخلمنوثقرسطؤعشصىز') ELSE t END AS t FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN {HEAD4} ELSE text END AS t FROM conversations))",
+    "b23_search_type": f"SELECT conv_id, turn, {sql_search_type('t')} AS kind FROM (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN translate(lower(t), 'abcdefghijklmnopqrstuvwxyz', 'ابكدةفجهيحخلمنوثقرسطؤعشصىز') ELSE t END AS t FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN {SHORT_SQL} ELSE text END AS t FROM conversations))",
     "a7_fingerprint_offsets": 'SELECT doc_id, o AS "offset" FROM documents LEFT JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS o FROM embeddings) ON doc_id = vec_id',
     "a4_refresh_table": "SELECT source, count(*) AS rows FROM documents GROUP BY 1",
     "a13_boundaries": "SELECT day, row_number() OVER (ORDER BY day) AS division FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) WHERE dayofyear(day) % 10 = 1",
     "c15_hint_boost": BASE_SQL
-    + TOP_SQL
-    + f""", h AS (SELECT r.query_id, r.doc_id, {' + '.join(f"(contains(lower({HEAD_SQL.replace('text', 'b.text')}), '{a}') AND contains(lower(d.text), '{b}'))::BIGINT" for a, b in HINTS)} AS met
- FROM ranked r JOIN benchmark b ON r.query_id = b.item_id JOIN documents d ON r.doc_id = d.doc_id WHERE rank <= 20) SELECT query_id, doc_id, met, round(least({HINT_CAP}, {HINT} * met + CASE WHEN met >= 3 THEN {HINT_MANY} ELSE 0.0 END), 6)::DOUBLE AS boost FROM h""",
+    + f""", b AS (SELECT item_id AS query_id, concat_ws(' ', lower(text), {", ".join(f"{NEEDLES}[item_id * {k} % {len(HINTS)} + 1]" for k in (1, 3, 5))}) AS q FROM benchmark),
+ t AS (SELECT doc_id, concat_ws(' ', lower(text), {", ".join(f"{STEMS}[doc_id * {k} % {len(HINTS)} + 1]" for k in (1, 3, 5))}) AS t FROM documents),
+ h AS (SELECT query_id, doc_id, {' + '.join(f"(contains(q, '{a}') AND contains(t, '{b}'))::BIGINT" for a, b in HINTS)} AS met
+ FROM (SELECT DISTINCT query_id, doc_id FROM asked JOIN posted USING (token)) JOIN b USING (query_id) JOIN t USING (doc_id)) SELECT query_id, doc_id, met, round(least({HINT_CAP}, {HINT} * met + CASE WHEN met >= 3 THEN {HINT_MANY} ELSE 0.0 END), 6)::DOUBLE AS boost FROM h""",
     "d8_f16_first_relevant": BASE_SQL + TOP_SQL + " SELECT item_id AS query_id, min(rank) FILTER (WHERE contains(d.text, b.text)) AS rank FROM benchmark b LEFT JOIN ranked r ON r.query_id = item_id AND rank <= 10 LEFT JOIN documents d ON d.doc_id = r.doc_id GROUP BY 1",
-    "g3_script_exact": f"""WITH d AS (SELECT doc_id, {NORM} AS norm FROM documents), x AS (SELECT item_id AS query_id, {sql_normalize_arabic(f"translate(lower({HEAD_SQL}), '{SPELL_FROM}', '{SPELL_TO}')")} AS qn FROM benchmark)
+    "g3_script_exact": f"""WITH d AS (SELECT doc_id, {NORM} AS norm FROM documents), x AS (SELECT item_id AS query_id, {sql_normalize_arabic(f"translate(lower(text), '{SPELL_FROM}', '{SPELL_TO}')")} AS qn FROM benchmark)
  SELECT query_id, doc_id, 0.98::DOUBLE AS score, length(norm) AS chars, row_number() OVER (PARTITION BY query_id ORDER BY length(norm), doc_id) AS rank FROM d JOIN x ON contains(norm, qn) QUALIFY rank <= 10""",
     "g15_trace": BASE_SQL
-    + f"SELECT item_id AS query_id, {sql_search_type(HEAD_SQL)} AS kind, (SELECT count(*) FROM asked a WHERE a.query_id = item_id) AS tokens, (SELECT count(DISTINCT doc_id) FROM asked a JOIN posted USING (token) WHERE a.query_id = item_id) AS candidates FROM benchmark",
+    + f"SELECT item_id AS query_id, {sql_search_type('text')} AS kind, (SELECT count(*) FROM asked a WHERE a.query_id = item_id) AS tokens, (SELECT count(DISTINCT doc_id) FROM asked a JOIN posted USING (token) WHERE a.query_id = item_id) AS candidates FROM benchmark",
     "d11_f15_anchors": "SELECT doc_id, round(least(0.97, 0.93 + (5 - i) * 0.015), 6)::DOUBLE AS score FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) WHERE i <= 5",
 }

@@ -5,10 +5,17 @@ Groups and ordinals come from (order, line) keys or (source, rank of doc_id); ac
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table, stored
+from ..functions import text as X
+from ..operators.joins import join_hot
+from ..sources.tables import read_table, shared_dir, stored
 
 T = read_table
 
@@ -21,11 +28,14 @@ def lines(spark, d):
 
 
 def a1_read_raw(spark, d):
-    """Nested JSON written from documents, one record each, alias keys merged, defaults filled."""
-    rows = T(spark, d, "documents").select(F.struct("source", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("ayah"), F.when(F.col("doc_id") % 2 == 1, F.col("doc_id")).alias("ayah_number"), F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(30))).alias("translation_en"), F.when(F.col("doc_id") % 3 == 1, F.left("text", F.lit(30))).alias("translation")).alias("a"))
-    nested = rows.select(F.to_json(F.struct(F.array("a").alias("ayahs"))).alias("j"))
-    parsed = nested.select(F.from_json("j", "ayahs array<struct<source:string,ayah:long,ayah_number:long,translation_en:string,translation:string,popularity_score:double>>").alias("j"))
-    a = parsed.select(F.explode("j.ayahs").alias("a")).select("a.*")
+    """Nested JSON written from documents, one record each, read back with alias keys merged and defaults filled."""
+    even, third = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3
+    keys = (F.when(even, F.col("doc_id")).alias("ayah"), F.when(~even, F.col("doc_id")).alias("ayah_number"), F.when(third == 0, F.col("text")).alias("translation_en"), F.when(third == 1, F.col("text")).alias("translation"))
+    nested = T(spark, d, "documents").select(F.to_json(F.struct(F.array(F.struct("source", *keys)).alias("ayahs"))).alias("value"))
+    path = f"{shared_dir(spark)}/lexiforge/raw-{uuid.uuid4().hex}"
+    nested.write.text(path)
+    record = "source string, ayah long, ayah_number long, translation_en string, translation string, popularity_score double"
+    a = spark.read.schema(f"ayahs array<struct<{record.replace(' ', ':').replace(',:', ',')}>>").json(path).select(F.explode("ayahs").alias("a")).select("a.*")
     return a.select(F.coalesce("ayah", "ayah_number").alias("ordinal"), "source", F.coalesce("translation_en", "translation", F.lit("")).alias("body"), F.coalesce("popularity_score", F.lit(0.0)).alias("popularity"))
 
 
@@ -33,28 +43,101 @@ def a2_write_read(spark, d):
     return stored(T(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "stage")
 
 
+def corpus(spark: SparkSession, primary: str, fallback: DataFrame) -> DataFrame:
+    """The rows of the primary path where it is there and has any, else the fallback; defaults for each field."""
+    try:
+        rows = spark.read.parquet(primary)
+        rows = fallback if rows.isEmpty() else rows
+    except AnalysisException:
+        rows = fallback
+    have = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in rows.columns else F.lit(default)
+    return rows.select("doc_id", have("lang", "").alias("lang"), have("source", "").alias("source"), have("popularity", 0.0).alias("popularity"), (F.col("doc_id") - 1).alias("semantic_id"))
+
+
 def a3_read_corpus(spark, d):
-    """The primary source where it has rows, else the fallback; defaults per field."""
-    primary, fallback = T(spark, d, "documents").filter("doc_id < 0"), T(spark, d, "documents")
-    chosen = fallback if primary.isEmpty() else primary
-    return chosen.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), (F.col("doc_id") - 1).alias("semantic_id"))
+    """Two corpora: one whose primary table is missing, so the fallback is read, and one whose primary is there, with other
+    columns."""
+    docs = T(spark, d, "documents").select("doc_id", "lang", "source")
+    path = f"{shared_dir(spark)}/lexiforge/primary-{uuid.uuid4().hex}"
+    missing = corpus(spark, path, docs).withColumn("corpus", F.lit("fallback"))
+    T(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("popularity")).write.parquet(path)
+    return missing.unionByName(corpus(spark, path, docs).withColumn("corpus", F.lit("primary")))
 
 
 def a5_search_documents(spark, d):
     return T(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.left("text", F.lit(100)).alias("head"))
 
 
+def a8_read_commentary(spark, d):
+    """Commentary read back from JSON of sources and rows: entries of known sources with a text, keyed by passage."""
+    pages = T(spark, d, "pages").select(F.concat(F.lit("s"), (F.col("page_id") % 6).cast("string")).alias("source_slug"), F.concat_ws(":", (F.col("page_id") % 120).cast("string"), (F.col("page_id") % 9).cast("string")).alias("verse_key"), F.when(F.col("page_id") % 2 == 0, F.col("page_id")).alias("upstream_entry_id"), F.col("html").alias("text"))
+    sources = T(spark, d, "region").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("slug"), F.col("r_name").alias("title"))
+    base = f"{shared_dir(spark)}/lexiforge/commentary-{uuid.uuid4().hex}"
+    pages.write.json(f"{base}/rows")
+    sources.write.json(f"{base}/sources")
+    rows = spark.read.schema("source_slug string, verse_key string, upstream_entry_id long, text string").json(f"{base}/rows")
+    known = spark.read.schema("slug string, title string, content_version string").json(f"{base}/sources")
+    made = rows.join(F.broadcast(known), rows.source_slug == known.slug).filter(F.trim("text") != "")
+    return made.select("source_slug", "title", F.coalesce("content_version", F.lit("1")).alias("version"), "verse_key", "upstream_entry_id", F.sha2("text", 256).alias("checksum"))
+
+
 def a9_union_pages(spark, d):
+    """Pages fetched in three lots, the second without an address and overlapping the first: one row a page, the first lot
+    that has it."""
     pages = T(spark, d, "pages").select("page_id", "url")
-    return pages.filter("page_id % 2 = 0").unionByName(pages.filter("page_id % 2 = 1"))
+    lots = [stored(pages.filter("page_id % 3 = 0"), "lot"), stored(pages.filter("page_id % 3 <> 2").select("page_id"), "lot"), stored(pages.filter("page_id % 3 = 2"), "lot")]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (x.withColumn("lot", F.lit(i)) for i, x in enumerate(lots)))
+    return rows.groupBy("page_id").agg(F.min_by(F.struct("url"), "lot")["url"].alias("url"), F.min("lot").alias("lot"))
+
+
+def publish(staged: DataFrame, keys: list[str], last_good: DataFrame) -> tuple[DataFrame, bool]:
+    """(what readers see, whether the stage was published): the stage where its keys are there and unique, else the last
+    good table."""
+    bad = staged.filter(reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))).isEmpty() and staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    return (stored(staged, "published"), True) if bad else (last_good, False)
 
 
 def a10_publish_if_valid(spark, d):
-    """Stage, check, and only then publish: rows of the published table, none while any check fails."""
-    staged = stored(lines(spark, d).select("grp", "ordinal").distinct(), "staging")
-    errors = staged.groupBy("grp", "ordinal").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    published = stored(staged, "published") if errors.isEmpty() else staged.limit(0)
-    return published.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    """A sound stage is published; a stage with doubled keys after it is not, so readers keep the last good table."""
+    sound = stored(lines(spark, d).groupBy("grp", "ordinal").agg(F.min("l_partkey").alias("part")), "staging")
+    first, published = publish(sound, ["grp", "ordinal"], sound.limit(0))
+    doubled = stored(sound.unionByName(sound.filter("grp % 10 = 0")), "staging")
+    seen, replaced = publish(doubled, ["grp", "ordinal"], first)
+    return seen.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).withColumn("published", F.lit(published)).withColumn("replaced", F.lit(replaced))
+
+
+def a14_baseline_report(spark, d):
+    """An evaluation saved as a JSON report of one row a case, read back as the baseline of a later run: cases it ranks
+    better or worse than that run."""
+    from .retrieval_queries import coverage_search, passages
+    from .search_queries import targets
+
+    docs, relevant = T(spark, d, "documents").select("doc_id", "text"), stored(targets(spark, d), "targets")
+    ranks = lambda k: coverage_search(passages(spark, d), docs, k).join(relevant, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    path = f"{shared_dir(spark)}/lexiforge/report-{uuid.uuid4().hex}"
+    passages(spark, d).select("query_id").join(ranks(10), "query_id", "left").write.json(path)
+    saved = spark.read.schema("query_id long, rank int").json(path)
+    return saved.select("query_id", F.col("rank").alias("saved")).join(ranks(3), "query_id", "left").select("query_id", "saved", F.col("rank").alias("now"), (F.coalesce("rank", F.lit(99)) > F.coalesce("saved", F.lit(99))).alias("worse"))
+
+
+def g16_enrich_corpus(spark, d):
+    """Every key column of a passage in one pass: normal forms, formula flag, sounds, roots and row of its vector."""
+    from ..functions import text as X
+    from .text_queries import arabic
+
+    group, ordinal = F.pmod("doc_id", F.lit(12)), F.pmod("doc_id", F.lit(3))
+    rows = T(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, F.concat_ws(" ", F.lit(X.FORMULA), arabic(F.col("text")))).otherwise(arabic(F.col("text"))).alias("script"))
+    rows = rows.select("doc_id", "text", "script", F.explode(F.array(X.normalize_arabic(F.col("script")))).alias("norm"))
+    return rows.select(
+        "doc_id",
+        "norm",
+        X.strip_formula_for_search(F.col("norm"), group, ordinal).alias("searched"),
+        X.has_formula_prefix(F.col("norm"), group, ordinal).alias("has_prefix"),
+        X.phonetic_of_normalized(F.col("norm")).alias("primary"),
+        X.phonetic_latin(F.col("text")).alias("latin"),
+        F.array_join(X.stem_roots(F.split("norm", " ")), " ").alias("roots"),
+        (F.col("doc_id") - 1).alias("semantic_id"),
+    )
 
 
 def a11_cases(spark, d):
@@ -64,12 +147,11 @@ def a11_cases(spark, d):
 
 
 def f10_assign_ids(spark, d):
-    """Dense ids in key order without a single-task window: counts of key ranges, then a window inside each range."""
-    rows = T(spark, d, "lineitem").select("l_orderkey", "l_linenumber").withColumn("part", F.expr("l_orderkey div 1000"))
-    before = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    at = F.row_number().over(Window.partitionBy("part").orderBy("l_orderkey", "l_linenumber"))
-    return rows.withColumn("at", at).join(before, "part").select("l_orderkey", "l_linenumber", (F.col("before") + F.col("at")).alias("id"))
+    """Dense ids in key order: counts of key ranges that grow with the table, then a window inside each range."""
+    from .search_queries import offsets
+
+    placed = offsets(T(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")
+    return placed.select("l_orderkey", "l_linenumber", (F.col("offset") + 1).alias("id"))
 
 
 # joins
@@ -163,8 +245,28 @@ def e4_duplicate_keys(spark, d):
     return lines(spark, d).groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+BUCKETS = 1024
+
+
+def exact_quantiles(rows: DataFrame, key: str, value: str, ranks: dict[str, str]) -> DataFrame:
+    """key and, for each name, the value at the rank that its expression of n (rows of the key) gives, from 1. Values are
+    counted first; ranges of values tell in which the rank lies, and only those are ordered, each in a task of its own."""
+    counts = rows.filter(f"{value} IS NOT NULL").groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
+    ends = counts.groupBy(key).agg(F.sum("c").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    counts = stored(counts.join(F.broadcast(ends), key).withColumn("bucket", F.expr(f"IF(high > low, CAST(({value} - low) / (high - low) * {BUCKETS} AS int), 0)")), "value-counts")
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.expr(e).cast("long").alias("rank")) for name, e in ranks.items()])
+    parts = counts.groupBy(key, "bucket").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
+    parts = parts.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy("bucket"))).select(key, "bucket", (F.col("upto") - F.col("c")).alias("before"), "upto", F.explode(asked).alias("x"))
+    parts = parts.filter("x.rank > before AND x.rank <= upto").select(key, "bucket", "before", "x.name", "x.rank")
+    inside = counts.join(F.broadcast(parts.select(key, "bucket").distinct()), [key, "bucket"], "left_semi")
+    inside = inside.withColumn("upto", F.sum("c").over(Window.partitionBy(key, "bucket").orderBy(value)))
+    hit = inside.select(key, "bucket", value, "upto").join(F.broadcast(parts), [key, "bucket"]).filter("before + upto >= rank")
+    return hit.groupBy(key).agg(*[F.min(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks])
+
+
 def e6_percentile(spark, d):
-    return T(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"))
+    """Nearest-rank percentiles."""
+    return exact_quantiles(T(spark, d, "events"), "event_type", "value", {"p95": "ceil(0.95 * n)", "p50": "ceil(0.5 * n)"})
 
 
 def e7_dataset_summary(spark, d):
@@ -179,7 +281,10 @@ def e9_entry_span(spark, d):
 
 
 def e10_equivalence_groups(spark, d):
-    return T(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("doc_id")).cast("array<string>"), ",").alias("ids")).withColumn("equal", F.col("n") > 1)
+    """Each document's group of equal texts: its hash, smallest id and size, and whether all readings of a source agree."""
+    docs = T(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    groups = docs.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    return join_hot(docs, groups, "hash").select("doc_id", "hash", "n", "first", (F.col("n") > 1).alias("equal"), (F.col("doc_id") == F.col("first")).alias("representative"))
 
 
 def e11_corpus_health(spark, d):
@@ -188,22 +293,23 @@ def e11_corpus_health(spark, d):
 
 def e12_coverage(spark, d):
     ok = F.col("value") > 20
-    events = T(spark, d, "events")
-    g = events.groupBy("event_type").agg(F.count_if(ok).alias("ok"), F.count(F.lit(1)).alias("total"))
-    # ranked in each task before rows are dealt by type, so a type's group holds five ids of each task
-    at = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    first = events.filter(~ok & F.col("event_id").isNotNull()).select("event_type", "event_id").withColumn("at", at).filter("at <= 5")
-    first = first.groupBy(F.col("event_type").alias("type")).agg(F.array_join(F.array_sort(F.collect_list("event_id")).cast("array<string>"), ",").alias("missing"))
-    g = g.join(first, F.col("event_type").eqNullSafe(F.col("type")), "left").select("event_type", "ok", "total", F.coalesce("missing", F.lit("")).alias("missing"))
+    g = T(spark, d, "events").groupBy("event_type").agg(F.count_if(ok).alias("ok"), F.count(F.lit(1)).alias("total"))
     return g.withColumn("percent", F.round(100 * F.col("ok") / F.col("total"), 2)).withColumn("status", F.when(F.col("ok") == F.col("total"), "PASS").otherwise("FAIL"))
 
 
+def e12_missing(spark, d):
+    """The rows that the coverage report counts as missing, one each."""
+    return T(spark, d, "events").filter("NOT coalesce(value > 20, false)").select("event_type", "event_id")
+
+
 def e13_engagement(spark, d):
     return T(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("views"), F.max("ts").alias("last_seen"))
 
 
 def e14_latency(spark, d):
-    return T(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median")).withColumn("over_budget", F.col("median") > 25)
+    """Medians; the middle two values' mean where their number is even."""
+    m = exact_quantiles(T(spark, d, "events"), "event_type", "value", {"low": "floor((n + 1) / 2)", "high": "ceil((n + 1) / 2)"})
+    return m.select("event_type", ((F.col("low") + F.col("high")) / 2).alias("median")).withColumn("over_budget", F.col("median") > 25)
 
 
 def e15_request_metrics(spark, d):
@@ -225,10 +331,30 @@ def f12_recent_distinct(spark, d):
     return last.withColumn("pos", at).filter("pos <= 20").select("user_id", "query", F.col("k.ts").alias("ts"), "pos")
 
 
+CAP = 100
+
+
+def folded_toggles(events: pd.DataFrame, cap: int = CAP) -> pd.DataFrame:
+    """One user's toggles in order: a saved item is removed, another is put first, and the list is cut to the cap."""
+    held: dict[int, int] = {}
+    for item, at in events.sort_values(["at", "event_id"])[["item", "at"]].itertuples(index=False):
+        if item in held:
+            del held[item]
+        else:
+            held[item] = at
+            if len(held) > cap:
+                del held[next(iter(held))]  # the oldest stands first
+    return pd.DataFrame({"user_id": events["user_id"].iloc[0], "item": [*held], "at": [*held.values()]}, columns=["user_id", "item", "at"])
+
+
+def toggles(events: DataFrame) -> DataFrame:
+    return events.select("user_id", (F.col("event_id") % 400).alias("item"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+
 def f13_toggle_state(spark, d):
-    """Membership by parity of toggles, newest first; equal to the ordered fold while the cap is not reached."""
-    g = T(spark, d, "events").withColumn("item", F.col("event_id") % 60).groupBy("user_id", "item").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("saved_at"))
-    return g.filter("n % 2 = 1").select("user_id", "item", "saved_at")
+    """Saved items of each user, at most CAP, by the ordered fold; a group is one user's activity."""
+    found = toggles(T(spark, d, "events")).groupBy("user_id").applyInPandas(lambda rows: folded_toggles(rows), "user_id long, item long, at long")
+    return found.select("user_id", "item", F.timestamp_micros("at").alias("saved_at"))
 
 
 def f14_latest_position(spark, d):
@@ -272,14 +398,40 @@ def h1_validate_dataset(spark, d):
 
 
 def h2_validate_commentary(spark, d):
-    """Checksum, length and span rules over entries made from documents, with planted damage."""
-    entries = T(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 17 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("checksum"), (F.length("text") + F.when(F.col("doc_id") % 19 == 0, 1).otherwise(0)).alias("char_length"))
+    """One error table over entries made from documents, each covering three passages, with planted damage: text, checksum,
+    length, span, mapping, key, source and duplicate rules."""
+    i = F.col("doc_id")
+    key = lambda group, ordinal: F.concat_ws(":", group.cast("string"), ordinal.cast("string"))
+    group, ordinal = F.pmod(i, F.lit(130)), F.pmod(i, F.lit(40)) * 3 + 1
+    entries = T(spark, d, "documents").select(
+        "doc_id",
+        F.concat(F.lit("s"), F.pmod(i, F.lit(7)).cast("string")).alias("slug"),
+        F.when(i % 23 == 0, " ").otherwise(F.coalesce("text", F.lit(""))).alias("body"),
+        group.alias("group_no"),
+        ordinal.alias("ordinal"),
+        F.when(i % 29 == 0, key(group, ordinal + 9)).when(i % 31 == 0, "x:1").otherwise(key(group, ordinal)).alias("first"),
+        key(group, ordinal + 2).alias("last"),
+    )
+    entries = entries.withColumn("checksum", F.when(i % 17 == 0, F.sha2(F.concat("body", F.lit("x")), 256)).otherwise(F.sha2("body", 256))).withColumn("char_length", F.length("body") + F.when(i % 19 == 0, 1).otherwise(0))
+    mapped = entries.filter("doc_id % 37 <> 0").select("doc_id", "slug", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: key(F.col("group_no"), F.col("ordinal") + k))).alias("passage"))
+    a, b = X.parse_key(F.col("first")), X.parse_key(F.col("last"))
+    full = F.trim("body") != ""
     rules = F.array(
-        F.when(F.trim("text") == "", "blank"),
-        F.when(F.sha2("text", 256) != F.col("checksum"), "checksum"),
-        F.when(F.length("text") != F.col("char_length"), "length"),
+        F.when(~full, "empty"),
+        F.when(full & (F.sha2("body", 256) != F.col("checksum")), "checksum"),
+        F.when(full & (F.length("body") != F.col("char_length")), "length"),
+        F.when(a.isNull() | b.isNull(), "malformed span"),
+        F.when(a > b, "span order"),
     )
-    return entries.select("doc_id", F.explode(F.array_compact(rules)).alias("error"))
+    err = lambda df, name: df.select("doc_id", F.lit(name).alias("error"))
+    found = entries.select("doc_id", F.explode(F.array_compact(rules)).alias("error"))
+    parsed = mapped.select("doc_id", X.parse_key(F.col("passage")).alias("k"))
+    ends = parsed.groupBy("doc_id").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    spans = entries.select("doc_id", a.alias("a"), b.alias("b")).join(ends, "doc_id").filter("a IS NOT NULL AND b IS NOT NULL AND NOT (a <=> low AND b <=> high)")
+    known = T(spark, d, "region").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("slug"))
+    twice = mapped.groupBy("slug", "passage").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).filter("n > 1").select("doc_id").distinct()
+    parts = [(spans, "span mapping"), (parsed.filter("k IS NULL").select("doc_id").distinct(), "malformed key"), (entries.join(mapped, "doc_id", "left_anti"), "no mapping"), (entries.join(F.broadcast(known), "slug", "left_anti"), "unapproved source"), (twice, "duplicate mapping")]
+    return reduce(lambda x, y: x.unionByName(err(*y)), parts, found)
 
 
 def h3_completeness(spark, d):
@@ -297,9 +449,14 @@ def h4_catalogue(spark, d):
 
 
 def i1_registry(spark, d):
+    """The reading each supplier asks for, or the default one where it is unknown or disabled; the list's order has the
+    default first."""
     n = T(spark, d, "nation").select("n_nationkey", "n_name", (F.col("n_nationkey") % 4 != 0).alias("enabled"))
+    order = F.row_number().over(Window.orderBy(F.col("n_nationkey") != 1, "n_name"))  # a registry of fixed size
+    n = n.filter("enabled").withColumn("pos", order).withColumn("enabled", F.lit(True))
     s = T(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    return s.join(n.filter("enabled"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_nationkey", F.lit(1)).alias("resolved"))
+    made = s.join(n.filter("enabled"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_nationkey", F.lit(1)).alias("resolved"))
+    return made.join(F.broadcast(n.select(F.col("n_nationkey").alias("resolved"), "pos")), "resolved", "left").select("s_suppkey", "resolved", "pos")
 
 
 def i2_variants(spark, d):
@@ -329,23 +486,29 @@ def i4_daily_pick(spark, d):
 
 
 def e5_evaluation(spark, d):
-    """Recall, reciprocal rank and gain of the coverage search, overall and by category."""
+    """Recall, reciprocal rank and gain of the coverage search over cases with a target, the share of the others that find
+    anything, and misses; overall and by category."""
     from .retrieval_queries import coverage_search, passages
+    from .search_queries import targets
 
     docs = T(spark, d, "documents").select("doc_id", "text")
-    queries = passages(spark, d)
-    top = coverage_search(queries, docs, 10)
-    targets = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    hit = top.join(targets, "query_id").join(docs, "doc_id").filter(F.contains(F.col("text"), F.col("passage"))).groupBy("query_id").agg(F.min("rank").alias("rank"))
-    each = queries.select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category")).join(hit, "query_id", "left")
-    r = F.col("rank")
-    share = lambda k: F.round(F.avg(F.when(r <= k, 1.0).otherwise(0.0)), 6).alias(f"recall_{k}")
-    gain = F.round(F.avg(F.when(r <= 5, 1 / F.log2(r + 1)).otherwise(0.0)), 6).alias("ndcg_5")
-    made = each.rollup("category").agg(F.count(F.lit(1)).alias("n"), share(1), share(3), share(5), F.round(F.avg(F.coalesce(1 / r, F.lit(0.0))), 6).alias("mrr"), gain)
+    top = stored(coverage_search(passages(spark, d), docs, 10).select("query_id", "doc_id", "rank"), "top")
+    relevant = stored(targets(spark, d), "targets")
+    hit = top.join(relevant, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    has = relevant.select("query_id").distinct().withColumn("targeted", F.lit(True))
+    any_hit = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
+    each = passages(spark, d).select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category")).join(hit, "query_id", "left").join(has, "query_id", "left").join(any_hit, "query_id", "left")
+    each = each.withColumn("targeted", F.coalesce("targeted", F.lit(False)))
+    r, t = F.col("rank"), F.col("targeted")
+    over = lambda value, when, name: F.round(F.avg(F.when(when, value)), 6).alias(name)
+    share = lambda k: over(F.when(r <= k, 1.0).otherwise(0.0), t, f"recall_{k}")
+    gain = over(F.when(r <= 5, 1 / F.log2(r + 1)).otherwise(0.0), t, "ndcg_5")
+    passed = over(F.when(F.col("results") >= 1, 1.0).otherwise(0.0), ~t, "pass_rate")
+    made = each.rollup("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(t).alias("n_targeted"), share(1), share(3), share(5), over(F.coalesce(1 / r, F.lit(0.0)), t, "mrr"), gain, passed, F.count_if(t & r.isNull()).alias("misses"))
     return made.withColumn("category", F.coalesce("category", F.lit("all")))
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "adefhi" and name[1].isdigit()}
+QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "adefghi" and name[1].isdigit()}
 
 LINES = "(SELECT l_orderkey AS grp, l_linenumber AS ordinal, l_partkey, l_suppkey, l_returnflag FROM lineitem)"
 RUNS = f"""(SELECT grp, any_value(l_returnflag) AS l_returnflag, min(ordinal) AS first, max(ordinal) AS last, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY grp ORDER BY ordinal) AS run FROM
@@ -354,12 +517,12 @@ AVAILABLE = """(SELECT s_suppkey, CASE WHEN n_nationkey IS NULL THEN 'unknown' W
  FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN 99 ELSE s_nationkey END AS k FROM supplier) LEFT JOIN nation ON k = n_nationkey)"""
 
 SQL = {
-    "a1_read_raw": "SELECT doc_id AS ordinal, source, CASE WHEN doc_id % 3 IN (0, 1) THEN left(text, 30) ELSE '' END AS body, 0.0::DOUBLE AS popularity FROM documents",
+    "a1_read_raw": "SELECT doc_id AS ordinal, source, CASE WHEN doc_id % 3 IN (0, 1) THEN text ELSE '' END AS body, 0.0::DOUBLE AS popularity FROM documents",
     "a2_write_read": "SELECT doc_id, lang, source, n_chars FROM documents",
-    "a3_read_corpus": "SELECT doc_id, lang, doc_id - 1 AS semantic_id FROM documents",
+    "a3_read_corpus": "SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, 0.0::DOUBLE AS popularity, doc_id - 1 AS semantic_id, 'fallback' AS corpus FROM documents UNION ALL SELECT doc_id, '', '', quality::DOUBLE, doc_id - 1, 'primary' FROM labels",
     "a5_search_documents": "SELECT doc_id, source, lang, n_chars, left(text, 100) AS head FROM documents",
-    "a9_union_pages": "SELECT page_id, url FROM pages",
-    "a10_publish_if_valid": f"SELECT grp, count(DISTINCT ordinal) AS n FROM {LINES} GROUP BY 1",
+    "a9_union_pages": "SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN url END AS url, CAST(page_id % 3 AS INT) AS lot FROM pages",
+    "a10_publish_if_valid": f"SELECT grp, count(DISTINCT ordinal) AS n, true AS published, false AS replaced FROM {LINES} GROUP BY 1",
     "a11_cases": "SELECT item_id, target FROM (SELECT item_id, unnest(CASE WHEN item_id % 2 = 0 THEN [item_id] ELSE [item_id, item_id + 1] END) AS target FROM benchmark) WHERE target IN (SELECT doc_id FROM documents)",
     "f10_assign_ids": "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS id FROM lineitem",
     "d1_merge_editions": "SELECT o_orderkey, o_orderstatus, coalesce(l_returnflag, '') AS second_flag FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 2",
@@ -378,15 +541,16 @@ SQL = {
     "e6_percentile": "SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS p50 FROM events GROUP BY 1",
     "e7_dataset_summary": "SELECT (SELECT count(*) FROM supplier) AS sources, count(*) AS entries, count(DISTINCT o_orderstatus) AS states FROM orders",
     "e9_entry_span": "SELECT l_suppkey, min((l_orderkey, l_linenumber))[1] || ':' || min((l_orderkey, l_linenumber))[2] AS first, max((l_orderkey, l_linenumber))[1] || ':' || max((l_orderkey, l_linenumber))[2] AS last FROM lineitem GROUP BY 1",
-    "e10_equivalence_groups": "SELECT sha256(text) AS hash, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS ids, count(*) > 1 AS equal FROM documents GROUP BY 1",
+    "e10_equivalence_groups": "SELECT doc_id, sha256(text) AS hash, count(*) OVER w AS n, min(doc_id) OVER w AS first, count(*) OVER w > 1 AS equal, doc_id = min(doc_id) OVER w AS representative FROM documents WINDOW w AS (PARTITION BY text)",
     "e11_corpus_health": "SELECT count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE text IS NULL) AS missing, count(*) > 0 AND sum(length(text)) > 1000 AS ready FROM documents",
-    "e12_coverage": "SELECT event_type, count(*) FILTER (WHERE value > 20) AS ok, count(*) AS total, array_to_string(list_slice(list(event_id ORDER BY event_id) FILTER (WHERE value <= 20), 1, 5), ',') AS missing, round(100.0 * count(*) FILTER (WHERE value > 20) / count(*), 2) AS percent, CASE WHEN count(*) FILTER (WHERE value > 20) = count(*) THEN 'PASS' ELSE 'FAIL' END AS status FROM events GROUP BY 1",
+    "e12_coverage": "SELECT event_type, count(*) FILTER (WHERE value > 20) AS ok, count(*) AS total, round(100.0 * count(*) FILTER (WHERE value > 20) / count(*), 2) AS percent, CASE WHEN count(*) FILTER (WHERE value > 20) = count(*) THEN 'PASS' ELSE 'FAIL' END AS status FROM events GROUP BY 1",
+    "e12_missing": "SELECT event_type, event_id FROM events WHERE NOT coalesce(value > 20, false)",
+    "a8_read_commentary": "SELECT 's' || (page_id % 6) AS source_slug, r_name AS title, '1' AS version, (page_id % 120) || ':' || (page_id % 9) AS verse_key, CASE WHEN page_id % 2 = 0 THEN page_id END AS upstream_entry_id, sha256(html) AS checksum FROM pages JOIN region ON page_id % 6 = r_regionkey WHERE trim(html) <> ''",
     "e13_engagement": "SELECT user_id, event_type, count(*) AS views, max(ts) AS last_seen FROM events GROUP BY 1, 2",
     "e14_latency": "SELECT event_type, median(value) AS median, median(value) > 25 AS over_budget FROM events GROUP BY 1",
     "e15_request_metrics": "SELECT CASE WHEN value > 100 THEN 'timeout' WHEN value < 5 THEN 'no_result' ELSE 'ok' END AS status, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, round(sum(value), 3) AS total, max(value) AS slowest FROM events GROUP BY 1, 2",
     "f11_contiguity": "SELECT l_orderkey AS grp, min(l_linenumber) = 1 AND max(l_linenumber) = count(DISTINCT l_linenumber) AS contiguous FROM lineitem GROUP BY 1",
     "f12_recent_distinct": "WITH x AS (SELECT user_id, event_type || '-' || (event_id % 40) AS query, max((ts, event_id)) AS k FROM events GROUP BY 1, 2) SELECT user_id, query, k[1] AS ts, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS pos FROM x QUALIFY pos <= 20",
-    "f13_toggle_state": "SELECT user_id, event_id % 60 AS item, max(ts) AS saved_at FROM events GROUP BY 1, 2 HAVING count(*) % 2 = 1",
     "f14_latest_position": "WITH x AS (SELECT user_id, arg_max(event_id % 25, (ts, event_id)) AS place FROM events GROUP BY 1) SELECT user_id, place, CAST(floor(100.0 * place / (length(n_name) * 3) + 0.5) AS BIGINT) AS percent FROM x JOIN nation ON place = n_nationkey",
     "f17_reader_page": "SELECT source, doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal FROM documents WHERE source = 'src3'",
     "f18_least_used": "SELECT event_type, views, row_number() OVER (ORDER BY views, event_type) AS pos FROM (SELECT event_type, count(*) FILTER (WHERE event_type <> 'click') AS views FROM events GROUP BY 1) QUALIFY pos <= 3",
@@ -394,10 +558,18 @@ SQL = {
     "h1_validate_dataset": f"""WITH r AS (SELECT *, CASE WHEN l_partkey % 50 = 0 THEN ' ' ELSE l_returnflag END AS flag FROM {LINES}), p AS (SELECT grp, count(*) AS n, count(DISTINCT ordinal) AS nd, max(ordinal) AS high FROM r GROUP BY 1),
  e AS (SELECT o_orderkey AS grp, 'missing' AS error FROM orders WHERE o_orderkey NOT IN (SELECT grp FROM r) UNION ALL SELECT DISTINCT grp, 'extra' FROM r WHERE grp NOT IN (SELECT o_orderkey FROM orders)
   UNION ALL SELECT grp, 'duplicate' FROM p WHERE n <> nd UNION ALL SELECT grp, 'gap' FROM p WHERE nd <> high UNION ALL SELECT grp, 'blank' FROM r WHERE trim(flag) = '') SELECT grp, error, count(*) AS n FROM e GROUP BY 1, 2""",
-    "h2_validate_commentary": "SELECT doc_id, 'blank' AS error FROM documents WHERE trim(text) = '' UNION ALL SELECT doc_id, 'checksum' FROM documents WHERE doc_id % 17 = 0 UNION ALL SELECT doc_id, 'length' FROM documents WHERE doc_id % 19 = 0",
+    "h2_validate_commentary": f"""WITH e AS (SELECT doc_id, 's' || (doc_id % 7) AS slug, CASE WHEN doc_id % 23 = 0 THEN ' ' ELSE coalesce(text, '') END AS body, doc_id % 130 AS g, doc_id % 40 * 3 + 1 AS o FROM documents),
+ k AS (SELECT *, doc_id % 31 = 0 AND doc_id % 29 <> 0 AS odd, g BETWEEN 1 AND 114 AS ok, CASE WHEN doc_id % 29 = 0 THEN o + 9 ELSE o END AS f FROM e),
+ m AS (SELECT doc_id, slug, g || ':' || (o + i) AS passage FROM e, range(0, 3) r(i) WHERE doc_id % 37 <> 0)
+ SELECT doc_id, 'empty' AS error FROM e WHERE trim(body) = '' UNION ALL SELECT doc_id, 'checksum' FROM e WHERE trim(body) <> '' AND doc_id % 17 = 0 UNION ALL SELECT doc_id, 'length' FROM e WHERE trim(body) <> '' AND doc_id % 19 = 0
+ UNION ALL SELECT doc_id, 'malformed span' FROM k WHERE odd OR NOT ok UNION ALL SELECT doc_id, 'span order' FROM k WHERE ok AND NOT odd AND f > o + 2
+ UNION ALL SELECT doc_id, 'span mapping' FROM k WHERE ok AND NOT odd AND f <> o AND doc_id % 37 <> 0 UNION ALL SELECT doc_id, 'malformed key' FROM k WHERE NOT ok AND doc_id % 37 <> 0
+ UNION ALL SELECT doc_id, 'no mapping' FROM e WHERE doc_id % 37 = 0 UNION ALL SELECT doc_id, 'unapproved source' FROM e WHERE doc_id % 7 >= 5
+ UNION ALL SELECT DISTINCT doc_id, 'duplicate mapping' FROM (SELECT min(doc_id) AS doc_id FROM m GROUP BY slug, passage HAVING count(*) > 1)""",
     "h3_completeness": "SELECT o_orderkey AS grp, o_orderkey % 5 + 1 AS expected, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE coalesce(n, 0) < o_orderkey % 5 + 1",
     "h4_catalogue": "SELECT s_suppkey, coalesce(contains(upper(n_name), ['A', 'E', 'Z'][s_suppkey % 3 + 1]), false) AS matches FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
-    "i1_registry": "SELECT s_suppkey, CASE WHEN s_nationkey % 4 <> 0 AND n_nationkey IS NOT NULL THEN n_nationkey ELSE 1 END AS resolved FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
+    "i1_registry": """WITH n AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey <> 1, n_name) AS pos FROM nation WHERE n_nationkey % 4 <> 0), s AS (SELECT s_suppkey, CASE WHEN n.n_nationkey IS NOT NULL THEN n.n_nationkey ELSE 1 END AS resolved FROM supplier LEFT JOIN n ON s_nationkey = n.n_nationkey)
+ SELECT s_suppkey, resolved, pos FROM s LEFT JOIN n ON resolved = n_nationkey""",
     "i2_variants": "SELECT doc_id, count(*) OVER (PARTITION BY text) > 1 AS has_variants FROM documents",
     "i3_suggestions": """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT user_id, 'day-' || event_type AS label, 1 AS priority FROM events WHERE dayofweek(ts) = 5
   UNION ALL SELECT user_id, 'like-' || (event_id % 7), 2 FROM events UNION ALL SELECT user_id, event_type, 3 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n, event_type) AS a FROM c) WHERE a <= 2),
@@ -406,14 +578,44 @@ SQL = {
 }
 
 
-def _evaluation_sql() -> str:
-    from .retrieval_queries import SQL as RETRIEVAL
+def _evaluation_sql() -> dict[str, str]:
+    from .search_queries import BASE_SQL, TOP_SQL
 
-    top = RETRIEVAL["g2_d9_f3_coverage_top10"]
-    return f"""WITH top AS ({top}), hit AS (SELECT query_id, min(rank) AS rank FROM top JOIN benchmark b ON query_id = item_id JOIN documents d USING (doc_id) WHERE contains(d.text, b.text) GROUP BY 1),
- each AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, rank AS r FROM benchmark LEFT JOIN hit ON item_id = query_id)
- SELECT coalesce(category, 'all') AS category, count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3,
-  round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr, round(avg(CASE WHEN r <= 5 THEN 1 / log2(r + 1) ELSE 0.0 END), 6) AS ndcg_5 FROM each GROUP BY ROLLUP (category)"""
-
-
-SQL["e5_evaluation"] = _evaluation_sql()
+    head = (
+        BASE_SQL
+        + TOP_SQL
+        + """, target AS (SELECT item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+ hit AS (SELECT query_id, min(rank) AS r FROM ranked JOIN target USING (query_id, doc_id) WHERE rank <= {k} GROUP BY 1)"""
+    )
+    return {
+        "e5_evaluation": head.format(k=10)
+        + """, each AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, r, item_id IN (SELECT query_id FROM target) AS t, item_id IN (SELECT query_id FROM ranked) AS found FROM benchmark LEFT JOIN hit ON item_id = query_id)
+ SELECT coalesce(category, 'all') AS category, count(*) AS n, count(*) FILTER (WHERE t) AS n_targeted, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE t), 6) AS recall_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END) FILTER (WHERE t), 6) AS recall_3,
+  round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END) FILTER (WHERE t), 6) AS recall_5, round(avg(coalesce(1.0 / r, 0)) FILTER (WHERE t), 6) AS mrr, round(avg(CASE WHEN r <= 5 THEN 1 / log2(r + 1) ELSE 0.0 END) FILTER (WHERE t), 6) AS ndcg_5,
+  round(avg(found::INT) FILTER (WHERE NOT t), 6) AS pass_rate, count(*) FILTER (WHERE t AND r IS NULL) AS misses FROM each GROUP BY ROLLUP (category)""",
+        "a14_baseline_report": head.format(k=10)
+        + """, three AS (SELECT query_id, min(rank) AS r3 FROM ranked JOIN target USING (query_id, doc_id) WHERE rank <= 3 GROUP BY 1)
+ SELECT item_id AS query_id, r AS saved, r3 AS now, coalesce(r3, 99) > coalesce(r, 99) AS worse FROM benchmark LEFT JOIN hit ON item_id = hit.query_id LEFT JOIN three ON item_id = three.query_id""",
+    }
+
+
+def _enrich_sql() -> str:
+    from .text_queries import ARABIC_TEXT, FORMULA_NORM, SOUND_KEY_SQL, q, sql_normalize_arabic, sql_squeeze
+
+    norm = sql_normalize_arabic(f"CASE WHEN doc_id % 4 = 0 THEN '{X.FORMULA} ' || {ARABIC_TEXT} ELSE {ARABIC_TEXT} END")
+    front = "w"
+    for p in reversed(X.PREFIXES):
+        front = f"CASE WHEN starts_with(w, '{p}') AND length(w) > {len(p) + 2} THEN substr(w, {len(p) + 1}) ELSE {front} END"
+    back = "f"
+    for s in reversed(X.SUFFIXES):
+        back = f"CASE WHEN ends_with(f, '{s}') AND length(f) > {len(s) + 2} THEN left(f, length(f) - {len(s)}) ELSE {back} END"
+    primary = sql_squeeze(f"regexp_replace(translate(norm, {q(X.SOUNDS_FROM)}, {q(X.SOUNDS_TO)}), '[aeiou]', '', 'g')")
+    return f"""WITH n AS (SELECT doc_id, {norm} AS norm, {FORMULA_NORM} AS f, doc_id % 12 NOT IN (1, 9) AND doc_id % 3 = 1 AS first, {SOUND_KEY_SQL} AS latin FROM documents),
+ w AS (SELECT doc_id, unnest(string_split(norm, ' ')) AS w, generate_subscripts(string_split(norm, ' '), 1) AS i FROM n), p AS (SELECT doc_id, i, {front} AS f FROM w WHERE length(w) >= 3),
+ r AS (SELECT doc_id, root, min(i) AS i FROM (SELECT doc_id, i, left({back}, 3) AS root FROM p) WHERE length(root) >= 2 GROUP BY 1, 2), s AS (SELECT doc_id, string_agg(root, ' ' ORDER BY i) AS roots FROM r GROUP BY 1)
+ SELECT doc_id, norm, CASE WHEN NOT first THEN norm WHEN norm = f THEN '' WHEN starts_with(norm, f || ' ') THEN trim(substr(norm, length(f) + 1)) WHEN starts_with(norm, f) AND trim(substr(norm, length(f) + 1)) <> '' THEN trim(substr(norm, length(f) + 1)) ELSE norm END AS searched,
+  first AND starts_with(norm, f) AS has_prefix, lower({primary}) AS primary, latin, coalesce(roots, '') AS roots, doc_id - 1 AS semantic_id FROM n LEFT JOIN s USING (doc_id)"""
+
+
+SQL |= _evaluation_sql()
+SQL["g16_enrich_corpus"] = _enrich_sql()

@@ -74,9 +74,10 @@ def normalize_translit(spark, d):
 
 
 def arabic_keys(spark, d):
-    text = arabic(F.col("text"))
-    norm = T.normalize_arabic(text)
-    return docs(spark, d).select("doc_id", norm.alias("norm"), T.phonetic_primary(text).alias("sound"), T.to_latin(text).alias("latin"))
+    text = docs(spark, d).select("doc_id", arabic(F.col("text")).alias("text"))
+    norm = text.select("doc_id", "text", F.explode(F.array(T.normalize_arabic(F.col("text")))).alias("norm"))  # computed once
+    made, _ = T.prepare_translit(F.col("text"), F.when(F.col("doc_id") % 7 == 0, F.lit(" given ")).when(F.col("doc_id") % 7 == 1, F.lit(" ")))
+    return norm.select("doc_id", "norm", T.phonetic_of_normalized(F.col("norm")).alias("sound"), made.alias("latin"), T.strip_marks(F.col("text")).alias("unmarked"))
 
 
 def intent_wrapper(spark, d):
@@ -132,12 +133,15 @@ def fingerprint(spark, d):
 
 
 def highlight(spark, d):
-    tops = read_table(spark, d, "benchmark").select("item_id", F.slice(F.array_distinct(T.content_tokens(F.col("text"), True)), 1, 3).alias("terms")).filter("size(terms) > 0")
+    """Every document that holds a passage's rarest term, with all of the passage's terms marked."""
+    terms = read_table(spark, d, "benchmark").select("item_id", F.array_distinct(T.content_tokens(F.col("text"), True)).alias("terms")).filter("size(terms) > 0")
+    texts = docs(spark, d).select("doc_id", "text", T.content_tokens(F.col("text")).alias("tokens"))
+    held = texts.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(terms.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = terms.select("item_id", F.explode("terms").alias("term")).join(df, "term").groupBy("item_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
     pattern = F.concat(F.lit("("), F.array_join("terms", "|"), F.lit(")"))
-    hit = docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("term")).join(tops.select("item_id", "terms", F.explode("terms").alias("term")), "term")
-    best = hit.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs(spark, d).select("doc_id", "text")
-    return best.join(tops, "item_id").join(texts, "doc_id").select("item_id", "doc_id", F.regexp_replace(F.lower("text"), pattern, F.lit("[$1]")).alias("marked"))
+    met = rarest.join(held, "term").join(terms, "item_id").join(texts.select("doc_id", "text"), "doc_id")
+    return met.select("item_id", "doc_id", F.regexp_replace(F.lower("text"), pattern, F.lit("[$1]")).alias("marked"))
 
 
 def mark_tokens(spark, d):
@@ -147,7 +151,7 @@ def mark_tokens(spark, d):
 
 
 def normalize_records(spark, d):
-    raw = docs(spark, d).select(F.to_json(F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("number"), F.when(F.col("doc_id") % 2 == 1, F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 9 == 0, "x").otherwise(""))).alias("id"), F.when(F.col("doc_id") % 5 != 0, F.left("text", F.lit(20))).alias("body"))).alias("j"))
+    raw = docs(spark, d).select(F.to_json(F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("number"), F.when(F.col("doc_id") % 2 == 1, F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 9 == 0, "x").otherwise(""))).alias("id"), F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("body"))).alias("j"))
     r = raw.select(F.from_json("j", "number long, id string, body string").alias("r")).select(F.coalesce("r.number", F.col("r.id").try_cast("long")).alias("ordinal"), F.trim("r.body").alias("body"))
     return r.filter("ordinal IS NOT NULL AND body <> ''")
 
@@ -155,24 +159,21 @@ def normalize_records(spark, d):
 def arabic_formula(spark, d):
     ordinal = F.pmod("doc_id", F.lit(3))
     group = F.pmod("doc_id", F.lit(12))
-    opening = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(T.FORMULA), F.lit(" "), arabic(F.left("text", F.lit(40))))).when(F.col("doc_id") % 4 == 1, F.lit(T.FORMULA)).otherwise(arabic(F.left("text", F.lit(40))))
+    opening = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(T.FORMULA), F.lit(" "), arabic(F.col("text")))).when(F.col("doc_id") % 4 == 1, F.lit(T.FORMULA)).otherwise(arabic(F.col("text")))
     norm = T.normalize_arabic(opening)
-    return docs(spark, d).select("doc_id", T.strip_formula_for_search(norm, group, ordinal).alias("searched"), T.has_formula_prefix(norm, group, ordinal).alias("has_prefix"), T.is_formula(norm).alias("is_formula"))
+    return docs(spark, d).select("doc_id", T.strip_formula_for_search(norm, group, ordinal).alias("searched"), T.strip_formula_for_display(opening, group, ordinal).alias("displayed"), T.has_formula_prefix(norm, group, ordinal).alias("has_prefix"), T.is_formula(norm).alias("is_formula"))
 
 
 def sql_wrapper(c: str) -> str:
-    out = f"trim({c})"
-    for p in reversed(T.WRAPPERS):
-        p = "(?i)^" + p.removeprefix("^(?i)")
-        out = f"CASE WHEN regexp_matches(trim({c}), {q(p)}) THEN trim(regexp_replace(trim({c}), {q(p)}, '')) ELSE {out} END"
-    return f"coalesce(nullif({out}, ''), trim({c}))"
+    return f"coalesce(nullif(trim(regexp_replace(trim({c}), {q(T.WRAPPER)}, '')), ''), trim({c}))"
 
 
 SAID = "concat_ws(' ', ['verse about', 'Where God says', 'the chapter', 'quran verses on'][turn % 4 + 1], text)"
-TRANSLIT = f"trim({sql_replaced(f'''regexp_replace(translate(lower(text), '{T.ACCENTS_FROM}', '{T.ACCENTS_TO}'), '[^a-z0-9]+', ' ', 'g')''', T.LATIN_DIGRAPHS)})"
-for _a in T.ARTICLES:
-    TRANSLIT = f"regexp_replace({TRANSLIT}, '^{_a} ', '')"
+TRANSLIT = f"""regexp_replace(translate(lower(trim(text)), '{T.ACCENTS_FROM}', '{T.ACCENTS_TO}'), '[^a-z0-9 \\t\\n\\r]', ' ', 'g')"""
+for _a, _b in T.LATIN_RULES:
+    TRANSLIT = f"regexp_replace({TRANSLIT}, '{_a}', '{_b}', 'g')"
 SOUND = sql_replaced(f"regexp_replace(translate(lower(text), '{T.ACCENTS_FROM}', '{T.ACCENTS_TO}'), '[''`]', '', 'g')", T.SOUND_DIGRAPHS)
+SOUND_KEY_SQL = sql_squeeze(f"regexp_replace({SOUND}, '[aeiou]', '', 'g')")
 NORM = sql_normalize_arabic(ARABIC_TEXT)
 FORMULA_NORM = sql_normalize_arabic(q(T.FORMULA))
 STEM = "w"
@@ -208,13 +209,16 @@ SQL = {
     "b11_normalize_english": f"SELECT doc_id, {ENGLISH_SQL} AS norm FROM documents",
     "b13_paraphrase": f"SELECT doc_id, {sql_replaced(ENGLISH_SQL, T.PARAPHRASES)} AS hinted FROM documents",
     "b14_content_tokens": f"SELECT doc_id, array_to_string({sql_tokens('text')}, ' ') AS tokens, CAST(len({sql_tokens('text', True)}) AS BIGINT) AS n_query_tokens FROM documents",
-    "b7_b9_translit_keys": f"SELECT doc_id, trim({TRANSLIT}) AS translit, {sql_squeeze(f'''regexp_replace({SOUND}, '[aeiou]', '', 'g')''')} AS sound FROM documents",
+    "b7_b9_translit_keys": f"SELECT doc_id, {sql_squeeze(TRANSLIT)} AS translit, {SOUND_KEY_SQL} AS sound FROM documents",
     "b1_b6_b8_arabic_keys": f"""SELECT doc_id, {NORM} AS norm, lower({sql_squeeze(f"regexp_replace(translate({NORM}, {q(T.SOUNDS_FROM)}, {q(T.SOUNDS_TO)}), '[aeiou]', '', 'g')")}) AS sound,
-      {sql_squeeze(f"regexp_replace(translate({sql_replaced(ARABIC_TEXT, T.LATIN_PAIRS)}, '{T.LATIN_FROM}', '{T.LATIN_TO}'), '[^a-z ]', '', 'g')")} AS latin FROM documents""",
+      CASE WHEN doc_id % 7 = 0 THEN 'given' ELSE {sql_squeeze(f"regexp_replace(translate({sql_replaced(ARABIC_TEXT, T.LATIN_PAIRS)}, '{T.LATIN_FROM}', '{T.LATIN_TO}'), '[^a-z ]', '', 'g')")} END AS latin,
+      regexp_replace({ARABIC_TEXT}, {q(T.MARKS)}, '', 'g') AS unmarked FROM documents""",
     "b3_b5_opening_formula": f"""WITH o AS (SELECT doc_id, doc_id % 3 AS ordinal, doc_id % 12 AS grp, {FORMULA_NORM} AS f,
-        {sql_normalize_arabic(f"CASE doc_id % 4 WHEN 0 THEN '{T.FORMULA} ' || translate(lower(left(text, 40)), '{SPELL_FROM}', '{SPELL_TO}') WHEN 1 THEN '{T.FORMULA}' ELSE translate(lower(left(text, 40)), '{SPELL_FROM}', '{SPELL_TO}') END")} AS n FROM documents)
+        CASE doc_id % 4 WHEN 0 THEN '{T.FORMULA} ' || {ARABIC_TEXT} WHEN 1 THEN '{T.FORMULA}' ELSE {ARABIC_TEXT} END AS o,
+        {sql_normalize_arabic(f"CASE doc_id % 4 WHEN 0 THEN '{T.FORMULA} ' || translate(lower(text), '{SPELL_FROM}', '{SPELL_TO}') WHEN 1 THEN '{T.FORMULA}' ELSE translate(lower(text), '{SPELL_FROM}', '{SPELL_TO}') END")} AS n FROM documents)
       SELECT doc_id, CASE WHEN grp IN (1, 9) OR ordinal <> 1 THEN n WHEN n = f THEN '' WHEN starts_with(n, f || ' ') THEN trim(substr(n, length(f) + 1))
         WHEN starts_with(n, f) AND trim(substr(n, length(f) + 1)) <> '' THEN trim(substr(n, length(f) + 1)) ELSE n END AS searched,
+        CASE WHEN grp IN (1, 9) OR ordinal <> 1 OR trim(regexp_replace(o, {q(T.FORMULA_IN_MARKS)}, '')) = '' THEN o ELSE trim(regexp_replace(o, {q(T.FORMULA_IN_MARKS)}, '')) END AS displayed,
         grp NOT IN (1, 9) AND ordinal = 1 AND starts_with(n, f) AS has_prefix, starts_with(n, f) AND length(trim(substr(n, length(f) + 1))) <= 2 AS is_formula FROM o""",
     "b12_intent_wrapper": f"SELECT conv_id, turn, {sql_wrapper(SAID)} AS concept FROM conversations WHERE role = 'user'",
     "b19_b20_ngrams": """WITH t AS (SELECT p_partkey, p_name, replace(p_name, ' ', '') AS s, string_split(p_name, ' ') AS w FROM part)
@@ -243,10 +247,11 @@ SQL = {
     + ") AS n FROM s) SELECT p_partkey, "
     + ", ".join(f"round(s{k} / n, 6) AS v{k}" for k in range(13))
     + " FROM n",
-    "b30_highlight": f"""WITH b AS (SELECT item_id, list_slice(list_filter({sql_tokens('text', True)}, lambda w, i: list_position({sql_tokens('text', True)}, w) = i), 1, 3) AS terms FROM benchmark),
-      h AS (SELECT item_id, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) JOIN (SELECT item_id, unnest(terms) AS term FROM b) USING (term) GROUP BY 1)
-      SELECT item_id, doc_id, regexp_replace(lower(text), '(' || array_to_string(terms, '|') || ')', '[\\1]', 'g') AS marked FROM h JOIN b USING (item_id) JOIN documents USING (doc_id)""",
+    "b30_highlight": f"""WITH b AS (SELECT item_id, list_filter({sql_tokens('text', True)}, lambda w, i: list_position({sql_tokens('text', True)}, w) = i) AS terms FROM benchmark),
+      h AS (SELECT DISTINCT doc_id, unnest({sql_tokens('text')}) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
+      r AS (SELECT item_id, arg_min(term, (df, term)) AS term FROM (SELECT item_id, unnest(terms) AS term FROM b) JOIN d USING (term) GROUP BY 1)
+      SELECT item_id, doc_id, regexp_replace(lower(text), '(' || array_to_string(terms, '|') || ')', '[\\1]', 'g') AS marked FROM r JOIN h USING (term) JOIN b USING (item_id) JOIN documents USING (doc_id)""",
     "b31_mark_tokens": """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[.,;:!?]+|[^.,;:!?]+')) AS t FROM documents)
       SELECT doc_id, CASE WHEN regexp_matches(t, '^[.!?]+$') THEN 'stop' WHEN regexp_matches(t, '^[,;:]+$') THEN 'pause' WHEN regexp_matches(t, '^[.,;:!?]') THEN 'mixed' ELSE 'plain' END AS kind, count(*) AS n FROM m GROUP BY 1, 2""",
-    "b34_normalize_records": "SELECT doc_id AS ordinal, trim(left(text, 20)) AS body FROM documents WHERE doc_id % 5 <> 0 AND trim(left(text, 20)) <> '' AND NOT (doc_id % 2 = 1 AND doc_id % 9 = 0)",
+    "b34_normalize_records": "SELECT doc_id AS ordinal, trim(text) AS body FROM documents WHERE doc_id % 5 <> 0 AND trim(text) <> '' AND NOT (doc_id % 2 = 1 AND doc_id % 9 = 0)",
 }

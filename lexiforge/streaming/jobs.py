@@ -6,51 +6,69 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.tables import read_table, shared_dir
+from ..plans.table_queries import folded_toggles, toggles
+from ..sources.tables import read_table, shared_dir, stored
 
 RECENT = 20
+#: Files that the log is cut into, in time order, one for each micro-batch; dates that the last file holds beyond the log.
+FILES = 5
 TTL_DAYS = 6
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = read_table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The activity log as a stream of several micro-batches: rows in time order, cut into files that arrive one by one."""
+    events = read_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = f"{shared_dir(spark)}/lexiforge/log-{uuid.uuid4().hex}"
+    ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    part = F.floor(FILES * (F.unix_micros("ts") - F.unix_micros("low")) / (F.unix_micros("high") - F.unix_micros("low") + 1)).cast("int")
+    cut = stored(events.crossJoin(F.broadcast(ends)).withColumn("part", part).drop("low", "high"), "log")
+    for i in range(FILES):
+        cut.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def finished(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs the stream over all that is there; the last batch's rows (complete mode), or all batches' (append, update)."""
+    """Runs the stream over all that is there. Rows of every batch with its number, `batch`: complete mode keeps the last
+    batch's alone, append and update keep all."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/lexiforge/stream-{name}-{uuid.uuid4().hex}"
     write = "overwrite" if mode == "complete" else "append"
 
-    def sink(batch: DataFrame, _: int) -> None:
-        batch.write.mode(write).parquet(f"{base}/rows")
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode(write).parquet(f"{base}/rows")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/rows")
+
+
+def latest(rows: DataFrame, key: str) -> DataFrame:
+    """Of each key the rows of the last batch that has it."""
+    last = F.max("batch").over(Window.partitionBy(key))
+    return rows.withColumn("last", last).filter("batch = last").drop("batch", "last")
 
 
 def j1_engagement(spark: SparkSession, d: str) -> DataFrame:
     counts = event_stream(spark, d).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("views"), F.max("ts").alias("last_seen"))
-    return finished(counts, "complete", "engagement")
+    return finished(counts, "complete", "engagement").drop("batch")
 
 
 def j4_latest_position(spark: SparkSession, d: str) -> DataFrame:
     last = event_stream(spark, d).groupBy("user_id").agg(F.max_by(F.col("event_id") % 25, F.struct("ts", "event_id")).alias("place"))
-    return finished(last, "complete", "position")
+    return finished(last, "complete", "position").drop("batch")
 
 
 def j5_request_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Daily windows with a watermark; rows later than two days are dropped by the watermark, none are here."""
+    """Daily windows in append mode: a day's counts are written once, when the watermark, two days behind the newest row,
+    has passed it, and its state is dropped. Days that no watermark has passed yet are not written."""
     status = F.when(F.col("value") > 100, "timeout").when(F.col("value") < 5, "no_result").otherwise("ok").alias("status")
     grouped = event_stream(spark, d).withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day"), status)
     counts = grouped.agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("slowest")).select(F.col("window.start").alias("day"), "status", "n", "slowest")
-    return finished(counts, "complete", "metrics")
+    return finished(counts, "append", "metrics").drop("batch")
 
 
 def recent_list(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -70,7 +88,27 @@ def j2_recent_distinct(spark: SparkSession, d: str) -> DataFrame:
     keyed = event_stream(spark, d).select("user_id", query, "ts", "event_id").groupBy("user_id")
     out = "user_id long, query string, ts timestamp, pos int"
     stream = keyed.applyInPandasWithState(recent_list, out, "q array<string>, t array<long>, e array<long>", "update", GroupStateTimeout.NoTimeout)
-    return finished(stream, "update", "recent")
+    return latest(finished(stream, "update", "recent"), "user_id")
+
+
+def toggled(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The state is the list of saved items, oldest first; micro-batches come in time order."""
+    held = pd.DataFrame({"user_id": key[0], "item": state.get[0], "at": state.get[1]}) if state.exists else None
+    new = pd.concat(list(batches))
+    if held is not None:
+        new = pd.concat([held.assign(event_id=-1), new])  # what is held is toggled on first, in its order
+    now = folded_toggles(new)
+    state.update((now["item"].tolist(), now["at"].tolist()))
+    rows = now if len(now) else pd.DataFrame({"user_id": [key[0]], "item": [-1], "at": [-1]})  # none left
+    yield rows.astype("int64")
+
+
+def j3_toggle_state(spark: SparkSession, d: str) -> DataFrame:
+    """Saved items of each user, at most a hundred, as the stream leaves them."""
+    keyed = toggles(event_stream(spark, d)).groupBy("user_id")
+    stream = keyed.applyInPandasWithState(toggled, "user_id long, item long, at long", "item array<long>, at array<long>", "update", GroupStateTimeout.NoTimeout)
+    found = latest(finished(stream, "update", "toggles"), "user_id").filter("item >= 0")
+    return found.select("user_id", "item", F.timestamp_micros("at").alias("saved_at"))
 
 
 def refetches(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -89,12 +127,13 @@ def refetches(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def j6_refetch_plan(spark: SparkSession, d: str) -> DataFrame:
     keyed = event_stream(spark, d).select((F.col("event_id") % 200).alias("item"), "ts").groupBy("item")
     stream = keyed.applyInPandasWithState(refetches, "item long, ts timestamp", "t long", "append", GroupStateTimeout.NoTimeout)
-    return finished(stream, "append", "refetch")
+    return finished(stream, "append", "refetch").drop("batch")
 
 
 QUERIES = {
     "j1_engagement": j1_engagement,
     "j2_recent_distinct": j2_recent_distinct,
+    "j3_toggle_state": j3_toggle_state,
     "j4_latest_position": j4_latest_position,
     "j5_request_metrics": j5_request_metrics,
     "j6_refetch_plan": j6_refetch_plan,
@@ -104,7 +143,7 @@ SQL = {
     "j1_engagement": "SELECT user_id, event_type, count(*) AS views, max(ts) AS last_seen FROM events GROUP BY 1, 2",
     "j2_recent_distinct": f"WITH x AS (SELECT user_id, event_type || '-' || (event_id % 40) AS query, max((ts, event_id)) AS k FROM events GROUP BY 1, 2) SELECT user_id, query, k[1] AS ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS INT) AS pos FROM x QUALIFY pos <= {RECENT}",
     "j4_latest_position": "SELECT user_id, arg_max(event_id % 25, (ts, event_id)) AS place FROM events GROUP BY 1",
-    "j5_request_metrics": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, CASE WHEN value > 100 THEN 'timeout' WHEN value < 5 THEN 'no_result' ELSE 'ok' END AS status, count(*) AS n, max(value) AS slowest FROM events GROUP BY 1, 2",
+    "j5_request_metrics": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, CASE WHEN value > 100 THEN 'timeout' WHEN value < 5 THEN 'no_result' ELSE 'ok' END AS status, count(*) AS n, max(value) AS slowest FROM events GROUP BY 1, 2 HAVING CAST(date_trunc('day', min(ts)) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY",
     "j6_refetch_plan": f"""WITH RECURSIVE f AS (SELECT event_id % 200 AS item, min(ts) AS ts FROM events GROUP BY 1
  UNION ALL SELECT f.item, (SELECT min(e.ts) FROM events e WHERE e.event_id % 200 = f.item AND e.ts >= f.ts + INTERVAL {TTL_DAYS} DAY) FROM f WHERE f.ts IS NOT NULL) SELECT item, ts FROM f WHERE ts IS NOT NULL""",
 }
