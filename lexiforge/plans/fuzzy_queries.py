@@ -182,14 +182,15 @@ def f15_theme_rank(spark, d):
 
 
 def d14_baseline_comparison(spark, d):
-    """Cases whose relevant document the current search (coverage) ranks worse than the baseline (BM25), or not at all."""
-    from .retrieval_queries import bm25, coverage_search
+    """Cases whose relevant document the current search (Jaccard) ranks worse than the baseline (coverage), or not at all."""
+    from .retrieval_queries import coverage_search, set_similarities, top_k
     from .search_queries import targets
 
     relevant = stored(targets(spark, d), "targets")
     first = lambda found, c: found.join(relevant, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias(c))
-    now = first(coverage_search(passages(spark, d), read_table(spark, d, "documents").select("doc_id", "text"), 20), "now")
-    return first(bm25(spark, d), "base").join(now, "query_id", "left").filter(F.col("now").isNull() | (F.col("now") > F.col("base")))
+    now = first(top_k(set_similarities(spark, d), 20, F.desc("jaccard")), "now")
+    base = coverage_search(passages(spark, d), read_table(spark, d, "documents").select("doc_id", "text"), 20)
+    return first(base, "base").join(now, "query_id", "left").filter(F.col("now").isNull() | (F.col("now") > F.col("base")))
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "abcdfg" and name[1].isdigit()}
@@ -237,12 +238,12 @@ SQL = {
 
 
 def _baseline_sql() -> str:
-    from .retrieval_queries import SQL as RETRIEVAL
     from .search_queries import BASE_SQL, TOP_SQL
 
     first = "SELECT query_id, min(rank) AS {1} FROM ({0}) x JOIN benchmark b ON query_id = item_id JOIN documents d USING (doc_id) WHERE contains(d.text, b.text) GROUP BY 1"
-    now = first.format(BASE_SQL + TOP_SQL + " SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 20", "now")
-    return f"SELECT query_id, base, now FROM ({first.format(RETRIEVAL['g4_bm25'], 'base')}) LEFT JOIN ({now}) USING (query_id) WHERE now IS NULL OR now > base"
+    base = first.format(BASE_SQL + TOP_SQL + " SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 20", "base")
+    now = first.format(BASE_SQL + " SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY jaccard DESC, doc_id) AS rank FROM sims QUALIFY rank <= 20", "now")
+    return f"SELECT query_id, base, now FROM ({base}) LEFT JOIN ({now}) USING (query_id) WHERE now IS NULL OR now > base"
 
 
 SQL["d14_baseline_comparison"] = _baseline_sql()
