@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from ..functions import text as T
 from ..sources.tables import read_table, stored
 from .retrieval_queries import BASE_SQL, UNKNOWN_WEIGHT, coverage_search, passages, postings, query_tokens, top_k
-from .text_queries import NORM, SPELL_FROM, SPELL_TO, arabic, q, sql_normalize_arabic
+from .text_queries import NORM, SOUND_KEY_SQL, SPELL_FROM, SPELL_TO, arabic, q, sql_normalize_arabic
 
 #: Fixed values: (needle in a query, stem in a document) of transliterations, each worth a boost.
 HINTS = (
@@ -201,11 +201,16 @@ def d8_f16_first_relevant(spark, d):
 
 
 def d15_guard(spark, d):
-    """Winners of the plain search that the wider search lost."""
+    """What a wider search (by sound keys) does to the plain one's winners: those among the first three that it lost,
+    and first places that moved."""
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    plain = coverage_search(passages(spark, d), docs, 3).select("query_id", "doc_id")
-    wide = coverage_search(passages(spark, d), docs.withColumn("text", F.concat_ws(" ", T.paraphrase(T.normalize_english(F.col("text"))))), 10).select("query_id", "doc_id")
-    return plain.join(wide, ["query_id", "doc_id"], "left_anti")
+    plain = stored(coverage_search(passages(spark, d), docs, 3).select("query_id", "doc_id", "rank"), "plain")
+    sound = lambda df, c: df.withColumn(c, T.phonetic_latin(F.col(c)))
+    wide = stored(coverage_search(sound(passages(spark, d), "query"), sound(docs, "text"), 10).select("query_id", "doc_id", "rank"), "wide")
+    lost = plain.select("query_id", "doc_id").join(wide, ["query_id", "doc_id"], "left_anti").withColumn("change", F.lit("lost"))
+    first = plain.filter("rank = 1").select("query_id", "doc_id")
+    moved = first.join(wide.filter("rank = 1"), ["query_id", "doc_id"], "left_anti").withColumn("change", F.lit("moved"))
+    return lost.unionByName(moved)
 
 
 def g3_script_exact(spark, d):
@@ -283,6 +288,12 @@ SQL = {
     "d8_f16_first_relevant": BASE_SQL + TOP_SQL + " SELECT item_id AS query_id, min(rank) FILTER (WHERE contains(d.text, b.text)) AS rank FROM benchmark b LEFT JOIN ranked r ON r.query_id = item_id AND rank <= 10 LEFT JOIN documents d ON d.doc_id = r.doc_id GROUP BY 1",
     "g3_script_exact": f"""WITH d AS (SELECT doc_id, {NORM} AS norm FROM documents), x AS (SELECT item_id AS query_id, {sql_normalize_arabic(f"translate(lower(text), '{SPELL_FROM}', '{SPELL_TO}')")} AS qn FROM benchmark)
  SELECT query_id, doc_id, 0.98::DOUBLE AS score, length(norm) AS chars, row_number() OVER (PARTITION BY query_id ORDER BY length(norm), doc_id) AS rank FROM d JOIN x ON contains(norm, qn) QUALIFY rank <= 10""",
+    "d15_guard": f"""WITH p AS ({BASE_SQL + TOP_SQL} SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 3),
+ w AS ({BASE_SQL.replace("FROM documents", f"FROM (SELECT doc_id, {SOUND_KEY_SQL} AS text FROM documents) AS documents").replace("FROM benchmark", f"FROM (SELECT item_id, {SOUND_KEY_SQL} AS text FROM benchmark) AS benchmark") + TOP_SQL} SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 10)
+ SELECT query_id, doc_id, 'lost' AS change FROM p ANTI JOIN w USING (query_id, doc_id) UNION ALL SELECT query_id, doc_id, 'moved' FROM (SELECT * FROM p WHERE rank = 1) ANTI JOIN (SELECT * FROM w WHERE rank = 1) USING (query_id, doc_id)""",
+    "g14_fallback": BASE_SQL.replace("FROM benchmark", "FROM (SELECT item_id * 10 + v AS item_id, CASE v WHEN 0 THEN 'zzqx ' || text WHEN 1 THEN array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') ELSE text END AS text FROM benchmark, range(3) AS r(v)) AS benchmark")
+    + TOP_SQL
+    + " SELECT query_id // 10 AS query_id, CAST(min(query_id % 10) AS BIGINT) AS variant FROM ranked WHERE rank = 1 AND score >= 0.99 GROUP BY 1",
     "g15_trace": BASE_SQL
     + f"SELECT item_id AS query_id, {sql_search_type('text')} AS kind, (SELECT count(*) FROM asked a WHERE a.query_id = item_id) AS tokens, (SELECT count(DISTINCT doc_id) FROM asked a JOIN posted USING (token) WHERE a.query_id = item_id) AS candidates FROM benchmark",
     "d11_f15_anchors": "SELECT doc_id, round(least(0.97, 0.93 + (5 - i) * 0.015), 6)::DOUBLE AS score FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) WHERE i <= 5",

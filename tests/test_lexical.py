@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions.similarity import indel, token_set, token_sort, weighted
 from lexiforge.plans import lexical_queries as X
+from lexiforge.plans.fuzzy_queries import QUERIES as FUZZY
 from lexiforge.plans.retrieval_queries import calibrated
+from tests.conftest import SMALL
 
 STOP = set(
     "a an the and or of in to for is it that with on at by as be are was were been has have had do does did will would could should may might must shall can not no so if but than then there this he she we they them his her its whom which what when where why how".split()
@@ -191,3 +193,37 @@ def test_calibration_goldens(spark):
     assert got[1, 1] == ("repeated", 0.98) and got[1, 2] == ("repeated", 0.95) and got[1, 3] == ("repeated", 0.88) and (1, 4) not in got
     assert got[2, 1] == ("dominant", 0.9667) and (2, 2) not in got
     assert got[3, 1] == ("cluster", 0.736) and got[3, 2] == ("cluster", 0.6748) and (3, 3) not in got
+
+
+def test_name_ratios_and_sound_search_equal_plain_loops(spark):
+    """Damaged names against all names that share a trigram, by loops."""
+    parts = spark.read.parquet(f"{SMALL}/part.parquet").select("p_partkey", F.lower("p_name").alias("n")).collect()
+    broken = {(n[1] + n[0] + n[2:]) if k % 3 == 0 else (n[:2] + n[3:]) if k % 3 == 1 else n for k, n in parts}
+    names = {n for _, n in parts}
+    grams = lambda x: {x.replace(" ", "")[i : i + 3] for i in range(max(1, len(x.replace(" ", "")) - 2))} - {""}
+    pairs = {(a, b) for a in broken for b in names if grams(a) & grams(b)}
+    got = {(r["query"], r["name"]): r for r in FUZZY["c1_ratios"](spark, SMALL).collect()}
+    assert set(got) == pairs
+    for (a, b), r in got.items():
+        assert (r.ratio, r.partial, r.token_sort, r.token_set) == pytest.approx([indel(a, b), partial(a, b) if len(a) != len(b) else max(partial(a, b), partial(b, a)), token_sort(a, b), token_set(a, b)], abs=1e-6)
+
+    def sound(x):
+        for a, b in [("ph", "f"), ("kh", "x"), ("gh", "g"), ("sh", "s"), ("th", "t"), ("dh", "d"), ("aa", "a"), ("ee", "i"), ("oo", "u"), ("ou", "u"), ("ei", "i"), ("ai", "a")]:
+            x = x.replace(a, b)
+        return re.sub(" +", " ", re.sub("[aeiou]", "", x)).strip()
+
+    expected = {}
+    for a in broken:
+        q, scored = sound(a), []
+        for b in names:
+            k = sound(b)
+            if grams(q) & grams(k):
+                best = max(partial(q, k), partial(k, q) if len(q) == len(k) else 0, weighted(q, k))
+                score = round(best * (0.9 + 0.1 * min(1, len(q) / len(k), len(k) / len(q))) if best >= 0.7 else best, 6)
+                if score >= 0.25:
+                    scored.append((-score, b))
+        expected[a] = [(b, -s) for s, b in sorted(scored)[:5]]
+    found = {}
+    for r in sorted(FUZZY["c11_g5_phonetic_search"](spark, SMALL).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query"], []).append((r["name"], pytest.approx(r["score"], abs=2e-6)))
+    assert found == {a: x for a, x in expected.items() if x}
