@@ -45,6 +45,8 @@ KEY_CONFIDENCE = 0.9
 ROUNDS, MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE, MIN_LENGTH = 3, 5, 0.5, 0.8, 5
 #: A pattern table of at most so many rows (16 bytes each) is broadcast to the scan that counts slots.
 BROADCAST_ROWS = 1_000_000
+#: Slots are counted in one document of so many, then in more of them, at last in all.
+PARTS = (64, 8, 1)
 #: Matches of one text put together at once.
 RUN = 256
 
@@ -147,7 +149,19 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def slot_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """key, total: how many words of the whole corpus stand in each pattern's slot."""
+    """patterns(key, most) -> key, total: how many words of the whole corpus stand in the slot of each pattern that can be
+    precise. `most` bounds a pattern's confident instances, so one whose slot already holds too many words in a part of the
+    corpus is out for certain; common slots are thus not counted to the end. The last count is over all documents."""
+    for part in PARTS:
+        counted = slot_counts(docs if part == 1 else docs.filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0), patterns.select("key"))
+        totals = patterns.join(counted, "key", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+        totals = stored(totals.filter(F.col("total") * MIN_PRECISION <= F.col("most")), "totals")
+        patterns = totals.select("key", "most")
+    return totals.select("key", "total")
+
+
+def slot_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """key, total: how many words of these documents stand in each pattern's slot."""
     if patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         patterns = F.broadcast(patterns)
     words = text_words(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -177,7 +191,7 @@ def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS) -> DataF
 
     The words counted for a slot include its candidates, and confidence only grows with precision. So rounds on the graph
     alone, with the candidates as the total, reach every pattern that rounds with the true totals can: only those are
-    counted over the corpus, in one scan."""
+    counted over the corpus."""
     with scratch(docs.sparkSession):
         words = scanned.select("id", F.explode("words").alias("x")).select("id", "x.start", "x.end", "x.instance", "x.keys", "x.state")
         words = stored(words.filter(f"state = 2 OR (state = 0 AND length(instance) >= {MIN_LENGTH})"), "occurrences")
@@ -190,7 +204,7 @@ def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS) -> DataF
         most = stored(wide.select("key", "total"), "candidates")
         edges = stored(edges.join(most.select("key"), "key", "left_semi"), "edges")
         _, possible = bootstrap(edges, seeds, most, rounds)
-        totals = stored(slot_totals(docs, possible.select("key")), "totals")
+        totals = slot_totals(docs, possible.select("key").join(most.select("key", F.col("total").alias("most")), "key"))
         known, sure = bootstrap(edges, seeds, totals, rounds)
         hits = join_hot(words.filter("state = 0").select("instance", "id", "start", "end", "keys"), known.select("instance"), "instance")
         hits = hits.select("id", "start", "end", F.explode("keys").alias("key"))
