@@ -13,9 +13,10 @@ chance of about 2 in 10,000. Within a bucket no pairs are listed: members are ma
 best of them are verified by exact multiset overlap of the texts, and components are taken. Then the pairs of a bucket
 whose ends are still in different components are verified too, unless the similarity is out of reach: shingles that no
 other such text has bound what a pair can share, exactly; and one-bit sketches estimate it, with a margin of `sigmas`
-deviations (six: a chance of 1 in 10^9 to lose a pair just at the similarity; None verifies every such pair instead). So
-every candidate link is either verified, ruled out or inside a component already; nothing is capped. Leaders and buckets
-with very many members are dealt out over tasks.
+deviations. At the default, 3.7, they lose a pair just at the similarity with a chance of about 1 in 10,000, half of what
+the bands lose; pairs well over it are safe. `sigmas=None` is the exact way for the rest: every such pair is verified.
+So every candidate link is verified, ruled out or inside a component already; nothing is capped. Leaders and buckets with
+very many members are dealt out over tasks.
 
 Defined results: null and empty texts have no words and are copies of each other. Texts equal in their words are copies
 whatever the white space. A null doc_id is replaced by a negative hash of the text inside, and stays null in results. A
@@ -44,10 +45,10 @@ from .arrow import WHITE, chunks, flat_bytes, mix64, word_codes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Most positions of a signature; chance to miss a pair just at the similarity; margin of the sketches.
-MOST_POSITIONS, MISS, SIGMAS = 256, 2.2e-4, 6.0
+MOST_POSITIONS, MISS, SIGMAS = 256, 2.2e-4, 3.7
 LEADERS_TRIED = 3
-#: Masks that give each of a bucket's leaders another order of texts.
-ORDERS = (0, 0x2AAAAAAAAAAAAAAA, 0x5CC33A5C5CC33A5C, 0x71E9D64B71E9D64B)
+#: Masks that give each of a bucket's leaders another order of ids.
+ORDERS = (0, 0x2AAAAAAA, 0x5CC33A5C, 0x71E9D64B)
 #: Members of a bucket that one task compares with each other or with as many others.
 MEMBERS_AT_ONCE, HOT_BUCKETS = 512, 2000
 SLACK = 3.0
@@ -234,10 +235,11 @@ def text_classes(docs: DataFrame, similarity: float, sigmas: float | None, join_
     unique = made.groupBy("text_key").agg(F.min(F.struct("row_id", "raw")).alias("first"), *facts)
     unique = stored(unique.withColumn("node", F.monotonically_increasing_id()), "texts")
 
-    held = unique.select("node", F.explode("bands").alias("bucket"))
-    orders = [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"l{i}") for i, m in enumerate(ORDERS)]
+    held = unique.select("node", F.col("first.row_id").alias("rep"), F.explode("bands").alias("bucket"))
+    # by id: the first of a group of copies is likely what the others were made from
+    orders = [F.min(F.struct(F.col("rep").bitwiseXOR(F.lit(m)), "node"))["node"].alias(f"l{i}") for i, m in enumerate(ORDERS)]
     buckets = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *orders).filter("n > 1")
-    shared = stored(held.join(buckets.drop("n"), "bucket"), "shared")
+    shared = stored(held.drop("rep").join(buckets.drop("n"), "bucket"), "shared")
 
     leaders = shared.select("node", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(len(ORDERS))]))).alias("leader")).filter("node <> leader")
     met = leaders.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("met"))
