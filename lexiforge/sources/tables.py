@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OPEN: list[list[str]] = []
+#: Paths to delete, by open `scratch` block of this thread of work.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratch", default=())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,35 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _write(df: DataFrame, name: str, options: dict[str, str], level: int) -> DataFrame:
-    spark = df.sparkSession
+def _write(df: DataFrame, name: str, by: Sequence[str], options: dict[str, str], level: int) -> DataFrame:
+    spark, blocks = df.sparkSession, _OPEN.get()
     path = f"{shared_dir(spark)}/lexiforge/{name}-{uuid.uuid4().hex}"
-    if len(_OPEN) >= level:
-        _OPEN[-level].append(path)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    if len(blocks) >= level:
+        blocks[-level].append(path)
+    df.write.options(**{"compression": "zstd", **options}).partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: lineage ends there and lost executors cost
-    no recomputation of what came before."""
-    return _write(df, name, options, 1)
+def stored(df: DataFrame, name: str, by: Sequence[str] = (), **options: str) -> DataFrame:
+    """Write df as Parquet under the shared folder, in a folder for each value of the columns `by`, and read it back:
+    lineage ends there and lost executors cost no recomputation of what came before."""
+    return _write(df, name, by, options, 1)
 
 
-def kept(df: DataFrame, name: str, **options: str) -> DataFrame:
+def kept(df: DataFrame, name: str, by: Sequence[str] = (), **options: str) -> DataFrame:
     """As `stored`, for the result of a `scratch` block, which outlives the block."""
-    return _write(df, name, options, 2)
+    return _write(df, name, by, options, 2)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables stored inside the block are deleted at its end, but for those `kept`."""
+    """Tables stored inside the block are deleted at its end, but for those `kept`. What is stored outside any block is a
+    result that some DataFrame still reads; it stays, for the owner of the shared folder to clear."""
     paths: list[str] = []
-    _OPEN.append(paths)
+    mark = _OPEN.set((*_OPEN.get(), paths))
     try:
         yield
     finally:
-        _OPEN.pop()
+        _OPEN.reset(mark)
         for path in paths:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
