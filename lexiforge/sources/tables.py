@@ -36,7 +36,8 @@ def _write(df: DataFrame, name: str, by: Sequence[str], options: dict[str, str],
     if len(blocks) >= level:
         blocks[-level].append(path)
     df.write.options(**{"compression": "zstd", **options}).partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    return made.select(*[f"`{c}`" for c in df.columns]) if by else made  # columns of folders come last
 
 
 def stored(df: DataFrame, name: str, by: Sequence[str] = (), **options: str) -> DataFrame:
