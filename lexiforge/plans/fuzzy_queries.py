@@ -1,29 +1,18 @@
-"""Fuzzy matching, typo correction, query classification and concept search: always blocked by equi-joins first."""
+"""Fuzzy matching, typo correction and query classification: always blocked by equi-joins first."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..sources.tables import read_table, shared_dir, stored
+from ..sources.tables import read_table, stored
 from .lexical_queries import SYNONYMS, query_classes, synonyms
 from .retrieval_queries import passages
 from .search_queries import sql_search_type
 from .text_queries import ARABIC_TEXT, arabic, q, sql_tokens
 
-#: A small lexicon over words of the given tables, as a file of concepts would hold it.
-CONCEPTS = (
-    {"id": "around", "label": "Around", "aliases": ["pour", "dans", "pour"], "keywords": ["pour", "dans", "avec", "les"], "exclusions": ["und"]},
-    {"id": "being", "label": "Being", "aliases": ["est", "ist"], "keywords": ["est", "ist", "que", "being"], "exclusions": ["los"]},
-    {"id": "there", "label": "There", "aliases": ["these"], "keywords": ["thing", "there", "ther", "ente"], "exclusions": ["der"]},
-)
-
-
 def deletions(word: Column, depth: int) -> Column:
     """The word and all strings it becomes by deleting up to two characters."""
     once = lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
@@ -122,65 +111,6 @@ def b24_classify_queries(spark, d):
     return query_classes(queries, read_table(spark, d, "documents").select("text")).drop("query")
 
 
-def read_lexicon(spark, path: str) -> DataFrame:
-    """concept, label, kind, word of a JSON lexicon: one row for each distinct alias, keyword and exclusion, in lower case.
-    An alias of several concepts belongs to the last of them by id."""
-    raw = spark.read.schema("id string, label string, aliases array<string>, keywords array<string>, exclusions array<string>").json(path)
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("words")) for k, c in (("alias", "aliases"), ("keyword", "keywords"), ("exclusion", "exclusions"))])
-    words = raw.select("id", "label", F.explode(kinds).alias("x")).select(F.col("id").alias("concept"), "label", "x.kind", F.explode("x.words").alias("word"))
-    words = words.select("concept", "label", "kind", F.lower("word").alias("word")).distinct()
-    last = F.when(F.col("kind") == "alias", F.max("concept").over(Window.partitionBy("kind", "word"))).otherwise(F.col("concept"))
-    return words.withColumn("last", last).filter("last = concept").drop("last")
-
-
-def concept_anchors(spark, d) -> DataFrame:
-    """concept, doc_id, i: four documents with the smallest ids of the source that each concept is given."""
-    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    docs = read_table(spark, d, "documents").select("source", "doc_id").filter(F.col("source").isin(*[f"src{i}" for i in range(len(CONCEPTS))])).withColumn("i", at).filter("i <= 4")
-    names = F.array(*[F.lit(c["id"]) for c in CONCEPTS])
-    return docs.select(F.element_at(names, (F.regexp_extract("source", "([0-9]+)", 1).cast("int") + 1)).alias("concept"), "doc_id", (F.col("i") - 1).alias("i"))
-
-
-def concept_scores(docs: DataFrame, lexicon: DataFrame, anchors: DataFrame) -> DataFrame:
-    """concept, doc_id, hits, score, anchor: documents with a concept's keywords, whole or by their first four letters,
-    scored by density; anchors by their place. A document with an exclusion word stays only if it is an anchor."""
-    size = lexicon.filter("kind = 'keyword'").groupBy("concept").agg(F.count(F.lit(1)).alias("n"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)))).alias("w"))
-    asked = lexicon.filter("length(word) >= 3").withColumn("stem", F.left("word", F.lit(4)))
-    keys = asked.select(F.col("stem").alias("key")).distinct()
-    near = words.withColumn("key", F.left("w", F.lit(4))).join(F.broadcast(keys), "key")
-    hit = near.join(F.broadcast(asked), near.key == asked.stem)
-    stemmed = (F.length("word") >= 4) & (F.col("kind") == "keyword")
-    hit = hit.filter((F.col("w") == F.col("word")) | stemmed).groupBy("concept", "doc_id").agg(F.countDistinct(F.when(F.col("kind") == "keyword", F.col("word"))).alias("hits"), F.max((F.col("kind") == "exclusion").cast("int")).alias("excluded"))
-    place = F.col("i")
-    many = anchors.groupBy("concept").agg(F.count(F.lit(1)).alias("anchors"))
-    ranked = anchors.join(many, "concept").select("concept", "doc_id", F.least(F.lit(0.97), 0.93 + (F.col("anchors") - place) * 0.015).alias("anchor_score"))
-    both = hit.join(ranked, ["concept", "doc_id"], "full").join(size, "concept").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    dense = F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(3), F.least(F.lit(8), F.floor(F.col("n") / 4))))
-    keyword = F.least(F.lit(0.94), 0.42 + dense * 0.38 + F.least(F.lit(0.12), F.col("hits") * 0.03))
-    anchor = F.col("anchor_score").isNotNull()
-    kept = both.filter(anchor | ((F.coalesce("excluded", F.lit(0)) == 0) & (F.col("hits") > 0)))
-    return kept.select("concept", "doc_id", F.col("hits").cast("long").alias("hits"), F.round(F.coalesce("anchor_score", keyword), 6).alias("score"), anchor.alias("anchor"))
-
-
-def a12_g7_concepts(spark, d):
-    """A lexicon file read back, and every document's score for each of its concepts."""
-    path = f"{shared_dir(spark)}/lexiforge/lexicon-{uuid.uuid4().hex}"
-    spark.createDataFrame([(json.dumps(c),) for c in CONCEPTS], "value string").write.text(path)
-    return concept_scores(read_table(spark, d, "documents").select("doc_id", "text"), read_lexicon(spark, path), concept_anchors(spark, d))
-
-
-def f15_theme_rank(spark, d):
-    """The fifty best documents of each concept: those with a thankful word of the last concept before others, then
-    anchors, then by score."""
-    docs = read_table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
-    scored = a12_g7_concepts(spark, d).join(docs, "doc_id")
-    lifted = ~F.col("anchor") & (F.col("concept") == CONCEPTS[-1]["id"]) & F.col("text").rlike("(^|[^a-z])(there|thing)([^a-z]|$)")
-    order = [F.desc(lifted), F.desc("anchor"), F.desc("score"), F.col("doc_id")]
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy(*order)))
-    return ranked.filter("rank <= 50").select("concept", "doc_id", "score", "rank")
-
-
 def d14_baseline_comparison(spark, d):
     """Cases whose relevant document the current search (Jaccard) ranks worse than the baseline (coverage), or not at all."""
     from .retrieval_queries import coverage_search, set_similarities, top_k
@@ -199,17 +129,6 @@ BROKEN = "CASE p_partkey % 3 WHEN 0 THEN substr(lower(p_name), 2, 1) || substr(l
 NEAR = f"""asked AS (SELECT DISTINCT unnest(string_split({BROKEN}, ' ')) AS token FROM part), words AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part),
  near AS (SELECT token, word, CAST(damerau_levenshtein(token, word) AS INT) AS distance FROM asked, words WHERE length(token) > 2 AND damerau_levenshtein(token, word) <= CASE WHEN length(token) <= 4 THEN 1 ELSE 2 END)"""
 GRAMS = "list_distinct(list_filter(list_transform(range(1, greatest(length(replace({0}, ' ', '')) - 2, 1) + 1), lambda i: substr(replace({0}, ' ', ''), i, 3)), lambda g: g <> ''))"
-LEXICON = "(VALUES " + ", ".join(f"('{c}', '{kind}', '{w}')" for c, kind, w in sorted({(c["id"], kind, w) for c in CONCEPTS for kind, k in (("keyword", "keywords"), ("exclusion", "exclusions")) for w in c[k]})) + ") AS l(concept, kind, word)"
-CONCEPTS_SQL = f"""WITH l AS (SELECT * FROM {LEXICON}), s AS (SELECT concept, count(*) AS n FROM l WHERE kind = 'keyword' GROUP BY 1),
- w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS w FROM documents),
- h AS (SELECT concept, doc_id, count(DISTINCT word) FILTER (WHERE kind = 'keyword') AS hits, max((kind = 'exclusion')::INT) AS x FROM w JOIN l ON w = word OR (kind = 'keyword' AND length(word) >= 4 AND left(w, 4) = left(word, 4)) GROUP BY 1, 2),
- a AS (SELECT [{', '.join(q(c['id']) for c in CONCEPTS)}][CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) + 1] AS concept, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i
-   FROM documents WHERE source IN ({', '.join(f"'src{i}'" for i in range(len(CONCEPTS)))}) QUALIFY i < 4),
- r AS (SELECT concept, doc_id, least(0.97, 0.93 + (count(*) OVER (PARTITION BY concept) - i) * 0.015) AS anchor FROM a),
- b AS (SELECT coalesce(h.concept, r.concept) AS concept, coalesce(h.doc_id, r.doc_id) AS doc_id, coalesce(hits, 0) AS hits, coalesce(x, 0) AS x, anchor FROM h FULL JOIN r ON h.concept = r.concept AND h.doc_id = r.doc_id),
- scored AS (SELECT concept, doc_id, hits, round(coalesce(anchor, least(0.94, 0.42 + least(1.0, hits / greatest(3, least(8, n // 4))) * 0.38 + least(0.12, hits * 0.03))), 6)::DOUBLE AS score, anchor IS NOT NULL AS anchor
-   FROM b JOIN s USING (concept) WHERE anchor IS NOT NULL OR (x = 0 AND hits > 0))"""
-
 
 SQL = {
     "c10_near_words": f"WITH {NEAR} SELECT * FROM near",
@@ -226,10 +145,6 @@ SQL = {
  c AS (SELECT query_id, n, round(share, 6) AS share, CASE WHEN len(regexp_extract_all(l, '[؀-ۿ]')) > 0.40 * length(l) THEN 'arabic' WHEN n BETWEEN 2 AND 4 AND {sql_search_type('query')} = 'transliteration' AND share < 0.5 THEN 'transliteration' WHEN n > 4 THEN 'descriptive' ELSE 'keyword' END AS kind FROM n)
  SELECT *, CASE kind WHEN 'arabic' THEN 0.55 WHEN 'transliteration' THEN 0.50 WHEN 'descriptive' THEN 0.10 ELSE 0.40 END::DOUBLE AS w_phonetic, CASE kind WHEN 'arabic' THEN 0.30 WHEN 'transliteration' THEN 0.30 WHEN 'descriptive' THEN 0.75 ELSE 0.35 END::DOUBLE AS w_semantic,
   CASE kind WHEN 'transliteration' THEN 0.20 ELSE 0.15 END::DOUBLE AS w_lexical FROM c""",
-    "a12_g7_concepts": CONCEPTS_SQL + " SELECT concept, doc_id, hits, score, anchor FROM scored",
-    "f15_theme_rank": CONCEPTS_SQL
-    + f""" SELECT concept, doc_id, score, row_number() OVER (PARTITION BY concept ORDER BY (NOT anchor AND concept = '{CONCEPTS[-1]['id']}' AND regexp_matches(lower(text), '(^|[^a-z])(there|thing)([^a-z]|$)')) DESC, anchor DESC, score DESC, doc_id) AS rank
- FROM scored JOIN documents USING (doc_id) QUALIFY rank <= 50""",
     "b21_synonyms": f"""WITH s AS (SELECT * FROM (VALUES {', '.join(f"({q(k)}, [{', '.join(map(q, v))}])" for k, v in SYNONYMS.items())}) AS s(k, v)),
  t AS (SELECT item_id, list_concat([[{', '.join(map(q, SYNONYMS))}][item_id % {len(SYNONYMS)} + 1]], {sql_tokens('text', True)}) AS x FROM benchmark),
  u AS (SELECT item_id, i AS a, 0 AS b, x[i] AS w FROM t, range(1, 100000) r(i) WHERE i <= len(x) UNION ALL SELECT item_id, 100000 + i, j, v[j] FROM t, range(1, 100000) r(i), s, range(1, 4) z(j) WHERE i <= len(x) AND x[i] = k AND j <= len(v)),
