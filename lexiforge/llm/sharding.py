@@ -66,8 +66,10 @@ def bucket_table(spark: SparkSession, counts: DataFrame, buckets: int, in_run: i
     groups = table.groupBy("group").agg(F.sum("rows").alias("total"))
     groups = groups.select("group", (F.sum("total").over(Window.orderBy("group")) - F.col("total")).alias("ahead"))
     table = table.withColumn("inside", inside).join(groups, "group")
-    one = F.struct("bucket", (F.col("ahead") + F.col("inside")).alias("before"), fisher_yates(seed, F.col("bucket"), F.col("rows")).alias("places"))
-    return table.select(F.expr(f"bucket div {in_run}").alias("run"), one.alias("one")).groupBy("run").agg(F.array_sort(F.collect_list("one")).alias("held"))
+    one = F.struct("bucket", (F.col("ahead") + F.col("inside")).alias("before"), "rows")
+    runs = table.select(F.expr(f"bucket div {in_run}").alias("run"), one.alias("one")).groupBy("run").agg(F.array_sort(F.collect_list("one")).alias("held"))
+    # shuffled where the runs are, not where one window has counted thousands of buckets
+    return runs.repartition("run").select("run", F.transform("held", lambda x: F.struct(x["before"].alias("before"), fisher_yates(seed, x["bucket"], x["rows"]).alias("places"))).alias("held"))
 
 
 def shard_records(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES, most_copies: int = MOST_COPIES) -> DataFrame:
