@@ -9,8 +9,10 @@ Template: each turn is `<s>`, role, newline, text, `</s>`. Control strings insid
 after their first character (any backslashes already there stay and one is added), which is undone by taking one away.
 
 Defined results: null text or role counts as empty. Repeated rows and rows with equal turn are messages of their own,
-ordered by turn, role, text. A null tree id is a tree of its own. A parent that is not in its tree makes its child a
-root. Branches with equal scores go by leaf. Texts are taken whole: what one task renders is a batch of conversations.
+ordered by turn, role, text. In other trees rows of one node id are one node, and each of its texts appears in every path
+through it. A null tree id is a tree of its own. A parent that is not in its tree makes its child a root. Parents that
+form a cycle (or a node that is its own parent) are cut at the cycle's lowest node id, which becomes a root; what hangs
+below stays. Branches with equal scores go by leaf. Texts are taken whole: what one task renders is a batch of conversations.
 `linear_tree` orders a conversation's rows in one task, which then also writes them as its one output row. An empty table
 gives an empty result. Other columns are not read.
 """
@@ -71,22 +73,42 @@ def same(a: str, b: str, *pairs: tuple[str, str]) -> Column:
     return found
 
 
+def climbs(nodes: DataFrame) -> DataFrame:
+    """tree_id, node_id, to, lowest: one step from each node to its parent; lowest of the nodes a step leaves behind."""
+    there = nodes.select("tree_id", F.col("node_id").alias("to"))
+    return stored(nodes.alias("n").join(there.alias("p"), same("n", "p", ("parent_id", "to"))).select("n.tree_id", "n.node_id", "p.to", F.col("n.node_id").alias("lowest")).distinct(), "jumps")
+
+
+def doubled(jumps: DataFrame) -> DataFrame:
+    """Jumps twice as far; those that would leave the tree end."""
+    further = jumps.alias("a").join(jumps.alias("b"), same("a", "b", ("to", "node_id")))
+    return stored(further.select("a.tree_id", "a.node_id", "b.to", F.least("a.lowest", "b.lowest").alias("lowest")), "jumps")
+
+
 def root_paths(messages: DataFrame) -> DataFrame:
     """tree_id, leaf, node_id, up: every node of every root-to-leaf path, `up` steps above its leaf."""
     with scratch(messages.sparkSession):
         nodes = stored(messages.select("tree_id", "node_id", "parent_id").distinct(), "nodes")
-        there = nodes.select("tree_id", F.col("node_id").alias("to"))
-        jumps = nodes.alias("n").join(there.alias("p"), same("n", "p", ("parent_id", "to"))).select("n.tree_id", "n.node_id", "p.to")
-        jumps = stored(jumps, "jumps")
-        inner = jumps.select("tree_id", F.col("to").alias("node_id")).distinct()
+        many, jumps = nodes.count(), climbs(nodes)
+        levels = [jumps]
+        # a path without a cycle has at most as many steps as there are nodes
+        while not jumps.isEmpty() and 1 << len(levels) <= 2 * many:
+            jumps = doubled(jumps)
+            levels.append(jumps)
+        if not jumps.isEmpty():
+            # what still climbs has come into a cycle and been all around it: the lowest node there becomes a root
+            cut = jumps.select("tree_id", F.col("to").alias("node_id")).distinct().alias("c").join(jumps.alias("j"), same("c", "j", ("node_id", "node_id"))).filter("j.node_id = j.lowest").select("c.tree_id", "c.node_id").distinct()
+            open_nodes = nodes.alias("n").join(cut.alias("c"), same("n", "c", ("node_id", "node_id")), "left")
+            nodes = stored(open_nodes.select("n.tree_id", "n.node_id", F.when(F.col("c.node_id").isNull(), F.col("n.parent_id")).alias("parent_id")), "nodes")
+            levels = [climbs(nodes)]
+            while not levels[-1].isEmpty():
+                levels.append(doubled(levels[-1]))
+        inner = levels[0].select("tree_id", F.col("to").alias("node_id")).distinct()
         leaves = nodes.alias("n").join(inner.alias("i"), same("n", "i", ("node_id", "node_id")), "left_anti")
         paths = leaves.select("tree_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up"))
-        reach = 1
-        while not jumps.isEmpty():
-            above = paths.alias("p").join(jumps.alias("j"), same("p", "j", ("node_id", "node_id"))).select("p.tree_id", "p.leaf", F.col("j.to").alias("node_id"), (F.col("p.up") + reach).alias("up"))
+        for k, jumps in enumerate(levels[:-1]):
+            above = paths.alias("p").join(jumps.alias("j"), same("p", "j", ("node_id", "node_id"))).select("p.tree_id", "p.leaf", F.col("j.to").alias("node_id"), (F.col("p.up") + (1 << k)).alias("up"))
             paths = stored(paths.unionByName(above), "paths")
-            jumps = stored(jumps.alias("a").join(jumps.alias("b"), same("a", "b", ("to", "node_id"))).select("a.tree_id", "a.node_id", "b.to"), "jumps")
-            reach *= 2
         return kept(paths, "root-paths")
 
 
@@ -141,8 +163,9 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     own = spark.sql("SELECT -1L conv_id, 0L turn, 'user' role, '</s>[INST] ok [/INST]' text UNION ALL SELECT -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'")
-    chats = stored(format_chats(stored(linear_tree(given.unionByName(own)), "messages"), branches=1), "chats")
-    return chats.select("tree_id", "formatted", "loss_mask").mapInArrow(read_back, READ_BACK)
+    with scratch(spark):
+        chats = stored(format_chats(stored(linear_tree(given.unionByName(own)), "messages"), branches=1), "chats")
+        return kept(chats.select("tree_id", "formatted", "loss_mask").mapInArrow(read_back, READ_BACK), "read-back")
 
 
 #: conversations of one row per turn, texts free of control strings but for conversation -1: every column but the

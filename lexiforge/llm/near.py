@@ -19,7 +19,8 @@ So every candidate link is verified, ruled out or inside a component already; no
 very many members are dealt out over tasks.
 
 Defined results: null and empty texts have no words and are copies of each other. Texts equal in their words are copies
-whatever the white space. A null doc_id is replaced by a negative hash of the text inside, and stays null in results. A
+whatever the white space. A null doc_id is replaced by a negative hash of the text inside, and stays null in results; a
+class takes the smallest id given in it, and only one of rows without ids is named by such a hash. A
 doc_id shared by different texts joins their classes in `near_duplicates`; `deduplicate` keeps both such texts, as neither
 copies the other. Repeated rows are copies. Texts are taken whole: a task holds a batch of about two megabytes or one
 longer text, and the two texts of a pair. An empty table gives an empty result. Other columns, whatever their names, are
@@ -52,7 +53,7 @@ ORDERS = (0, 0x2AAAAAAA, 0x5CC33A5C, 0x71E9D64B)
 #: Members of a bucket that one task compares with each other or with as many others.
 MEMBERS_AT_ONCE, HOT_BUCKETS = 512, 2000
 SLACK = 3.0
-SKETCH_SCHEMA = "row_id long, raw long, text_key binary, size long, bands array<long>, bit0 long, bit1 long, bit2 long, bit3 long"
+SKETCH_SCHEMA = "row_id long, raw long, named boolean, text_key binary, size long, bands array<long>, bit0 long, bit1 long, bit2 long, bit3 long"
 
 
 class Layout(NamedTuple):
@@ -157,7 +158,7 @@ def sketch(batches: Iterator[pa.RecordBatch], plan: Layout) -> Iterator[pa.Recor
         bits[:, : plan.positions] = value & np.uint64(1)
         packed = np.packbits(bits, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_id"), batch.column("raw"), pa.array(keys, pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * plan.bands), pa.array(bands.view(np.int64).reshape(-1)))] + [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(4)],
+            [batch.column("row_id"), batch.column("raw"), batch.column("named"), pa.array(keys, pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * plan.bands), pa.array(bands.view(np.int64).reshape(-1)))] + [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(4)],
             names=[c.split()[0] for c in SKETCH_SCHEMA.split(", ")],
         )
 
@@ -229,10 +230,10 @@ def text_classes(docs: DataFrame, similarity: float, sigmas: float | None, join_
     """(row_id, raw, text_key of each row; text_key, class_id, first: each different text, its class and its first row)."""
     plan = layout(similarity, sigmas)
     row_id, raw = row_keys(F.col("doc_id"), F.col("text"))
-    given = docs.select(row_id.alias("row_id"), raw.alias("raw"), F.col("text").cast("string").alias("text"))
+    given = docs.select(row_id.alias("row_id"), raw.alias("raw"), F.col("doc_id").isNotNull().alias("named"), F.col("text").cast("string").alias("text"))
     made = stored(given.mapInArrow(lambda batches: sketch(batches, plan), SKETCH_SCHEMA), "sketches")
     facts = [F.first(c).alias(c) for c in ("bands", "size", "bit0", "bit1", "bit2", "bit3")]
-    unique = made.groupBy("text_key").agg(F.min(F.struct("row_id", "raw")).alias("first"), *facts)
+    unique = made.groupBy("text_key").agg(F.min(F.struct((~F.col("named")).alias("nameless"), "row_id", "raw")).alias("first"), *facts)
     unique = stored(unique.withColumn("node", F.monotonically_increasing_id()), "texts")
 
     held = unique.select("node", F.col("first.row_id").alias("rep"), F.explode("bands").alias("bucket"))
@@ -244,12 +245,15 @@ def text_classes(docs: DataFrame, similarity: float, sigmas: float | None, join_
     leaders = shared.select("node", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(len(ORDERS))]))).alias("leader")).filter("node <> leader")
     met = leaders.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("met"))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("met"), "leader"))
-    stars = met.withColumn("at", best).filter(F.col("at") <= LEADERS_TRIED).select(F.col("node").alias("b"), F.col("leader").alias("a"))
+    stars = stored(met.withColumn("at", best).filter(F.col("at") <= LEADERS_TRIED).select(F.col("node").alias("b"), F.col("leader").alias("a"), "at"), "stars")
 
     involved = shared.select("node").distinct().join(unique.select("node", "first.row_id", "first.raw"), "node")
     texts = given.join(involved, ["row_id", "raw"]).select(F.col("node").alias("row_id"), "text").dropDuplicates(["row_id"])
     texts = stored(texts, "involved")
-    links = verified(stars, texts, similarity, "stars").select("a", "b")
+    # the leader met most often first; others only for members that it does not take in
+    links = verified(stars.filter("at = 1").select("a", "b"), texts, similarity, "stars").select("a", "b")
+    others = stars.filter("at > 1").select("a", "b").join(links.select("b"), "b", "left_anti").select("a", "b")
+    links = links.unionByName(verified(others, texts, similarity, "stars").select("a", "b"))
     component = connected_components(links, "first")
 
     labelled = shared.select("bucket", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -268,15 +272,15 @@ def text_classes(docs: DataFrame, similarity: float, sigmas: float | None, join_
 
     named = unique.select("text_key", "first", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("first").alias("class"))
-    return made.select("row_id", "raw", "text_key"), named.join(lowest, "component").select("text_key", "first", "class")
+    return made.select("row_id", "raw", "named", "text_key"), named.join(lowest, "component").select("text_key", "first", "class")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sigmas: float | None = SIGMAS) -> DataFrame:
     """doc_id and text -> row_id, doc_id, class_id: the smallest id of each class of near copies."""
     with scratch(docs.sparkSession):
         rows, classes = text_classes(docs, similarity, sigmas, join_ids=True)
-        found = join_hot(rows.select("row_id", "text_key"), classes.select("text_key", F.col("class.row_id").alias("class_id")), "text_key")
-        return kept(found.select("row_id", F.when(F.col("row_id") >= 0, F.col("row_id")).alias("doc_id"), "class_id"), "near-classes")
+        found = join_hot(rows.select("row_id", "named", "text_key"), classes.select("text_key", F.col("class.row_id").alias("class_id")), "text_key")
+        return kept(found.select("row_id", F.when(F.col("named"), F.col("row_id")).alias("doc_id"), "class_id"), "near-classes")
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, sigmas: float | None = SIGMAS) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Base entities (email, ip, card, phone) are found by patterns and serve as seeds. Words with a digit or an at sign that
 lie in no base span are candidate instances; those with the shape of a key (long, letters and digits mixed) are seeds of
-lower confidence, which count for a pattern but become spans only where a confident pattern holds them. A lexical pattern
-is what stands around an instance: the two words before it, or the word before and the word after. Spark builds the
+lower confidence, but for one in eight, which contexts alone can find. Such seeds count for a pattern and become spans only
+where a pattern holds them that is confident without them. A lexical pattern is what stands around an instance: the two words before it, or the word before and the word after. Spark builds the
 pattern-instance graph and scores both sides in turn: a pattern's precision is the confident instances' share of
 everything that stands in its slot anywhere in the corpus, and it counts once five different confident instances support
 it, in a table of any size; an instance's confidence is the noisy-or of its patterns. Instances over the threshold join
@@ -42,9 +42,13 @@ OCTET = "^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 #: Shape of a key, of which an instance is a seed of this confidence.
 KEY_SHAPE = "^(?=[^0-9]*+[0-9])(?=[^a-z]*+[a-z])[a-z0-9_+/=-]{20,}$"
 KEY_CONFIDENCE = 0.9
-ROUNDS, MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE, MIN_LENGTH = 3, 5, 0.5, 0.8, 5
-#: A pattern table of at most so many rows (16 bytes each) is broadcast to the scan that counts slots.
-BROADCAST_ROWS = 1_000_000
+#: One of so many words of a key's shape is no seed, so what contexts discover can be measured on them; a pattern that holds keys
+#: alone then has a precision of about 0.9 x 7 / 8, which MIN_CONFIDENCE lies below.
+HELD_OUT = 8
+ROUNDS, MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE, MIN_LENGTH = 3, 5, 0.5, 0.7, 5
+#: A pattern table of at most so many rows is broadcast to the scan that counts slots: the check tool measured 214 bytes of
+#: built relation a row, so 54 MB at most.
+BROADCAST_ROWS = 250_000
 #: Slots are counted in one document of so many, then in more of them, at last in all.
 PARTS = (64, 8, 1)
 #: Matches of one text put together at once.
@@ -162,32 +166,46 @@ def slot_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def slot_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """key, total: how many words of these documents stand in each pattern's slot."""
-    if patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        patterns = F.broadcast(patterns)
+    few = patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     words = text_words(F.coalesce(F.col("text").cast("string"), F.lit("")))
     cleaned = docs.select(F.transform(words, word).alias("w"))
     near = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     keys = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: slot_keys(near(i - 2), near(i - 1), near(i + 1))))
     slots = cleaned.filter(F.size("w") > 0).select(F.explode(keys).alias("key"))
-    return slots.join(patterns, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("total"))
+    if few:
+        return slots.join(F.broadcast(patterns), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("total"))
+    # counted before the join, so a common slot is one row a task
+    return slots.groupBy("key").agg(F.count(F.lit(1)).alias("total")).join(patterns, "key", "left_semi")
 
 
 def bootstrap(edges: DataFrame, seeds: DataFrame, totals: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """The confident instances (instance, confidence) and patterns (key, precision) after so many rounds. Every round takes
-    its patterns anew from all confident instances, so what one round discovers can make patterns of the next."""
-    known = seeds
+    """After so many rounds: the confident patterns (key), and found(key, instance): the candidates that such patterns hold.
+    Every round takes its patterns anew from all confident instances, so what one round discovers can make patterns of the
+    next. An instance never vouches for itself: where it counts as confident already, its own occurrences are left out of
+    the support and precision of the patterns that judge it."""
+    known, found = seeds, None
     for _ in range(rounds):
-        held = edges.join(known, "instance").groupBy("key").agg(F.sum(F.col("n") * F.col("confidence")).alias("good"), F.count(F.lit(1)).alias("support")).filter(F.col("support") >= MIN_SUPPORT)
-        sure = stored(held.join(totals, "key").select("key", (F.col("good") / F.col("total")).alias("precision")).filter(F.col("precision") >= MIN_PRECISION), "sure")
+        held = join_hot(edges, known, "instance").groupBy("key").agg(F.sum(F.col("n") * F.col("confidence")).alias("good"), F.count(F.lit(1)).alias("support")).filter(F.col("support") >= MIN_SUPPORT)
+        sure = stored(held.join(totals, "key").filter(F.col("good") / F.col("total") >= MIN_PRECISION).select("key", "good", "support", "total"), "sure")
+        judged = join_hot(join_hot(edges.filter("state = 0"), sure, "key"), known, "instance", how="left")
+        own, mine = F.coalesce("confidence", F.lit(0.0)), F.col("confidence").isNotNull()
+        rest = F.when(mine, F.col("total") - F.col("n")).otherwise(F.col("total"))
+        judged = judged.filter(F.col("support") - mine.cast("int") >= MIN_SUPPORT).withColumn("precision", (F.col("good") - F.col("n") * own) / rest)
+        judged = stored(judged.filter(F.col("precision") >= MIN_PRECISION).select("key", "instance", "precision"), "judged")
         miss = F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-6))))
-        scored = edges.filter("state = 0").join(sure, "key").groupBy("instance").agg((1 - F.exp(miss)).alias("confidence"))
-        scored = scored.filter(F.col("confidence") >= MIN_CONFIDENCE)
+        scored = judged.groupBy("instance").agg((1 - F.exp(miss)).alias("confidence")).filter(F.col("confidence") >= MIN_CONFIDENCE)
+        found = join_hot(judged.select("key", "instance"), scored.select("instance"), "instance")
         known = stored(seeds.unionByName(scored).groupBy("instance").agg(F.max("confidence").alias("confidence")), "known")
-    return known, sure
+    return sure, found
 
 
-def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """id, start, end of candidates that confident patterns discover.
+def held_out(instance: Column, share: int) -> Column:
+    """Whether a word of a key's shape is kept from the seeds: one of so many, by a hash."""
+    return F.pmod(F.xxhash64(instance, F.lit("held out")), F.lit(share).cast("long")) == 0
+
+
+def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS, share: int = HELD_OUT) -> DataFrame:
+    """id, start, end, unseen: candidates that confident patterns discover, and whether they were no seeds.
 
     The words counted for a slot include its candidates, and confidence only grows with precision. So rounds on the graph
     alone, with the candidates as the total, reach every pattern that rounds with the true totals can: only those are
@@ -197,27 +215,31 @@ def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS) -> DataF
         words = stored(words.filter(f"state = 2 OR (state = 0 AND length(instance) >= {MIN_LENGTH})"), "occurrences")
         edges = words.select(F.explode("keys").alias("key"), "instance", "state").groupBy("key", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("state").alias("state"))
         edges = stored(edges, "graph")
-        sure = F.when(F.col("state") == 2, 1.0).when(F.col("instance").rlike(KEY_SHAPE), KEY_CONFIDENCE)
+        likely = F.col("instance").rlike(KEY_SHAPE) & ~held_out(F.col("instance"), share)
+        sure = F.when(F.col("state") == 2, 1.0).when(likely, KEY_CONFIDENCE)
         seeds = words.select("instance", sure.alias("confidence")).filter("confidence IS NOT NULL")
         seeds = stored(seeds.groupBy("instance").agg(F.max("confidence").alias("confidence")), "seeds")
         wide = edges.groupBy("key").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("total")).filter(f"instances >= {MIN_SUPPORT}")
         most = stored(wide.select("key", "total"), "candidates")
         edges = stored(edges.join(most.select("key"), "key", "left_semi"), "edges")
-        _, possible = bootstrap(edges, seeds, most, rounds)
+        possible, _ = bootstrap(edges, seeds, most, rounds)
         totals = slot_totals(docs, possible.select("key").join(most.select("key", F.col("total").alias("most")), "key"))
-        known, sure = bootstrap(edges, seeds, totals, rounds)
-        hits = join_hot(words.filter("state = 0").select("instance", "id", "start", "end", "keys"), known.select("instance"), "instance")
-        hits = hits.select("id", "start", "end", F.explode("keys").alias("key"))
-        return kept(hits.join(sure.select("key"), "key", "left_semi").select("id", "start", "end").distinct(), "discovered")
+        _, found = bootstrap(edges, seeds, totals, rounds)
+        # a pair of pattern and instance is joined by one hash, so no common pattern or instance weighs on one task
+        pair = lambda key: F.xxhash64(key, "instance")
+        hits = words.filter("state = 0").select("instance", "id", "start", "end", F.explode("keys").alias("key")).withColumn("pair", pair("key"))
+        facts = join_hot(found, seeds.select("instance", F.lit(False).alias("seed")), "instance", how="left").select(pair("key").alias("pair"), F.col("seed").isNull().alias("unseen")).distinct()
+        hits = join_hot(hits.select("pair", "id", "start", "end"), facts, "pair")
+        return kept(hits.groupBy("id", "start", "end").agg(F.max("unseen").alias("unseen")), "discovered")
 
 
 def with_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """row (the columns of docs to keep, all by default), base and spans: array<struct<start, rank, end, kind>> of base spans, and of those and the
-    discovered ones, by start and kind."""
+    """row (the columns of docs to keep, all by default), base and spans: array<struct<start, rank, end, kind>> of base spans,
+    and of those and the discovered ones, by start and kind; unseen: how many discovered ones were no seeds."""
     scanned = scan(docs, docs.columns if keep is None else keep)
-    extra = discover(docs, scanned).groupBy("id").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(CONTEXT).alias("kind"))).alias("extra"))
+    extra = discover(docs, scanned).groupBy("id").agg(F.count_if("unseen").alias("unseen"), F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(CONTEXT).alias("kind"))).alias("extra"))
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))))
-    return scanned.join(extra, "id", "left").select("row", "base", spans.alias("spans"))
+    return scanned.join(extra, "id", "left").select("row", "base", spans.alias("spans"), F.coalesce("unseen", F.lit(0).cast("long")).alias("unseen"))
 
 
 def span_string(spans: Column) -> Column:
@@ -251,4 +273,5 @@ def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_string(F.col("base")), 256).alias("base_sha256"),
         span_string(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["kind"] == CONTEXT)).cast("long").alias("n_context"),
+        F.col("unseen").alias("n_unseen"),
     )

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from lexiforge.llm.chat import CONTROL, escape, escape_role, format_chats, op10_reply_trees, unescape, unescape_role
 from tests.conftest import SMALL
@@ -41,3 +42,21 @@ def test_edges(spark, tmp_path):
     got = {r.conv_id: (r.n_turns, r.loss_chars) for r in op10_reply_trees(spark, saved(spark.createDataFrame(rows, schema), tmp_path / "a", "conversations")).collect()}
     assert got == {-1: (2, 21), 5: (3, 0), None: (1, 1), 6: (1, 0)}
     assert op10_reply_trees(spark, saved(spark.createDataFrame([], schema), tmp_path / "b", "conversations")).count() == 1
+
+
+def chat_paths(spark, rows):
+    messages = spark.createDataFrame([(*r, "user", f"m{r[1]}") for r in rows], "tree_id long, node_id long, parent_id long, role string, text string")
+    return sorted(([x[1:] for x in re.findall("m[0-9]+", r.formatted)] for r in format_chats(messages).collect()))
+
+
+def test_parent_cycles_are_cut_at_their_lowest_node(spark):
+    assert chat_paths(spark, [(1, 1, 2), (1, 2, 1)]) == [["1", "2"]]
+    assert chat_paths(spark, [(1, 1, 1), (1, 2, 1)]) == [["1", "2"]]
+    assert chat_paths(spark, [(1, 4, 3), (1, 3, 5), (1, 5, 4), (1, 6, 5), (1, 7, 6)]) == [["3", "4", "5", "6", "7"]]
+    # a cycle beside a long plain chain and another tree
+    chain = [(2, i, i - 1 if i else None) for i in range(40)]
+    assert chat_paths(spark, [*chain, (1, 8, 9), (1, 9, 8), (1, 10, 8)]) == sorted([[str(i) for i in range(40)], ["8", "9"], ["8", "10"]])
+
+
+def test_rows_of_one_node_appear_in_each_path(spark):
+    assert chat_paths(spark, [(1, 1, None), (1, 1, None), (1, 2, 1)]) == [["1", "1", "2"]]

@@ -163,3 +163,15 @@ def test_columns_with_clashing_names_survive(spark):
     names = ["row", "row_id", "raw", "__row_id", "text_key", "class"]
     made = deduplicate(edge_docs(spark).select("*", *[F.lit(c).alias(c) for c in names]))
     assert made.columns[-len(names) :] == names and made.count() == 9 and all(r[c] == c for r in made.collect() for c in names)
+
+
+def test_negative_and_missing_ids(spark):
+    """Given ids come back as they are; a class is named by the least id given in it, whatever rows without ids it has."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(-5, text), (-7, "other words entirely are here for this row now"), (None, text), (None, ""), (4, ""), (None, "alone without any id at all today")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got if r.doc_id is not None)) == [(-7, -7), (-5, -5), (4, 4)]
+    nameless = sorted(r.class_id for r in got if r.doc_id is None)
+    assert -5 in nameless and 4 in nameless and len(nameless) == 3
+    kept = {(r.doc_id, r.text) for r in deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {rows[0], rows[1], rows[4], rows[5]}

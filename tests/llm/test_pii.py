@@ -49,8 +49,18 @@ def slots(text):
     return out
 
 
-def plain_context(texts):
-    """Spans (start, end) of each text that bootstrapping finds, by dictionaries in loops."""
+def key_shaped(instance):
+    return len(instance) >= 20 and re.fullmatch("[a-z0-9_+/=-]+", instance) and re.search("[0-9]", instance) and re.search("[a-z]", instance)
+
+
+def kept_from_seeds(spark, texts, share=pii.HELD_OUT):
+    """The key-shaped words of the texts that are no seeds."""
+    words = {(w,) for t in texts for _, _, w, _, candidate in slots(t) if candidate and key_shaped(w)}
+    return {r.w for r in spark.createDataFrame(list(words), "w string").filter(pii.held_out(F.col("w"), share)).collect()} if words else set()
+
+
+def plain_context(texts, held=frozenset()):
+    """Spans (start, end, no seed) of each text that bootstrapping finds, by dictionaries in loops."""
     total, words = collections.Counter(), []
     for t, text in enumerate(texts):
         base = plain(text)
@@ -65,29 +75,29 @@ def plain_context(texts):
         for k in keys:
             n, most = edges.setdefault(k, {}).get(instance, (0, 0))
             edges[k][instance] = (n + 1, max(most, state))
-        sure = 1.0 if state == 2 else 0.9 if len(instance) >= 20 and re.fullmatch("[a-z0-9_+/=-]+", instance) and re.search("[0-9]", instance) and re.search("[a-z]", instance) else None
+        sure = 1.0 if state == 2 else 0.9 if key_shaped(instance) and instance not in held else None
         if sure:
             seeds[instance] = max(sure, seeds.get(instance, 0))
     known = dict(seeds)
     for _ in range(3):
-        precision = {}
-        for k, held in edges.items():
-            met = [n * known[i] for i, (n, _) in held.items() if i in known]
-            if len(met) >= 5 and sum(met) / total[k] >= 0.5:
-                precision[k] = sum(met) / total[k]
-        miss = {}
-        for k, p in precision.items():
-            for i, (_, state) in edges[k].items():
-                if state == 0:
-                    miss[i] = miss.get(i, 1.0) * max(1 - p, 1e-6)
+        miss, pairs = {}, set()
+        for k, there in edges.items():
+            met = {i: n * known[i] for i, (n, _) in there.items() if i in known}
+            for i, (n, state) in there.items():
+                others, words_there = len(met) - (i in met), total[k] - (n if i in met else 0)
+                if state == 0 and len(met) >= 5 and sum(met.values()) / total[k] >= 0.5 and others >= 5:
+                    p = (sum(met.values()) - met.get(i, 0)) / words_there
+                    if p >= 0.5:
+                        pairs.add((k, i))
+                        miss[i] = miss.get(i, 1.0) * max(1 - p, 1e-6)
+        good = {i: 1 - m for i, m in miss.items() if 1 - m >= 0.7}
         known = dict(seeds)
-        for i, m in miss.items():
-            if 1 - m >= 0.8:
-                known[i] = max(1 - m, known.get(i, 0))
+        for i, c in good.items():
+            known[i] = max(c, known.get(i, 0))
     found = collections.defaultdict(set)
     for t, start, end, instance, keys, state in words:
-        if state == 0 and instance in known and any(k in precision for k in keys):
-            found[t].add((start, end))
+        if state == 0 and instance in good and any((k, instance) in pairs for k in keys):
+            found[t].add((start, end, instance not in seeds))
     return [sorted(found[t]) for t in range(len(texts))]
 
 
@@ -137,17 +147,27 @@ def test_context_spans_equal_brute_force(spark):
     rows += [(11_000 + i, f"please write to desk{i}77 for details or card 4111 1111 1111 1111") for i in range(6)]
     rows += [(12_000 + i, f"your member number desk{i}77 was renewed") for i in range(8)]
     rows += [(13_000 + i, f'TOKEN = "{hashlib.sha1(str(i).encode()).hexdigest().upper()}"') for i in range(9)] + [(13_100, "token = abc123x now")]
-    got = spans_of(spark, rows)
-    expected = dict(zip([i for i, _ in rows], plain_context([t for _, t in rows]), strict=True))
-    assert {i: [(s.start, s.end) for s in spans if s.kind == "context"] for i, spans in got.items()} == expected
-    assert sum(map(len, expected.values())) > 20
-
-
-def test_context_spans_on_the_given_tables(spark):
+    rows += [(14_000 + i, f"build {hashlib.sha1(str(90 + i).encode()).hexdigest()} passed") for i in range(5)]  # five vouch for no one of themselves
+    texts = [t for _, t in rows]
+    made = {r.row.doc_id: r for r in with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = dict(zip([i for i, _ in rows], plain_context(texts, kept_from_seeds(spark, texts)), strict=True))
+    assert {i: [(s.start, s.end) for s in r.spans if s.kind == "context"] for i, r in made.items()} == {i: [x[:2] for x in spans] for i, spans in expected.items()}
+    assert {i: r.unseen for i, r in made.items()} == {i: sum(x[2] for x in spans) for i, spans in expected.items()}
+    assert sum(map(len, expected.values())) > 20 and not any(expected[14_000 + i] for i in range(5))
+
+
+def test_contexts_find_the_keys_kept_from_the_seeds(spark):
+    """Recall of discovery on the given tables: every occurrence of a key that is no seed is found by its context alone, and
+    nothing but keys is."""
     folder = "/root/testdata/sf0.1"
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-    found = [texts[r.doc_id][int(a) : int(b)] for r in op8_contextual_pii(spark, folder).filter("n_context > 0").collect() for k, a, b in (x.split(":") for x in r.spans.split(",")) if k == "context"]
-    assert len(found) > 20 and all(re.search("[0-9A-Fa-f]{40}", x) for x in found)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").filter("text RLIKE '[0-9A-Za-z_+/=-]{20}'").collect()}
+    held = kept_from_seeds(spark, texts.values())
+    made = op8_contextual_pii(spark, folder).filter("n_context > 0").collect()
+    found = [(r.doc_id, int(a), int(b)) for r in made for k, a, b in (x.split(":") for x in r.spans.split(",")) if k == "context"]
+    assert len(found) > 20 and all(re.search("[0-9A-Fa-f]{40}", texts[i][a:b]) for i, a, b in found)
+    hidden = {(i, a, b) for i, t in texts.items() for a, b, w, _, candidate in slots(t) if candidate and w in held}
+    assert len(hidden) >= 10 and sum(r.n_unseen for r in made) >= len(hidden)
+    assert len(hidden & set(found)) / len(hidden) == 1.0
 
 
 def test_patterns_discover_unseen_identifiers(spark):
@@ -160,10 +180,10 @@ def test_patterns_discover_unseen_identifiers(spark):
 
 def test_keys_need_a_confident_pattern(spark):
     key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
-    rows = [(i, f'w{i} said token = "{key(i)}" and more') for i in range(6)] + [(50, 'then TOKEN = "short123" stood there')]
+    rows = [(i, f'w{i} said token = "{key(i)}" and more') for i in range(12)] + [(50, 'then TOKEN = "short123" stood there')]
     rows += [(100, f"the build {key(100)} went out")]
     found = contexts(spans_of(spark, rows), rows)
-    assert all(found[i] == [f'"{key(i)}"'] for i in range(6)) and found[50] == ['"short123"'] and found[100] == []
+    assert all(found[i] == [f'"{key(i)}"'] for i in range(12)) and found[50] == ['"short123"'] and found[100] == []
 
 
 def test_five_instances_count_among_many_seeds(spark):
