@@ -9,17 +9,10 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..sources.tables import read_table, stored
 from .lexical_queries import SYNONYMS, query_classes, synonyms
-from .retrieval_queries import passages
+from .retrieval_queries import deletions, passages
 from .search_queries import sql_search_type
 from .text_queries import ARABIC_TEXT, arabic, q, sql_tokens
 
-def deletions(word: Column, depth: int) -> Column:
-    """The word and all strings it becomes by deleting up to two characters."""
-    once = lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
-    one = F.array_union(F.array(word), once(word))
-    return one if depth == 1 else F.array_distinct(F.concat(one, F.flatten(F.transform(one, once))))
-
-
 def near_words(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """asked(token), vocabulary(word) -> pairs within distance 1 (up to four letters) or 2, by shared deletions."""
     keyed = asked.select("token", F.explode(deletions(F.col("token"), 2)).alias("key"))
@@ -84,8 +77,7 @@ def c11_g5_phonetic_search(spark, d):
     guard; keys of under three letters are one gram each."""
     pairs = sharing(*distinct_names(spark, d), key=T.phonetic_latin).select("query", "name", T.phonetic_latin(F.col("query")).alias("q"), T.phonetic_latin(F.col("name")).alias("k"))
     best = F.greatest(S.partial_ratio("q", "k"), S.wratio("q", "k"))
-    share = F.least(F.lit(1.0), F.length("q") / F.length("k"), F.length("k") / F.length("q"))
-    scored = pairs.withColumn("best", best).withColumn("score", F.round(F.when(F.col("best") >= 0.7, F.col("best") * (0.9 + 0.1 * share)).otherwise(F.col("best")), 6)).filter("score >= 0.25")
+    scored = pairs.withColumn("best", best).withColumn("score", F.round(S.sound_score(F.col("best"), F.col("q"), F.col("k")), 6)).filter(F.col("score") > S.SOUND_FLOOR)
     at = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name"))
     return scored.withColumn("rank", at).filter("rank <= 5").select("query", "name", "score", "rank")
 

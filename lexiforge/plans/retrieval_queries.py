@@ -6,15 +6,19 @@ for tokens that some query asks for, with counts summed on the map side.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import similarity as S
 from ..functions import text as T
-from ..sources.tables import read_table, stored
+from ..operators.places import placed
+from ..operators.topk import pruned_top_k
+from ..operators.vectors import cell_search
+from ..sources.tables import read_table, shared_dir, stored
 from .text_queries import SOUND_KEY_SQL, sql_tokens
 
 UNKNOWN_WEIGHT = 2.0
@@ -53,14 +57,15 @@ def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
-def coverage_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Top k documents by the idf-weighted share of query tokens they hold."""
+def coverage_search(queries: DataFrame, docs: DataFrame, k: int, moved: dict[str, int] | None = None) -> DataFrame:
+    """Top k documents by the idf-weighted share of query tokens they hold; common tokens touch only documents that can
+    still be among them."""
     asked = query_tokens(queries)
-    posted = postings(docs, asked)
-    weighted = asked.join(idf(posted, docs), "token", "left").select("query_id", "token", F.coalesce("idf", F.lit(UNKNOWN_WEIGHT)).alias("w"))
+    posted = stored(postings(docs, asked).select("doc_id", "token", F.lit(1.0).alias("part")), "postings")
+    weighted = stored(asked.join(idf(posted, docs), "token", "left").select("query_id", "token", F.coalesce("idf", F.lit(UNKNOWN_WEIGHT)).alias("w")), "weighted")
     whole = weighted.groupBy("query_id").agg(F.sum("w").alias("whole"))
-    met = weighted.join(posted, "token").groupBy("query_id", "doc_id").agg(F.sum("w").alias("met"), F.count(F.lit(1)).alias("n_tokens"))
-    scored = met.join(whole, "query_id").select("query_id", "doc_id", F.round(F.col("met") / F.col("whole"), 6).alias("score"), "n_tokens")
+    met = pruned_top_k(weighted.select("query_id", F.col("token").alias("slot"), "token", "w"), posted, k, moved)
+    scored = met.join(whole, "query_id").select("query_id", "doc_id", F.round(F.col("score") / F.col("whole"), 6).alias("score"), F.col("n_slots").alias("n_tokens"))
     return top_k(scored, k, F.desc("score")).select("query_id", "doc_id", "score", "n_tokens", "rank")
 
 
@@ -81,32 +86,94 @@ def term_frequency(spark, d):
     return postings(read_table(spark, d, "documents").select("doc_id", "text"))
 
 
+def deletions(word: Column, depth: int) -> Column:
+    """The word and all strings it becomes by deleting up to two characters."""
+    once = lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    one = F.array_union(F.array(word), once(word))
+    return one if depth == 1 else F.array_distinct(F.concat(one, F.flatten(F.transform(one, once))))
+
+
+#: Boosts of the four fields of a document.
+FIELDS = {"text": 3.0, "sound": 2.0, "source": 1.0, "lang": 1.0}
+#: Longest tokens that need an equal word, and that allow one edit; longer ones allow two.
+EXACT_LETTERS, ONE_EDIT_LETTERS = 2, 5
+
+
+def edits_allowed(token: Column) -> Column:
+    return F.when(F.length(token) <= EXACT_LETTERS, 0).when(F.length(token) <= ONE_EDIT_LETTERS, 1).otherwise(2)
+
+
+def variants(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """asked(token) and vocabulary(word) -> token, word, factor: words within the edits a token's length allows, found by
+    shared deletions; a word counts for less the more of it was edited."""
+    limit = edits_allowed(F.col("token"))
+    plain = asked.join(vocabulary, asked.token == vocabulary.word).select("token", "word", F.lit(1.0).alias("factor"))
+    keys = lambda c, depth: F.explode(F.when(depth == 2, deletions(F.col(c), 2)).otherwise(deletions(F.col(c), 1))).alias("key")
+    words = asked.filter(limit > 0).select("token", keys("token", limit))
+    # a word that one edit can reach is no longer than the tokens that allow just one
+    held = vocabulary.select("word", keys("word", F.when(F.length("word") <= ONE_EDIT_LETTERS - 2, 1).otherwise(2)))
+    pairs = words.join(held, "key").select("token", "word").distinct().filter("token <> word").filter(F.abs(F.length("token") - F.length("word")) <= limit)
+    far = pairs.withColumn("distance", S.transposition_distance("token", "word")).filter(F.col("distance") <= limit)
+    near = far.select("token", "word", (1 - F.col("distance") / F.least(F.length("token"), F.length("word"))).alias("factor")).filter("factor > 0")
+    return plain.unionByName(near)
+
+
+def whole_words(c: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[ \\t\\n\\r]+"), lambda w: w != "")
+
+
+def field_tokens(text: Column, source: Column, lang: Column) -> Column:
+    """A map-like array of struct(field, tokens) of a document."""
+    one = lambda name, tokens: F.struct(F.lit(name).alias("field"), tokens.alias("tokens"))
+    return F.array(one("text", T.content_tokens(text)), one("sound", T.content_tokens(T.phonetic_latin(text))), one("source", whole_words(source)), one("lang", whole_words(lang)))
+
+
+def asked_fields(queries: DataFrame) -> DataFrame:
+    """query_id, field, token: a query's tokens for each field, of which source and language take whole words."""
+    q = F.col("query")
+    one = lambda name, tokens: F.struct(F.lit(name).alias("field"), F.array_distinct(tokens).alias("tokens"))
+    fields = F.array(one("text", T.content_tokens(q, True)), one("sound", T.content_tokens(T.phonetic_latin(q), True)), one("source", whole_words(q)), one("lang", whole_words(q)))
+    return queries.select("query_id", F.explode(fields).alias("f")).select("query_id", "f.field", F.explode("f.tokens").alias("token"))
+
+
+def bm25_fields(queries: DataFrame, docs: DataFrame, k: int, moved: dict[str, int] | None = None) -> DataFrame:
+    """query_id, doc_id, raw: of each query's best documents the best field's score. docs(doc_id, text, source, lang) are
+    tokenised once; tokens may differ from a document's words by the edits that their length allows. A document among the
+    k best by its best field is among the k best of that field, so fields are searched as queries of their own."""
+    key = F.concat_ws(":", "field", "token")
+    asked = stored(asked_fields(queries), "asked")
+    lists = docs.select("doc_id", F.explode(field_tokens(F.col("text"), F.col("source"), F.col("lang"))).alias("f"))
+    held = stored(lists.select("doc_id", "f.field", "f.tokens"), "fields")
+    facts = held.groupBy("field").agg(F.avg(F.size("tokens")).alias("mean"), F.count_if(F.size("tokens") > 0).alias("n_docs"))
+    counts = stored(held.select("doc_id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("field", "token", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "counts")
+    frequency = stored(counts.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    near = [variants(asked.filter(F.col("field") == f).select("token").distinct(), frequency.filter(F.col("field") == f).select(F.col("token").alias("word"))).withColumn("field", F.lit(f)) for f in FIELDS]
+    near = stored(reduce(DataFrame.unionByName, near), "variants")
+    boost = reduce(lambda c, x: c.when(F.col("field") == x[0], x[1]), list(FIELDS.items())[1:], F.when(F.col("field") == "text", FIELDS["text"]))
+    weight = boost * F.col("factor") * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    words = near.join(frequency.withColumnRenamed("token", "word"), ["field", "word"]).join(F.broadcast(facts), "field").select("field", "token", "word", weight.alias("w"))
+    wanted = stored(asked.join(words, ["field", "token"]).select(F.concat_ws(":", F.col("query_id").cast("string"), "field").alias("query_id"), F.col("token").alias("slot"), F.concat_ws(":", "field", "word").alias("token"), "w"), "wanted")
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    used = words.select("field", F.col("word").alias("token")).distinct()
+    posted = stored(counts.join(used, ["field", "token"], "left_semi").join(F.broadcast(facts), "field").select("doc_id", key.alias("token"), part.alias("part")), "postings")
+    found = pruned_top_k(wanted, posted, k, moved)
+    return found.select(F.split("query_id", ":")[0].cast("long").alias("query_id"), "doc_id", "score").groupBy("query_id", "doc_id").agg(F.max("score").alias("raw"))
+
+
+def labelled_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages, every second one followed by the name of a source and a language."""
+    named = F.concat(F.col("query"), F.lit(" SRC"), (F.col("query_id") % 20).cast("string"), F.lit(" en"))
+    return passages(spark, d).select("query_id", F.when(F.col("query_id") % 2 == 1, named).otherwise(F.col("query")).alias("query"))
+
+
 def bm25(spark, d):
-    """Best of two fields, text (boost 2) and its sound (boost 1), each with its own document frequencies and average
-    length; divided by the query's best."""
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
-    fields = ((2.0, docs, passages(spark, d)), (1.0, docs.withColumn("text", T.phonetic_latin(F.col("text"))), passages(spark, d).withColumn("query", T.phonetic_latin(F.col("query")))))
-    rows = [bm25_field(queries, texts).withColumn("raw", F.col("raw") * boost) for boost, texts, queries in fields]
-    text = rows[0].unionByName(rows[1]).groupBy("query_id", "doc_id").agg(F.max("raw").alias("raw"))
+    """Best of four boosted fields with fuzzy tokens; divided by the query's best."""
+    found = bm25_fields(labelled_passages(spark, d), read_table(spark, d, "documents").select("doc_id", "text", "source", "lang"), 20)
     best = F.max("raw").over(Window.partitionBy("query_id"))
-    scored = text.withColumn("score", F.round(F.col("raw") / best, 6))
+    scored = found.withColumn("score", F.round(F.col("raw") / best, 6))
     return top_k(scored, 20, F.desc("score")).select("query_id", "doc_id", "score", "rank")
 
 
-def bm25_field(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id, raw: one tokenising scan of the documents serves lengths, frequencies and postings."""
-    asked = query_tokens(queries)
-    held = stored(docs.select("doc_id", T.content_tokens(F.col("text")).alias("tokens"), (F.coalesce("text", F.lit("")) != "").alias("filled")), "bm25")
-    lengths = held.select("doc_id", F.size("tokens").cast("double").alias("dl"))
-    mean = held.agg(F.avg(F.size("tokens")).alias("avg_dl"), F.count_if("filled").alias("n_docs"))
-    words = held.select("doc_id", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    posted = stored(words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf")).join(lengths, "doc_id"), "postings")
-    weights = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(mean)).select("token", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("w"))
-    hit = asked.join(weights, "token").join(posted, "token")
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"))
-
-
 def set_similarities(spark, d):
     """Token Jaccard, overlap and cheap overlap of every query with every document that shares a token."""
     queries = passages(spark, d)
@@ -141,43 +208,49 @@ def vectors(spark, d):
     return read_table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
 
 
-ROW_BLOCK, QUERY_BLOCK = 1024, 256
+def vector_topk(spark, d):
+    """Exact inner product over unit vectors; queries are the rows whose id is divisible by 100, against all rows."""
+    return cell_search(vectors(spark, d), vectors(spark, d).filter("vec_id % 100 = 0"), 10, "inner")
 
 
-def block_search(rows: DataFrame, asked: DataFrame, k: int, metric: str) -> DataFrame:
-    """rows(vec_id, v) and asked(vec_id, v) -> exact top k rows of each query. Blocks of rows meet blocks of queries;
-    each pair is one matrix product that yields at most k rows a query, so the pair is all that a task holds."""
+def fingerprint_search(spark, d):
+    """Distance of pooled fingerprints is half the Euclidean distance; similarity 1 / (1 + distance)."""
+    return cell_search(vectors(spark, d), vectors(spark, d).filter("vec_id % 100 = 0"), 5, "distance")
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                ids, vs, qids, qs = (batch.column(c)[at].values for c in ("ids", "vs", "qids", "qs"))
-                ids, qids = ids.to_numpy(), qids.to_numpy()
-                a, b = (x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(n), -1) for x, n in ((qs, qids), (vs, ids)))
-                if metric == "inner":
-                    score = a @ b.T / np.linalg.norm(a, axis=1)[:, None]
-                else:
-                    score = 1 / (1 + np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)) / 2)
-                score = np.round(score, 6)
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, order.shape[1])), pa.array(ids[order].reshape(-1)), pa.array(np.take_along_axis(score, order, axis=1).reshape(-1))], names=["query_id", "doc_id", "score"])
 
-    def blocks(df: DataFrame, size: int, a: str, b: str) -> DataFrame:
-        packed = df.groupBy(F.pmod(F.xxhash64("vec_id"), F.ceil(F.lit(df.count()) / size))).agg(F.collect_list(F.struct("vec_id", "v")).alias("x"))
-        return packed.select(F.col("x.vec_id").alias(a), F.col("x.v").alias(b))
+VECTOR_FILES = ("vectors", "ids", "meta")
 
-    pairs = blocks(rows, ROW_BLOCK, "ids", "vs").crossJoin(blocks(asked, QUERY_BLOCK, "qids", "qs"))
-    return top_k(pairs.mapInArrow(best, "query_id long, doc_id long, score double"), k, F.desc("score"))
 
+def write_vectors(rows: DataFrame, path: str) -> None:
+    """rows(vec_id, v) as three tables: vectors by position, the id of each position, and their count and dimension."""
+    spark = rows.sparkSession
+    at = placed(rows.select("vec_id", "v"), "vec_id", "v")
+    at.select("place", "v").write.parquet(f"{path}/vectors")
+    at.select("place", "vec_id").write.parquet(f"{path}/ids")
+    spark.read.parquet(f"{path}/vectors").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).cast("long").alias("dim")).write.parquet(f"{path}/meta")
 
-def vector_topk(spark, d):
-    """Exact inner product over unit vectors; queries are the rows whose id is divisible by 100, against all rows."""
-    return block_search(vectors(spark, d), vectors(spark, d).filter("vec_id % 100 = 0"), 10, "inner")
 
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """place, vec_id, v of written vectors. A missing table is a FileNotFoundError; tables that don't fit the count or
+    dimension written with them are a ValueError."""
+    tables = {}
+    for name in VECTOR_FILES:
+        try:
+            tables[name] = spark.read.parquet(f"{path}/{name}")
+        except AnalysisException as e:
+            raise FileNotFoundError(f"{path}/{name}") from e
+    meta = tables["meta"].first()
+    there = tables["vectors"].agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    if (meta["n"], meta["dim"]) != (there["n"], there["dim"]) or tables["ids"].count() != meta["n"]:
+        raise ValueError(f"{path}: tables do not fit their meta table")
+    return tables["ids"].join(tables["vectors"], "place").select("place", "vec_id", "v")
 
-def fingerprint_search(spark, d):
-    """Distance of pooled fingerprints is half the Euclidean distance; similarity 1 / (1 + distance)."""
-    return block_search(vectors(spark, d), vectors(spark, d).filter("vec_id % 100 = 0"), 5, "distance")
+
+def vector_files(spark, d):
+    """Vectors written by position and read back."""
+    path = f"{shared_dir(spark)}/lexiforge/vectors-{uuid.uuid4().hex}"
+    write_vectors(vectors(spark, d), path)
+    return read_vectors(spark, path).select("place", "vec_id", F.size("v").cast("long").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 def vector_meta(spark, d):
@@ -287,6 +360,23 @@ FUSED_SQL = (
 )
 VECTOR_SQL = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT query_id, doc_id, {score} AS score FROM v, q) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= {k}"
 
+WHOLE_WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[ \\t\\n\\r]+'), lambda w: w <> '')"
+LABELLED = "(SELECT item_id, CASE WHEN item_id % 2 = 1 THEN text || ' SRC' || (item_id % 20) || ' en' ELSE text END AS text FROM benchmark)"
+BM25_SQL = (
+    "WITH asked AS ("
+    + " UNION ALL ".join(f"SELECT DISTINCT item_id AS query_id, '{f}' AS field, unnest({t}) AS token FROM {LABELLED}" for f, t in (("text", sql_tokens("text", True)), ("sound", sql_tokens(SOUND_KEY_SQL, True)), ("source", WHOLE_WORDS.format("text")), ("lang", WHOLE_WORDS.format("text"))))
+    + "), held AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, {b}::DOUBLE AS boost, {t} AS ts FROM documents" for (f, b), t in zip(FIELDS.items(), (sql_tokens("text"), sql_tokens(SOUND_KEY_SQL), WHOLE_WORDS.format("source"), WHOLE_WORDS.format("lang")), strict=True))
+    + f"""), facts AS (SELECT field, any_value(boost) AS boost, avg(len(ts)) AS mean, count(*) FILTER (WHERE len(ts) > 0) AS n FROM held GROUP BY 1),
+ counts AS (SELECT field, doc_id, len(ts) AS dl, unnest(ts) AS word FROM held), posted AS (SELECT field, word, doc_id, dl, count(*) AS tf FROM counts GROUP BY 1, 2, 3, 4), dfs AS (SELECT field, word, count(*) AS df FROM posted GROUP BY 1, 2),
+ limits AS (SELECT DISTINCT field, token, CASE WHEN length(token) <= {EXACT_LETTERS} THEN 0 WHEN length(token) <= {ONE_EDIT_LETTERS} THEN 1 ELSE 2 END AS edits FROM asked),
+ near AS (SELECT field, token, word, df, damerau_levenshtein(token, word) AS e FROM limits JOIN dfs USING (field) WHERE abs(length(token) - length(word)) <= edits AND damerau_levenshtein(token, word) <= edits),
+ words AS (SELECT field, token, word, boost * (1 - e / least(length(token), length(word))) * ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM near JOIN facts USING (field) WHERE e < least(length(token), length(word))),
+ slots AS (SELECT query_id, field, doc_id, token, max(w * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl / mean))) AS v FROM asked JOIN words USING (field, token) JOIN posted USING (field, word) JOIN facts USING (field) GROUP BY 1, 2, 3, 4),
+ sums AS (SELECT query_id, field, doc_id, sum(v) AS raw FROM slots GROUP BY 1, 2, 3), u AS (SELECT query_id, doc_id, max(raw) AS raw FROM sums GROUP BY 1, 2), x AS (SELECT query_id, doc_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM u)
+ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 20"""
+)
+
 QUERIES = {
     "g2_d9_f3_coverage_top10": coverage_top10,
     "e1_document_frequency": document_frequency,
@@ -298,6 +388,7 @@ QUERIES = {
     "c14_g6_vector_topk": vector_topk,
     "c13_g13_fingerprint_search": fingerprint_search,
     "a6_vector_meta": vector_meta,
+    "a6_vector_files": vector_files,
     "d10_merge_signals": merge_signals,
     "f4_g9_fuse": fuse,
     "f5_f8_g10_calibrate": calibrate,
@@ -311,22 +402,13 @@ SQL = {
     "e1_document_frequency": BASE_SQL + "SELECT token, df, round(ln((n + 1) / (1.0 + df)) + 1, 6) AS idf FROM dfs, size",
     "e2_vocabulary": BASE_SQL + "SELECT DISTINCT token AS word FROM words",
     "e8_term_frequency": BASE_SQL + "SELECT * FROM posted",
-    "g4_bm25": "WITH "
-    + ", ".join(
-        f"""a{i} AS (SELECT DISTINCT item_id AS query_id, unnest({sql_tokens(c, True)}) AS token FROM benchmark),
- t{i} AS (SELECT doc_id, {sql_tokens(c)} AS ts FROM documents), p{i} AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS token FROM t{i}) GROUP BY 1, 2),
- d{i} AS (SELECT token, count(*) AS df FROM p{i} GROUP BY 1), n{i} AS (SELECT avg(len(ts)) AS mean, (SELECT count(*) FROM documents WHERE {c} <> '') AS n FROM t{i}),
- s{i} AS (SELECT query_id, doc_id, {boost} * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * len(ts) / mean))) AS raw
-   FROM a{i} JOIN p{i} USING (token) JOIN d{i} USING (token) JOIN t{i} USING (doc_id), n{i} GROUP BY 1, 2)"""
-        for i, (boost, c) in enumerate(((2.0, "text"), (1.0, SOUND_KEY_SQL)))
-    )
-    + """, u AS (SELECT query_id, doc_id, max(raw) AS raw FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1) GROUP BY 1, 2), x AS (SELECT query_id, doc_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM u)
- SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 20""",
+    "g4_bm25": BM25_SQL,
     "c2_c3_c9_set_similarities": BASE_SQL + "SELECT * FROM sims",
     "c6_bm25_token_score": BASE_SQL
     + f"SELECT query_id, doc_id, round(least(1.0, sum((1 + ln(1 + 1 / (1.0 + tf))) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl / 12.0))) / (3.5 * any_value(nq))), 6) AS score FROM asked JOIN posted USING (token) JOIN lens USING (doc_id) JOIN per USING (query_id) GROUP BY 1, 2",
     "c14_g6_vector_topk": VECTOR_SQL.format(score="round(list_inner_product(v, qv) / sqrt(list_inner_product(qv, qv)), 6)", k=10),
     "c13_g13_fingerprint_search": VECTOR_SQL.format(score="round(1 / (1 + list_distance(v, qv) / 2), 6)", k=5),
+    "a6_vector_files": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, vec_id, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings",
     "a6_vector_meta": "SELECT count(*) AS n, max(len(embedding)) AS dim FROM embeddings",
     "d10_merge_signals": BASE_SQL + "SELECT query_id, doc_id, phonetic, semantic, lexical FROM signals",
     "f4_g9_fuse": FUSED_SQL + " SELECT query_id, doc_id, raw, rank FROM ranked",

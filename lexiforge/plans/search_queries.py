@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..operators.places import placed
 from ..sources.tables import read_table, stored
 from .retrieval_queries import BASE_SQL, UNKNOWN_WEIGHT, coverage_search, passages, postings, query_tokens, top_k
 from .text_queries import NORM, SOUND_KEY_SQL, SPELL_FROM, SPELL_TO, arabic, q, sql_normalize_arabic
@@ -124,17 +125,8 @@ def b26_sanitize_html(spark, d):
 
 
 def offsets(rows: DataFrame, key: str) -> DataFrame:
-    """rows with `offset`, their place by key from 0. Keys are cut into ranges so wide that their number stays about the
-    square root of the rows; a running sum over the ranges and a window inside each give the place."""
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
-    if not facts["n"]:
-        return rows.withColumn("offset", F.lit(0).cast("long"))
-    width = max(1, -(-(facts["high"] - facts["low"] + 1) // max(1, round(facts["n"] ** 0.5))))
-    cut = rows.withColumn("__part", F.expr(f"({key} - {facts['low']}) div {width}"))
-    before = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = before.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    at = F.row_number().over(Window.partitionBy("__part").orderBy(*[c for c in (key, *rows.columns) if c in rows.columns]))
-    return cut.withColumn("__at", at).join(before, "__part").select(*rows.columns, (F.col("__before") + F.col("__at") - 1).alias("offset"))
+    """rows with `offset`, their place by key from 0; ties go by the other columns, null keys come first."""
+    return placed(rows, key, *[c for c in rows.columns if c != key]).withColumnRenamed("place", "offset")
 
 
 def a7_fingerprint_offsets(spark, d):

@@ -6,6 +6,7 @@ Groups and ordinals come from (order, line) keys or (source, rank of doc_id); ac
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.joins import join_hot
+from ..operators.places import carried, exact_quantiles
+from ..sources.publishing import publish, read_published
 from ..sources.tables import read_table, shared_dir, stored
 
 T = read_table
@@ -65,7 +68,7 @@ def a3_read_corpus(spark, d):
 
 
 def a5_search_documents(spark, d):
-    return T(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.left("text", F.lit(100)).alias("head"))
+    return T(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", "text")
 
 
 def a8_read_commentary(spark, d):
@@ -90,20 +93,22 @@ def a9_union_pages(spark, d):
     return rows.groupBy("page_id").agg(F.min_by(F.struct("url"), "lot")["url"].alias("url"), F.min("lot").alias("lot"))
 
 
-def publish(staged: DataFrame, keys: list[str], last_good: DataFrame) -> tuple[DataFrame, bool]:
-    """(what readers see, whether the stage was published): the stage where its keys are there and unique, else the last
-    good table."""
-    bad = staged.filter(reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))).isEmpty() and staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    return (stored(staged, "published"), True) if bad else (last_good, False)
+def key_errors(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Rows of a stage whose keys are missing or doubled."""
+    def errors(staged: DataFrame) -> DataFrame:
+        missing = staged.filter(reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))).select(*keys)
+        return missing.unionByName(staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys))
+
+    return errors
 
 
 def a10_publish_if_valid(spark, d):
-    """A sound stage is published; a stage with doubled keys after it is not, so readers keep the last good table."""
+    """A sound stage is published; a stage with doubled keys after it is not, so readers keep the last good version."""
+    root = f"{shared_dir(spark)}/lexiforge/published-{uuid.uuid4().hex}"
     sound = stored(lines(spark, d).groupBy("grp", "ordinal").agg(F.min("l_partkey").alias("part")), "staging")
-    first, published = publish(sound, ["grp", "ordinal"], sound.limit(0))
-    doubled = stored(sound.unionByName(sound.filter("grp % 10 = 0")), "staging")
-    seen, replaced = publish(doubled, ["grp", "ordinal"], first)
-    return seen.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).withColumn("published", F.lit(published)).withColumn("replaced", F.lit(replaced))
+    published = publish(sound, root, key_errors(["grp", "ordinal"]))
+    replaced = publish(sound.unionByName(sound.filter("grp % 10 = 0")), root, key_errors(["grp", "ordinal"]))
+    return read_published(spark, root).groupBy("grp").agg(F.count(F.lit(1)).alias("n")).withColumn("published", F.lit(published)).withColumn("replaced", F.lit(replaced))
 
 
 def a14_baseline_report(spark, d):
@@ -200,17 +205,13 @@ def d4_range_cover(spark, d):
 
 
 def d5_as_of(spark, d):
-    """Last order date boundary at or before each event, day by day: equal keys meet in a union, carried by a window
-    inside days and by one value per day across them."""
+    """Last boundary at or before each event: boundaries join the events' order, before those of their own time, and are
+    carried along it."""
     e = T(spark, d, "events").select("event_id", "ts")
-    edges = e.filter("event_id % 97 = 0").select(F.col("event_id").alias("mark"), "ts")
-    both = e.select("ts", "event_id", F.lit(None).cast("long").alias("mark")).unionByName(edges.select("ts", F.lit(None).cast("long").alias("event_id"), "mark"))
-    both = both.withColumn("day", F.to_date("ts")).withColumn("k", F.struct("ts", "mark"))
-    edge = F.when(F.col("mark").isNotNull(), F.col("k"))
-    inside = F.max(edge).over(Window.partitionBy("day").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0))
-    last = both.groupBy("day").agg(F.max(edge).alias("last"))
-    carried = last.select("day", F.max("last").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    return both.withColumn("inside", inside).filter("event_id IS NOT NULL").join(carried, "day").select("event_id", F.coalesce("inside.mark", "carried.mark").alias("division"))
+    marks = e.filter("event_id % 97 = 0").select("ts", F.lit(0).alias("side"), F.col("event_id").alias("id"))
+    both = marks.unionByName(e.select("ts", F.lit(1).alias("side"), F.col("event_id").alias("id")))
+    found = carried(both, F.when(F.col("side") == 0, F.col("id")), "ts", "side", "id")
+    return found.filter("side = 1").select(F.col("id").alias("event_id"), F.col("last").alias("division"))
 
 
 def d6_orphans(spark, d):
@@ -245,25 +246,6 @@ def e4_duplicate_keys(spark, d):
     return lines(spark, d).groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-BUCKETS = 1024
-
-
-def exact_quantiles(rows: DataFrame, key: str, value: str, ranks: dict[str, str]) -> DataFrame:
-    """key and, for each name, the value at the rank that its expression of n (rows of the key) gives, from 1. Values are
-    counted first; ranges of values tell in which the rank lies, and only those are ordered, each in a task of its own."""
-    counts = rows.filter(f"{value} IS NOT NULL").groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    ends = counts.groupBy(key).agg(F.sum("c").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-    counts = stored(counts.join(F.broadcast(ends), key).withColumn("bucket", F.expr(f"IF(high > low, CAST(({value} - low) / (high - low) * {BUCKETS} AS int), 0)")), "value-counts")
-    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.expr(e).cast("long").alias("rank")) for name, e in ranks.items()])
-    parts = counts.groupBy(key, "bucket").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
-    parts = parts.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy("bucket"))).select(key, "bucket", (F.col("upto") - F.col("c")).alias("before"), "upto", F.explode(asked).alias("x"))
-    parts = parts.filter("x.rank > before AND x.rank <= upto").select(key, "bucket", "before", "x.name", "x.rank")
-    inside = counts.join(F.broadcast(parts.select(key, "bucket").distinct()), [key, "bucket"], "left_semi")
-    inside = inside.withColumn("upto", F.sum("c").over(Window.partitionBy(key, "bucket").orderBy(value)))
-    hit = inside.select(key, "bucket", value, "upto").join(F.broadcast(parts), [key, "bucket"]).filter("before + upto >= rank")
-    return hit.groupBy(key).agg(*[F.min(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks])
-
-
 def e6_percentile(spark, d):
     """Nearest-rank percentiles."""
     return exact_quantiles(T(spark, d, "events"), "event_type", "value", {"p95": "ceil(0.95 * n)", "p50": "ceil(0.5 * n)"})
@@ -287,6 +269,33 @@ def e10_equivalence_groups(spark, d):
     return join_hot(docs, groups, "hash").select("doc_id", "hash", "n", "first", (F.col("n") > 1).alias("equal"), (F.col("doc_id") == F.col("first")).alias("representative"))
 
 
+READINGS = 6
+
+
+def readings(spark, d) -> DataFrame:
+    """key, reading, text: six readings of every document, of which some agree and some are missing; reading 5 is not
+    enabled."""
+    docs = T(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    each = docs.select("key", "text", F.explode(F.sequence(F.lit(0), F.lit(READINGS - 1))).alias("reading"))
+    text = F.when((F.col("key") + F.col("reading")) % 5 == 0, None).when(F.col("reading").isin(1, 4) & (F.col("key") % 3 == 0), F.upper("text")).when((F.col("reading") == 2) & (F.col("key") % 4 == 1), F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    return each.select("key", "reading", text.alias("text"))
+
+
+def equivalent_readings(rows: DataFrame, enabled: list[int]) -> DataFrame:
+    """key, readings (those of one text, in order), n, complete (every enabled reading of the key has a text), all_equal
+    (null where fewer than two have one, so nothing is claimed)."""
+    use = rows.filter(F.col("reading").isin(*enabled) & (F.coalesce("text", F.lit("")) != ""))
+    classes = use.groupBy("key", F.sha2("text", 256).alias("hash")).agg(F.array_sort(F.collect_set("reading")).alias("readings"))
+    whole = classes.groupBy("key").agg(F.sum(F.size("readings")).alias("present"), F.count(F.lit(1)).alias("classes"))
+    made = classes.join(whole, "key")
+    equal = F.when(F.col("present") >= 2, F.col("classes") == 1)
+    return made.select("key", F.array_join("readings", ",").alias("readings"), F.size("readings").cast("long").alias("n"), (F.col("present") == len(set(enabled))).alias("complete"), equal.alias("all_equal"))
+
+
+def e10_equivalent_readings(spark, d):
+    return equivalent_readings(readings(spark, d), list(range(READINGS - 1)))
+
+
 def e11_corpus_health(spark, d):
     return T(spark, d, "documents").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("text").isNull()).alias("missing")).withColumn("ready", (F.col("rows") > 0) & (F.col("chars") > 1000))
 
@@ -520,7 +529,7 @@ SQL = {
     "a1_read_raw": "SELECT doc_id AS ordinal, source, CASE WHEN doc_id % 3 IN (0, 1) THEN text ELSE '' END AS body, 0.0::DOUBLE AS popularity FROM documents",
     "a2_write_read": "SELECT doc_id, lang, source, n_chars FROM documents",
     "a3_read_corpus": "SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, 0.0::DOUBLE AS popularity, doc_id - 1 AS semantic_id, 'fallback' AS corpus FROM documents UNION ALL SELECT doc_id, '', '', quality::DOUBLE, doc_id - 1, 'primary' FROM labels",
-    "a5_search_documents": "SELECT doc_id, source, lang, n_chars, left(text, 100) AS head FROM documents",
+    "a5_search_documents": "SELECT doc_id, source, lang, n_chars, text FROM documents",
     "a9_union_pages": "SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN url END AS url, CAST(page_id % 3 AS INT) AS lot FROM pages",
     "a10_publish_if_valid": f"SELECT grp, count(DISTINCT ordinal) AS n, true AS published, false AS replaced FROM {LINES} GROUP BY 1",
     "a11_cases": "SELECT item_id, target FROM (SELECT item_id, unnest(CASE WHEN item_id % 2 = 0 THEN [item_id] ELSE [item_id, item_id + 1] END) AS target FROM benchmark) WHERE target IN (SELECT doc_id FROM documents)",
@@ -542,6 +551,9 @@ SQL = {
     "e7_dataset_summary": "SELECT (SELECT count(*) FROM supplier) AS sources, count(*) AS entries, count(DISTINCT o_orderstatus) AS states FROM orders",
     "e9_entry_span": "SELECT l_suppkey, min((l_orderkey, l_linenumber))[1] || ':' || min((l_orderkey, l_linenumber))[2] AS first, max((l_orderkey, l_linenumber))[1] || ':' || max((l_orderkey, l_linenumber))[2] AS last FROM lineitem GROUP BY 1",
     "e10_equivalence_groups": "SELECT doc_id, sha256(text) AS hash, count(*) OVER w AS n, min(doc_id) OVER w AS first, count(*) OVER w > 1 AS equal, doc_id = min(doc_id) OVER w AS representative FROM documents WINDOW w AS (PARTITION BY text)",
+    "e10_equivalent_readings": f"""WITH r AS (SELECT doc_id AS key, reading, CASE WHEN (doc_id + reading) % 5 = 0 THEN NULL WHEN reading IN (1, 4) AND doc_id % 3 = 0 THEN upper(text) WHEN reading = 2 AND doc_id % 4 = 1 THEN text || '.' ELSE text END AS text
+   FROM documents, (SELECT unnest(range({READINGS - 1})) AS reading)), c AS (SELECT key, sha256(text) AS h, string_agg(reading, ',' ORDER BY reading) AS readings, count(*) AS n FROM r WHERE coalesce(text, '') <> '' GROUP BY 1, 2)
+ SELECT key, readings, n, sum(n) OVER k = {READINGS - 1} AS complete, CASE WHEN sum(n) OVER k >= 2 THEN count(*) OVER k = 1 END AS all_equal FROM c WINDOW k AS (PARTITION BY key)""",
     "e11_corpus_health": "SELECT count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE text IS NULL) AS missing, count(*) > 0 AND sum(length(text)) > 1000 AS ready FROM documents",
     "e12_coverage": "SELECT event_type, count(*) FILTER (WHERE value > 20) AS ok, count(*) AS total, round(100.0 * count(*) FILTER (WHERE value > 20) / count(*), 2) AS percent, CASE WHEN count(*) FILTER (WHERE value > 20) = count(*) THEN 'PASS' ELSE 'FAIL' END AS status FROM events GROUP BY 1",
     "e12_missing": "SELECT event_type, event_id FROM events WHERE NOT coalesce(value > 20, false)",
