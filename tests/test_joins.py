@@ -1,4 +1,4 @@
-"""Balanced joins, places without one window over all, exact quantiles, scratch tables and publishing."""
+"""Balanced joins, places without one window over all, exact quantiles and scratch tables."""
 
 import os
 import random
@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.operators.joins import join_hot
+from lexiforge.operators.places import exact_quantiles
 from lexiforge.plans.search_queries import offsets
-from lexiforge.plans.table_queries import corpus, exact_quantiles, publish
+from lexiforge.plans.table_queries import corpus
 from lexiforge.sources import tables
 
 
@@ -47,15 +48,6 @@ def test_scratch_tables_go_and_kept_ones_stay(spark):
     assert not os.path.exists(path) and outer.count() == 3
 
 
-def test_only_sound_stages_are_published(spark):
-    rows = lambda *x: spark.createDataFrame(list(x), "a long, b long")
-    good, done = publish(rows((1, 1), (1, 2)), ["a", "b"], rows().limit(0))
-    assert done and good.count() == 2
-    for bad in (rows((1, 1), (1, 1)), rows((1, None))):
-        seen, done = publish(bad, ["a", "b"], good)
-        assert not done and seen.count() == 2
-
-
 def test_the_fallback_is_read_where_the_primary_is_missing_or_empty(spark, tmp_path):
     fallback = spark.createDataFrame([(1, "en")], "doc_id long, lang string")
     assert corpus(spark, str(tmp_path / "none"), fallback).first().lang == "en"
