@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
 from ..sources.tables import read_table, stored
 from .lexical_queries import SYNONYMS, query_classes, synonyms
-from .retrieval_queries import deletions, passages
+from .retrieval_queries import near_words, passages
 from .search_queries import sql_search_type
 from .text_queries import ARABIC_TEXT, arabic, q, sql_tokens
 
-def near_words(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """asked(token), vocabulary(word) -> pairs within distance 1 (up to four letters) or 2, by shared deletions."""
-    keyed = asked.select("token", F.explode(deletions(F.col("token"), 2)).alias("key"))
-    held = vocabulary.select("word", F.explode(deletions(F.col("word"), 2)).alias("key"))
-    pairs = keyed.join(held, "key").select("token", "word").distinct()
-    limit = F.when(F.length("token") <= 4, 1).otherwise(2)
-    return pairs.withColumn("distance", S.transposition_distance("token", "word")).filter(F.col("distance") <= limit)
-
-
 def part_words(spark, d) -> DataFrame:
     return read_table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
 
