@@ -18,24 +18,21 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     with scratch(edges.sparkSession):
         now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-        mark = _mark(now)
-        while mark[0]:
+        while not _done(now):
             both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
             large = join_hot(both.filter("b > a"), least.select("a", F.least("a", "least").alias("least")), "a", least.select("a", "n"))
             large = stored(large.select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct(), name)
             first = large.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
-            small = join_hot(large, first.select("a", "least"), "a", first.select("a", "n"))
-            small = small.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(first.select("a", F.col("least").alias("b")))
-            now = stored(small.filter("a <> b").distinct(), name)
-            after = _mark(now)
-            if after == mark:
-                break
-            mark = after
+            # a node with one neighbour has nothing to pass on
+            several = join_hot(large, first.filter("n > 1").select("a", "least"), "a", first.select("a", "n"))
+            small = several.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(first.select("a", F.col("least").alias("b")))
+            now = stored(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
         roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
         return kept(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), name)
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-    return row[0], row[1]
+def _done(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a smaller node that has none of its own: all components are stars."""
+    crossed = edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty() and crossed.isEmpty()
