@@ -263,16 +263,22 @@ def text_classes(docs: DataFrame, similarity: float, sigmas: float | None, join_
     ids = left.select("node").distinct()
     facts = unique.select("node", "size", "bands", "bit0", "bit1", "bit2", "bit3").join(ids, "node", "left_semi").join(shareable(texts, ids), "node", "left")
     left = stored(left.join(facts.withColumn("most", F.col("size") - F.coalesce("own", F.lit(0))).drop("own"), "node"), "left")
-    links = links.unionByName(verified(apart(left, similarity, plan), texts, similarity, "rest").select("a", "b"))
+    links = verified(apart(left, similarity, plan), texts, similarity, "rest").select("a", "b")
     if join_ids:
         several = made.groupBy("row_id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).filter("low <> high").select("row_id")
         nodes = made.join(several, "row_id", "left_semi").select("row_id", "text_key").join(unique.select("text_key", "node"), "text_key")
         links = links.unionByName(nodes.select(F.min("node").over(Window.partitionBy("row_id")).alias("a"), F.col("node").alias("b")).filter("a <> b"))
-    component = connected_components(links, "classes")
+    # the later links join components, of which each is one node now
+    for side in ("a", "b"):
+        links = join_hot(links, component.select(F.col("node").alias(side), F.col("component").alias("to")), side, how="left")
+        links = links.withColumn(side, F.coalesce("to", side)).select("a", "b")
+    joined = connected_components(links.distinct(), "classes").select(F.col("node").alias("component"), F.col("component").alias("whole"))
 
-    named = unique.select("text_key", "first", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = unique.select("text_key", "first", "node").join(component, "node", "left").select("text_key", "first", F.coalesce("component", "node").alias("component"))
+    named = join_hot(named, joined, "component", how="left").select("text_key", "first", F.coalesce("whole", "component").alias("component"))
+    named = stored(named, "named")
     lowest = named.groupBy("component").agg(F.min("first").alias("class"))
-    return made.select("row_id", "raw", "named", "text_key"), named.join(lowest, "component").select("text_key", "first", "class")
+    return made.select("row_id", "raw", "named", "text_key"), join_hot(named, lowest, "component").select("text_key", "first", "class")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sigmas: float | None = SIGMAS) -> DataFrame:
