@@ -21,7 +21,7 @@ def pruned_top_k(asked: DataFrame, posted: DataFrame, k: int, moved: dict[str, i
     pair once, parts and weights not negative. A document's score is the sum over slots of the best w * part in it.
 
     Slots are ordered by the most they can add. The first ones, until they hold enough postings, give k documents whose
-    partial scores bound the k-th best from below. Slots from which on all together stay under that bound can bring no new
+    whole scores bound the k-th best from below. Slots from which on all together stay under that bound can bring no new
     document: only documents of the slots before them are gathered, those that can't reach the bound even so are dropped,
     and the rest's other slots are looked up by document and token. Tokens that very many documents hold are dealt out over
     tasks. `moved`, if given, receives how many posting rows the plain join and this one touch.
@@ -44,9 +44,16 @@ def pruned_top_k(asked: DataFrame, posted: DataFrame, k: int, moved: dict[str, i
             best = each.groupBy("query_id", "doc_id", "slot").agg(F.max("value").alias("value"))
             return best.groupBy("query_id", "doc_id").agg(F.sum("value").alias("score"), F.count(F.lit(1)).alias("n_slots"))
 
+        def looked_up(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+            """query_id, doc_id, added, slots: what these tokens(query_id, slot, token, w) add to each pair."""
+            each = pairs.select("query_id", "doc_id").join(tokens, "query_id").join(posted, ["doc_id", "token"])
+            best = each.groupBy("query_id", "doc_id", "slot").agg(F.max(F.col("w") * F.col("part")).alias("value"))
+            return best.groupBy("query_id", "doc_id").agg(F.sum("value").alias("added"), F.count(F.lit(1)).alias("slots"))
+
         at = Window.partitionBy("query_id").orderBy(F.desc("score"))
         seeds = gathered(slots.filter(F.col("before") < k * SEED_POSTINGS).select("query_id", "slot"))
-        kth = seeds.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(0.0).alias("least"))
+        seeds = stored(seeds.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= k), "topk-seeds")
+        kth = looked_up(seeds, met.select("query_id", "slot", "token", "w")).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("added")).otherwise(0.0).alias("least"))
         bound = stored(kth.select("query_id", (F.col("least") * (1 - MARGIN) - 1e-12).alias("least")), "topk-bound")
 
         cut = stored(slots.join(bound, "query_id").withColumn("needed", F.col("left") >= F.col("least")).select("query_id", "slot", "most", "left", "least", "needed"), "topk-cut")
@@ -54,14 +61,12 @@ def pruned_top_k(asked: DataFrame, posted: DataFrame, k: int, moved: dict[str, i
         found = gathered(cut.filter("needed").select("query_id", "slot")).join(rest, "query_id").filter(F.col("score") + F.col("rest") >= F.col("least"))
         found = stored(found.select("query_id", "doc_id", "score", "n_slots"), "topk-found")
         others = met.join(cut.filter("NOT needed").select("query_id", "slot"), ["query_id", "slot"], "left_semi").select("query_id", "slot", "token", "w")
-        looked = found.select("query_id", "doc_id").join(others, "query_id")
-        more = looked.join(posted, ["doc_id", "token"]).groupBy("query_id", "doc_id", "slot").agg(F.max(F.col("w") * F.col("part")).alias("value"))
-        more = more.groupBy("query_id", "doc_id").agg(F.sum("value").alias("added"), F.count(F.lit(1)).alias("slots"))
+        more = looked_up(found, others)
         whole = found.join(more, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score"), (F.col("n_slots") + F.coalesce("slots", F.lit(0))).alias("n_slots"))
         ranked = whole.withColumn("at", F.row_number().over(at))
         query = Window.partitionBy("query_id")
         last = F.coalesce(F.max(F.when(F.col("at") == k, F.col("score"))).over(query), F.lit(0.0)) - MARGIN * F.max("score").over(query)
         if moved is not None:
             needed = met.join(cut.filter("needed"), ["query_id", "slot"], "left_semi").agg(F.sum("n")).first()[0] or 0
-            moved |= {"plain": met.agg(F.sum("n")).first()[0] or 0, "pruned": needed + looked.count()}
+            moved |= {"plain": met.agg(F.sum("n")).first()[0] or 0, "pruned": needed + found.select("query_id").join(others, "query_id").count()}
         return kept(ranked.withColumn("last", last).filter(F.col("score") >= F.col("last")).select("query_id", "doc_id", "score", "n_slots"), "topk")

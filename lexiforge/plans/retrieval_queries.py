@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..operators.joins import join_hot
 from ..operators.places import placed
 from ..operators.topk import pruned_top_k
 from ..operators.vectors import cell_search
@@ -93,13 +94,28 @@ def deletions(word: Column, depth: int) -> Column:
     return one if depth == 1 else F.array_distinct(F.concat(one, F.flatten(F.transform(one, once))))
 
 
+def letters_sorted(word: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(word, "")), "")
+
+
+def with_distance(pairs: DataFrame, limit: Column) -> DataFrame:
+    """pairs(token, word) within `limit` (2 at most) edits or swaps of letters, with distance. Plain edit distance settles
+    most pairs where they are: one edit stays one, two are one where neighbours were swapped. Three or four can be two only
+    with a swap, which leaves the letters but for one edit; these alone are compared in full."""
+    p = pairs.withColumn("plain", F.levenshtein("token", "word", 4)).filter("plain >= 0")
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length("token") - 1, F.lit(1))), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.lit(1)), F.substring("token", i, F.lit(1)), F.substring("token", i + 2, F.length("token"))) == F.col("word"))
+    near = p.filter("plain <= 2").select("token", "word", F.when((F.col("plain") == 2) & (F.length("token") == F.length("word")) & (F.length("token") > 1) & swapped, 1).otherwise(F.col("plain")).alias("distance"))
+    odd = p.filter((F.col("plain") > 2) & (limit == 2) & (F.levenshtein(letters_sorted(F.col("token")), letters_sorted(F.col("word")), 2) >= 0))
+    odd = odd.select("token", "word", S.transposition_distance("token", "word").alias("distance"))
+    return near.unionByName(odd).filter(F.col("distance") <= limit)
+
+
 def near_words(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """asked(token), vocabulary(word) -> pairs within distance 1 (up to four letters) or 2, by shared deletions."""
     keyed = asked.select("token", F.explode(deletions(F.col("token"), 2)).alias("key"))
     held = vocabulary.select("word", F.explode(deletions(F.col("word"), 2)).alias("key"))
     pairs = keyed.join(held, "key").select("token", "word").distinct()
-    limit = F.when(F.length("token") <= 4, 1).otherwise(2)
-    return pairs.withColumn("distance", S.transposition_distance("token", "word")).filter(F.col("distance") <= limit)
+    return with_distance(pairs, F.when(F.length("token") <= 4, 1).otherwise(2))
 
 
 #: Boosts of the four fields of a document.
@@ -122,8 +138,7 @@ def variants(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     # a word that one edit can reach is no longer than the tokens that allow just one
     held = vocabulary.select("word", keys("word", F.when(F.length("word") <= ONE_EDIT_LETTERS - 2, 1).otherwise(2)))
     pairs = words.join(held, "key").select("token", "word").distinct().filter("token <> word").filter(F.abs(F.length("token") - F.length("word")) <= limit)
-    far = pairs.withColumn("distance", S.transposition_distance("token", "word")).filter(F.col("distance") <= limit)
-    near = far.select("token", "word", (1 - F.col("distance") / F.least(F.length("token"), F.length("word"))).alias("factor")).filter("factor > 0")
+    near = with_distance(pairs, limit).select("token", "word", (1 - F.col("distance") / F.least(F.length("token"), F.length("word"))).alias("factor")).filter("factor > 0")
     return plain.unionByName(near)
 
 
@@ -145,26 +160,36 @@ def asked_fields(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(fields).alias("f")).select("query_id", "f.field", F.explode("f.tokens").alias("token"))
 
 
-def bm25_fields(queries: DataFrame, docs: DataFrame, k: int, moved: dict[str, int] | None = None) -> DataFrame:
+def bm25_fields(queries: DataFrame, docs: DataFrame, k: int, fuzzy: bool = True, moved: dict[str, int] | None = None) -> DataFrame:
     """query_id, doc_id, raw: of each query's best documents the best field's score. docs(doc_id, text, source, lang) are
-    tokenised once; tokens may differ from a document's words by the edits that their length allows. A document among the
+    tokenised once; where fuzzy, tokens may differ from a document's words by the edits that their length allows. A document among the
     k best by its best field is among the k best of that field, so fields are searched as queries of their own."""
-    key = F.concat_ws(":", "field", "token")
     asked = stored(asked_fields(queries), "asked")
     lists = docs.select("doc_id", F.explode(field_tokens(F.col("text"), F.col("source"), F.col("lang"))).alias("f"))
     held = stored(lists.select("doc_id", "f.field", "f.tokens"), "fields")
     facts = held.groupBy("field").agg(F.avg(F.size("tokens")).alias("mean"), F.count_if(F.size("tokens") > 0).alias("n_docs"))
-    counts = stored(held.select("doc_id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("field", "token", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "counts")
+    each = held.select("doc_id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    tokens = asked.select("field", "token").distinct()
+    if not fuzzy:
+        each = each.join(tokens, ["field", "token"], "left_semi")
+    counts = stored(each.groupBy("field", "token", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "counts")
     frequency = stored(counts.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df")), "frequencies")
-    near = [variants(asked.filter(F.col("field") == f).select("token").distinct(), frequency.filter(F.col("field") == f).select(F.col("token").alias("word"))).withColumn("field", F.lit(f)) for f in FIELDS]
-    near = stored(reduce(DataFrame.unionByName, near), "variants")
+    if fuzzy:
+        of = lambda df, f: df.filter(F.col("field") == f).select("token")
+        near = stored(reduce(DataFrame.unionByName, (variants(of(tokens, f), of(frequency, f).withColumnRenamed("token", "word")).withColumn("field", F.lit(f)) for f in FIELDS)), "variants")
+    else:
+        near = tokens.select("field", "token", F.col("token").alias("word"), F.lit(1.0).alias("factor"))
     boost = reduce(lambda c, x: c.when(F.col("field") == x[0], x[1]), list(FIELDS.items())[1:], F.when(F.col("field") == "text", FIELDS["text"]))
     weight = boost * F.col("factor") * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     words = near.join(frequency.withColumnRenamed("token", "word"), ["field", "word"]).join(F.broadcast(facts), "field").select("field", "token", "word", weight.alias("w"))
-    wanted = stored(asked.join(words, ["field", "token"]).select(F.concat_ws(":", F.col("query_id").cast("string"), "field").alias("query_id"), F.col("token").alias("slot"), F.concat_ws(":", "field", "word").alias("token"), "w"), "wanted")
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    used = words.select("field", F.col("word").alias("token")).distinct()
-    posted = stored(counts.join(used, ["field", "token"], "left_semi").join(F.broadcast(facts), "field").select("doc_id", key.alias("token"), part.alias("part")), "postings")
+    near_by_word = words.groupBy(F.concat_ws(":", "field", "word").alias("word")).agg(F.collect_list(F.struct(F.concat_ws(":", "field", "token").alias("token"), "w")).alias("tokens"))
+    parts = counts.join(F.broadcast(facts), "field").select("doc_id", F.concat_ws(":", "field", "token").alias("word"), part.alias("part"))
+    met = join_hot(parts.join(near_by_word.select("word"), "word", "left_semi"), near_by_word, "word")
+    # what a token finds in a document is the best of its words there, whoever asks for it
+    values = met.select("doc_id", "part", F.explode("tokens").alias("t")).groupBy("t.token", "doc_id").agg(F.max(F.col("t.w") * F.col("part")).alias("part"))
+    posted = stored(values.select("doc_id", "token", "part"), "postings")
+    wanted = asked.select(F.concat_ws(":", F.col("query_id").cast("string"), "field").alias("query_id"), F.col("token").alias("slot"), F.concat_ws(":", "field", "token").alias("token"), F.lit(1.0).alias("w"))
     found = pruned_top_k(wanted, posted, k, moved)
     return found.select(F.split("query_id", ":")[0].cast("long").alias("query_id"), "doc_id", "score").groupBy("query_id", "doc_id").agg(F.max("score").alias("raw"))
 
@@ -175,14 +200,19 @@ def labelled_passages(spark: SparkSession, d: str) -> DataFrame:
     return passages(spark, d).select("query_id", F.when(F.col("query_id") % 2 == 1, named).otherwise(F.col("query")).alias("query"))
 
 
-def bm25(spark, d):
-    """Best of four boosted fields with fuzzy tokens; divided by the query's best."""
-    found = bm25_fields(labelled_passages(spark, d), read_table(spark, d, "documents").select("doc_id", "text", "source", "lang"), 20)
+def bm25(spark, d, fuzzy: bool = False):
+    """Best of four boosted fields; divided by the query's best."""
+    found = bm25_fields(labelled_passages(spark, d), read_table(spark, d, "documents").select("doc_id", "text", "source", "lang"), 20, fuzzy)
     best = F.max("raw").over(Window.partitionBy("query_id"))
     scored = found.withColumn("score", F.round(F.col("raw") / best, 6))
     return top_k(scored, 20, F.desc("score")).select("query_id", "doc_id", "score", "rank")
 
 
+def bm25_fuzzy(spark, d):
+    """The same with tokens that may be edited, by their length."""
+    return bm25(spark, d, True)
+
+
 def set_similarities(spark, d):
     """Token Jaccard, overlap and cheap overlap of every query with every document that shares a token."""
     queries = passages(spark, d)
@@ -378,7 +408,7 @@ BM25_SQL = (
     + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, {b}::DOUBLE AS boost, {t} AS ts FROM documents" for (f, b), t in zip(FIELDS.items(), (sql_tokens("text"), sql_tokens(SOUND_KEY_SQL), WHOLE_WORDS.format("source"), WHOLE_WORDS.format("lang")), strict=True))
     + f"""), facts AS (SELECT field, any_value(boost) AS boost, avg(len(ts)) AS mean, count(*) FILTER (WHERE len(ts) > 0) AS n FROM held GROUP BY 1),
  counts AS (SELECT field, doc_id, len(ts) AS dl, unnest(ts) AS word FROM held), posted AS (SELECT field, word, doc_id, dl, count(*) AS tf FROM counts GROUP BY 1, 2, 3, 4), dfs AS (SELECT field, word, count(*) AS df FROM posted GROUP BY 1, 2),
- limits AS (SELECT DISTINCT field, token, CASE WHEN length(token) <= {EXACT_LETTERS} THEN 0 WHEN length(token) <= {ONE_EDIT_LETTERS} THEN 1 ELSE 2 END AS edits FROM asked),
+ limits AS (SELECT DISTINCT field, token, EDITS AS edits FROM asked),
  near AS (SELECT field, token, word, df, damerau_levenshtein(token, word) AS e FROM limits JOIN dfs USING (field) WHERE abs(length(token) - length(word)) <= edits AND damerau_levenshtein(token, word) <= edits),
  words AS (SELECT field, token, word, boost * (1 - e / least(length(token), length(word))) * ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM near JOIN facts USING (field) WHERE e < least(length(token), length(word))),
  slots AS (SELECT query_id, field, doc_id, token, max(w * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl / mean))) AS v FROM asked JOIN words USING (field, token) JOIN posted USING (field, word) JOIN facts USING (field) GROUP BY 1, 2, 3, 4),
@@ -392,6 +422,7 @@ QUERIES = {
     "e2_vocabulary": vocabulary,
     "e8_term_frequency": term_frequency,
     "g4_bm25": bm25,
+    "g4_bm25_fuzzy": bm25_fuzzy,
     "c2_c3_c9_set_similarities": set_similarities,
     "c6_bm25_token_score": bm25_token_score,
     "c14_g6_vector_topk": vector_topk,
@@ -411,7 +442,8 @@ SQL = {
     "e1_document_frequency": BASE_SQL + "SELECT token, df, round(ln((n + 1) / (1.0 + df)) + 1, 6) AS idf FROM dfs, size",
     "e2_vocabulary": BASE_SQL + "SELECT DISTINCT token AS word FROM words",
     "e8_term_frequency": BASE_SQL + "SELECT * FROM posted",
-    "g4_bm25": BM25_SQL,
+    "g4_bm25": BM25_SQL.replace("EDITS", "0"),
+    "g4_bm25_fuzzy": BM25_SQL.replace("EDITS", f"CASE WHEN length(token) <= {EXACT_LETTERS} THEN 0 WHEN length(token) <= {ONE_EDIT_LETTERS} THEN 1 ELSE 2 END"),
     "c2_c3_c9_set_similarities": BASE_SQL + "SELECT * FROM sims",
     "c6_bm25_token_score": BASE_SQL
     + f"SELECT query_id, doc_id, round(least(1.0, sum((1 + ln(1 + 1 / (1.0 + tf))) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl / 12.0))) / (3.5 * any_value(nq))), 6) AS score FROM asked JOIN posted USING (token) JOIN lens USING (doc_id) JOIN per USING (query_id) GROUP BY 1, 2",

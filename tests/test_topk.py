@@ -133,3 +133,16 @@ def test_vector_files(spark, tmp_path):
     rows.limit(1).selectExpr("0L AS place", "v").write.mode("overwrite").parquet(str(tmp_path / "v/vectors"))
     with pytest.raises(ValueError):
         read_vectors(spark, str(tmp_path / "v"))
+
+
+def test_distances_equal_the_full_comparison(spark):
+    from lexiforge.functions.similarity import osa_free_distance
+    from lexiforge.plans.retrieval_queries import with_distance
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(250)] + ["ca", "abc", "ab", "ba", "abcdef", "badcef", "bacdfe"]
+    pairs = [(a, b) for a in set(words) for b in set(words) if a != b]
+    df = spark.createDataFrame(pairs, "token string, word string")
+    for limit in (1, 2):
+        got = {(r.token, r.word): r.distance for r in with_distance(df, F.lit(limit)).collect()}
+        assert got == {p: d for p in pairs if (d := osa_free_distance(*p, 2)) <= limit}
