@@ -46,8 +46,8 @@ KEY_CONFIDENCE = 0.9
 #: alone then has a precision of about 0.9 x 7 / 8, which MIN_CONFIDENCE lies below.
 HELD_OUT = 8
 ROUNDS, MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE, MIN_LENGTH = 3, 5, 0.5, 0.7, 5
-#: A pattern table of at most so many rows is broadcast to the scan that counts slots: the check tool measured 214 bytes of
-#: built relation a row, so 54 MB at most.
+#: A pattern table of at most so many rows is broadcast to the scan that counts slots: 16 bytes of data a row and about 100
+#: of the relation built from it, so some 25 MB.
 BROADCAST_ROWS = 250_000
 #: Slots are counted in one document of so many, then in more of them, at last in all.
 PARTS = (64, 8, 1)
