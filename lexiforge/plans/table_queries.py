@@ -475,11 +475,14 @@ def i2_variants(spark, d):
 
 
 def i3_suggestions(spark, d):
-    """Ordered sources with priorities, one row for each label, five for each user."""
+    """Ordered sources with priorities, one row for each label, five for each user; labels a user never saw are the least
+    used."""
     e = T(spark, d, "events")
     friday = e.filter("dayofweek(ts) = 6").select("user_id", F.concat(F.lit("day-"), F.col("event_type")).alias("label"), F.lit(1).alias("priority"))
     related = e.select("user_id", F.concat(F.lit("like-"), (F.col("event_id") % 7).cast("string")).alias("label"), F.lit(2).alias("priority"))
-    counts = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    labels = e.groupBy().agg(F.collect_set("event_type").alias("labels"))  # a registry of few labels
+    whole = e.select("user_id").distinct().join(F.broadcast(labels)).select("user_id", F.explode("labels").alias("event_type"))
+    counts = whole.join(e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")), ["user_id", "event_type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     least = counts.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("n", "event_type"))).filter("pos <= 2").select("user_id", F.col("event_type").alias("label"), F.lit(3).alias("priority"))
     best = friday.unionByName(related).unionByName(least).groupBy("user_id", "label").agg(F.min("priority").alias("priority"))
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("priority", "label"))
@@ -494,9 +497,8 @@ def i4_daily_pick(spark, d):
 # evaluation
 
 
-def e5_evaluation(spark, d):
-    """Recall, reciprocal rank and gain of the coverage search over cases with a target, the share of the others that find
-    anything, and misses; overall and by category."""
+def judged_cases(spark, d) -> DataFrame:
+    """query_id, category, rank of the first relevant document (null without one), targeted, results, of coverage search."""
     from .retrieval_queries import coverage_search, passages
     from .search_queries import targets
 
@@ -507,7 +509,19 @@ def e5_evaluation(spark, d):
     has = relevant.select("query_id").distinct().withColumn("targeted", F.lit(True))
     any_hit = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
     each = passages(spark, d).select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category")).join(hit, "query_id", "left").join(has, "query_id", "left").join(any_hit, "query_id", "left")
-    each = each.withColumn("targeted", F.coalesce("targeted", F.lit(False)))
+    return each.withColumn("targeted", F.coalesce("targeted", F.lit(False)))
+
+
+def e5_misses(spark, d):
+    """The cases that rank their target below third place or not at all, by category."""
+    missed = F.col("targeted") & (F.col("rank").isNull() | (F.col("rank") > 3))
+    return judged_cases(spark, d).filter(missed).select("category", "query_id", "rank")
+
+
+def e5_evaluation(spark, d):
+    """Recall, reciprocal rank and gain of the coverage search over cases with a target, the share of the others that find
+    anything, and the number of misses; overall and by category."""
+    each = judged_cases(spark, d)
     r, t = F.col("rank"), F.col("targeted")
     over = lambda value, when, name: F.round(F.avg(F.when(when, value)), 6).alias(name)
     share = lambda k: over(F.when(r <= k, 1.0).otherwise(0.0), t, f"recall_{k}")
@@ -583,7 +597,7 @@ SQL = {
     "i1_registry": """WITH n AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey <> 1, n_name) AS pos FROM nation WHERE n_nationkey % 4 <> 0), s AS (SELECT s_suppkey, CASE WHEN n.n_nationkey IS NOT NULL THEN n.n_nationkey ELSE 1 END AS resolved FROM supplier LEFT JOIN n ON s_nationkey = n.n_nationkey)
  SELECT s_suppkey, resolved, pos FROM s LEFT JOIN n ON resolved = n_nationkey""",
     "i2_variants": "SELECT doc_id, count(*) OVER (PARTITION BY text) > 1 AS has_variants FROM documents",
-    "i3_suggestions": """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT user_id, 'day-' || event_type AS label, 1 AS priority FROM events WHERE dayofweek(ts) = 5
+    "i3_suggestions": """WITH c AS (SELECT user_id, event_type, coalesce(n, 0) AS n FROM (SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM events) u, (SELECT DISTINCT event_type FROM events) t) LEFT JOIN (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) USING (user_id, event_type)), s AS (SELECT user_id, 'day-' || event_type AS label, 1 AS priority FROM events WHERE dayofweek(ts) = 5
   UNION ALL SELECT user_id, 'like-' || (event_id % 7), 2 FROM events UNION ALL SELECT user_id, event_type, 3 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n, event_type) AS a FROM c) WHERE a <= 2),
  b AS (SELECT user_id, label, min(priority) AS priority FROM s GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority, label) AS pos FROM b QUALIFY pos <= 5""",
     "i4_daily_pick": "SELECT o_orderkey, n_name FROM orders JOIN nation ON dayofyear(o_orderdate) % 25 = n_nationkey",
@@ -605,6 +619,7 @@ def _evaluation_sql() -> dict[str, str]:
  SELECT coalesce(category, 'all') AS category, count(*) AS n, count(*) FILTER (WHERE t) AS n_targeted, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE t), 6) AS recall_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END) FILTER (WHERE t), 6) AS recall_3,
   round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END) FILTER (WHERE t), 6) AS recall_5, round(avg(coalesce(1.0 / r, 0)) FILTER (WHERE t), 6) AS mrr, round(avg(CASE WHEN r <= 5 THEN 1 / log2(r + 1) ELSE 0.0 END) FILTER (WHERE t), 6) AS ndcg_5,
   round(avg(found::INT) FILTER (WHERE NOT t), 6) AS pass_rate, count(*) FILTER (WHERE t AND r IS NULL) AS misses FROM each GROUP BY ROLLUP (category)""",
+        "e5_misses": head.format(k=10) + " SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, item_id AS query_id, r AS rank FROM benchmark LEFT JOIN hit ON item_id = query_id WHERE item_id IN (SELECT query_id FROM target) AND coalesce(r, 99) > 3",
         "a14_baseline_report": head.format(k=10)
         + """, three AS (SELECT query_id, min(rank) AS r3 FROM ranked JOIN target USING (query_id, doc_id) WHERE rank <= 3 GROUP BY 1)
  SELECT item_id AS query_id, r AS saved, r3 AS now, coalesce(r3, 99) > coalesce(r, 99) AS worse FROM benchmark LEFT JOIN hit ON item_id = hit.query_id LEFT JOIN three ON item_id = three.query_id""",

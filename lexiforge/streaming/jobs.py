@@ -31,35 +31,42 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def finished(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs the stream over all that is there. Rows of every batch with its number, `batch`: complete mode keeps the last
-    batch's alone, append and update keep all."""
-    spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/lexiforge/stream-{name}-{uuid.uuid4().hex}"
-    write = "overwrite" if mode == "complete" else "append"
+def run_stream(stream: DataFrame, mode: str, base: str) -> DataFrame:
+    """Runs the stream over all that is there and has not been read before under `base`, its checkpoint and rows. Every
+    batch's rows are one folder, written anew if the batch is retried, so a restart neither loses nor doubles any. Returns
+    all rows so far with their batch's number, `batch`."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode(write).parquet(f"{base}/rows")
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/rows")
+    return stream.sparkSession.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
+
+
+def finished(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """A run of its own over all that is there."""
+    return run_stream(stream, mode, f"{shared_dir(stream.sparkSession)}/lexiforge/stream-{name}-{uuid.uuid4().hex}")
 
 
-def latest(rows: DataFrame, key: str) -> DataFrame:
-    """Of each key the rows of the last batch that has it."""
-    last = F.max("batch").over(Window.partitionBy(key))
+def latest(rows: DataFrame, *key: str) -> DataFrame:
+    """Of each key the rows of the last batch that has it: what a sink merged by key would hold."""
+    last = F.max("batch").over(Window.partitionBy(*key))
     return rows.withColumn("last", last).filter("batch = last").drop("batch", "last")
 
 
+def engagement_counts(events: DataFrame) -> DataFrame:
+    return events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("views"), F.max("ts").alias("last_seen"))
+
+
 def j1_engagement(spark: SparkSession, d: str) -> DataFrame:
-    counts = event_stream(spark, d).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("views"), F.max("ts").alias("last_seen"))
-    return finished(counts, "complete", "engagement").drop("batch")
+    """Update mode: a batch writes only the keys it changed."""
+    return latest(finished(engagement_counts(event_stream(spark, d)), "update", "engagement"), "user_id", "event_type")
 
 
 def j4_latest_position(spark: SparkSession, d: str) -> DataFrame:
     last = event_stream(spark, d).groupBy("user_id").agg(F.max_by(F.col("event_id") % 25, F.struct("ts", "event_id")).alias("place"))
-    return finished(last, "complete", "position").drop("batch")
+    return latest(finished(last, "update", "position"), "user_id")
 
 
 def j5_request_metrics(spark: SparkSession, d: str) -> DataFrame:

@@ -110,8 +110,9 @@ def variants(t):
 def plain_combined(q, t):
     p = partial(q, t)
     base = 0.98 if q in t else p * 0.97 if p > 0.92 else p * 0.7
+    said = ["arabic_phrase_contains" if q in t else "arabic_fuzzy" if p > 0.92 else "arabic_weak"]
     if base >= 0.97:
-        return base
+        return base, said[0]
     qw, tw = ([w for w in re.findall("[؀-ۿ]+", x) if len(w) >= 2] for x in (q, t))
     keys = set().union(*map(variants, tw)) if tw else set()
     exact = [bool(variants(w) & keys) for w in qw]
@@ -128,21 +129,29 @@ def plain_combined(q, t):
     ts, wr, b = token_set(q, t), weighted(q, t), base
     if p > base:
         b = max(b, p * 0.97)
+        if p >= 0.88 and said[0] != "arabic_fuzzy":
+            said.append("partial_boost")
     if ts >= 0.88:
         b = max(b, min(0.97, ts * 0.96))
+        said.append("token_set")
     if wr >= 0.85 and wr > b:
         b = max(b, wr * 0.94)
+        said.append("wratio")
     if fuzzy >= 0.65 and fuzzy > overlap:
         b = max(b, min(0.94, 0.55 + fuzzy * 0.38))
+        said.append("token_fuzzy")
     if overlap >= 0.55:
         b = max(b, base + min(0.12, overlap * 0.14))
+        said.append("token_overlap")
     if ngram >= 0.45:
         b = max(b, base + min(0.10, ngram * 0.12))
+        said.append("ngram")
     if bm >= 0.35 and bm > base * 0.5:
         b = max(b, min(0.94, bm * 0.88))
+        said.append("bm25")
     if jaccard >= 0.4 and b < 0.75:
         b = max(b, min(0.90, jaccard * 0.85 + p * 0.1))
-    return max(base, min(0.98, b))
+    return max(base, min(0.98, b)), "|".join(said)
 
 
 def test_script_scores_equal_plain_loops(spark):
@@ -151,9 +160,11 @@ def test_script_scores_equal_plain_loops(spark):
     texts = [" ".join(rng.choices(words, k=rng.randint(2, 9))) for _ in range(12)]
     rows = [(" ".join(rng.choices(words, k=rng.randint(1, 4)))[: rng.randint(4, 30)].strip(), t) for t in texts for _ in range(4)]
     pairs = spark.createDataFrame(rows, "qn string, norm string").withColumn("partial", X.S.partial_ratio("qn", "norm"))
-    for r in X.combined_scores(pairs).collect():
-        assert r.combined == pytest.approx(plain_combined(r.qn, r.norm), abs=1e-9), (r.qn, r.norm)
-        assert r.combined >= r.base
+    for r in X.merged_scores(X.combined_scores(pairs)).collect():
+        score, said = plain_combined(r.qn, r.norm)
+        assert r.combined == pytest.approx(score, abs=1e-9) and r.reason == said, (r.qn, r.norm)
+        assert r.combined >= r.base and r.merged == max(r.combined, r.lexical_base)
+        assert r.why == (said if r.combined > r.lexical_base else "baseline")
 
 
 def test_weighted_ratio_counts_a_shared_word_in_long_texts():
