@@ -2,10 +2,10 @@
 
 The best segmentation of a text under the vocabulary's stored piece scores is found from left to right. Scores are kept
 for a window no longer than the longest piece; when the backpointers of all surviving boundaries lead through one
-boundary, the ids up to it are committed and forgotten, so a text of any length needs only the window and what is still
-undecided. Where no piece can cross a boundary (before a word mark, around a newline, between a
-letter and the punctuation after it) all paths meet for certain;
-segments between such boundaries are remembered, a bounded number of them.
+boundary, the ids up to it are committed and forgotten, so the search needs only the window and what is still undecided.
+Where no piece can cross a boundary (before a word mark, around a newline, between a letter and the punctuation after it)
+all paths meet for certain; a text is cut there first, so `encode` holds the text, its segments and its ids at once. A
+bounded number of segments is remembered.
 
 The given vocabulary is a merge vocabulary, whose own encoder applies merges in rank order; this operator returns the
 highest-scoring path instead, as the method is named. Decoding is exact: it gives back the text.
