@@ -12,7 +12,7 @@ Signatures are banded; rows and bands follow from the similarity, so that a pair
 chance of about 2 in 10,000. Within a bucket no pairs are listed: members are matched with a few bucket leaders, the
 best of them are verified by exact multiset overlap of the texts, and components are taken. Then the pairs of a bucket
 whose ends are still in different components are verified too, unless the similarity is out of reach: shingles that no
-other such text has bound what a pair can share, exactly; and one-bit sketches estimate it, with a margin of `sigmas`
+other such text has bound what a pair can share, exactly; and four-bit sketches estimate it, with a margin of `sigmas`
 deviations. At the default, 3.7, they lose a pair just at the similarity with a chance of about 1 in 10,000, half of what
 the bands lose; pairs well over it are safe. `sigmas=None` is the exact way for the rest: every such pair is verified.
 So every candidate link is verified, ruled out or inside a component already; nothing is capped. Leaders and buckets with
@@ -53,15 +53,18 @@ ORDERS = (0, 0x2AAAAAAA, 0x5CC33A5C, 0x71E9D64B)
 #: Members of a bucket that one task compares with each other or with as many others.
 MEMBERS_AT_ONCE, HOT_BUCKETS = 512, 2000
 SLACK = 3.0
-SKETCH_SCHEMA = "row_id long, raw long, named boolean, text_key binary, size long, bands array<long>, bit0 long, bit1 long, bit2 long, bit3 long"
+#: Bits that a sketch keeps of each position, and the longs they fill.
+SKETCH_BITS, SKETCH_LONGS = 4, 16
+SKETCHES = [f"bit{i}" for i in range(SKETCH_LONGS)]
+SKETCH_SCHEMA = "row_id long, raw long, named boolean, text_key binary, size long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCHES)
 
 
 class Layout(NamedTuple):
-    """How a signature is cut into bands, and how many differing sketch bits rule a pair out (None: no rule)."""
+    """How a signature is cut into bands, and over how many differing sketch positions rule a pair out (None: no rule)."""
 
     bands: int
     rows: int
-    most_bits: int | None
+    most_apart: int | None
 
     @property
     def positions(self) -> int:
@@ -79,7 +82,7 @@ def layout(similarity: float, sigmas: float | None = SIGMAS) -> Layout:
         if bands * rows <= MOST_POSITIONS:
             found = (rows, bands) if rows > 1 else (1, min(bands, MOST_POSITIONS))
     rows, bands = found
-    n, p = rows * bands, (1 - similarity) / 2
+    n, p = rows * bands, (1 - similarity) * (1 - 0.5**SKETCH_BITS)
     return Layout(bands, rows, None if sigmas is None else math.ceil(n * p + sigmas * math.sqrt(n * p * (1 - p))))
 
 
@@ -154,11 +157,11 @@ def sketch(batches: Iterator[pa.RecordBatch], plan: Layout) -> Iterator[pa.Recor
         bands = np.zeros((n, plan.bands), dtype=np.uint64) + np.arange(1, plan.bands + 1, dtype=np.uint64)
         for i in range(plan.rows):
             bands = mix64(bands + value[:, i :: plan.rows])
-        bits = np.zeros((n, 256), dtype=np.uint8)
-        bits[:, : plan.positions] = value & np.uint64(1)
-        packed = np.packbits(bits, axis=1).view(np.int64)
+        bits = np.zeros((n, MOST_POSITIONS), dtype=np.uint8)
+        bits[:, : plan.positions] = value & np.uint64((1 << SKETCH_BITS) - 1)
+        packed = np.ascontiguousarray(bits[:, ::2] << SKETCH_BITS | bits[:, 1::2]).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_id"), batch.column("raw"), batch.column("named"), pa.array(keys, pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * plan.bands), pa.array(bands.view(np.int64).reshape(-1)))] + [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(4)],
+            [batch.column("row_id"), batch.column("raw"), batch.column("named"), pa.array(keys, pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * plan.bands), pa.array(bands.view(np.int64).reshape(-1)))] + [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(SKETCH_LONGS)],
             names=[c.split()[0] for c in SKETCH_SCHEMA.split(", ")],
         )
 
@@ -199,12 +202,21 @@ def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
     """pairs(a, b) of nodes whose texts(row_id, text) reach the similarity."""
+    # stored, so that finding the hot ends makes neither the pairs nor the first join anew
+    both = given = stored(pairs.select("a", "b"), f"{name}-pairs")
     for side in ("a", "b"):
-        pairs = join_hot(pairs, texts.select(F.col("row_id").alias(side), F.col("text").alias(f"text_{side}")), side)
-    both = pairs.select("a", "b", "text_a", "text_b")
+        counts = given.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+        both = join_hot(both, texts.select(F.col("row_id").alias(side), F.col("text").alias(f"text_{side}")), side, counts)
+    both = both.select("a", "b", "text_a", "text_b")
     return stored(both.mapInArrow(overlaps, "a long, b long, similarity double").filter(F.col("similarity") >= similarity), name)
 
 
+def positions_apart(xor: Column) -> Column:
+    """How many of the four-bit positions of a long hold any bit."""
+    any_bit = xor.bitwiseOR(F.shiftright(xor, 1)).bitwiseOR(F.shiftright(xor, 2)).bitwiseOR(F.shiftright(xor, 3))
+    return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def apart(left: DataFrame, similarity: float, plan: Layout) -> DataFrame:
     """a, b: pairs of members of a bucket in different components that may reach the similarity, each in the first bucket
     it shares. A large bucket is cut into parts, and each two parts meet in a task of their own."""
@@ -219,9 +231,9 @@ def apart(left: DataFrame, similarity: float, plan: Layout) -> DataFrame:
     common = F.least("x.most", "y.most")
     reachable = common * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-6
     met = same & other & reachable
-    if plan.most_bits is not None:
-        differ = sum((F.bit_count(F.col(f"x.bit{i}").bitwiseXOR(F.col(f"y.bit{i}"))) for i in range(4)), F.lit(0))
-        met = met & (differ <= plan.most_bits)
+    if plan.most_apart is not None:
+        differ = sum((positions_apart(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCHES), F.lit(0))
+        met = met & (differ <= plan.most_apart)
     once = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.bucket")
     return x.join(y, met & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
@@ -232,7 +244,7 @@ def text_classes(docs: DataFrame, similarity: float, sigmas: float | None, join_
     row_id, raw = row_keys(F.col("doc_id"), F.col("text"))
     given = docs.select(row_id.alias("row_id"), raw.alias("raw"), F.col("doc_id").isNotNull().alias("named"), F.col("text").cast("string").alias("text"))
     made = stored(given.mapInArrow(lambda batches: sketch(batches, plan), SKETCH_SCHEMA), "sketches")
-    facts = [F.first(c).alias(c) for c in ("bands", "size", "bit0", "bit1", "bit2", "bit3")]
+    facts = [F.first(c).alias(c) for c in ("bands", "size", *SKETCHES)]
     unique = made.groupBy("text_key").agg(F.min(F.struct((~F.col("named")).alias("nameless"), "row_id", "raw")).alias("first"), *facts)
     unique = stored(unique.withColumn("node", F.monotonically_increasing_id()), "texts")
 
@@ -261,7 +273,7 @@ def text_classes(docs: DataFrame, similarity: float, sigmas: float | None, join_
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     left = stored(labelled.join(mixed, "bucket", "left_semi"), "mixed")
     ids = left.select("node").distinct()
-    facts = unique.select("node", "size", "bands", "bit0", "bit1", "bit2", "bit3").join(ids, "node", "left_semi").join(shareable(texts, ids), "node", "left")
+    facts = unique.select("node", "size", "bands", *SKETCHES).join(ids, "node", "left_semi").join(shareable(texts, ids), "node", "left")
     left = stored(left.join(facts.withColumn("most", F.col("size") - F.coalesce("own", F.lit(0))).drop("own"), "node"), "left")
     links = verified(apart(left, similarity, plan), texts, similarity, "rest").select("a", "b")
     if join_ids:

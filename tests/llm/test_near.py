@@ -91,7 +91,7 @@ def test_spread_group(spark):
 
 
 def test_layouts():
-    assert layout(0.8) == (36, 7, 43) and layout(1.0).bands == 1 and layout(0.8, None).most_bits is None
+    assert layout(0.8) == (36, 7, 71) and layout(1.0).bands == 1 and layout(0.8, None).most_apart is None
     for s in (0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95):
         plan = layout(s)
         assert plan.positions <= 256 and (1 - s**plan.rows) ** plan.bands <= 2.2e-4
