@@ -300,9 +300,12 @@ def parse_key(c: Column) -> Column:
 
 
 def phonetic_fingerprint(c: Column, size: int = 13, chars: int = 64) -> Column:
-    """A unit vector of folded character codes."""
+    """A unit vector of folded character codes. Each step is bound to a name, as Spark would write it out anew wherever a
+    later one uses it."""
+    bound = lambda value, then: F.transform(F.array(value), then)[0]
+    total = lambda items: F.aggregate(items, F.lit(0.0), lambda a, x: a + x)
     head = F.left(c, F.lit(chars))
     codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(head), F.lit(1))), lambda i: F.ascii(F.substring(head, i, F.lit(1))) % 32 / 32.0)
-    sums = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.filter(codes, lambda x, i: i % size == k), F.lit(0.0), lambda a, x: a + x))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    sums = lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: total(F.filter(found, lambda x, i: i % size == k)))
+    unit = lambda made: bound(F.sqrt(total(F.transform(made, lambda x: x * x))), lambda norm: F.transform(made, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
+    return bound(codes, lambda found: bound(sums(found), unit))
