@@ -3,6 +3,9 @@
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
+from lexiforge.plans.lexical_queries import spread
 from lexiforge.plans.text_queries import fingerprint
 from tests.conftest import SMALL
 
@@ -17,3 +20,10 @@ def plan_of(df):
 def test_a_fingerprint_takes_its_codes_and_its_length_once(spark):
     plan = plan_of(fingerprint(spark, SMALL)).lower()
     assert plan.count("sqrt(") == 1 and plan.count("ascii(") == 1
+
+
+def test_costly_pairs_stay_spread(spark):
+    """Few bytes of pairs are not put into one task."""
+    pairs = spark.range(50).select(F.col("id").alias("query_id"), F.col("id").alias("doc_id"))
+    assert spread(pairs, "query_id", "doc_id").rdd.getNumPartitions() >= 4
+    assert pairs.repartition("query_id", "doc_id").rdd.getNumPartitions() == 1
