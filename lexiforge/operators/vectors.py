@@ -15,6 +15,8 @@ from ..sources.tables import stored
 MOST_CELLS, ROW_BLOCK, QUERY_BLOCK, BLOCKS_AT_ONCE = 1024, 1024, 256, 16
 #: Rows that a query's first cells hold between them, for each result asked for. Scores are rounded to six places.
 PROBE, MARGIN = 20, 2e-6
+#: Rows from which centres are taken, for each of them.
+DRAWN = 4
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -39,6 +41,14 @@ def bounds(a: np.ndarray, centres: np.ndarray, radius: np.ndarray, metric: str)
     return 1 / (1 + np.maximum(distances(a, centres) - radius[None], 0) / 2)
 
 
+def centre_rows(rows: DataFrame, n: int, cells: int) -> DataFrame:
+    """The rows of the lowest hashes. Every task would send the driver `cells` of them, so first all rows but some DRAWN times
+    as many as are wanted are left out by their hash alone."""
+    hashed = rows.select("v", F.xxhash64("vec_id", F.lit("centre")).alias("h"))
+    low = hashed.filter(F.col("h") < -(1 << 63) + ((1 << 64) * DRAWN * cells) // n) if n > DRAWN * cells else hashed
+    return (hashed if low is not hashed and low.isEmpty() else low).orderBy("h").limit(cells)
+
+
 def cell_search(rows: DataFrame, asked: DataFrame, k: int, metric: str, compared: dict[str, int] | None = None) -> DataFrame:
     """rows(vec_id, v) and asked(vec_id, v) -> query_id, doc_id, score, rank: the exact k best rows of each query.
 
@@ -51,7 +61,7 @@ def cell_search(rows: DataFrame, asked: DataFrame, k: int, metric: str, compared
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     cells = min(MOST_CELLS, max(1, round(n**0.5)))
-    drawn = rows.select("v", F.xxhash64("vec_id", F.lit("centre")).alias("h")).orderBy("h").limit(cells).collect()
+    drawn = centre_rows(rows, n, cells).collect()
     centres = np.array([r["v"] for r in drawn], dtype=np.float64)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
+from lexiforge.operators.vectors import centre_rows
 from lexiforge.plans.lexical_queries import spread
 from lexiforge.plans.text_queries import fingerprint
 from tests.conftest import SMALL
@@ -27,3 +28,13 @@ def test_costly_pairs_stay_spread(spark):
     pairs = spark.range(50).select(F.col("id").alias("query_id"), F.col("id").alias("doc_id"))
     assert spread(pairs, "query_id", "doc_id").rdd.getNumPartitions() >= 4
     assert pairs.repartition("query_id", "doc_id").rdd.getNumPartitions() == 1
+
+
+def test_few_rows_are_sent_to_the_driver_for_centres(spark):
+    """The same centres as of all rows, out of a few times as many, however many tasks hold them."""
+    rows = spark.range(0, 20000, 1, 40).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("v"))
+    found = centre_rows(rows, 20000, 100)
+    plain = rows.select("v", F.xxhash64("vec_id", F.lit("centre")).alias("h")).orderBy("h").limit(100)
+    assert found.collect() == plain.collect()
+    limit = -(1 << 63) + ((1 << 64) * 4 * 100) // 20000
+    assert rows.filter(F.xxhash64("vec_id", F.lit("centre")) < limit).count() < 600 and str(limit) in plan_of(found)
