@@ -214,14 +214,19 @@ def d15_guard(spark, d):
 
 def g3_script_exact(spark, d):
     """Arabic-script search: anchors (the four longest tokens) by equi-join; where a query has exact hits only those
-    stay, shorter texts first."""
-    docs = read_table(spark, d, "documents").select("doc_id", T.normalize_arabic(arabic(F.col("text"))).alias("norm"))
+    stay, shorter texts first. A text that holds a query holds its inner words whole, so texts are compared only where they
+    have all anchors that stand inside the query, and one at least."""
+    docs = stored(read_table(spark, d, "documents").repartition("doc_id").select("doc_id", T.normalize_arabic(arabic(F.col("text"))).alias("norm")), "script")
     queries = passages(spark, d).select("query_id", T.normalize_arabic(arabic(F.col("query"))).alias("qn"))
     tokens = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3))
     longest = F.slice(F.array_sort(F.transform(tokens(F.col("qn")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, 4)
-    anchors = queries.select("query_id", "qn", F.explode(F.transform(longest, lambda x: x["w"])).alias("token"))
-    held = docs.select("doc_id", F.explode(tokens(F.col("norm"))).alias("token"))
-    pairs = anchors.join(held, "token").select("query_id", "qn", "doc_id").distinct().join(docs, "doc_id")
+    words = F.split("qn", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    anchors = queries.select("query_id", F.explode(F.transform(longest, lambda x: F.struct(x["w"].alias("token"), F.array_contains(inner, x["w"]).cast("int").alias("inner")))).alias("a")).select("query_id", "a.*")
+    needed = anchors.groupBy("query_id").agg(F.sum("inner").alias("needed"))
+    held = docs.repartition("doc_id").select("doc_id", F.explode(tokens(F.col("norm"))).alias("token"))
+    pairs = held.join(anchors, "token").groupBy("query_id", "doc_id").agg(F.sum("inner").alias("found")).join(needed, "query_id").filter("found = needed")
+    pairs = pairs.select("query_id", "doc_id").join(queries, "query_id").join(docs, "doc_id")
     exact = pairs.filter(F.contains("norm", "qn")).select("query_id", "doc_id", F.lit(0.98).alias("score"), F.length("norm").cast("long").alias("chars"))
     return top_k(exact, 10, F.desc("score"), F.col("chars"))
 
