@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexiforge.functions.similarity import hashed_deletions
 from lexiforge.operators.places import TASK, carried, exact_quantiles, placed, ranged
-from lexiforge.operators.topk import pruned_top_k
+from lexiforge.operators.topk import alternatives_top_k, pruned_top_k
 from lexiforge.operators.vectors import cell_search
 from lexiforge.plans.retrieval_queries import bm25_fields, coverage_search, read_vectors, variants, write_vectors
 
@@ -74,6 +75,38 @@ def test_damaged_words_find_their_documents(spark):
     assert {(r.query_id, r.doc_id) for r in bm25_fields(queries, docs, 5).collect()} >= {(1, 1), (2, 2)}
 
 
+def test_endless_words_do_not_write_out_their_deletions(spark):
+    """A word of 3,000 letters becomes 4.5 million strings by two deletions; no token is as long."""
+    asked = spark.createDataFrame([("mountain",)], "token string")
+    words = spark.createDataFrame([("mountian",), ("ab" * 1500,)], "word string")
+    assert [(r.token, r.word) for r in variants(asked, words).collect()] == [("mountain", "mountian")]
+
+
+def test_hashed_deletions_are_those_of_strings():
+    for word in ("a", "ab", "abc", "mississippi", "naïve"):
+        kept = {word} | {word[:i] + word[i + 1 :] for i in range(len(word)) if len(word) > 1}
+        twice = kept | {w[:i] + w[i + 1 :] for w in kept for i in range(len(w)) if len(w) > 1 and len(word) > 2}
+        for depth, strings in ((1, kept), (2, twice)):
+            assert set(hashed_deletions([word], depth)[0]) == {hashed_deletions([w], 1)[0][0] for w in strings}
+
+
+def test_alternatives_in_place_equal_the_plain_join(spark):
+    rng = random.Random(9)
+    tokens, words = [f"t{i}" for i in range(12)], [f"w{i}" for i in range(60)]
+    near = [(t, w, round(rng.random() + 0.1, 3)) for t in tokens for w in rng.sample(words, 15)]
+    asked = [(q, t) for q in range(7) for t in rng.sample(tokens, 4)]
+    docs = [(i, [rng.choice([*words, "other"]) for _ in range(rng.randrange(0, 30))]) for i in range(700)]
+    part = lambda tf, n, mean: tf / (tf + n / mean)
+    posted = [(i, w, part(ws.count(w), len(ws), 15.0)) for i, ws in docs for w in set(ws)]
+    expected = plain_top([(q, t, w, x) for q, t in asked for s, w, x in near if s == t], posted, 5)
+    frames = [spark.createDataFrame(rows, schema).withColumn("field", F.lit("f")) for rows, schema in ((asked, "query_id long, token string"), (near, "token string, word string, w double"))]
+    held = spark.createDataFrame(docs, "doc_id long, tokens array<string>").withColumn("field", F.lit("f")).withColumn("mean", F.lit(15.0)).repartition(3)
+    rows = alternatives_top_k(*frames, held, 5, part, 1.0).collect()
+    for q, best in expected.items():
+        assert sorted(((round(r.score, 9), r.doc_id) for r in rows if r.query_id == q), key=lambda x: (-x[0], x[1]))[:5] == best
+    assert len(rows) < len({(q, i) for q, _ in asked for i, _ in docs}) / 4
+
+
 @pytest.mark.parametrize("metric", ["inner", "distance"])
 def test_cells_give_the_exact_nearest(spark, metric):
     rng = np.random.default_rng(3)
