@@ -5,9 +5,11 @@ import random
 from pyspark.sql import functions as F
 
 from lexiforge.functions import similarity as S
+from lexiforge.functions import text as T
 from lexiforge.operators.meeting import meeting, words_holding
 from lexiforge.plans import lexical_queries as L
 from tests.conftest import SMALL
+from tests.test_growth import plan_of
 
 
 def some(rng, n):
@@ -63,3 +65,11 @@ def test_phrases_side_by_side_have_their_own_subsequences():
     assert S.sorted_ratios(pairs) == [S.indel(a, b) for a, b in pairs]
     for floor in (-1.0, 0.6, 0.84):
         assert [(p, max(w, floor)) for p, w in S.all_weighted(pairs, None, floor)] == [(p, max(w, floor)) for p, w in S.all_weighted(pairs)]
+
+
+def test_a_text_without_spaces_is_made_once_for_its_grams(spark):
+    """Not once for each of its letters."""
+    frame = spark.createDataFrame([("ab cd e",), ("",), ("a",), (None,)], "t string")
+    made = frame.select(T.char_ngrams(F.col("t")).alias("g"))
+    assert [r.g for r in made.collect()] == [["abc", "bcd", "cde"], [], ["a"], None]
+    assert plan_of(made).count("replace(") == 1
