@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators.joins import join_hot
 from ..operators.places import placed
 from ..operators.topk import alternatives_top_k, pruned_top_k
 from ..operators.vectors import cell_search
@@ -92,9 +91,11 @@ def letters_sorted(word: Column) -> Column:
 
 
 def with_distance(pairs: DataFrame, limit: Column) -> DataFrame:
-    """pairs(token, word, field) within `limit` (2 at most) edits or swaps of letters, with distance. Plain edit distance settles
+    """pairs(token, word, field if any) within `limit` (2 at most) edits or swaps of letters, with distance. Plain edit distance settles
     most pairs where they are: one edit stays one, two are one where neighbours were swapped. Three or four can be two only
     with a swap, which leaves the letters but for one edit; these alone are compared in full."""
+    if "field" not in pairs.columns:
+        return with_distance(pairs.withColumn("field", F.lit("")), limit).drop("field")
     p = pairs.withColumn("plain", F.levenshtein("token", "word", 4)).filter("plain >= 0")
     swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length("token") - 1, F.lit(1))), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.lit(1)), F.substring("token", i, F.lit(1)), F.substring("token", i + 2, F.length("token"))) == F.col("word"))
     near = p.filter("plain <= 2").select("field", "token", "word", F.when((F.col("plain") == 2) & (F.length("token") == F.length("word")) & (F.length("token") > 1) & swapped, 1).otherwise(F.col("plain")).alias("distance"))
@@ -167,7 +168,7 @@ def asked_fields(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(fields).alias("f")).select("query_id", "f.field", F.explode("f.tokens").alias("token"))
 
 
-def bm25_fields(queries: DataFrame, docs: DataFrame, k: int, fuzzy: bool = True, moved: dict[str, int] | None = None) -> DataFrame:
+def bm25_fields(queries: DataFrame, docs: DataFrame, k: int, fuzzy: bool = True) -> DataFrame:
     """query_id, doc_id, raw: of each query's best documents the best field's score. docs(doc_id, text, source, lang) are
     tokenised once; where fuzzy, tokens may differ from a document's words by the edits that their length allows. A document among the
     k best by its best field is among the k best of that field, so fields are searched as queries of their own."""
@@ -176,31 +177,20 @@ def bm25_fields(queries: DataFrame, docs: DataFrame, k: int, fuzzy: bool = True,
     held = stored(lists.select("doc_id", "f.field", "f.tokens"), "fields")
     facts = held.groupBy("field").agg(F.avg(F.size("tokens")).alias("mean"), F.count_if(F.size("tokens") > 0).alias("n_docs"))
     tokens = asked.select("field", "token").distinct()
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    # words that nobody asks for are dropped before they are counted, unless they may be near one
+    each = held.select("field", F.explode(F.array_distinct("tokens")).alias("token"))
+    each = each if fuzzy else each.join(F.broadcast(tokens), ["field", "token"], "left_semi")
+    frequency = stored(each.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     if fuzzy:
-        frequency = stored(held.select("field", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("field", "token").agg(F.count(F.lit(1)).alias("df")), "frequencies")
         near = stored(variants(tokens, frequency.select("field", F.col("token").alias("word"))), "variants")
     else:
-        each = held.select("doc_id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(tokens, ["field", "token"], "left_semi")
-        counts = stored(each.groupBy("field", "token", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "counts")
-        frequency = stored(counts.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df")), "frequencies")
         near = tokens.select("field", "token", F.col("token").alias("word"), F.lit(1.0).alias("factor"))
     boost = reduce(lambda c, x: c.when(F.col("field") == x[0], x[1]), list(FIELDS.items())[1:], F.when(F.col("field") == "text", FIELDS["text"]))
     weight = boost * F.col("factor") * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     words = near.join(frequency.withColumnRenamed("token", "word"), ["field", "word"]).join(F.broadcast(facts), "field").select("field", "token", "word", weight.alias("w"))
-    if fuzzy:
-        value = lambda tf, dl, mean: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
-        found = alternatives_top_k(asked, words, held.join(F.broadcast(facts), "field"), k, value, K1 + 1)
-        return found.withColumnRenamed("score", "raw")
-    near_by_word = words.groupBy(F.concat_ws(":", "field", "word").alias("word")).agg(F.collect_list(F.struct(F.concat_ws(":", "field", "token").alias("token"), "w")).alias("tokens"))
-    parts = counts.join(F.broadcast(facts), "field").select("doc_id", F.concat_ws(":", "field", "token").alias("word"), part.alias("part"))
-    met = join_hot(parts.join(near_by_word.select("word"), "word", "left_semi"), near_by_word, "word")
-    # what a token finds in a document is the best of its words there, whoever asks for it
-    values = met.select("doc_id", "part", F.explode("tokens").alias("t")).groupBy("t.token", "doc_id").agg(F.max(F.col("t.w") * F.col("part")).alias("part"))
-    posted = stored(values.select("doc_id", "token", "part"), "postings")
-    wanted = asked.select(F.concat_ws(":", F.col("query_id").cast("string"), "field").alias("query_id"), F.col("token").alias("slot"), F.concat_ws(":", "field", "token").alias("token"), F.lit(1.0).alias("w"))
-    found = pruned_top_k(wanted, posted, k, moved)
-    return found.select(F.split("query_id", ":")[0].cast("long").alias("query_id"), "doc_id", "score").groupBy("query_id", "doc_id").agg(F.max("score").alias("raw"))
+    value = lambda tf, dl, mean: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+    found = alternatives_top_k(asked, words, held.join(F.broadcast(facts), "field"), k, value, K1 + 1)
+    return found.withColumnRenamed("score", "raw")
 
 
 def labelled_passages(spark: SparkSession, d: str) -> DataFrame:

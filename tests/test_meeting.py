@@ -71,5 +71,15 @@ def test_a_text_without_spaces_is_made_once_for_its_grams(spark):
     """Not once for each of its letters."""
     frame = spark.createDataFrame([("ab cd e",), ("",), ("a",), (None,)], "t string")
     made = frame.select(T.char_ngrams(F.col("t")).alias("g"))
-    assert [r.g for r in made.collect()] == [["abc", "bcd", "cde"], [], ["a"], None]
+    assert [r.g for r in made.collect()] == [["abc", "bcd", "cde"], [], ["a"], []]
     assert plan_of(made).count("replace(") == 1
+
+
+def test_plain_bm25_keeps_no_row_for_a_word_of_a_document(spark, monkeypatch):
+    """Documents are scored where they are: no counts or postings are written and shuffled."""
+    from lexiforge.plans import retrieval_queries as R
+
+    kept, plain = [], R.stored
+    monkeypatch.setattr(R, "stored", lambda df, name, *a, **b: kept.append(name) or plain(df, name, *a, **b))
+    R.bm25(spark, SMALL)
+    assert kept == ["asked", "fields", "frequencies"]
